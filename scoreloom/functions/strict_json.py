@@ -10,6 +10,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scoreloom.functions.answer_text import strip_fences
 
@@ -23,13 +24,13 @@ def _normalised(text):
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def valid_json(texts: pd.Series) -> pd.Series:
     """The text re-written as JSON, null where it is not valid."""
     return texts.map(_normalised)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_valid_json(whole: pd.Series, part: pd.Series) -> pd.Series:
     """The first of two texts that is valid JSON."""
     return pd.Series([_normalised(a) or _normalised(b) for a, b in zip(whole, part)], dtype=object)

@@ -84,6 +84,9 @@ SELECT doc_id AS answer_id, doc_id // 9 AS question_id, lang AS model_id,
     WHEN 10 THEN text || {text(DECORATION[10])} ELSE text END AS answer,
   source, n_chars
 FROM documents""",
+    "harness": """
+SELECT doc_id AS answer_id, CASE WHEN n_chars % 3 <> 0 THEN (n_chars % 2)::DOUBLE END AS syntactic_parse_success,
+  CASE WHEN doc_id % 12 IN (0, 8, 9, 10) THEN n_chars % 11 / 10.0::DOUBLE END AS result_set_f1 FROM documents""",
     "refs": "SELECT item_id AS question_id, text AS expected_answer FROM benchmark",
     "judge_replies": """
 SELECT doc_id AS answer_id, CASE doc_id % 6 WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'

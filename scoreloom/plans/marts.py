@@ -209,6 +209,26 @@ class Marts:
             F.col("n_chars"),
         )
 
+    def answer_runs(self) -> DataFrame:
+        """The answers with run telemetry made from their length."""
+        size = F.col("n_chars")
+        return self.answers().withColumns({
+            "hyperparams": F.lit("{}"),
+            "total_latency_ms": F.when(size % 10 == 0, F.lit(0.0)).otherwise(size * 2.0),
+            "ttft_ms": size * 0.3,
+            "tokens_per_second": (size % 300).cast("double"),
+            "cost_usd": size % 7 * 0.004,
+        }).drop("source", "n_chars", "length_instruction")
+
+    def harness(self) -> DataFrame:
+        """Outcome of the answers' SQL: parse success and F1, null F1 where there is no SQL."""
+        doc, size = F.col("doc_id"), F.col("n_chars")
+        return self.raw("documents").select(
+            doc.alias("answer_id"),
+            F.when(size % 3 != 0, (size % 2).cast("double")).alias("syntactic_parse_success"),
+            F.when((doc % 12).isin(0, 8, 9, 10), size % 11 / 10.0).alias("result_set_f1"),
+        )
+
     def references(self) -> DataFrame:
         """Expected answers of the questions, for those that have one."""
         return self.raw("benchmark").select(

@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from scoreloom.plans import report_queries
+from scoreloom.plans import report_queries, scan_queries, score_queries
 
-MODULES = [report_queries]
+MODULES = [report_queries, scan_queries, score_queries]
 
 
 def queries() -> dict:
