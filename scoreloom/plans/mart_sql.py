@@ -1,6 +1,7 @@
 """The marts as SQL, written apart from the DataFrame versions for the checks."""
 
-from scoreloom.plans.marts import DECORATION
+from scoreloom.functions import fixed_values as fv
+from scoreloom.plans.marts import DECORATION, QUESTION_FRAMES, SCHEMA_FIXTURE
 
 
 def text(value: str) -> str:
@@ -95,6 +96,24 @@ FROM (SELECT doc_id, quality, '{"score": ' || (quality * 5 + doc_id % 5) || ', "
   || ', "completeness": ' || (doc_id % 7 / 8.0::DOUBLE)
   || CASE WHEN toxic = 1 THEN ', "hallucinations": [{"type": "contradiction", "text": "claim", "severity": "medium"}]' ELSE '' END
   || '}' AS body FROM labels)""",
+    "perturbable": f"""
+SELECT doc_id AS question_id, CASE doc_id % 8 {" ".join(f"WHEN {i} THEN {text(h)} || text || {text(t)}" for i, (h, t) in QUESTION_FRAMES.items())} END AS question_text
+FROM documents""",
+    "bank": f"""
+SELECT doc_id AS question_id, [{", ".join(text(t) for t in [*fv.SUBTOPIC_TYPES, "OTHER"])}][doc_id % {len(fv.SUBTOPIC_TYPES) + 1} + 1] AS subtopic,
+  CASE doc_id % 4 WHEN 0 THEN 'Exercise 3.' || (doc_id % 10) || ': ' || text
+    WHEN 1 THEN '## exercise 4.' || (doc_id % 7) || chr(10) || chr(10) || text ELSE text END AS question_text FROM documents""",
+    "example_questions": f"""
+SELECT doc_id AS question_id, source AS subtopic_id, ['easy', 'medium', 'hard'][n_chars % 3 + 1] AS difficulty, text AS question_text,
+  CASE WHEN n_chars % 4 <> 0 THEN 'Answer of ' || lang || ' ' || doc_id END AS expected_answer,
+  CASE WHEN doc_id % 10 = 0 THEN {text(SCHEMA_FIXTURE)} END AS schema_fixture FROM documents""",
+    "candidate_rows": """
+SELECT case_id, candidate_idx, CASE WHEN (case_id + candidate_idx) % 3 = 0 THEN 'qty' ELSE 'amount' END AS value_name, part, quantity
+FROM (SELECT l_orderkey AS case_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS candidate_idx,
+  l_partkey::DOUBLE AS part, l_quantity AS quantity FROM lineitem)""",
+    "expected_rows": """
+SELECT l_orderkey AS case_id, 'qty' AS value_name, l_partkey::DOUBLE AS part,
+  l_quantity + CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE 0 END AS quantity FROM lineitem WHERE l_linestatus = 'F'""",
     "sheet": r"""
 SELECT page_id AS row_no, CASE WHEN page_id % 5 = 0 THEN ' topic ' || (page_id // 5) END AS topic,
   CASE WHEN page_id % 7 = 3 THEN '  ' ELSE 'sub ' || (page_id % 11) || ' ' END AS subtopic,

@@ -254,6 +254,71 @@ class Marts:
         }, body)
         return self.raw("labels").select(doc.alias("answer_id"), reply.alias("reply"))
 
+    def perturbable(self) -> DataFrame:
+        """Documents as questions that the perturbation rules apply to."""
+        doc, text = F.col("doc_id"), F.col("text")
+        return self.raw("documents").select(
+            doc.alias("question_id"),
+            choose(doc % 8, {
+                i: F.concat(F.lit(head), text, F.lit(tail)) for i, (head, tail) in QUESTION_FRAMES.items()
+            }).alias("question_text"),
+        )
+
+    def bank(self) -> DataFrame:
+        """Documents as raw bank questions with a subtopic and an optional exercise prefix."""
+        doc, text = F.col("doc_id"), F.col("text")
+        prefixed = choose(doc % 4, {
+            0: F.concat(F.lit("Exercise 3."), (doc % 10).cast("string"), F.lit(": "), text),
+            1: F.concat(F.lit("## exercise 4."), (doc % 7).cast("string"), F.lit("\n\n"), text),
+        }, text)
+        subtopics = dict(enumerate([*fv.SUBTOPIC_TYPES, "OTHER"]))
+        return self.raw("documents").select(
+            doc.alias("question_id"), choose(doc % len(subtopics), subtopics).alias("subtopic"),
+            prefixed.alias("question_text"),
+        )
+
+    def example_questions(self) -> DataFrame:
+        """Documents as questions of a few-shot store; some have no expected answer."""
+        doc = F.col("doc_id")
+        return self.raw("documents").select(
+            doc.alias("question_id"),
+            F.col("source").alias("subtopic_id"),
+            choose(F.col("n_chars") % 3, dict(enumerate(fv.DIFFICULTIES))).alias("difficulty"),
+            F.col("text").alias("question_text"),
+            F.when(F.col("n_chars") % 4 != 0, F.concat(F.lit("Answer of "), F.col("lang"), F.lit(" "), doc.cast("string")))
+            .alias("expected_answer"),
+            F.when(doc % 10 == 0, F.lit(SCHEMA_FIXTURE)).alias("schema_fixture"),
+        )
+
+    # --- result sets ------------------------------------------------------------
+
+    def candidate_rows(self) -> DataFrame:
+        """Rows returned by up to three candidate queries per order, some with renamed columns."""
+        order, name = F.col("l_orderkey"), F.col("value_name")
+        index = choose(F.col("l_returnflag"), {"A": 0, "N": 1}, F.lit(2))
+        return self.raw("lineitem").select(
+            order.alias("case_id"), index.alias("candidate_idx"),
+            F.when((order + index) % 3 == 0, "qty").otherwise("amount").alias("value_name"),
+            F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").alias("quantity"),
+        ).select(
+            "case_id", "candidate_idx", "value_name", "quantity",
+            F.create_map(F.lit("part"), F.col("part"), name, F.col("quantity").cast("string")).alias("row"),
+        )
+
+    def candidates(self) -> DataFrame:
+        """Candidate queries; one fails where any quantity is tiny."""
+        return self.candidate_rows().groupBy("case_id", "candidate_idx").agg(
+            (F.min("quantity") > 3).alias("ok"),
+            F.array(F.lit("part"), F.min("value_name")).alias("columns"),
+        )
+
+    def expected_rows(self) -> DataFrame:
+        quantity = F.col("l_quantity") + F.when(F.col("l_linenumber") % 4 == 0, 1).otherwise(0)
+        return self.raw("lineitem").filter(F.col("l_linestatus") == "F").select(
+            F.col("l_orderkey").alias("case_id"),
+            F.create_map(F.lit("part"), F.col("l_partkey").cast("string"), F.lit("qty"), quantity.cast("string")).alias("row"),
+        )
+
     def sheet(self) -> DataFrame:
         """Pages as rows of a question sheet: topic only on every fifth row."""
         page = F.col("page_id")
@@ -288,3 +353,16 @@ DECORATION = {
     10: "\n```sql\n-- first\nthis line is only prose and rather long\nSELECT 1\n"
         "another line that says nothing useful\n```\nThen:\n```sql\nSELECT name, age FROM emp\n```",
 }
+
+# Texts around the driver documents, by doc_id % 8, for the perturbation rules.
+QUESTION_FRAMES = {
+    0: ("What is ", "?"),
+    1: ("how does ", " of employees and a department?"),
+    2: ("Define ", " for every student and customer"),
+    3: ("List (alpha, beta , gamma) of ", " salary"),
+    4: ("Parts:\n1. one\n2. two\n 3. three ", "\n"),
+    5: ("A Transaction with a constraint is not ", " what it does?"),
+    6: ("Explain sid and eid ", " are not, do"),
+    7: ("", ""),
+}
+SCHEMA_FIXTURE = "CREATE TABLE t (\n  id INTEGER PRIMARY KEY,\n  name varchar(10)\n);\nINSERT INTO t VALUES (1, 'a');\nCHECK (1)"
