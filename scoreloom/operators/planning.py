@@ -292,3 +292,14 @@ def contest_prompt(question: Column, reference: Column, answers: Column) -> Colu
     values = [count, question, given, block, count, count]
     pieces = [p for part, value in zip(pt.CONTEST_PARTS, values) for p in (F.lit(part), value)]
     return F.concat(*pieces, F.lit(pt.CONTEST_PARTS[-1]))
+
+
+def contest_prompts(labelled: DataFrame, question: Column, reference: Column) -> DataFrame:
+    """One judge prompt per contest from its labelled answers.
+
+    A prompt is a single text that holds all its answers, so a contest's answers
+    meet in one row here and nowhere else.
+    """
+    answers = F.array_sort(F.collect_list(F.struct("label", "answer")))
+    rows = labelled.groupBy("contest_id").agg(answers.alias("answers"))
+    return rows.select("contest_id", contest_prompt(question, reference, F.col("answers")).alias("contest_prompt"))

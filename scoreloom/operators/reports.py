@@ -55,6 +55,37 @@ def page(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFr
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def list_questions(
+    bank: DataFrame, topic=None, subtopic=None, question_type=None, difficulty=None, limit: int = 50, offset: int = 0
+) -> DataFrame:
+    """One page of the question bank by id, with the total number of matches.
+
+    The total is a separate one-row count joined to the page, so no window runs
+    over all matches.
+    """
+    kept = bank
+    if topic:
+        kept = kept.filter(contains_text("topic", topic))
+    if subtopic:
+        kept = kept.filter(contains_text("subtopic", subtopic))
+    if question_type:
+        kept = kept.filter(F.col("question_type") == question_type)
+    if difficulty:
+        kept = kept.filter(F.col("difficulty") == difficulty)
+    one = F.lit(1).alias("__one")
+    total = kept.agg(F.count("*").alias("total")).withColumn("__one", one)
+    return page(kept, ["question_id"], limit, offset).withColumn("__one", one).join(total, "__one").drop("__one")
+
+
+def model_in_contests(entries: DataFrame, model_id) -> DataFrame:
+    """Per contest whether a model took part and whether it is listed first."""
+    mine = F.col("model_id") == model_id
+    first = F.min_by("model_id", F.struct("placement", "model_id"))
+    return entries.groupBy("contest_id").agg(
+        F.max(mine).alias("has_model"), (first == model_id).alias("first_is_model")
+    )
+
+
 def param_text(param: str) -> Column:
     return F.get_json_object("hyperparams", f"$.{param}")
 

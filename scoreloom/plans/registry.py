@@ -1,8 +1,12 @@
 """All registered queries and their SQL."""
 
-from scoreloom.plans import compare_queries, rating_queries, report_queries, scan_queries, score_queries
+from scoreloom.plans import (
+    bank_queries, compare_queries, plan_queries, rating_queries, report_queries, scan_queries, score_queries,
+)
 
-MODULES = [report_queries, scan_queries, score_queries, compare_queries, rating_queries]
+MODULES = [
+    report_queries, scan_queries, score_queries, compare_queries, rating_queries, bank_queries, plan_queries,
+]
 
 
 def queries() -> dict:
