@@ -8,6 +8,7 @@ from scoreloom.functions import prompt_texts as pt
 from scoreloom.functions import tags as tg
 from scoreloom.functions.keys import canonical_json, default_hyperparams, hyperparam_hash, hyperparam_map
 from scoreloom.operators.answer_scan import cut
+from scoreloom.operators.ratings import FOLD_LIMIT
 
 
 # --- grids --------------------------------------------------------------------------
@@ -297,9 +298,15 @@ def contest_prompt(question: Column, reference: Column, answers: Column) -> Colu
 def contest_prompts(labelled: DataFrame, question: Column, reference: Column) -> DataFrame:
     """One judge prompt per contest from its labelled answers.
 
-    A prompt is a single text that holds all its answers, so a contest's answers
-    meet in one row here and nowhere else.
+    A prompt is one text with all answers of its contest. A contest with more
+    entrants than can move a rating gets no prompt (null): judging it would
+    change nothing, and its answers would not fit one text.
     """
-    answers = F.array_sort(F.collect_list(F.struct("label", "answer")))
-    rows = labelled.groupBy("contest_id").agg(answers.alias("answers"))
-    return rows.select("contest_id", contest_prompt(question, reference, F.col("answers")).alias("contest_prompt"))
+    small = labelled.filter(F.col("entrants") <= FOLD_LIMIT).groupBy("contest_id").agg(
+        F.array_sort(F.collect_list(F.struct("label", "answer"))).alias("answers")
+    )
+    prompts = small.select(
+        "contest_id", contest_prompt(question, reference, F.col("answers")).alias("contest_prompt")
+    )
+    large = labelled.filter(F.col("entrants") > FOLD_LIMIT).select("contest_id").distinct()
+    return prompts.unionByName(large.withColumn("contest_prompt", F.lit(None).cast("string")))

@@ -76,9 +76,9 @@ def label_of(rank: Column) -> Column:
 def anonymise_contest(entries: DataFrame, seed: int = 0) -> DataFrame:
     """A label per answer in an order that depends on the contest and the seed only."""
     shuffled = F.md5(F.concat_ws("|", "contest_id", "model_id", F.lit(seed)))
-    rows = entries.select("contest_id", "model_id").withColumn("shuffle_key", shuffled)
+    rows = entries.withColumn("shuffle_key", shuffled)
     ranked = with_row_number_in(rows, ["contest_id"], ["shuffle_key", "model_id"], "rank")
-    return ranked.select("contest_id", "model_id", label_of(F.col("rank")).alias("label"))
+    return ranked.select(*entries.columns, label_of(F.col("rank")).alias("label"))
 
 
 # --- one contest -----------------------------------------------------------------------

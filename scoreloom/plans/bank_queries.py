@@ -9,6 +9,8 @@ from scoreloom.operators import ingest, joins, reports
 from scoreloom.plans.mart_sql import rounded, text, with_marts
 from scoreloom.plans.marts import Marts
 from scoreloom.plans.report_queries import DONE, TELEMETRY
+from scoreloom.session import new_folder
+from scoreloom.sources import files
 
 QUERIES, SQL = {}, {}
 
@@ -234,3 +236,21 @@ SELECT contest_id, list_contains(ranked, 7) AS has_model, ranked[1] = 7 AS first
 FROM (SELECT contest_id, list(model_id ORDER BY placement, model_id) AS ranked FROM contest_entries GROUP BY contest_id)"""))
 def _(m):
     return reports.model_in_contests(m.contest_entries(), 7)
+
+
+@query("read_question_bank", with_marts("questions subtopics topics", """
+SELECT substr(md5(question_id::VARCHAR), 1, 12) AS id, topic, subtopic, CASE WHEN question_id % 2 = 0 THEN 'Exercise ' || question_id END AS exercise_number,
+  'Question ' || question_id || ' "é" ' || chr(10) || 'line' AS question_text, NULL::VARCHAR AS expected_answer, question_type, difficulty, array_to_string(tags, ',') AS tags
+FROM questions JOIN subtopics USING (subtopic_id) JOIN topics USING (topic_id)"""))
+def _(m):
+    rows = m.questions().join(m.subtopics(), "subtopic_id").join(m.topics(), "topic_id")
+    number = F.col("question_id").cast("string")
+    bank = rows.select(
+        F.substring(F.md5(number), 1, 12).alias("id"), "topic", "subtopic",
+        F.when(F.col("question_id") % 2 == 0, F.concat(F.lit("Exercise "), number)).alias("exercise_number"),
+        F.concat(F.lit("Question "), number, F.lit(' "é" \nline')).alias("question_text"),
+        F.lit(None).cast("string").alias("expected_answer"), "question_type", "difficulty", "tags")
+    path = new_folder(m.spark, "bank")
+    bank.write.json(path)
+    read = files.read_question_bank(m.spark, path, lines=True)
+    return read.withColumn("tags", F.array_join("tags", ","))

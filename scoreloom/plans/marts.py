@@ -4,7 +4,7 @@ Each mart is a lazy projection of one or two driver tables, so filters and
 column pruning of a query still reach the Parquet scan.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed_values as fv
@@ -144,8 +144,6 @@ class Marts:
             .agg(F.max("l_extendedprice").alias("price"), F.min("l_shipdate").alias("seen"))
             .withColumn("step", F.floor(F.col("price") / 1000))
         )
-        from pyspark.sql import Window
-
         above = Window.partitionBy("contest_id").orderBy(F.col("step").desc())
         whole = Window.partitionBy("contest_id")
         steps = (

@@ -2,10 +2,12 @@
 
 from scoreloom.plans import (
     bank_queries, compare_queries, plan_queries, rating_queries, report_queries, scan_queries, score_queries,
+    stream_queries,
 )
 
 MODULES = [
     report_queries, scan_queries, score_queries, compare_queries, rating_queries, bank_queries, plan_queries,
+    stream_queries,
 ]
 
 

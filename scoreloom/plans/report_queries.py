@@ -1,8 +1,15 @@
 """Registered report queries with their SQL."""
 
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from scoreloom.functions.numbers import report_round
 from scoreloom.operators import joins, reports
 from scoreloom.plans.mart_sql import rounded, with_marts
 from scoreloom.plans.marts import Marts
+from scoreloom.session import new_folder
+from scoreloom.sources import files
 
 DEFAULT_HP = '{"temperature": 0.03, "top_p": 0.05}'
 STAR_MARTS = "runs judge_scores models questions subtopics topics"
@@ -93,9 +100,6 @@ SELECT run_id, question_id, model_id, prompt_strategy, {rounded(MCS, 6)} AS mcs,
   {rounded('baseline_mcs', 6)} AS baseline_mcs, {rounded(f'{MCS} - baseline_mcs', 6)} AS lift
 FROM scored JOIN base USING (question_id, model_id) WHERE prompt_strategy <> 'zero-shot'"""))
 def _(m):
-    from scoreloom.functions.numbers import report_round
-    from pyspark.sql import functions as F
-
     rows = joins.with_baseline(scored(m), DEFAULT_HP)
     return rows.select(
         "run_id", "question_id", "model_id", "prompt_strategy",
@@ -112,28 +116,22 @@ FROM runs LEFT JOIN judge_scores USING (run_id) JOIN models USING (model_id) JOI
 WHERE {DONE}""")
 
 
+def exported(m, fmt):
+    """Write the export and read it back."""
+    rows = joins.export_rows(m.runs(), m.judge_scores(), m.models(), m.questions())
+    path = new_folder(m.spark, f"export-{fmt}")
+    (files.write_runs_json if fmt == "json" else files.write_runs_csv)(rows, path)
+    return files.read_exported_runs(m.spark, path, fmt)
+
+
 @query("export_runs_json", EXPORT_SQL)
 def _(m):
-    return joins.export_rows(m.runs(), m.judge_scores(), m.models(), m.questions())
+    return exported(m, "json")
 
 
-@query("export_runs_csv", f"""SELECT * REPLACE (
-  coalesce(mcs::VARCHAR, '') AS mcs, coalesce(db_correctness::VARCHAR, '') AS db_correctness,
-  coalesce(llm_quality::VARCHAR, '') AS llm_quality, coalesce(hallucination_rate::VARCHAR, '') AS hallucination_rate,
-  coalesce(judge_score_0_10::VARCHAR, '') AS judge_score_0_10) FROM (
-SELECT * REPLACE (round(mcs, 3) AS mcs, {rounded('total_latency_ms', 3)} AS total_latency_ms,
-  {rounded('cost_usd', 6)} AS cost_usd, round(llm_quality, 3) AS llm_quality) FROM ({EXPORT_SQL}))""")
+@query("export_runs_csv", EXPORT_SQL)
 def _(m):
-    from pyspark.sql import functions as F
-    from scoreloom.functions.numbers import report_round
-
-    rows = joins.export_rows(m.runs(), m.judge_scores(), m.models(), m.questions())
-    scores = ["mcs", "db_correctness", "llm_quality", "hallucination_rate", "judge_score_0_10"]
-    return (
-        rows.withColumns({"mcs": F.round("mcs", 3), "llm_quality": F.round("llm_quality", 3),
-                          "total_latency_ms": report_round(F.col("total_latency_ms"), 3),
-                          "cost_usd": report_round(F.col("cost_usd"), 6)})
-        .withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scores}))
+    return exported(m, "csv")
 
 
 def hyperparam_sql(param):
@@ -293,9 +291,6 @@ TELEMETRY = """telemetry AS (SELECT *, input_tokens / 1000 * cost_per_1k_input +
 SELECT run_id, provider, {rounded('cost_usd', 6)} AS cost_usd, {rounded('tokens_per_second', 4)} AS tokens_per_second,
   {rounded('ttft_ms', 4)} AS ttft_ms FROM telemetry"""))
 def _(m):
-    from pyspark.sql import functions as F
-    from scoreloom.functions.numbers import report_round
-
     return joins.telemetry(m.runs(), m.models()).select(
         "run_id", "provider", report_round(F.col("cost_usd"), 6).alias("cost_usd"),
         report_round(F.col("tokens_per_second"), 4).alias("tokens_per_second"),
@@ -335,3 +330,29 @@ UNION ALL SELECT 'phase1', 'contest', count(*) FILTER (n >= 2), count(*) FROM (S
   count(DISTINCT model_id) FILTER ({DONE}) AS n FROM runs WHERE prompt_strategy = 'zero-shot' GROUP BY question_id)"""))
 def _(m):
     return reports.audit_counts(m.runs(), m.judge_scores(), DEFAULT_HP)
+
+
+BUNDLE_SQL = with_marts(BOARD_MARTS + " topics", BOARD + f""",
+summary AS (SELECT model_id FROM {STAR} WHERE {DONE} GROUP BY model_id, display_name, subtopic, prompt_strategy),
+per_model AS (SELECT DISTINCT model_id, prompt_strategy FROM runs JOIN judge_scores USING (run_id) WHERE {DONE})
+SELECT 'leaderboard' AS report, count(*) AS rows FROM board UNION ALL SELECT 'results_summary', count(*) FROM summary
+UNION ALL SELECT 'prompts_compare', count(*) FROM per_model UNION ALL SELECT 'full_export', count(*) FROM runs WHERE {DONE}
+UNION ALL SELECT 'audit', 7""")
+
+
+@query("report_bundle", BUNDLE_SQL)
+def _(m):
+    """The report files of a finished benchmark, written and counted again."""
+    scores, runs = m.judge_scores(), m.runs()
+    paths = files.write_report_bundle({
+        "leaderboard": reports.leaderboard(board(m), m.models()),
+        "results_summary": reports.results_summary(star(m)),
+        "prompts_compare": reports.prompts_compare(scored(m)),
+        "full_export": joins.export_rows(runs, scores, m.models(), m.questions()),
+        "audit": reports.audit_counts(runs, scores, DEFAULT_HP),
+    }, new_folder(m.spark, "reports"))
+    counts = [
+        m.spark.read.text(path).agg(F.count("*").alias("rows")).select(F.lit(name).alias("report"), "rows")
+        for name, path in paths.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counts)

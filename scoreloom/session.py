@@ -1,6 +1,7 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults and the shared folder for checkpoints and intermediate tables."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def local_session(cores: str = "*", app: str = "scoreloom", partitions: int = 8)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -24,7 +26,7 @@ def local_session(cores: str = "*", app: str = "scoreloom", partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder.
+    """The folder the session names for checkpoints.
 
     A local session without one gets a fresh temporary folder; a cluster must
     name a folder that every executor sees.
@@ -34,12 +36,19 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="scoreloom-checkpoint-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scoreloom-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and cut the lineage there."""
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
