@@ -4,19 +4,71 @@ Regular expressions carry ``(?U)`` so that letters outside ASCII count as word
 characters, and ``(?d)`` where a line ends at a newline only.
 """
 
-from pyspark.sql import Column
+import re
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed_values as fv
 
-FENCE_CLOSE = "```"
 SQL_BLOCK = r"(?s)```(?:sql|SQL)\s*\n.*?```"
 ANY_BLOCK = r"(?s)```(?:sql|SQL)?\s*\n(.*?)```"
 
 
-def found(text: Column, pattern: str) -> Column:
+class Searchable(NamedTuple):
+    """A text column and its case-folded copy.
+
+    A plain substring test on the folded copy rules most texts out before a
+    regular expression runs on the text itself.
+    """
+
+    raw: Column
+    folded: Column
+
+
+def searchable(df: DataFrame, column: str) -> tuple[DataFrame, Searchable]:
+    """Add the folded copy of a text column, computed once for all checks on it.
+
+    Upper before lower also folds letters such as the long s that match their
+    plain form in a case-insensitive search.
+    """
+    name = f"{column}__folded"
+    return df.withColumn(name, F.lower(F.upper(column))), Searchable(F.col(column), F.col(name))
+
+
+def required_words(pattern: str) -> list[str]:
+    """Per alternative of a pattern, its longest stretch that must occur literally."""
+    words = []
+    for branch in _top_level(pattern):
+        literal = re.sub(r"\\[bsdSWw][*+]?|\(\?:[^()]*\)\??|\([^()]*\)\??|\[[^\]]*\][?*+]?|.[?*]", "\0", branch)
+        literal = literal.replace("\\", "").replace("^", "\0").replace("$", "\0").replace("+", "\0")
+        words.append(max(literal.split("\0"), key=len).lower())
+    return words
+
+
+def _top_level(pattern: str) -> list[str]:
+    """Alternatives of a pattern that is an alternation as a whole."""
+    whole = re.fullmatch(r"\\b\(([^()]*)\)\\b", pattern)
+    if whole:
+        return whole.group(1).split("|")
+    return [pattern] if "(" in pattern.replace("\\(", "") else pattern.split("|")
+
+
+def found(text: Searchable, pattern: str) -> Column:
     """Case-insensitive search anywhere in the text."""
-    return F.coalesce(text.rlike("(?iU)" + pattern), F.lit(False))
+    words = [w for w in required_words(pattern)]
+    match = F.coalesce(text.raw.rlike("(?iU)" + pattern), F.lit(False))
+    if not all(words):
+        return match
+    return contains_any(text.folded, words) & match
+
+
+def contains_any(text: Column, words: list[str]) -> Column:
+    expr = F.lit(False)
+    for word in words:
+        expr = expr | F.coalesce(F.contains(text, F.lit(word)), F.lit(False))
+    return expr
 
 
 def is_blank(text: Column) -> Column:
@@ -49,8 +101,9 @@ def jaccard(left: Column, right: Column) -> Column:
 # --- format checks -----------------------------------------------------------
 
 
-def sql_block_score(answer: Column) -> Column:
+def sql_block_score(text: Searchable) -> Column:
     """1 for a fenced SQL block less .15 per prose line in it (at least .5), .3 for bare SQL."""
+    answer = text.raw
     block = F.regexp_extract(answer, SQL_BLOCK, 0)
     lines = F.split(block, "\n")
     inner = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0)))
@@ -59,8 +112,8 @@ def sql_block_score(answer: Column) -> Column:
     fenced = F.greatest(F.lit(0.5), 1.0 - F.least(F.size(prose) * 0.15, F.lit(0.5)))
     return (
         F.when(F.coalesce(answer, F.lit("")) == "", F.lit(0.0))
-        .when(block != "", fenced)
-        .when(found(answer, fv.UNFENCED_SQL), F.lit(0.3))
+        .when(F.contains(answer, F.lit("```")) & (block != ""), fenced)
+        .when(found(text, fv.UNFENCED_SQL), F.lit(0.3))
         .otherwise(F.lit(0.0))
     )
 
@@ -78,7 +131,7 @@ def numbered_score(answer: Column) -> Column:
     return F.when(steps >= 3, F.lit(1.0)).when(steps >= 1, F.lit(0.5)).otherwise(F.lit(0.0))
 
 
-def schema_score(answer: Column) -> Column:
+def schema_score(answer: Searchable) -> Column:
     """.7 for a table definition, .2 more for a foreign key, .1 more for an alteration or index."""
     extra = found(answer, r"\bALTER\s+TABLE\b") | found(answer, r"\bCREATE\s+INDEX\b")
     ddl = (
@@ -121,19 +174,24 @@ def strip_fences(text: Column) -> Column:
 # --- idioms and factual findings ----------------------------------------------
 
 
-def idiom_score(sql: Column) -> Column:
+def idiom_score(text: Searchable) -> Column:
     """.15 per idiom up to 1, .1 off per anti-pattern, at least .5 for plain SQL."""
-    text = F.coalesce(sql, F.lit(""))
-    hits = [found(text, p) for p in fv.IDIOM_PATTERNS]
-    features = hits[0].cast("int")
-    for hit in hits[1:]:
-        features = features + hit.cast("int")
+    hits = F.array(*[found(text, p).cast("int") for p in fv.IDIOM_PATTERNS])
+    features = F.aggregate(hits, F.lit(0), lambda total, hit: total + hit)
     cast_call = found(text, fv.CAST_CALL) & ~found(text, fv.CAST_IDIOM)
     nested = found(text, fv.NESTED_SELECT) & ~found(text, fv.LATERAL_IDIOM)
-    penalty = (cast_call.cast("int") + nested.cast("int")) * 0.10
-    base = F.greatest(F.lit(0.0), F.least(features * 0.15, F.lit(1.0)) - penalty)
-    plain = (features == 0) & found(text, fv.SQL_LIKE)
-    return F.round(F.when(plain, F.greatest(base, F.lit(0.5))).otherwise(base), 4)
+    parts = F.struct(
+        features.alias("features"),
+        ((cast_call.cast("int") + nested.cast("int")) * 0.10).alias("penalty"),
+    )
+
+    def score(p):
+        base = F.greatest(F.lit(0.0), F.least(p["features"] * 0.15, F.lit(1.0)) - p["penalty"])
+        plain = (p["features"] == 0) & found(text, fv.SQL_LIKE)
+        return F.round(F.when(plain, F.greatest(base, F.lit(0.5))).otherwise(base), 4)
+
+    # a one-element array binds the parts, so that each pattern is tried once
+    return F.get(F.transform(F.array(parts), score), F.lit(0))
 
 
 def unknown_functions(answer: Column) -> Column:
@@ -141,9 +199,13 @@ def unknown_functions(answer: Column) -> Column:
     called = F.array_distinct(
         F.regexp_extract_all(answer, F.lit(r"(?iU)\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))
     )
+    none = F.array().cast("array<string>")
     ignored = fv.SQL_KEYWORDS_BEFORE_PAREN + fv.KNOWN_SQL_FUNCTIONS
     suspicious = "(?iU)" + "|".join(fv.SUSPICIOUS_FUNCTION_NAMES)
-    return F.filter(called, lambda n: n.rlike(suspicious) & ~F.lower(n).isin(ignored))
+    flagged = F.filter(called, lambda n: n.rlike(suspicious) & ~F.lower(n).isin(ignored))
+    # a flagged name holds an underscore and is followed by a parenthesis
+    possible = F.contains(answer, F.lit("(")) & F.contains(answer, F.lit("_"))
+    return F.when(possible, flagged).otherwise(none)
 
 
 def finding(kind, text, severity, source) -> Column:
@@ -173,7 +235,7 @@ def unknown_function_findings(answer: Column) -> Column:
     )
 
 
-def invented_constraint_findings(answer: Column) -> Column:
+def invented_constraint_findings(answer: Searchable) -> Column:
     hits = [
         F.when(found(answer, p), finding(
             "invented_constraint_type",
@@ -186,25 +248,26 @@ def invented_constraint_findings(answer: Column) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def wrong_fact_findings(answer: Column) -> Column:
-    lowered = F.lower(answer)
+def wrong_fact_findings(answer: Searchable) -> Column:
+    lowered = F.lower(answer.raw)
     hits = [
-        F.when(F.coalesce(lowered.rlike("(?U)" + p), F.lit(False)), finding(
-            "wrong_fact", F.lit(text), severity, "ground_truth_comparison",
-        ))
+        F.when(
+            contains_any(answer.folded, required_words(p)) & F.coalesce(lowered.rlike("(?U)" + p), F.lit(False)),
+            finding("wrong_fact", F.lit(text), severity, "ground_truth_comparison"),
+        )
         for p, text, severity in fv.WRONG_FACTS
     ]
     return F.array_compact(F.array(*hits))
 
 
-def automated_findings(answer: Column) -> Column:
+def automated_findings(answer: Searchable) -> Column:
     """All findings of the three scans; none for a blank answer."""
     scans = F.concat(
-        unknown_function_findings(answer),
+        unknown_function_findings(answer.raw),
         invented_constraint_findings(answer),
         wrong_fact_findings(answer),
     )
-    return F.when(is_blank(answer), no_findings()).otherwise(scans)
+    return F.when(is_blank(answer.raw), no_findings()).otherwise(scans)
 
 
 # --- SQL candidates ------------------------------------------------------------
@@ -223,16 +286,23 @@ def is_query(statement: Column) -> Column:
     return statement.rlike(r"(?iU)^\s*(?:" + "|".join(fv.QUERY_STARTS) + r")\b")
 
 
-def sql_candidates(answer: Column) -> Column:
+def sql_candidates(text: Searchable) -> Column:
     """First query of every fenced block, else the first query found in the text."""
-    blocks = F.regexp_extract_all(answer, F.lit(ANY_BLOCK), F.lit(1))
-    fenced = F.filter(F.transform(blocks, first_statement), is_query)
+    answer, none = text.raw, F.array().cast("array<string>")
+    fences = F.contains(answer, F.lit("```"))
+    blocks = F.when(fences, F.regexp_extract_all(answer, F.lit(ANY_BLOCK), F.lit(1))).otherwise(none)
     keywords = "(?:" + "|".join(fv.STATEMENT_STARTS) + ")"
     loose = F.regexp_extract(answer, rf"(?isU)({keywords}\b.*?)(?:\n\n|\z)", 1)
-    single = first_statement(
-        F.when(F.size(blocks) > 0, F.get(blocks, F.lit(0)))
-        .when(loose != "", loose)
-        .when(answer.rlike(r"(?iU)" + keywords), answer)
-    )
-    fallback = F.when(is_query(single), F.array(single)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(fenced) > 0, fenced).otherwise(fallback)
+
+    def choose(blocks):
+        fenced = F.filter(F.transform(blocks, first_statement), is_query)
+        single = first_statement(
+            F.when(F.size(blocks) > 0, F.get(blocks, F.lit(0)))
+            .when(loose != "", loose)
+            .when(answer.rlike(r"(?iU)" + keywords), answer)
+        )
+        fallback = F.filter(F.array(single), is_query)
+        return F.when(F.size(fenced) > 0, fenced).otherwise(fallback)
+
+    found_any = F.get(F.transform(F.array(blocks), choose), F.lit(0))
+    return F.when(contains_any(text.folded, [k.lower() for k in fv.STATEMENT_STARTS]), found_any).otherwise(none)

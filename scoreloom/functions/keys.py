@@ -1,5 +1,7 @@
 """Stable identifiers and configuration keys."""
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,27 +32,43 @@ def uuid_to_id(uuid: Column) -> Column:
     return F.substring(F.replace(uuid, F.lit("-"), F.lit("")), 1, 12)
 
 
-def hyperparam_map(**json_text: Column) -> Column:
-    """Map of parameter name to JSON text."""
-    return F.create_map(*[x for k, v in json_text.items() for x in (F.lit(k), v.cast("string"))])
-
+TEXT_PARAMS = ["system_prompt_style"]
 
-def default_hyperparams() -> Column:
-    return hyperparam_map(**{k: F.lit(v) for k, v in DEFAULT_HYPERPARAMS.items()})
 
+def stored_overrides(params: Column) -> dict[str, Column]:
+    """JSON text of every known parameter in a stored configuration, null where it is missing."""
+    fields = F.from_json(params, ", ".join(f"{name} string" for name in DEFAULT_HYPERPARAMS))
+    return {
+        name: F.concat(F.lit('"'), fields[name], F.lit('"')) if name in TEXT_PARAMS else fields[name]
+        for name in DEFAULT_HYPERPARAMS
+    }
 
-def merged_hyperparams(overrides: Column) -> Column:
-    """Defaults with the given overrides on top."""
-    return F.map_zip_with(default_hyperparams(), overrides, lambda _, base, new: F.coalesce(new, base))
 
+def canonical_json(overrides: dict[str, Column]) -> Column:
+    """Key-sorted JSON text of the defaults with overrides on top, ', ' and ': ' between its parts.
 
-def canonical_json(params: Column) -> Column:
-    """Key-sorted JSON text with ', ' and ': ' between its parts."""
-    entries = F.array_sort(F.map_entries(params))
-    pairs = F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"]))
-    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+    Overrides are columns of JSON text; a null leaves the default. The keys are
+    fixed, so the text is one concatenation.
+    """
+    pieces = []
+    for name in sorted(DEFAULT_HYPERPARAMS):
+        default = F.lit(DEFAULT_HYPERPARAMS[name])
+        value = F.coalesce(overrides[name], default) if name in overrides else default
+        pieces += [F.lit((", " if pieces else "{") + f'"{name}": '), value]
+    return F.concat(*pieces, F.lit("}"))
 
 
-def hyperparam_hash(overrides: Column) -> Column:
+def hyperparam_hash(overrides: dict[str, Column]) -> Column:
     """First 16 hex digits of the sha256 of the full configuration."""
-    return F.substring(F.sha2(canonical_json(merged_hyperparams(overrides)), 256), 1, 16)
+    return F.substring(F.sha2(canonical_json(overrides), 256), 1, 16)
+
+
+def config_text(overrides: dict[str, str]) -> str:
+    """The canonical text of one configuration of a request."""
+    merged = {**DEFAULT_HYPERPARAMS, **overrides}
+    return "{" + ", ".join(f'"{name}": {merged[name]}' for name in sorted(merged)) + "}"
+
+
+def config_digest(overrides: dict[str, str]) -> str:
+    """The hash of one configuration of a request."""
+    return hashlib.sha256(config_text(overrides).encode()).hexdigest()[:16]

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed_values as fv
-from scoreloom.functions.answer_text import strip
+from scoreloom.functions.answer_text import Searchable, contains_any, required_words, strip
 
 
 def replace_first(text: Column, pattern: str, replacement: str) -> Column:
@@ -14,19 +14,23 @@ def replace_first(text: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(text, r"(?isdU)\A(.*?)" + pattern, "$1" + replacement)
 
 
-def rephrase(question: Column) -> Column:
+def rephrase(text: Searchable) -> Column:
+    question = text.raw
     changed = reduce(
         lambda q, rule: F.regexp_replace(q, "(?idU)" + rule[0], rule[1]), fv.REPHRASE_RULES, question
     )
     return F.when(changed != question, changed).otherwise(F.concat(question, F.lit(fv.REPHRASE_SUFFIX)))
 
 
-def rename_variables(question: Column) -> Column:
-    return reduce(lambda q, rule: F.regexp_replace(q, "(?iU)" + rule[0], rule[1]), fv.SYNONYMS, question)
+def rename_variables(text: Searchable) -> Column:
+    words = [w for pattern, _ in fv.SYNONYMS for w in required_words(pattern)]
+    renamed = reduce(lambda q, rule: F.regexp_replace(q, "(?iU)" + rule[0], rule[1]), fv.SYNONYMS, text.raw)
+    return F.when(contains_any(text.folded, words), renamed).otherwise(text.raw)
 
 
-def invert_order(question: Column) -> Column:
+def invert_order(text: Searchable) -> Column:
     """Reverse a numbered list, else the items of the first parenthesised list."""
+    question = text.raw
     items = F.split(question, r"(?U)\n\s*\d+\.\s+", -1)
     parts = F.reverse(F.slice(items, F.lit(2), F.size(items)))
     numbered = F.transform(
@@ -42,19 +46,19 @@ def invert_order(question: Column) -> Column:
     )
 
 
-def inject_typo(question: Column) -> Column:
+def inject_typo(text: Searchable) -> Column:
     """Misspell the first listed term that occurs, once."""
-    lowered = F.lower(question)
-    expr = None
+    question, expr = text.raw, None
     for right, wrong in fv.TYPOS:
-        hit = F.contains(lowered, F.lit(right))
+        hit = F.contains(text.folded, F.lit(right))
         changed = replace_first(question, right, wrong)
         expr = F.when(hit, changed) if expr is None else expr.when(hit, changed)
     return expr.otherwise(question)
 
 
-def negate(question: Column) -> Column:
+def negate(text: Searchable) -> Column:
     """Negate the first verb that is not negated yet, else add a closing note."""
+    question = text.raw
     changed = replace_first(question, r"\b(is|are|does|do)\b(?!\s+not)", "$2 NOT")
     stripped = strip(question)
     noted = F.when(

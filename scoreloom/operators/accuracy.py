@@ -20,16 +20,21 @@ def _rounded(value: Column) -> Column:
     return F.coalesce(F.round(value.try_cast("double"), 4).cast("string"), value, F.lit(MISSING))
 
 
+def _digest(values: Column) -> Column:
+    """128 bits from two differently seeded hashes: fixed width, and no text to build."""
+    return F.struct(F.xxhash64(values).alias("a"), F.xxhash64(F.lit(1), values).alias("b"))
+
+
 def row_key(row: Column) -> Column:
     """Digest of a row as a set of (column, value) pairs, whatever their order."""
     pairs = F.transform(F.map_entries(row), lambda e: F.struct(e["key"].alias("k"), _plain(e["value"]).alias("v")))
-    return F.unhex(F.md5(F.to_json(F.array_sort(pairs))))
+    return _digest(F.sort_array(pairs))
 
 
 def value_key(row: Column) -> Column:
     """Digest of a row as a set of values without names, numbers rounded to four places."""
     values = F.transform(F.map_values(row), _rounded)
-    return F.unhex(F.md5(F.to_json(F.array_sort(F.array_distinct(values)))))
+    return _digest(F.sort_array(F.array_distinct(values)))
 
 
 def _sides(returned: DataFrame, expected: DataFrame) -> DataFrame:
@@ -39,7 +44,7 @@ def _sides(returned: DataFrame, expected: DataFrame) -> DataFrame:
             F.struct(F.lit("values").alias("kind"), value_key(F.col("row")).alias("key")),
         )
         return df.select("case_id", F.explode(keys).alias("k")).select(
-            "case_id", "k.kind", "k.key",
+            "case_id", "k.kind", "k.key.a", "k.key.b",
             F.lit(is_returned).alias("returned"), F.lit(not is_returned).alias("expected"),
         )
 
@@ -52,7 +57,7 @@ def set_counts(returned: DataFrame, expected: DataFrame) -> DataFrame:
     One pass: the narrow (case, digest) rows are deduplicated by a grouped
     aggregate and counted by another; the two sides are never joined.
     """
-    rows = _sides(returned, expected).groupBy("case_id", "kind", "key").agg(
+    rows = _sides(returned, expected).groupBy("case_id", "kind", "a", "b").agg(
         F.max("returned").alias("returned"), F.max("expected").alias("expected")
     )
 
@@ -103,9 +108,9 @@ def pick_candidate(cases: DataFrame, candidates: DataFrame, expected: DataFrame)
     """
     # every expected row of a case has the same columns, so any row will do
     wanted = expected.groupBy("case_id").agg(
-        F.min(F.array_sort(F.map_keys("row"))).alias("wanted")
+        F.min(F.sort_array(F.map_keys("row"))).alias("wanted")
     )
-    preference = F.struct((F.array_sort("columns") != F.col("wanted")).alias("other"), "candidate_idx")
+    preference = F.struct((F.sort_array("columns") != F.col("wanted")).alias("other"), "candidate_idx")
     picks = candidates.join(wanted, "case_id").groupBy("case_id").agg(
         F.min_by("candidate_idx", F.when(F.col("ok"), preference)).alias("chosen_idx"),
     )

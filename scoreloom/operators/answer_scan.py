@@ -4,6 +4,8 @@ Every scan is a projection of the answers; nothing is shuffled before the
 per-row figures (a few bytes per answer) are grouped.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from scoreloom.functions.strict_json import json_valid_score, reply_object
 
 
 def format_compliance(
-    question_type: Column, tag_list: Column, answer: Column,
+    question_type: Column, tag_list: Column, answer: at.Searchable,
     instruction: Column | None = None, formats: list[str] = (),
 ) -> Column:
     """Weighted format score; a check that does not apply counts as passed."""
@@ -28,30 +30,27 @@ def format_compliance(
     one = F.lit(1.0)
     w = fv.FORMAT_WEIGHTS
     total = (
-        w["json"] * (json_valid_score(answer) if "json" in formats else one)
+        w["json"] * (json_valid_score(answer.raw) if "json" in formats else one)
         + w["sql_block"] * F.when(sql, at.sql_block_score(answer)).otherwise(one)
-        + w["numbered"] * F.when(steps, at.numbered_score(answer)).otherwise(one)
+        + w["numbered"] * F.when(steps, at.numbered_score(answer.raw)).otherwise(one)
         + w["schema"] * F.when(ddl, at.schema_score(answer)).otherwise(one)
-        + w["length"] * (one if instruction is None else at.length_score(answer, instruction))
+        + w["length"] * (one if instruction is None else at.length_score(answer.raw, instruction))
     )
     return report_round(total, 4)
 
 
 def compliance_by_strategy(answers: DataFrame) -> DataFrame:
-    score = format_compliance(
-        F.col("question_type"), F.col("tags"), F.col("answer"), F.col("length_instruction")
-    )
+    answers, text = at.searchable(answers, "answer")
+    score = format_compliance(F.col("question_type"), F.col("tags"), text, F.col("length_instruction"))
     return answers.groupBy("model_id", "prompt_strategy").agg(
         F.count("*").alias("answers"), report_round(F.avg(score), 4).alias("avg_format_compliance")
     )
 
 
-def findings(answers: DataFrame, found: Column | None = None) -> DataFrame:
+def findings(answers: DataFrame, scan: Callable[[at.Searchable], Column] = at.automated_findings) -> DataFrame:
     """One row per automated finding."""
-    found = at.automated_findings(F.col("answer")) if found is None else found
-    return answers.select(
-        "answer_id", "model_id", F.inline(F.when(~at.is_blank(F.col("answer")), found))
-    )
+    answers, text = at.searchable(answers, "answer")
+    return answers.filter(~at.is_blank(text.raw)).select("answer_id", "model_id", F.inline(scan(text)))
 
 
 def merge_findings(automated: DataFrame, judged: DataFrame) -> DataFrame:
@@ -79,9 +78,8 @@ def severity_by_answer(found: DataFrame) -> DataFrame:
 
 def sql_candidates(answers: DataFrame) -> DataFrame:
     """One row per candidate query of an answer, in text order."""
-    return answers.select(
-        "answer_id", F.posexplode(at.sql_candidates(F.col("answer"))).alias("candidate_idx", "sql")
-    )
+    answers, text = at.searchable(answers, "answer")
+    return answers.select("answer_id", F.posexplode(at.sql_candidates(text)).alias("candidate_idx", "sql"))
 
 
 def rename_identifiers(answers: DataFrame, maps: DataFrame, key: str) -> DataFrame:
@@ -108,10 +106,16 @@ def expected_words(reference: Column) -> Column:
     )
 
 
+def reference_sizes(references: DataFrame) -> DataFrame:
+    """Word count of every expected answer, so that joins carry a number, not the text."""
+    return references.select("question_id", expected_words(F.col("expected_answer")).alias("expected_words"))
+
+
 def verbosity(answers: DataFrame, references: DataFrame) -> DataFrame:
     """Answer length against the expected answer's, with the factor it puts on the F1 term."""
-    ratio = at.word_count(F.col("answer")) / expected_words(F.col("expected_answer"))
-    return answers.join(references, "question_id", "left").select(
+    sizes = answers.select("answer_id", "question_id", at.word_count(F.col("answer")).alias("answer_words"))
+    ratio = F.col("answer_words") / F.coalesce("expected_words", F.lit(fv.DEFAULT_EXPECTED_WORDS))
+    return sizes.join(reference_sizes(references), "question_id", "left").select(
         "answer_id",
         report_round(ratio, 6).alias("verbosity_ratio"),
         pillars.verbosity_factor(ratio).alias("verbosity_factor"),
@@ -164,8 +168,13 @@ def cut(text: Column, limit: int, note: str) -> Column:
 
 
 def truncate_for_judge(answers: DataFrame, references: DataFrame) -> DataFrame:
-    return answers.join(references, "question_id", "left").select(
-        "answer_id",
-        cut(F.col("expected_answer"), REFERENCE_CHAR_LIMIT, REFERENCE_NOTE).alias("judge_reference"),
-        cut(F.col("answer"), ANSWER_CHAR_LIMIT, ANSWER_NOTE).alias("judge_answer"),
+    """What the judge gets to read; texts are cut before the join, which then moves less."""
+    short_answers = answers.select(
+        "answer_id", "question_id", cut(F.col("answer"), ANSWER_CHAR_LIMIT, ANSWER_NOTE).alias("judge_answer")
+    )
+    short_references = references.select("question_id", cut(
+        F.col("expected_answer"), REFERENCE_CHAR_LIMIT, REFERENCE_NOTE
+    ).alias("judge_reference"))
+    return short_answers.join(short_references, "question_id", "left").select(
+        "answer_id", "judge_reference", "judge_answer"
     )

@@ -11,7 +11,7 @@ from scoreloom.functions.perturb import PERTURBATIONS
 
 def perturb_questions(questions: DataFrame) -> DataFrame:
     """Five rows per question, one per kind of perturbation."""
-    text = F.col("question_text")
+    questions, text = at.searchable(questions, "question_text")
     kinds = F.array(*[
         F.struct(F.lit(kind).alias("perturbation_type"), build(text).alias("perturbed_question"))
         for kind, build in PERTURBATIONS.items()

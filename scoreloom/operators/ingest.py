@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from scoreloom.functions import fixed_values as fv
-from scoreloom.functions.answer_text import strip
+from scoreloom.functions.answer_text import contains_any, strip
 from scoreloom.functions.keys import stable_question_id
 from scoreloom.operators.ordering import with_carried, with_row_number
 
@@ -35,16 +35,8 @@ def without_exercise(text: Column) -> Column:
     return strip(F.when(plain != bare, plain).otherwise(F.regexp_replace(bare, EXERCISE_HEADING, "")))
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
-    expr = F.lit(False)
-    for word in words:
-        expr = expr | F.contains(text, F.lit(word))
-    return expr
-
-
-def difficulty(exercise: Column, text: Column) -> Column:
+def difficulty(exercise: Column, lowered: Column) -> Column:
     """Hard word, else medium word, else easy for an odd last exercise number, else medium."""
-    lowered = F.lower(text)
     last = F.regexp_extract(exercise, r"(\d+)\D*$", 1).try_cast("long")
     return (
         F.when(contains_any(lowered, fv.HARD_WORDS), "hard")
@@ -54,9 +46,8 @@ def difficulty(exercise: Column, text: Column) -> Column:
     )
 
 
-def tag_list(text: Column) -> Column:
-    """Sorted tags whose words occur anywhere in the text."""
-    lowered = F.lower(text)
+def tag_list(lowered: Column) -> Column:
+    """Sorted tags whose words occur anywhere in the lower-cased text."""
     hits = [F.when(contains_any(lowered, words), F.lit(tag)) for tag, words in sorted(fv.TAG_WORDS.items())]
     return F.array_compact(F.array(*hits))
 
@@ -71,11 +62,13 @@ def classify_questions(questions: DataFrame) -> DataFrame:
     return (
         questions.withColumn("exercise_number", exercise_number(F.col("question_text")))
         .withColumn("question_text", without_exercise(F.col("question_text")))
+        .withColumn("__lowered", F.lower("question_text"))
         .withColumns({
             "question_type": type_of_subtopic(F.col("subtopic")),
-            "difficulty": difficulty(F.col("exercise_number"), F.col("question_text")),
-            "tags": tag_list(F.col("question_text")),
+            "difficulty": difficulty(F.col("exercise_number"), F.col("__lowered")),
+            "tags": tag_list(F.col("__lowered")),
         })
+        .drop("__lowered")
     )
 
 

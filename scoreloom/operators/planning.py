@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import fixed_values as fv
 from scoreloom.functions import prompt_texts as pt
 from scoreloom.functions import tags as tg
-from scoreloom.functions.keys import canonical_json, default_hyperparams, hyperparam_hash, hyperparam_map
+from scoreloom.functions.keys import config_digest, config_text
 from scoreloom.operators.answer_scan import cut
 from scoreloom.operators.ratings import FOLD_LIMIT
 
@@ -18,23 +18,9 @@ def _literal_rows(rows: list[dict]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows])
 
 
-def sweep_configs(params: list[str]) -> list[dict]:
+def sweep_configs(params: list[str]) -> list[dict[str, str]]:
     """One-axis-at-a-time overrides: every grid value of a parameter but its default."""
-    return [
-        {"param": p, "value": v} for p in params for v in fv.HYPERPARAM_GRID[p] if v != fv.DEFAULT_HYPERPARAMS[p]
-    ]
-
-
-def _with_config(rows: DataFrame) -> DataFrame:
-    """Add the configuration text and hash of (param, value) overrides."""
-    override = F.when(F.col("param").isNull(), F.create_map().cast("map<string,string>")).otherwise(
-        F.create_map("param", "value")
-    )
-    merged = F.map_zip_with(default_hyperparams(), override, lambda _, base, new: F.coalesce(new, base))
-    return rows.select(
-        "phase", "question_id", "model_id", "prompt_strategy",
-        canonical_json(merged).alias("hyperparams"), hyperparam_hash(override).alias("hyperparam_hash"),
-    )
+    return [{p: v} for p in params for v in fv.HYPERPARAM_GRID[p] if v != fv.DEFAULT_HYPERPARAMS[p]]
 
 
 def grid(questions: DataFrame, models: list, strategies: list[str], configs: list[dict], phase: str) -> DataFrame:
@@ -44,16 +30,14 @@ def grid(questions: DataFrame, models: list, strategies: list[str], configs: lis
     product is one generator over the question scan, with no join and no shuffle.
     """
     rows = [
-        {"model_id": m, "prompt_strategy": s, "param": c.get("param"), "value": c.get("value")}
+        {"model_id": m, "prompt_strategy": s, "hyperparams": config_text(c), "hyperparam_hash": config_digest(c)}
         for m in models for s in strategies for c in configs
     ]
     cells = _literal_rows(rows).cast(
         f"array<struct<model_id:{'string' if isinstance(models[0], str) else 'bigint'},"
-        "prompt_strategy:string,param:string,value:string>>"
-    )
-    return _with_config(
-        questions.select("question_id", F.lit(phase).alias("phase"), F.inline(cells))
+        "prompt_strategy:string,hyperparams:string,hyperparam_hash:string>>"
     )
+    return questions.select(F.lit(phase).alias("phase"), "question_id", F.inline(cells))
 
 
 def experiment_grid(questions: DataFrame, sample: DataFrame, models: list, params: list[str]) -> DataFrame:
@@ -144,7 +128,7 @@ def _first_examples(store: DataFrame, keys: list[str], count: int, name: str) ->
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("question_id", "prompt_strategy"))
     return (
         store.withColumn("__rank", rank).filter(F.col("__rank") <= count)
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(example)).alias(name))
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(example)).alias(name))
     )
 
 
@@ -303,7 +287,7 @@ def contest_prompts(labelled: DataFrame, question: Column, reference: Column) ->
     change nothing, and its answers would not fit one text.
     """
     small = labelled.filter(F.col("entrants") <= FOLD_LIMIT).groupBy("contest_id").agg(
-        F.array_sort(F.collect_list(F.struct("label", "answer"))).alias("answers")
+        F.sort_array(F.collect_list(F.struct("label", "answer"))).alias("answers")
     )
     prompts = small.select(
         "contest_id", contest_prompt(question, reference, F.col("answers")).alias("contest_prompt")

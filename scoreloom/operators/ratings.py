@@ -108,7 +108,7 @@ def elo_round(entries: DataFrame) -> DataFrame:
     entry = F.struct("placement", "model_id", "rating")
     small = (
         entries.filter(F.col("entrants") <= FOLD_LIMIT)
-        .groupBy("contest_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        .groupBy("contest_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     )
     played = F.transform("entries", lambda me, i: F.struct(
         me["model_id"].alias("model_id"), me["placement"].alias("placement"),
@@ -145,14 +145,18 @@ def _replay_segment(key, log: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFram
     """Replay one stretch of a league's log from the given ratings."""
     ratings = dict(zip(starts["model_id"], starts["rating"].astype(int)))
     log = log.sort_values(["contest_ts", "contest_id", "placement", "model_id"], ignore_index=True)
-    olds, news = [], []
-    for _, contest in log.groupby(["contest_ts", "contest_id"], sort=True):
-        entries = list(zip(contest["placement"], contest["model_id"]))
-        before = [ratings[m] for _, m in entries]
-        after = _play(entries, ratings) if len(entries) > 1 else before
-        ratings.update(zip((m for _, m in entries), after))
+    contests, entries = log["contest_id"].tolist(), list(zip(log["placement"].tolist(), log["model_id"].tolist()))
+    olds, news, start = [], [], 0
+    for end in range(1, len(entries) + 1):
+        if end < len(entries) and contests[end] == contests[start]:
+            continue
+        contest = entries[start:end]
+        before = [ratings[model] for _, model in contest]
+        after = _play(contest, ratings) if len(contest) > 1 else before
+        ratings.update(zip((model for _, model in contest), after))
         olds += before
         news += after
+        start = end
     return log.assign(old_rating=olds, new_rating=news)
 
 
@@ -262,7 +266,11 @@ def unmoved(log: DataFrame, history: DataFrame, initial: DataFrame | None = None
 
 
 def elo_history(log: DataFrame, initial: DataFrame | None = None, segment_size: int = 50_000) -> DataFrame:
-    """Old and new rating of every entry of a contest log."""
+    """Old and new rating of every entry of a contest log.
+
+    The log is read several times, so its few columns are checkpointed first.
+    """
+    log = checkpointed(log.select(*LOG_COLUMNS, "entrants"))
     history = elo_replay(log, initial, segment_size)
     if log.filter(F.col("entrants") > FOLD_LIMIT).limit(1).isEmpty():
         return history

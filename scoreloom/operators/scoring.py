@@ -61,19 +61,23 @@ def judged(answers: DataFrame, replies: DataFrame, references: DataFrame, harnes
     result-set F1, null F1 where the answer holds no SQL).
     """
     c = F.col
+    answers, text = at.searchable(answers, "answer")
+    # everything that needs the text is computed before the first join, which
+    # then moves a few numbers per answer instead of the text
+    scanned = answers.withColumns({
+        "auto_findings": at.automated_findings(text),
+        "format_compliance_score": answer_scan.format_compliance(c("question_type"), c("tags"), text),
+        "idiomatic_postgresql": at.idiom_score(text),
+        "answer_words": at.word_count(text.raw),
+    }).drop("answer", "answer__folded")
     rows = (
-        answers.join(references, "question_id", "left")
+        scanned.join(answer_scan.reference_sizes(references), "question_id", "left")
         .join(answer_scan.parse_judge_replies(replies), "answer_id", "left")
         .join(harness, "answer_id", "left")
         .withColumns({
-            "auto_findings": at.automated_findings(c("answer")),
-            "format_compliance_score": answer_scan.format_compliance(c("question_type"), c("tags"), c("answer")),
-            "idiomatic_postgresql": at.idiom_score(c("answer")),
-            "answer_words": at.word_count(c("answer")),
-            "expected_words": answer_scan.expected_words(c("expected_answer")),
+            "expected_words": F.coalesce("expected_words", F.lit(fv.DEFAULT_EXPECTED_WORDS)),
             "judge_failed": c("judge_score_0_10").isNull(),
         })
-        .drop("answer", "expected_answer")
     )
     score = F.coalesce(c("judge_score_0_10"), pillars.fallback_judge_score(_severity(c("auto_findings"))))
     rows = rows.withColumn("judge_score_0_10", score)

@@ -84,7 +84,7 @@ NORMAL_TEXT = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 WHERE NOT regexp_matches(source, 'src1$') GROUP BY {NORMAL_TEXT}""")
 def _(m):
     source = F.when(F.col("source") == "src1", "er_diagram").otherwise("sql")
-    return ingest.dedupe_questions(m.raw("documents").select(
+    return ingest.dedupe_questions(m.texts().select(
         F.col("doc_id").alias("question_id"), F.col("text").alias("question_text"), F.array(source).alias("tags")))
 
 
@@ -106,8 +106,7 @@ HASH_SQL = """substr(sha256('{"frequency_penalty": 0.0, "max_tokens": 1024, "pre
 
 
 def hashed_runs(m):
-    params = keys.hyperparam_map(temperature=reports.param_text("temperature"), top_p=reports.param_text("top_p"))
-    return m.runs().withColumn("hyperparam_hash", keys.hyperparam_hash(params))
+    return m.runs().withColumn("hyperparam_hash", keys.hyperparam_hash(keys.stored_overrides(F.col("hyperparams"))))
 
 
 @query("hyperparam_hash", with_marts("runs", f"SELECT run_id, {HASH_SQL} AS hyperparam_hash FROM runs"))
@@ -189,7 +188,7 @@ QUALIFY row_number() OVER (PARTITION BY question_id, model_id, prompt_strategy O
 
 def keyed_runs(m):
     # one configuration only, so that some keys repeat
-    return m.runs().withColumn("hyperparam_hash", keys.hyperparam_hash(F.create_map().cast("map<string,string>")))
+    return m.runs().withColumn("hyperparam_hash", keys.hyperparam_hash({}))
 
 
 @query("dedupe_runs", dedupe_sql("run_timestamp, run_id"))

@@ -127,7 +127,7 @@ KINDS = list(KINDS_SQL)
 def originals(m):
     """Every sixth document is an original, the five after it answer its perturbed versions."""
     doc = F.col("doc_id")
-    rows = m.raw("documents").select(
+    rows = m.texts().select(
         F.floor(doc / 6).cast("long").alias("original_id"), (doc % 6).alias("kind_no"),
         doc.alias("run_id"), F.when(doc % 13 == 5, "").otherwise(F.col("text")).alias("answer"))
     kind = F.get(F.array(*[F.lit(k) for k in KINDS]), (F.col("kind_no") - 1).cast("int"))
@@ -162,7 +162,7 @@ def _(m):
 
 def samples(m):
     doc = F.col("doc_id")
-    return m.raw("documents").select(
+    return m.texts().select(
         F.lit("m").alias("model_id"), F.floor(doc / 5).cast("long").alias("question_id"),
         (doc % 5).cast("int").alias("sample_idx"), doc.alias("run_id"), F.col("text").alias("answer"))
 

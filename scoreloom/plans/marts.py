@@ -36,6 +36,11 @@ class Marts:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """Documents; a table with fewer splits than cores is spread, as text scans are CPU work."""
+        table, cores = self.raw("documents"), self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
     # --- dimensions -----------------------------------------------------------
 
     def topics(self) -> DataFrame:
@@ -187,7 +192,7 @@ class Marts:
             10: F.concat(text, F.lit(DECORATION[10])),
         }, text)
         bucket = F.floor(doc / 9).cast("long")
-        return self.raw("documents").select(
+        return self.texts().select(
             doc.alias("answer_id"),
             bucket.alias("question_id"),
             F.col("lang").alias("model_id"),
@@ -221,7 +226,7 @@ class Marts:
     def harness(self) -> DataFrame:
         """Outcome of the answers' SQL: parse success and F1, null F1 where there is no SQL."""
         doc, size = F.col("doc_id"), F.col("n_chars")
-        return self.raw("documents").select(
+        return self.texts().select(
             doc.alias("answer_id"),
             F.when(size % 3 != 0, (size % 2).cast("double")).alias("syntactic_parse_success"),
             F.when((doc % 12).isin(0, 8, 9, 10), size % 11 / 10.0).alias("result_set_f1"),
@@ -255,7 +260,7 @@ class Marts:
     def perturbable(self) -> DataFrame:
         """Documents as questions that the perturbation rules apply to."""
         doc, text = F.col("doc_id"), F.col("text")
-        return self.raw("documents").select(
+        return self.texts().select(
             doc.alias("question_id"),
             choose(doc % 8, {
                 i: F.concat(F.lit(head), text, F.lit(tail)) for i, (head, tail) in QUESTION_FRAMES.items()
@@ -270,7 +275,7 @@ class Marts:
             1: F.concat(F.lit("## exercise 4."), (doc % 7).cast("string"), F.lit("\n\n"), text),
         }, text)
         subtopics = dict(enumerate([*fv.SUBTOPIC_TYPES, "OTHER"]))
-        return self.raw("documents").select(
+        return self.texts().select(
             doc.alias("question_id"), choose(doc % len(subtopics), subtopics).alias("subtopic"),
             prefixed.alias("question_text"),
         )
@@ -278,7 +283,7 @@ class Marts:
     def example_questions(self) -> DataFrame:
         """Documents as questions of a few-shot store; some have no expected answer."""
         doc = F.col("doc_id")
-        return self.raw("documents").select(
+        return self.texts().select(
             doc.alias("question_id"),
             F.col("source").alias("subtopic_id"),
             choose(F.col("n_chars") % 3, dict(enumerate(fv.DIFFICULTIES))).alias("difficulty"),

@@ -97,7 +97,7 @@ def _(m):
 SELECT question_id, model_id::BIGINT AS model_id, prompt_strategy FROM planned ANTI JOIN runs USING (question_id, model_id, prompt_strategy)"""))
 def _(m):
     planned = planning.grid(m.questions(), [0, 1, 2], fv.STRATEGIES, [{}], "any")
-    runs = m.runs().withColumn("hyperparam_hash", hyperparam_hash(F.create_map().cast("map<string,string>")))
+    runs = m.runs().withColumn("hyperparam_hash", hyperparam_hash({}))
     return planning.pending_runs(planned, runs).select("question_id", "model_id", "prompt_strategy")
 
 

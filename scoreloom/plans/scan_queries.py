@@ -24,9 +24,12 @@ def query(name, sql=None):
 
 def per_answer(name, sql_score, score):
     """Register a score per answer."""
+    def run(spark, folder):
+        answers, text = at.searchable(Marts(spark, folder).answers(), "answer")
+        return answers.select("answer_id", score(text).cast("double").alias("score"))
+
     SQL[name] = with_marts("answers", f"SELECT answer_id, CAST({sql_score} AS DOUBLE) AS score FROM answers")
-    QUERIES[name] = lambda spark, folder: Marts(spark, folder).answers().select(
-        "answer_id", score().cast("double").alias("score"))
+    QUERIES[name] = run
 
 
 def words_sql(column):
@@ -57,11 +60,11 @@ LENGTH = rf"""CASE WHEN answer = '' OR length_instruction IS NULL THEN 1.0
 STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'),
   '(?m)^```(?:json)?\s*', '', 'g'), '(?m)\s*```$', '', 'g'), '^\s+|\s+$', '', 'g')"""
 
-per_answer("format_sql_block", SQL_BLOCK, lambda: at.sql_block_score(F.col("answer")))
-per_answer("format_numbered_steps", NUMBERED, lambda: at.numbered_score(F.col("answer")))
-per_answer("format_schema", SCHEMA, lambda: at.schema_score(F.col("answer")))
-per_answer("format_json_valid", f"json_valid({STRIPPED.format('answer')})::INT", lambda: json_valid_score(F.col("answer")))
-per_answer("format_length", LENGTH, lambda: at.length_score(F.col("answer"), F.col("length_instruction")))
+per_answer("format_sql_block", SQL_BLOCK, at.sql_block_score)
+per_answer("format_numbered_steps", NUMBERED, lambda t: at.numbered_score(t.raw))
+per_answer("format_schema", SCHEMA, at.schema_score)
+per_answer("format_json_valid", f"json_valid({STRIPPED.format('answer')})::INT", lambda t: json_valid_score(t.raw))
+per_answer("format_length", LENGTH, lambda t: at.length_score(t.raw, F.col("length_instruction")))
 
 IS_SQL = "(question_type = 'practical' AND list_contains(tags, 'sql'))"
 IS_STEPS = "(question_type = 'practical' AND list_contains(tags, 'transactions'))"
@@ -117,17 +120,17 @@ ALL_FINDINGS = f"found AS ({UNKNOWN} UNION ALL {INVENTED} UNION ALL {FACTS})"
 
 @query("scan_unknown_functions", with_marts("answers", UNKNOWN))
 def _(m):
-    return answer_scan.findings(m.answers(), at.unknown_function_findings(F.col("answer")))
+    return answer_scan.findings(m.answers(), lambda t: at.unknown_function_findings(t.raw))
 
 
 @query("scan_invented_constraints", with_marts("answers", INVENTED_NAMED))
 def _(m):
-    return answer_scan.findings(m.answers(), at.invented_constraint_findings(F.col("answer")))
+    return answer_scan.findings(m.answers(), at.invented_constraint_findings)
 
 
 @query("scan_wrong_facts", with_marts("answers", FACTS))
 def _(m):
-    return answer_scan.findings(m.answers(), at.wrong_fact_findings(F.col("answer")))
+    return answer_scan.findings(m.answers(), at.wrong_fact_findings)
 
 
 @query("finding_counts", with_marts("answers", f""", {ALL_FINDINGS}
@@ -175,7 +178,7 @@ BASE = rf"""greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.15::DOUBLE * ({FEATURES})
   + (regexp_matches(answer, '(?i)FROM\s*\(\s*SELECT') AND NOT regexp_matches(answer, '(?i)\bLATERAL\b'))::INT))"""
 IDIOM = rf"""CASE WHEN ({FEATURES}) = 0 AND regexp_matches(upper(answer), '\b(SELECT|INSERT|UPDATE|DELETE)\b')
   THEN greatest({BASE}, 0.5::DOUBLE) ELSE {BASE} END"""
-per_answer("idiom_score", rounded(IDIOM, 4), lambda: at.idiom_score(F.col("answer")))
+per_answer("idiom_score", rounded(IDIOM, 4), at.idiom_score)
 
 TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 KEYWORDS = "|".join(fv.STATEMENT_STARTS)
@@ -281,7 +284,8 @@ def _(m):
     from scoreloom.operators.scoring import _severity
 
     unjudged = m.answers().join(m.judge_replies(), "answer_id", "left_anti")
-    score = pillars.fallback_judge_score(_severity(at.automated_findings(F.col("answer"))))
+    unjudged, text = at.searchable(unjudged, "answer")
+    score = pillars.fallback_judge_score(_severity(at.automated_findings(text)))
     rows = unjudged.select("answer_id", score.alias("score"))
     fields = answer_scan.fallback_fields(F.col("score"))
     return rows.select(
