@@ -2,7 +2,7 @@
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.fixed_values import DEFAULT_HYPERPARAMS
@@ -35,13 +35,23 @@ def uuid_to_id(uuid: Column) -> Column:
 TEXT_PARAMS = ["system_prompt_style"]
 
 
-def stored_overrides(params: Column) -> dict[str, Column]:
-    """JSON text of every known parameter in a stored configuration, null where it is missing."""
-    fields = F.from_json(params, ", ".join(f"{name} string" for name in DEFAULT_HYPERPARAMS))
-    return {
-        name: F.concat(F.lit('"'), fields[name], F.lit('"')) if name in TEXT_PARAMS else fields[name]
-        for name in DEFAULT_HYPERPARAMS
-    }
+def with_overrides(df: DataFrame, params: str) -> tuple[DataFrame, dict[str, Column]]:
+    """JSON text of every known parameter in a stored configuration, null where it is missing.
+
+    The text is parsed once per row.
+    """
+    names = list(DEFAULT_HYPERPARAMS)
+    parsed = df.select("*", F.json_tuple(params, *names).alias(*[f"__{n}" for n in names]))
+    values = {n: F.col(f"__{n}") for n in names}
+    for name in TEXT_PARAMS:
+        values[name] = F.concat(F.lit('"'), values[name], F.lit('"'))
+    return parsed, values
+
+
+def with_hyperparam_hash(df: DataFrame, params: str = "hyperparams") -> DataFrame:
+    """Add the hash of the stored configuration with all defaults filled in."""
+    parsed, values = with_overrides(df, params)
+    return parsed.select(*df.columns, hyperparam_hash(values).alias("hyperparam_hash"))
 
 
 def canonical_json(overrides: dict[str, Column]) -> Column:

@@ -211,53 +211,59 @@ def win_rate(entries: DataFrame) -> DataFrame:
     )
 
 
+METRICS = {
+    "mcs": MCS, "db": "db_correctness_score", "llm": "llm_quality_score",
+    "pe": "prompting_effectiveness_score", "eff": "efficiency_score",
+    "hr": "hallucination_rate", "lat": "total_latency_ms",
+}
+
+
 def leaderboard_refresh(scored_topics: DataFrame, entries: DataFrame) -> DataFrame:
     """One leaderboard row per model with at least one score.
 
     The facts are read and shuffled once, into sums per model, subtopic and
-    strategy; everything else is computed from those cells.
+    strategy. Grouping sets roll those cells up to models, subtopics and
+    strategies in one more pass, from which every column is picked.
     """
-    metrics = {
-        "mcs": MCS, "db": "db_correctness_score", "llm": "llm_quality_score",
-        "pe": "prompting_effectiveness_score", "eff": "efficiency_score",
-        "hr": "hallucination_rate", "lat": "total_latency_ms",
-    }
     cells = scored_topics.groupBy("model_id", "subtopic", "prompt_strategy").agg(
-        *[F.sum(c).alias(f"sum_{m}") for m, c in metrics.items()],
-        *[F.count(c).alias(f"n_{m}") for m, c in metrics.items()],
+        *[F.sum(c).alias(f"sum_{m}") for m, c in METRICS.items()],
+        *[F.count(c).alias(f"n_{m}") for m, c in METRICS.items()],
     )
+    levels = cells.groupingSets(
+        [["model_id"], ["model_id", "subtopic"], ["model_id", "prompt_strategy"]],
+        "model_id", "subtopic", "prompt_strategy",
+    ).agg(
+        F.grouping_id().alias("level"),
+        *[(F.sum(f"sum_{m}") / F.sum(f"n_{m}")).alias(m) for m in METRICS],
+    ).withColumn("mean", F.coalesce("mcs", F.lit(0.0)))
+    model, subtopic, strategy = (F.col("level") == n for n in (0b011, 0b001, 0b010))
 
-    def mean(m):
-        return F.sum(f"sum_{m}") / F.sum(f"n_{m}")
+    def overall(m):
+        return F.max(F.when(model, F.col(m)))
 
-    def by(column):
-        means = cells.groupBy("model_id", column).agg(F.coalesce(mean("mcs"), F.lit(0.0)).alias("mean"))
-        return means.groupBy("model_id")
+    def best(level, name, sign):
+        key = F.struct((sign * steady(F.col("mean"))).alias("m"), F.col(name))
+        return F.min_by(name, F.when(level, key))
 
     def or_zero(m, digits):
-        return F.coalesce(report_round(mean(m), digits), F.lit(0.0))
+        return F.coalesce(report_round(overall(m), digits), F.lit(0.0))
 
     def or_neutral(m):
-        return report_round(F.coalesce(F.nullif(mean(m), F.lit(0.0)), F.lit(50.0)), 2)
+        return report_round(F.coalesce(F.nullif(overall(m), F.lit(0.0)), F.lit(50.0)), 2)
 
-    averages = cells.groupBy("model_id").agg(
-        report_round(mean("mcs"), 2).alias("mcs_score"),
+    board = levels.groupBy("model_id").agg(
+        report_round(overall("mcs"), 2).alias("mcs_score"),
         or_zero("db", 2).alias("db_correctness"),
         or_zero("llm", 2).alias("llm_quality"),
         or_neutral("pe").alias("prompting_effectiveness"),
         or_neutral("eff").alias("efficiency_score"),
         or_zero("hr", 4).alias("hallucination_rate"),
         or_zero("lat", 1).alias("avg_latency_ms"),
+        best(subtopic, "subtopic", -1).alias("best_topic"),
+        best(subtopic, "subtopic", 1).alias("worst_topic"),
+        best(strategy, "prompt_strategy", -1).alias("best_prompt_strategy"),
     ).filter(F.col("mcs_score").isNotNull())
-    topics = by("subtopic").agg(
-        _best("subtopic", "mean").alias("best_topic"), _best("subtopic", "mean", -1).alias("worst_topic")
-    )
-    strategies = by("prompt_strategy").agg(_best("prompt_strategy", "mean").alias("best_prompt_strategy"))
-    return (
-        averages.join(topics, "model_id").join(strategies, "model_id")
-        .join(win_rate(entries), "model_id", "left")
-        .fillna(0, ["contest_total", "contest_wins"])
-    )
+    return board.join(win_rate(entries), "model_id", "left").fillna(0, ["contest_total", "contest_wins"])
 
 
 SORT_AXES = ["mcs_score", "elo_rating", "win_rate", "db_correctness", "llm_quality"]

@@ -105,13 +105,9 @@ HASH_SQL = """substr(sha256('{"frequency_penalty": 0.0, "max_tokens": 1024, "pre
   || '"system_prompt_style": "expert-persona", "temperature": ' || temperature || ', "top_k": -1, "top_p": ' || top_p || '}'), 1, 16)"""
 
 
-def hashed_runs(m):
-    return m.runs().withColumn("hyperparam_hash", keys.hyperparam_hash(keys.stored_overrides(F.col("hyperparams"))))
-
-
 @query("hyperparam_hash", with_marts("runs", f"SELECT run_id, {HASH_SQL} AS hyperparam_hash FROM runs"))
 def _(m):
-    return hashed_runs(m).select("run_id", "hyperparam_hash")
+    return keys.with_hyperparam_hash(m.runs()).select("run_id", "hyperparam_hash")
 
 
 @query("json_param_extract", with_marts("runs", """

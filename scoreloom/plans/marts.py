@@ -36,10 +36,22 @@ class Marts:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A driver table over all cores.
+
+        Only a table with fewer splits than cores is spread: the small test files
+        have one split each. A large table is read as it is.
+        """
+        table, cores = self.raw(name), self.spark.sparkContext.defaultParallelism
+        if table.isStreaming or table.rdd.getNumPartitions() >= cores:
+            return table
+        return table.repartition(cores)
+
     def texts(self) -> DataFrame:
-        """Documents; a table with fewer splits than cores is spread, as text scans are CPU work."""
-        table, cores = self.raw("documents"), self.spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+        return self.spread("documents")
+
+    def lines(self) -> DataFrame:
+        return self.spread("lineitem")
 
     # --- dimensions -----------------------------------------------------------
 
@@ -299,7 +311,7 @@ class Marts:
         """Rows returned by up to three candidate queries per order, some with renamed columns."""
         order, name = F.col("l_orderkey"), F.col("value_name")
         index = choose(F.col("l_returnflag"), {"A": 0, "N": 1}, F.lit(2))
-        return self.raw("lineitem").select(
+        return self.lines().select(
             order.alias("case_id"), index.alias("candidate_idx"),
             F.when((order + index) % 3 == 0, "qty").otherwise("amount").alias("value_name"),
             F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").alias("quantity"),
@@ -317,7 +329,7 @@ class Marts:
 
     def expected_rows(self) -> DataFrame:
         quantity = F.col("l_quantity") + F.when(F.col("l_linenumber") % 4 == 0, 1).otherwise(0)
-        return self.raw("lineitem").filter(F.col("l_linestatus") == "F").select(
+        return self.lines().filter(F.col("l_linestatus") == "F").select(
             F.col("l_orderkey").alias("case_id"),
             F.create_map(F.lit("part"), F.col("l_partkey").cast("string"), F.lit("qty"), quantity.cast("string")).alias("row"),
         )

@@ -8,7 +8,7 @@ from scoreloom.functions.numbers import report_round
 from scoreloom.operators import joins, reports
 from scoreloom.plans.mart_sql import rounded, with_marts
 from scoreloom.plans.marts import Marts
-from scoreloom.session import new_folder
+from scoreloom.session import checkpointed, new_folder
 from scoreloom.sources import files
 
 DEFAULT_HP = '{"temperature": 0.03, "top_p": 0.05}'
@@ -343,12 +343,16 @@ UNION ALL SELECT 'audit', 7""")
 @query("report_bundle", BUNDLE_SQL)
 def _(m):
     """The report files of a finished benchmark, written and counted again."""
-    scores, runs = m.judge_scores(), m.runs()
+    models, runs, scores = m.models(), m.runs(), m.judge_scores()
+    # three reports read the joined rows, which are therefore written once
+    shared = checkpointed(star(m).select(
+        "run_id", "model_id", "display_name", "subtopic", "prompt_strategy", "input_tokens", "output_tokens",
+        "format_compliance_score", *reports.METRICS.values()))
     paths = files.write_report_bundle({
-        "leaderboard": reports.leaderboard(board(m), m.models()),
-        "results_summary": reports.results_summary(star(m)),
-        "prompts_compare": reports.prompts_compare(scored(m)),
-        "full_export": joins.export_rows(runs, scores, m.models(), m.questions()),
+        "leaderboard": reports.leaderboard(reports.leaderboard_refresh(shared, m.contest_entries()), models),
+        "results_summary": reports.results_summary(shared),
+        "prompts_compare": reports.prompts_compare(shared),
+        "full_export": joins.export_rows(runs, scores, models, m.questions()),
         "audit": reports.audit_counts(runs, scores, DEFAULT_HP),
     }, new_folder(m.spark, "reports"))
     counts = [
