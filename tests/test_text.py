@@ -103,7 +103,7 @@ def test_required_words_occur_in_what_their_pattern_matches():
         assert re.search(pattern, text)
         assert any(w in text for w in at.required_words(pattern))
     for pattern in fv.IDIOM_PATTERNS + fv.INVENTED_CONSTRAINTS + [fv.CAST_CALL, fv.NESTED_SELECT]:
-        plain = re.sub(r"\\[bs][*+]?|\\d\+|\\", " ", pattern).lower()
+        plain = re.sub(r"\\[bs][*+]?|\\d\+", " ", pattern).replace("\\", "").lower()
         assert at.required_words(pattern)[0] in plain
 
 
