@@ -336,7 +336,7 @@ BUNDLE_SQL = with_marts(BOARD_MARTS + " topics", BOARD + f""",
 summary AS (SELECT model_id FROM {STAR} WHERE {DONE} GROUP BY model_id, display_name, subtopic, prompt_strategy),
 per_model AS (SELECT DISTINCT model_id, prompt_strategy FROM runs JOIN judge_scores USING (run_id) WHERE {DONE})
 SELECT 'leaderboard' AS report, count(*) AS rows FROM board UNION ALL SELECT 'results_summary', count(*) FROM summary
-UNION ALL SELECT 'prompts_compare', count(*) FROM per_model UNION ALL SELECT 'full_export', count(*) FROM runs WHERE {DONE}
+UNION ALL SELECT 'prompts_compare', count(*) FROM per_model UNION ALL SELECT 'full_export', count(*) FROM runs LEFT JOIN judge_scores USING (run_id) WHERE {DONE}
 UNION ALL SELECT 'audit', 7""")
 
 

@@ -7,6 +7,7 @@ overwrites what it wrote before.
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -113,10 +114,7 @@ def stream_elo(log: DataFrame, folder: str, segment_size: int = 50_000) -> DataF
     spark = log.sparkSession
 
     def play(batch: DataFrame, batch_id: int) -> None:
-        before = [n for n in _written(spark, f"{folder}/ratings") if n < batch_id]
-        known = None
-        if before:
-            known = spark.read.parquet(f"{folder}/ratings/batch={max(before)}")
+        known = _ratings_before(spark, f"{folder}/ratings", batch_id)
         history = ratings.elo_history(batch, known, segment_size)
         history.write.mode("overwrite").parquet(f"{folder}/history/batch={batch_id}")
         history = spark.read.parquet(f"{folder}/history/batch={batch_id}")
@@ -130,17 +128,11 @@ def stream_elo(log: DataFrame, folder: str, segment_size: int = 50_000) -> DataF
     return spark.read.parquet(f"{folder}/history").drop("batch")
 
 
-def _written(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the batches whose table is complete."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    marks = [s.getPath() for s in files.listStatus(path)]
-    done = [p for p in marks if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return [int(p.getName().split("=")[1]) for p in done]
-
-
-__all__ = [
-    "file_stream", "stream_leaderboard", "stream_run_dedupe", "stream_windows", "stream_sessions", "stream_elo",
-]
+def _ratings_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """Ratings of the last batch before this one; a batch starts only after those before it are complete."""
+    try:
+        table = spark.read.parquet(folder)
+    except AnalysisException:  # nothing written yet
+        return None
+    last = table.filter(F.col("batch") < batch_id).agg(F.max("batch")).first()[0]
+    return None if last is None else table.filter(F.col("batch") == last).drop("batch")
