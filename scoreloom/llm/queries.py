@@ -2,14 +2,24 @@
 
 from pyspark.sql import functions as F
 
+from scoreloom.llm.decontaminate import contamination, items_digest
 from scoreloom.llm.exact_dedup import exact_dedup
+from scoreloom.llm.langid import identify
 from scoreloom.llm.mixing import mix_counts
+from scoreloom.llm.quality import quality_scores
 
 
 def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontaminate(spark, folder):
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumn("items_sha256", items_digest(F.col("items"))).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
 def op3_mix_sources(spark, folder):
     return mix_counts(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -18,12 +28,50 @@ def op7_exact_dedup(spark, folder):
     return exact_dedup(table(spark, folder, "documents"))
 
 
+def op9_quality_classifier(spark, folder):
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op10_language_id(spark, folder):
+    return identify(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 
 SQL = {
+    "op1_decontaminate": r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT doc_id, coalesce(w, []) AS w, coalesce(len(w), 0) AS n FROM lowered),
+tests AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS words
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+        FROM tests WHERE len(w) > 0)),
+doc_windows AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS words
+  FROM (SELECT doc_id, w, k, unnest(range(1, n - k + 2)) AS i
+        FROM docs, (SELECT DISTINCT k FROM item_windows) WHERE n >= k)),
+hits AS (SELECT doc_id, d.k, i, item_id FROM doc_windows d JOIN item_windows t ON d.k = t.k AND d.words = t.words),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, k, i FROM hits)) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+SELECT doc_id, n AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
     "op3_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw,
