@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.decontaminate import contamination, items_digest
 from scoreloom.llm.exact_dedup import exact_dedup
+from scoreloom.llm.jaccard_join import near_duplicates
 from scoreloom.llm.langid import identify
 from scoreloom.llm.mixing import mix_counts
 from scoreloom.llm.quality import quality_scores
@@ -24,6 +25,10 @@ def op3_mix_sources(spark, folder):
     return mix_counts(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_jaccard_join(spark, folder):
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_exact_dedup(spark, folder):
     return exact_dedup(table(spark, folder, "documents"))
 
@@ -39,6 +44,7 @@ def op10_language_id(spark, folder):
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
