@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.session import new_folder
+
 
 def normalised(text: Column) -> Column:
     """Null counts as empty; every run of ASCII white space becomes one space."""
@@ -64,6 +66,10 @@ def exact_dedup(
         F.row_number().over(of_run.orderBy(F.col("id").asc_nulls_last())).alias("place"),
     )
     if hot:
+        # both sides of the stitching read these rows: without texts, but for the first of each hot lane
+        staged = new_folder(spark, "lanes")
+        sized.write.parquet(staged)
+        sized = spark.read.parquet(staged)
         lane_rows = sized.where("lane_text IS NOT NULL").select(
             "digest", "lane", "run", "lane_text", "lane_first", "lane_size"
         )
