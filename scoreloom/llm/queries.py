@@ -8,6 +8,8 @@ from scoreloom.llm.jaccard_join import near_duplicates
 from scoreloom.llm.langid import identify
 from scoreloom.llm.mixing import mix_counts
 from scoreloom.llm.quality import quality_scores
+from scoreloom.llm.warc import assemble, page_ids, read_archives, write_archives
+from scoreloom.session import new_folder
 
 
 def table(spark, folder, name):
@@ -25,6 +27,16 @@ def op3_mix_sources(spark, folder):
     return mix_counts(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc_captures(spark, folder):
+    archives = new_folder(spark, "warc")
+    write_archives(table(spark, folder, "pages"), archives)
+    found = page_ids(assemble(read_archives(spark, archives, keep_payload=False)))
+    return found.select(
+        "page_id", "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"),
+        F.col("refers_page").alias("refers_to"),
+    )
+
+
 def op5_jaccard_join(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -44,6 +56,7 @@ def op10_language_id(spark, folder):
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op4_warc_captures": op4_warc_captures,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_classifier": op9_quality_classifier,
