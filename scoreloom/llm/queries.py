@@ -6,6 +6,8 @@ from scoreloom.llm.decontaminate import contamination, items_digest
 from scoreloom.llm.exact_dedup import exact_dedup
 from scoreloom.llm.jaccard_join import near_duplicates
 from scoreloom.llm.langid import identify
+from scoreloom.llm.licenses import LEAST, license_scan, template_bigrams
+from scoreloom.llm.line_templates import drop_recurring_lines
 from scoreloom.llm.mixing import mix_counts
 from scoreloom.llm.quality import quality_scores
 from scoreloom.llm.warc import assemble, page_ids, read_archives, write_archives
@@ -41,10 +43,21 @@ def op5_jaccard_join(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_line_dedup(spark, folder):
+    """Lines of every document, how many go, and the digest of the text that stays."""
+    return drop_recurring_lines(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op7_exact_dedup(spark, folder):
     return exact_dedup(table(spark, folder, "documents"))
 
 
+def op8_license_scan(spark, folder):
+    return license_scan(table(spark, folder, "documents"))
+
+
 def op9_quality_classifier(spark, folder):
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -58,7 +71,9 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_warc_captures": op4_warc_captures,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
@@ -119,6 +134,33 @@ steps AS (
 SELECT doc_id, size, source_size, target,
   CAST(floor(rate * step + start) - floor(rate * (step - 1) + start) AS BIGINT) * size AS taken
 FROM steps
+""",
+    "op6_line_dedup": r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+exploded AS (SELECT doc_id, unnest(lines) AS raw, unnest(range(len(lines))) AS pos FROM split),
+cleaned AS (SELECT doc_id, pos, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean FROM exploded),
+masked AS (SELECT doc_id, pos, regexp_replace(clean, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM cleaned),
+tokens AS (SELECT doc_id, pos, line, string_split(line, ' ') AS w FROM masked WHERE line <> ''),
+lines AS (SELECT doc_id, pos, line, w, (len(w) || ' ' || array_to_string(w[1:2], ' ')) AS leaf FROM tokens WHERE len(w) >= 4),
+busy AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
+inside AS (SELECT * FROM lines WHERE leaf IN (SELECT leaf FROM busy)),
+distinct_lines AS (SELECT leaf, line, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM inside GROUP BY leaf, line),
+parts AS (SELECT leaf, line, docs, unnest(w) AS token, unnest(range(len(w))) AS place FROM distinct_lines),
+constant AS (
+  SELECT leaf, place, token, token <> '<*>' AND sum(docs) >= 5 AS keep FROM parts GROUP BY leaf, place, token),
+shapes AS (
+  SELECT leaf, line, CASE WHEN avg(CAST(keep AS INT)) >= 0.6
+    THEN string_agg(CASE WHEN keep THEN token ELSE '<*>' END, ' ' ORDER BY place) ELSE line END AS template
+  FROM parts JOIN constant USING (leaf, place, token) GROUP BY leaf, line),
+shaped AS (SELECT doc_id, pos, leaf, template FROM inside JOIN shapes USING (leaf, line)),
+many AS (SELECT leaf, template FROM shaped GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 5),
+gone AS (
+  SELECT doc_id, list(pos) AS pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY leaf, template ORDER BY doc_id, pos) AS place
+    FROM shaped JOIN many USING (leaf, template)) WHERE place > 1 GROUP BY doc_id)
+SELECT doc_id, coalesce(len(lines), 0)::INT AS n_lines, coalesce(len(pos), 0)::INT AS n_dropped,
+  sha256(array_to_string([lines[i + 1] FOR i IN range(len(lines)) IF NOT list_contains(coalesce(pos, []), i)], chr(10))) AS text_sha256
+FROM split LEFT JOIN gone USING (doc_id)
 """,
     "op7_exact_dedup": r"""
 WITH rows AS (
@@ -132,6 +174,32 @@ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM groups
 }
 
 
+_TEMPLATE_ROWS = ", ".join(
+    f"('{name}', [{', '.join(repr(p) for p in pairs)}])" for name, pairs in template_bigrams()
+)
+SQL["op8_license_scan"] = rf"""
+WITH templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) t(license, pairs)),
+pieces AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS piece FROM documents
+  UNION ALL
+  SELECT doc_id, piece FROM (SELECT doc_id, unnest(string_split_regex(text, '\n[\x20\x09-\x0D]*\n')) AS piece FROM documents)
+  WHERE contains(piece, chr(10))),
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM pieces),
+pairs AS (
+  SELECT doc_id, array_to_string(w, ' ') AS unit, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS mine
+  FROM words WHERE len(w) >= 2),
+found AS (
+  SELECT doc_id, unit, license, max(2.0 * len(list_intersect(mine, pairs.pairs)) / (len(mine) + len(pairs.pairs))) AS dice
+  FROM (SELECT p.doc_id, p.unit, p.mine, t.license, t.pairs FROM pairs p JOIN templates t
+        ON len(p.mine) >= len(t.pairs) * {LEAST / (2 - LEAST)!r} AND len(p.mine) <= len(t.pairs) / {LEAST / (2 - LEAST)!r}) pairs
+  GROUP BY doc_id, unit, license HAVING dice >= {LEAST}),
+best AS (
+  SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, count(*) AS n_matches FROM found GROUP BY doc_id)
+SELECT doc_id, license, dice, coalesce(n_matches, 0) AS n_matches FROM documents LEFT JOIN best USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
