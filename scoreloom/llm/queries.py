@@ -10,6 +10,7 @@ from scoreloom.llm.licenses import LEAST, license_scan, template_bigrams
 from scoreloom.llm.line_templates import drop_recurring_lines
 from scoreloom.llm.mixing import mix_counts
 from scoreloom.llm.quality import quality_scores
+from scoreloom.llm.url_filter import host_of, url_verdicts
 from scoreloom.llm.warc import assemble, page_ids, read_archives, write_archives
 from scoreloom.session import new_folder
 
@@ -25,6 +26,47 @@ def op1_decontaminate(spark, folder):
     )
 
 
+DAY = 86400
+START = 1704067200  # 2024-01-01
+
+
+def url_captures(pages):
+    """Pages as captures: the crawl takes one of 360 days by the digest of its page id."""
+    draw = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), 16, 10).cast("long")
+    return pages.select(F.col("page_id").alias("capture_id"), "url", (F.lit(START) + draw % (360 * DAY)).alias("fetched_at"))
+
+
+def url_entries(pages):
+    """Dated list entries that follow from the hosts of the pages.
+
+    By its digest a host is blocked from some day on, lifted 60 days later and blocked again after 90 more; its
+    parent domain is allowed by another list from a day on; some first path steps are blocked for 200 days.
+    """
+    hosts = pages.select(host_of(F.col("url")).alias("host"), "url").where("host IS NOT NULL").withColumn(
+        "d", F.conv(F.substring(F.md5("host"), 1, 8), 16, 10).cast("long")
+    )
+    start = F.lit(START) + (F.col("d") % 150) * DAY
+    entry = lambda *x: F.struct(*[c.alias(n) for c, n in zip(x, ("list", "kind", "value", "verdict", "active", "since"))])
+    text, yes, no = F.lit, F.lit(True), F.lit(False)
+    by_host = hosts.select("host", "d").distinct().select(F.explode(F.concat(
+        F.when(F.col("d") % 3 == 0, F.array(*[
+            entry(text("ut1"), text("host"), F.col("host"), text("block"), on, start + after * DAY)
+            for on, after in ((yes, 0), (no, 60), (yes, 150))])).otherwise(F.array()),
+        F.when(F.col("d") % 4 == 1, F.array(
+            entry(text("curated"), text("domain"), F.substring_index("host", ".", -2), text("allow"), yes, start))).otherwise(F.array()),
+    )).alias("e")).select("e.*")
+    step = F.regexp_extract("url", r"^[a-z]+://[^/?#]*/([^/?#]+)", 1)
+    by_path = hosts.where(F.col("d") % 5 == 2).select("host", step.alias("step"), "d").where("step <> ''").distinct().select(F.explode(F.array(*[
+        entry(text("paths"), text("prefix"), F.concat_ws("/", "host", "step"), text("block"), on, start + after * DAY)
+        for on, after in ((yes, 0), (no, 200))])).alias("e")).select("e.*")
+    return by_host.unionByName(by_path).distinct()
+
+
+def op2_url_filter(spark, folder):
+    pages = table(spark, folder, "pages")
+    return url_verdicts(url_captures(pages), url_entries(pages)).withColumnRenamed("capture_id", "page_id")
+
+
 def op3_mix_sources(spark, folder):
     return mix_counts(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -68,6 +110,7 @@ def op10_language_id(spark, folder):
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_url_filter": op2_url_filter,
     "op3_mix_sources": op3_mix_sources,
     "op4_warc_captures": op4_warc_captures,
     "op5_jaccard_join": op5_jaccard_join,
@@ -105,6 +148,47 @@ named AS (
 SELECT doc_id, n AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op2_url_filter": r"""
+WITH captures AS (
+  SELECT page_id, url, CAST(1704067200 + CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 31104000 AS BIGINT) AS fetched_at,
+    nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') AS host FROM pages),
+hosts AS (
+  SELECT host, url, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) AS d,
+    1704067200 + CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) % 150 * 86400 AS start FROM captures WHERE host IS NOT NULL),
+entries AS (
+  SELECT DISTINCT 'ut1' AS list, 'host' AS kind, host AS value, 'block' AS verdict, a.active, start + a.days * 86400 AS since
+  FROM hosts, (VALUES (true, 0), (false, 60), (true, 150)) a(active, days) WHERE d % 3 = 0
+  UNION
+  SELECT DISTINCT 'curated', 'domain', array_to_string(list_slice(string_split(host, '.'), -2, -1), '.'), 'allow', true, start FROM hosts WHERE d % 4 = 1
+  UNION
+  SELECT DISTINCT 'paths', 'prefix', host || '/' || regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)', 1), 'block', a.active, start + a.days * 86400
+  FROM hosts, (VALUES (true, 0), (false, 200)) a(active, days)
+  WHERE d % 5 = 2 AND regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)', 1) <> ''),
+spans AS (
+  SELECT * FROM (
+    SELECT list, kind, value, verdict, active, since, lead(since) OVER (PARTITION BY list, kind, value ORDER BY since) AS until
+    FROM (SELECT list, kind, value, since, bool_or(active) AS active, min(verdict) FILTER (active) AS verdict
+          FROM entries GROUP BY list, kind, value, since)) WHERE active),
+parts AS (
+  SELECT page_id, url, fetched_at, host, string_split(host, '.') AS labels,
+    string_split(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1), '^/|/$', '', 'g'), '/') AS steps
+  FROM captures WHERE host IS NOT NULL),
+keys AS (
+  SELECT page_id, fetched_at, 'host' AS kind, host AS value, 0 AS depth FROM parts
+  UNION ALL
+  SELECT page_id, fetched_at, 'domain', array_to_string(labels[len(labels) - k + 1:], '.'), k
+  FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS k FROM parts)
+  UNION ALL
+  SELECT page_id, fetched_at, 'prefix', host || '/' || array_to_string(steps[1:k], '/'), k
+  FROM (SELECT *, unnest(range(0, len(steps) + 1)) AS k FROM parts)),
+hits AS (
+  SELECT page_id, list, k.kind, k.value, verdict, since,
+    row_number() OVER (PARTITION BY page_id ORDER BY CASE k.kind WHEN 'prefix' THEN 0 WHEN 'host' THEN 1 ELSE 2 END, depth DESC, verdict, list) AS place,
+    count(*) OVER (PARTITION BY page_id) AS matches
+  FROM (SELECT DISTINCT * FROM keys) k JOIN spans s ON k.kind = s.kind AND k.value = s.value AND since <= fetched_at AND (until IS NULL OR fetched_at < until))
+SELECT c.page_id, url, fetched_at, host, verdict, list, kind, value, since, coalesce(matches, 0) AS matches
+FROM captures c LEFT JOIN (SELECT * FROM hits WHERE place = 1) h ON c.page_id = h.page_id
 """,
     "op3_mix_sources": r"""
 WITH sized AS (
