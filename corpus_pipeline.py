@@ -1,6 +1,42 @@
 """The corpus pipeline: stages over documents, each calling one operator of scoreloom.llm."""
 
-from scoreloom.llm.mixing import emit_mix
+from pyspark.sql import functions as F
+
+from scoreloom.llm.decontaminate import decontaminate
+from scoreloom.llm.jaccard_join import keep_one_of_each
+from scoreloom.llm.langid import keep_identified
+from scoreloom.llm.line_templates import drop_recurring_lines
+from scoreloom.llm.mixing import emit_mix, word_count
+
+
+def language_id(spark, docs, sf_dir):
+    """Documents whose language is recognised.
+
+    The model learns from the labelled rows of the documents table itself.
+    """
+    return keep_identified(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"), least=0.35)
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Texts without lines of recurring templates; a document of which no word is left goes.
+
+    Documents that had no word before stay as they are.
+    """
+    columns = docs.columns
+    kept = drop_recurring_lines(docs)
+    left = kept.where((F.col("n_dropped") == 0) | (word_count(F.col("text")) > 0))
+    return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in columns])
+
+
+def ngram_jaccard(spark, docs, sf_dir):
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return keep_one_of_each(docs)
+
+
+def benchmark_decontamination(spark, docs, sf_dir):
+    """Texts without benchmark passages; a document that is mostly passages goes."""
+    clean = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark, docs, sf_dir):
@@ -9,9 +45,13 @@ def mix_sources(spark, docs, sf_dir):
 
 
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("mix_sources", mix_sources),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = None  # a language model and connected components are beyond SQL; see tests/llm
 
 
 def run(spark, sf_dir):
