@@ -107,7 +107,7 @@ def sql_block_score(text: Searchable) -> Column:
     block = F.regexp_extract(answer, SQL_BLOCK, 0)
     lines = F.split(block, "\n")
     inner = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0)))
-    starts = r"(?iU)^\s*(?:" + "|".join(fv.SQL_LINE_STARTS) + ")"
+    starts = rf"(?iU)^\s*(?:{fv.SQL_LINE_START})"
     prose = F.filter(inner, lambda l: ~l.rlike(starts) & l.rlike(r"(?sU)\S.{19,}\S"))
     fenced = F.greatest(F.lit(0.5), 1.0 - F.least(F.size(prose) * 0.15, F.lit(0.5)))
     return (
@@ -154,7 +154,7 @@ def length_score(answer: Column, instruction: Column) -> Column:
     paragraph_ok = (paragraphs == 1) & count.between(30, 250)
     wanted = F.regexp_extract(asked, r"(?U)list\s+(\d+)\s+key\s+points?", 1)
     bullets = F.regexp_count(answer, F.lit(r"(?mdU)^[^\S\n]*[-•*\d]"))
-    points_ok = F.abs(bullets - wanted.cast("int")) <= 1
+    points_ok = F.coalesce(F.abs(bullets - wanted.try_cast("int")) <= 1, F.lit(False))  # no text has that many
     one_paragraph = F.contains(asked, F.lit("one paragraph")) | F.contains(asked, F.lit("single paragraph"))
     absent = (F.coalesce(answer, F.lit("")) == "") | (F.coalesce(instruction, F.lit("")) == "")
     return (

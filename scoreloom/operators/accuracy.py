@@ -1,7 +1,7 @@
 """Result-set accuracy of candidate queries against expected rows.
 
-Rows are maps of column name to value text. A value that reads as a number is
-compared as a number, so 5 and 5.0 are equal.
+Rows are maps of column name to value text. A value in plain numeric form (no leading zeros, no
+suffix) is compared as a number of any length, so 5 and 5.0 are equal; all others are compared as text.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -10,14 +10,26 @@ from pyspark.sql import functions as F
 from scoreloom.functions.numbers import harmonic, ratio, report_round
 
 MISSING = "\u0000null"
+WHOLE = r"-?(?:0|[1-9][0-9]*)(?:[.][0-9]+)?"
+PLAIN, SCIENTIFIC = rf"^{WHOLE}$", rf"^{WHOLE}[eE][+-]?[0-9]+$"
+
+
+def _shortest(number: Column) -> Column:
+    """Digits without zeros that carry nothing: 5.0 and 5 read 5, -0 reads 0."""
+    short = F.when(F.contains(number, F.lit(".")), F.regexp_replace(number, "[.]?0+$", "")).otherwise(number)
+    return F.when(short == "-0", F.lit("0")).otherwise(short)
 
 
 def _plain(value: Column) -> Column:
-    return F.coalesce(value.try_cast("double").cast("string"), value, F.lit(MISSING))
+    wide = value.try_cast("decimal(38,18)").cast("string")
+    return F.coalesce(
+        F.when(value.rlike(PLAIN), _shortest(value)).when(value.rlike(SCIENTIFIC), _shortest(wide)), value, F.lit(MISSING)
+    )
 
 
 def _rounded(value: Column) -> Column:
-    return F.coalesce(F.round(value.try_cast("double"), 4).cast("string"), value, F.lit(MISSING))
+    number = F.when(value.rlike(PLAIN) | value.rlike(SCIENTIFIC), F.round(value.try_cast("decimal(38,12)"), 4))
+    return F.coalesce(_shortest(number.cast("string")), value, F.lit(MISSING))
 
 
 def _digest(values: Column) -> Column:

@@ -128,18 +128,27 @@ JUDGE_FINDINGS = "array<struct<type:string,text:string,severity:string>>"
 def parse_judge_replies(replies: DataFrame) -> DataFrame:
     """Clean score fields of every reply; unreadable ones get the neutral fallback.
 
-    A field the judge left out takes the normalised score.
+    A field the judge left out takes the normalised score. A reply with a score or field that is
+    no number counts as unreadable.
     """
     body = F.col("body")
-    parsed = replies.withColumn("body", reply_object(F.col("reply"))).withColumn(
-        "parse_error", F.col("body").isNull()
-    )
-    score = F.coalesce(F.get_json_object(body, "$.score").cast("double"), F.lit(5.0))
+
+    def number(name):
+        return F.get_json_object(body, f"$.{name}").try_cast("double")
+
+    def broken(name):
+        return F.get_json_object(body, f"$.{name}").isNotNull() & number(name).isNull()
+
+    unreadable = body.isNull()
+    for name in ("score", *fv.CONCEPTUAL_WEIGHTS):
+        unreadable = unreadable | broken(name)
+    parsed = replies.withColumn("body", reply_object(F.col("reply"))).withColumn("parse_error", unreadable)
+    score = F.when(F.col("parse_error"), F.lit(5.0)).otherwise(F.coalesce(number("score"), F.lit(5.0)))
     parsed = parsed.withColumn("judge_score_0_10", score)
     norm = pillars.judge_norm(F.col("judge_score_0_10"))
     fields = {
         name: F.when(F.col("parse_error"), F.lit(0.5)).otherwise(
-            F.coalesce(F.get_json_object(body, f"$.{name}").cast("double"), norm)
+            F.coalesce(number(name), norm)
         )
         for name in fv.CONCEPTUAL_WEIGHTS
     }

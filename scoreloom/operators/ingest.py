@@ -199,7 +199,7 @@ def upsert_models(stored: DataFrame, challengers: DataFrame, judges: DataFrame)
 RUN_KEY = ["question_id", "model_id", "prompt_strategy", "hyperparam_hash"]
 
 
-def dedupe_runs(runs: DataFrame, force_rerun: bool = False) -> DataFrame:
+def dedupe_runs(runs: DataFrame, force_rerun: bool = False, key: list[str] = RUN_KEY) -> DataFrame:
     """One run per configuration: the first, or the last where reruns replace.
 
     Spark keeps one row per key in each map task before the shuffle (window
@@ -207,7 +207,7 @@ def dedupe_runs(runs: DataFrame, force_rerun: bool = False) -> DataFrame:
     """
     time, tie = F.col("run_timestamp"), F.col("run_id")
     order = [time.desc(), tie.desc()] if force_rerun else [time, tie]
-    rank = F.row_number().over(Window.partitionBy(*RUN_KEY).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return runs.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank")
 
 

@@ -46,7 +46,8 @@ def baseline(scored_runs: DataFrame, default_hyperparams: str) -> DataFrame:
     then the one with the smallest hash.
     """
     preference = F.struct(
-        (F.col("hyperparams") != default_hyperparams).alias("other"), config_hash().alias("hash"), "run_id"
+        (F.col("hyperparams") != default_hyperparams).alias("other"), config_hash().alias("hash"), "run_id",
+        "master_composite_score",
     )
     return (
         scored_runs.filter(F.col("prompt_strategy") == fv.BASELINE_STRATEGY)

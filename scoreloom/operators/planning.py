@@ -8,7 +8,6 @@ from scoreloom.functions import prompt_texts as pt
 from scoreloom.functions import tags as tg
 from scoreloom.functions.keys import config_digest, config_text
 from scoreloom.operators.answer_scan import cut
-from scoreloom.operators.ratings import FOLD_LIMIT
 
 
 # --- grids --------------------------------------------------------------------------
@@ -261,36 +260,36 @@ def judge_prompts(rows: DataFrame) -> DataFrame:
 
     reference = given(cut(c("expected_answer"), pt.REFERENCE_CHAR_LIMIT, pt.REFERENCE_NOTE), pt.NO_REFERENCE)
     answer = given(cut(c("answer"), pt.ANSWER_CHAR_LIMIT, pt.ANSWER_NOTE), pt.NO_ANSWER)
-    values = [c("question_text"), reference, answer, full_rubric]
-    pieces = [p for part, value in zip(pt.JUDGE_PARTS, values) for p in (F.lit(part), value)]
-    return rows.select("answer_id", F.concat(*pieces, F.lit(pt.JUDGE_PARTS[-1])).alias("judge_prompt"))
-
-
-def contest_prompt(question: Column, reference: Column, answers: Column) -> Column:
-    """The judge's prompt for one contest; ``answers`` is an array of (label, answer)."""
-    block = F.array_join(F.transform(answers, lambda a: F.concat(
-        F.lit("Answer "), a["label"], F.lit(":\n"),
-        F.coalesce(F.nullif(a["answer"], F.lit("")), F.lit(pt.NO_ANSWER)),
-    )), "\n\n")
-    count = F.size(answers).cast("string")
-    given = F.coalesce(F.nullif(reference, F.lit("")), F.lit(pt.NO_CONTEST_REFERENCE))
-    values = [count, question, given, block, count, count]
-    pieces = [p for part, value in zip(pt.CONTEST_PARTS, values) for p in (F.lit(part), value)]
-    return F.concat(*pieces, F.lit(pt.CONTEST_PARTS[-1]))
+    prompt = fill(pt.JUDGE_PROMPT, c("question_text"), reference, answer, full_rubric)
+    return rows.select("answer_id", F.lit(pt.JUDGE_SYSTEM_PROMPT).alias("system_prompt"), prompt.alias("judge_prompt"))
 
 
 def contest_prompts(labelled: DataFrame, question: Column, reference: Column) -> DataFrame:
-    """One judge prompt per contest from its labelled answers.
+    """The judge's prompt of every contest as numbered parts, whatever its size.
 
-    A prompt is one text with all answers of its contest. A contest with more
-    entrants than can move a rating gets no prompt (null): judging it would
-    change nothing, and its answers would not fit one text.
+    ``labelled`` has contest_id, label, label_no, entrants and answer (see ``anonymise_contest``). Part 0
+    opens the prompt, one part per answer follows, the last part closes it; their texts
+    in order of ``part`` are the prompt. No row or task holds a contest.
     """
-    small = labelled.filter(F.col("entrants") <= FOLD_LIMIT).groupBy("contest_id").agg(
-        F.sort_array(F.collect_list(F.struct("label", "answer"))).alias("answers")
-    )
-    prompts = small.select(
-        "contest_id", contest_prompt(question, reference, F.col("answers")).alias("contest_prompt")
+    # the answers stand between the two pieces that the answers' place divides
+    before, after = _around(pt.CONTEST_PROMPT, 3)
+    count = F.col("entrants").cast("string")
+    given = F.coalesce(F.nullif(reference, F.lit("")), F.lit(pt.NO_CONTEST_REFERENCE))
+    answer = F.concat(
+        F.when(F.col("label_no") > 1, F.lit("\n\n")).otherwise(F.lit("")), F.lit("Answer "), F.col("label"), F.lit(":\n"),
+        F.coalesce(F.nullif("answer", F.lit("")), F.lit(pt.NO_ANSWER)),
     )
-    large = labelled.filter(F.col("entrants") > FOLD_LIMIT).select("contest_id").distinct()
-    return prompts.unionByName(large.withColumn("contest_prompt", F.lit(None).cast("string")))
+
+    def part(number, text):
+        return F.struct(number.cast("long").alias("part"), text.alias("text"))
+
+    body = part(F.col("label_no"), answer)
+    frame = F.array(part(F.lit(0), fill(before, count, question, given)), body, part(F.col("entrants") + 1, fill(after, count, count)))
+    parts = F.when(F.col("label_no") == 1, frame).otherwise(F.array(body))
+    return labelled.select("contest_id", F.inline(parts)).withColumn("system_prompt", F.lit(pt.JUDGE_SYSTEM_PROMPT))
+
+
+def _around(template: str, place: int) -> tuple[str, str]:
+    """The template before and after one of its places, counted from 0."""
+    pieces = template.split("%s")
+    return "%s".join(pieces[: place + 1]), "%s".join(pieces[place + 1:])

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from scoreloom.functions import fixed_values as fv
 from scoreloom.functions.numbers import report_round
 from scoreloom.operators.ordering import with_carried, with_row_number_in
-from scoreloom.session import checkpointed
+from scoreloom.session import checkpointed, new_folder
 
-# A pairwise step is at most K / (n - 1) points, so with more than 65 entrants it
-# is below half a point and rounds back to the rating it started from: ratings do
-# not move in larger contests, and only smaller ones need the pairwise fold.
-FOLD_LIMIT = 65
+
+def can_move(entrants: Column) -> Column:
+    """Whether a contest can change a rating.
+
+    A pairwise step is at most K / (n - 1) points. Below half a point it rounds back to the
+    whole rating it started from, so only contests of at most 2 K + 1 entrants need the pairwise fold.
+    """
+    return entrants - 1 <= 2 * fv.ELO_K
 
 
 def expected_score(rating: Column, other: Column) -> Column:
@@ -74,11 +78,14 @@ def label_of(rank: Column) -> Column:
 
 
 def anonymise_contest(entries: DataFrame, seed: int = 0) -> DataFrame:
-    """A label per answer in an order that depends on the contest and the seed only."""
+    """A label per answer, and its number, in an order that depends on the contest and the seed only.
+
+    Kept with the prompts, contest_id, label and model_id are the map that decodes a verdict.
+    """
     shuffled = F.md5(F.concat_ws("|", "contest_id", "model_id", F.lit(seed)))
     rows = entries.withColumn("shuffle_key", shuffled)
     ranked = with_row_number_in(rows, ["contest_id"], ["shuffle_key", "model_id"], "rank")
-    return ranked.select(*entries.columns, label_of(F.col("rank")).alias("label"))
+    return ranked.select(*entries.columns, label_of(F.col("rank")).alias("label"), F.col("rank").alias("label_no"))
 
 
 # --- one contest -----------------------------------------------------------------------
@@ -107,14 +114,14 @@ def elo_round(entries: DataFrame) -> DataFrame:
     """
     entry = F.struct("placement", "model_id", "rating")
     small = (
-        entries.filter(F.col("entrants") <= FOLD_LIMIT)
+        entries.filter(can_move(F.col("entrants")))
         .groupBy("contest_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     )
     played = F.transform("entries", lambda me, i: F.struct(
         me["model_id"].alias("model_id"), me["placement"].alias("placement"),
         me["rating"].alias("old_rating"), _folded(me, i, F.col("entries")).alias("new_rating"),
     ))
-    large = entries.filter(F.col("entrants") > FOLD_LIMIT).select(
+    large = entries.filter(~can_move(F.col("entrants"))).select(
         "contest_id", "model_id", "placement", F.col("rating").alias("old_rating"), F.col("rating").alias("new_rating")
     )
     return small.select("contest_id", F.inline(played)).unionByName(large).withColumn(
@@ -160,18 +167,15 @@ def _replay_segment(key, log: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFram
     return log.assign(old_rating=olds, new_rating=news)
 
 
-def _segments(log: DataFrame, size: int) -> tuple[DataFrame, bool]:
-    """Number the stretches of each league's log, ``size`` contests to a stretch.
-
-    Also tells whether any league has more than one.
-    """
+def _segments(log: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Number the stretches of each league's log, ``size`` contests to a stretch, and count those of the longest."""
     contests = log.select("league", "contest_ts", "contest_id").distinct()
     longest = contests.groupBy("league").count().agg(F.max("count")).first()[0] or 0
     if longest <= size:
-        return log.withColumn("segment", F.lit(0).cast("long")), False
+        return log.withColumn("segment", F.lit(0).cast("long")), 1
     ranked = with_row_number_in(contests, ["league"], ["contest_ts", "contest_id"], "nth")
     segments = ranked.select("league", "contest_id", F.floor((F.col("nth") - 1) / size).alias("segment"))
-    return log.join(segments, ["league", "contest_id"]), True
+    return log.join(segments, ["league", "contest_id"]), -(-longest // size)
 
 
 SEGMENT = ["league", "segment"]
@@ -193,27 +197,32 @@ def _ends(history: DataFrame) -> DataFrame:
     )
 
 
-def _settled_starts(log: DataFrame, starts: DataFrame) -> DataFrame:
-    """Start ratings under which every segment begins where the one before ended.
+def _walk(log: DataFrame, segments: int, initial: DataFrame | None) -> DataFrame:
+    """Replay segment after segment, each once; leagues run side by side in every step.
 
-    Segments are replayed side by side from assumed ratings; those whose start
-    turns out different are replayed, until nothing changes. Each pass settles
-    at least one more segment of a league, so this ends, and with the ratings of
-    the sequential replay.
+    Between segments only the ratings of the models seen so far are handed on, as a table.
     """
-    ends = checkpointed(_ends(_replayed(log, starts)))
-    while True:
-        left_with = ends.withColumnRenamed("segment", "before")
-        fresh = checkpointed(
-            starts.join(left_with, ["league", "before", "model_id"], "left")
-            .withColumn("fresh", F.coalesce("end", "opening")).drop("end")
-        )
-        changed = fresh.filter(F.col("fresh") != F.col("rating")).select(*SEGMENT).distinct()
-        starts = fresh.withColumn("rating", F.col("fresh")).drop("fresh")
-        if changed.limit(1).isEmpty():
-            return starts
-        redone = _replayed(log.join(changed, SEGMENT, "left_semi"), starts.join(changed, SEGMENT, "left_semi"))
-        ends = checkpointed(ends.join(changed, SEGMENT, "left_anti").unionByName(_ends(redone)))
+    spark, folder, known = log.sparkSession, new_folder(log.sparkSession, "elo"), initial
+    for number in range(segments):
+        part = log.filter(F.col("segment") == number)
+        history = f"{folder}/history/part={number}"
+        _replayed(part, _openings(part, known)).write.parquet(history)
+        latest = _ends(spark.read.parquet(history)).select("league", "model_id", F.col("end").alias("rating"))
+        if known is not None:
+            latest = known.join(latest, ["league", "model_id"], "left_anti").unionByName(latest)
+        ratings = f"{folder}/ratings/{number}"
+        latest.write.parquet(ratings)
+        known = spark.read.parquet(ratings)
+    return spark.read.parquet(f"{folder}/history").drop("part")
+
+
+def _openings(part: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Rating with which every model enters a segment."""
+    models = part.select(*SEGMENT, "model_id").distinct()
+    if known is None:
+        return models.withColumn("rating", F.lit(fv.ELO_START))
+    given = known.select("league", "model_id", "rating")
+    return models.join(given, ["league", "model_id"], "left").withColumn("rating", F.coalesce("rating", F.lit(fv.ELO_START)))
 
 
 def elo_replay(log: DataFrame, initial: DataFrame | None = None, segment_size: int = 50_000) -> DataFrame:
@@ -222,33 +231,24 @@ def elo_replay(log: DataFrame, initial: DataFrame | None = None, segment_size: i
     ``log`` has league, contest_id, contest_ts, model_id, placement and entrants;
     ``initial`` optionally holds league, model_id and rating to start from.
     Contests depend on each other within a league, yet no task takes a whole
-    league: its log is cut into segments (see ``_settled_starts``). Contests that
-    cannot move a rating (see FOLD_LIMIT) stay out of them.
+    league: its log is cut into segments that are replayed in turn (see ``_walk``). Contests that
+    cannot move a rating (see ``can_move``) stay out of them.
     """
-    small = log.filter(F.col("entrants") <= FOLD_LIMIT).select(*LOG_COLUMNS)
-    small, several = _segments(small, segment_size)
-    earlier = Window.partitionBy("league", "model_id").orderBy("segment")
-    starts = small.select(*SEGMENT, "model_id").distinct().withColumn("before", F.lag("segment").over(earlier))
-    if initial is None:
-        starts = starts.withColumn("opening", F.lit(fv.ELO_START))
+    small = log.filter(can_move(F.col("entrants"))).select(*LOG_COLUMNS)
+    small, segments = _segments(small, segment_size)
+    if initial is not None:
+        initial = initial.select("league", "model_id", "rating")
+    if segments == 1:
+        history = _replayed(small, _openings(small, initial))
     else:
-        given = initial.select("league", "model_id", F.col("rating").alias("opening"))
-        starts = starts.join(given, ["league", "model_id"], "left").withColumn(
-            "opening", F.coalesce("opening", F.lit(fv.ELO_START))
-        )
-    starts = starts.withColumn("rating", F.col("opening"))
-    if several:
-        small = checkpointed(small)
-        starts = _settled_starts(small, checkpointed(starts))
-    return _replayed(small, starts).drop("segment").withColumn(
-        "delta", F.col("new_rating") - F.col("old_rating")
-    )
+        history = _walk(checkpointed(small), segments, initial)
+    return history.drop("segment").withColumn("delta", F.col("new_rating") - F.col("old_rating"))
 
 
 def unmoved(log: DataFrame, history: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """History rows of the contests that are too large to move a rating."""
     columns = LOG_COLUMNS
-    big = log.filter(F.col("entrants") > FOLD_LIMIT).select(*columns)
+    big = log.filter(~can_move(F.col("entrants"))).select(*columns)
     known = history.select(*columns, F.struct("league", "model_id", F.col("new_rating").alias("rating")).alias("state"))
     rows = known.unionByName(big.withColumn("state", F.lit(None).cast(known.schema["state"].dataType)))
     order = ["league", "model_id", "contest_ts", "contest_id"]
@@ -272,7 +272,7 @@ def elo_history(log: DataFrame, initial: DataFrame | None = None, segment_size:
     """
     log = checkpointed(log.select(*LOG_COLUMNS, "entrants"))
     history = elo_replay(log, initial, segment_size)
-    if log.filter(F.col("entrants") > FOLD_LIMIT).limit(1).isEmpty():
+    if log.filter(~can_move(F.col("entrants"))).limit(1).isEmpty():
         return history
     return history.unionByName(unmoved(log, history, initial))
 

@@ -40,7 +40,7 @@ def sub_scores(scored_questions: DataFrame) -> DataFrame:
     })
 
 
-def _severity(found: Column) -> Column:
+def severity(found: Column) -> Column:
     weights = F.aggregate(
         found, F.lit(0.0), lambda total, f: total + pillars.severity_weight(f["severity"])
     )
@@ -79,7 +79,7 @@ def judged(answers: DataFrame, replies: DataFrame, references: DataFrame, harnes
             "judge_failed": c("judge_score_0_10").isNull(),
         })
     )
-    score = F.coalesce(c("judge_score_0_10"), pillars.fallback_judge_score(_severity(c("auto_findings"))))
+    score = F.coalesce(c("judge_score_0_10"), pillars.fallback_judge_score(severity(c("auto_findings"))))
     rows = rows.withColumn("judge_score_0_10", score)
     fallback = answer_scan.fallback_fields(c("judge_score_0_10"))
     all_findings = F.concat(
@@ -93,7 +93,7 @@ def judged(answers: DataFrame, replies: DataFrame, references: DataFrame, harnes
     })
     norm = pillars.judge_norm(c("judge_score_0_10"))
     return rows.withColumns({
-        "hallucination_rate": _severity(c("findings")),
+        "hallucination_rate": severity(c("findings")),
         "has_finding": F.size("findings") > 0,
         "verbosity_ratio": c("answer_words") / c("expected_words"),
         "result_set_f1": F.coalesce(c("result_set_f1"), F.lit(0.0)),

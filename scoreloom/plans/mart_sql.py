@@ -1,7 +1,7 @@
 """The marts as SQL, written apart from the DataFrame versions for the checks."""
 
 from scoreloom.functions import fixed_values as fv
-from scoreloom.plans.marts import DECORATION, QUESTION_FRAMES, SCHEMA_FIXTURE
+from scoreloom.plans.marts import BROKEN_REPLIES, DECORATION, QUESTION_FRAMES, SCHEMA_FIXTURE
 
 
 def text(value: str) -> str:
@@ -37,7 +37,7 @@ SELECT o_orderkey AS question_id, c_nationkey AS subtopic_id,
   o_orderdate AS created_at
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "runs": """
-SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey) AS run_id,
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, strftime(l_shipdate, '%Y%m%d')) AS run_id,
   l_orderkey AS question_id, l_suppkey AS model_id,
   CASE l_returnflag || l_linestatus WHEN 'NO' THEN 'zero-shot' WHEN 'NF' THEN 'few-shot' WHEN 'AF' THEN 'cot'
     WHEN 'AO' THEN 'few-shot-cot' WHEN 'RF' THEN 'role-prompting' WHEN 'RO' THEN 'react' END AS prompt_strategy,
@@ -50,7 +50,7 @@ FROM lineitem""",
     "judge_scores": """
 SELECT *, greatest(0.0, least(100.0, 0.5::DOUBLE * db_correctness_score + 0.3::DOUBLE * llm_quality_score
     + 0.15::DOUBLE * prompting_effectiveness_score + 0.05::DOUBLE * efficiency_score)) AS master_composite_score
-FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey) AS run_id,
+FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, strftime(l_shipdate, '%Y%m%d')) AS run_id,
   l_quantity / 5 AS judge_score_0_10, l_quantity * 2 AS db_correctness_score, l_discount * 1000 AS llm_quality_score,
   l_tax * 1250 AS prompting_effectiveness_score, least(100.0, l_extendedprice / 1050) AS efficiency_score,
   (l_partkey % 5) / 4.0::DOUBLE AS format_compliance_score, (l_partkey % 4) / 4.0::DOUBLE AS hallucination_rate,
@@ -89,13 +89,13 @@ FROM documents""",
 SELECT doc_id AS answer_id, CASE WHEN n_chars % 3 <> 0 THEN (n_chars % 2)::DOUBLE END AS syntactic_parse_success,
   CASE WHEN doc_id % 12 IN (0, 8, 9, 10) THEN n_chars % 11 / 10.0::DOUBLE END AS result_set_f1 FROM documents""",
     "refs": "SELECT item_id AS question_id, text AS expected_answer FROM benchmark",
-    "judge_replies": """
-SELECT doc_id AS answer_id, CASE doc_id % 6 WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'
-  WHEN 2 THEN 'My verdict: ' || body || ' as asked' WHEN 3 THEN 'score is high {' || quality ELSE body END AS reply
-FROM (SELECT doc_id, quality, '{"score": ' || (quality * 5 + doc_id % 5) || ', "factual_correctness": ' || (doc_id % 10 / 10.0::DOUBLE)
+    "judge_replies": f"""
+SELECT doc_id AS answer_id, CASE WHEN doc_id % 24 = 4 THEN {text(BROKEN_REPLIES[0])} WHEN doc_id % 24 = 10 THEN {text(BROKEN_REPLIES[1])} ELSE CASE doc_id % 6 WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'
+  WHEN 2 THEN 'My verdict: ' || body || ' as asked' WHEN 3 THEN 'score is high {{' || quality ELSE body END END AS reply
+FROM (SELECT doc_id, quality, '{{"score": ' || (quality * 5 + doc_id % 5) || ', "factual_correctness": ' || (doc_id % 10 / 10.0::DOUBLE)
   || ', "completeness": ' || (doc_id % 7 / 8.0::DOUBLE)
-  || CASE WHEN toxic = 1 THEN ', "hallucinations": [{"type": "contradiction", "text": "claim", "severity": "medium"}]' ELSE '' END
-  || '}' AS body FROM labels)""",
+  || CASE WHEN toxic = 1 THEN ', "hallucinations": [{{"type": "contradiction", "text": "claim", "severity": "medium"}}]' ELSE '' END
+  || '}}' AS body FROM labels)""",
     "perturbable": f"""
 SELECT doc_id AS question_id, CASE doc_id % 8 {" ".join(f"WHEN {i} THEN {text(h)} || text || {text(t)}" for i, (h, t) in QUESTION_FRAMES.items())} END AS question_text
 FROM documents""",

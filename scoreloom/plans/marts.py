@@ -99,7 +99,9 @@ class Marts:
     # --- facts ----------------------------------------------------------------
 
     def _run_id(self) -> Column:
-        return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+        # the line keys alone repeat in the driver tables
+        day = F.date_format("l_shipdate", "yyyyMMdd")
+        return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", day)
 
     def runs(self) -> DataFrame:
         price, part = F.col("l_extendedprice"), F.col("l_partkey")
@@ -266,6 +268,7 @@ class Marts:
             1: F.concat(F.lit("```json\n"), body, F.lit("\n```")),
             2: F.concat(F.lit("My verdict: "), body, F.lit(" as asked")),
             3: F.concat(F.lit("score is high {"), quality.cast("string")),
+            4: F.when(doc % 24 == 4, F.lit(BROKEN_REPLIES[0])).when(doc % 24 == 10, F.lit(BROKEN_REPLIES[1])).otherwise(body),
         }, body)
         return self.raw("labels").select(doc.alias("answer_id"), reply.alias("reply"))
 
@@ -353,6 +356,9 @@ class Marts:
         )
 
 
+# Replies with a field that is no number.
+BROKEN_REPLIES = ['{"score": "8/10", "completeness": 0.5}', '{"score": 7, "completeness": "high"}']
+
 # Texts added to the driver documents, by doc_id % 12.
 DECORATION = {
     0: "\n\n```sql\nSELECT a, count(*) FROM t GROUP BY a;\n```\nDone.",

@@ -208,29 +208,43 @@ RUBRIC = f"""CASE WHEN answer_id % 7 = 0 THEN {text(pt.HINT_BLOCK)} || 'schema o
   || CASE WHEN list_contains(tags, 'sql') THEN {text(pt.SQL_RUBRIC)} ELSE {text(pt.DEFAULT_RUBRIC)} END"""
 
 
+def in_places(template, values):
+    """SQL for a template with values in its places."""
+    pieces = template.split("%s")
+    return " || ".join([text(pieces[0])] + [f"({v}) || {text(p)}" for v, p in zip(values, pieces[1:])])
+
+
+SYSTEM_MD5 = f"md5({text(pt.JUDGE_SYSTEM_PROMPT)}) AS system_md5"
+
+
 @query("judge_prompts", with_marts("answers refs", f"""
-SELECT answer_id, md5({' || '.join(f'{text(p)} || ({v})' for p, v in zip(pt.JUDGE_PARTS, ["'Question ' || question_id", JUDGE_REF, JUDGE_ANS, RUBRIC]))}
-  || {text(pt.JUDGE_PARTS[-1])}) AS prompt_md5 FROM answers LEFT JOIN refs USING (question_id)"""))
+SELECT answer_id, md5({in_places(pt.JUDGE_PROMPT, ["'Question ' || question_id", JUDGE_REF, JUDGE_ANS, RUBRIC])}) AS prompt_md5, {SYSTEM_MD5}
+FROM answers LEFT JOIN refs USING (question_id)"""))
 def _(m):
     rows = m.answers().join(m.references(), "question_id", "left").withColumns({
         "question_text": F.concat(F.lit("Question "), F.col("question_id").cast("string")),
         "judge_hint": F.when(F.col("answer_id") % 7 == 0, F.concat(F.lit("schema of "), "source")),
         "execution_context": F.lit(None).cast("string"),
     })
-    return planning.judge_prompts(rows).select("answer_id", F.md5("judge_prompt").alias("prompt_md5"))
+    return planning.judge_prompts(rows).select(
+        "answer_id", F.md5("judge_prompt").alias("prompt_md5"), F.md5("system_prompt").alias("system_md5"))
 
 
-CONTEST_VALUES = ["n", "'Question ' || contest_id", text(pt.NO_CONTEST_REFERENCE), "block", "n", "n"]
+CONTEST_HEAD, CONTEST_TAIL = pt.CONTEST_PROMPT.rsplit("%s", 3)[0], "%s".join(pt.CONTEST_PROMPT.rsplit("%s", 3)[1:])
 
 
 @query("contest_prompts", with_marts("contest_entries", f"""
-, l AS (SELECT contest_id, model_id, chr((64 + row_number() OVER (PARTITION BY contest_id ORDER BY md5(contest_id || '|' || model_id || '|0'), model_id))::INT) AS label
-  FROM contest_entries),
-b AS (SELECT contest_id, count(*) AS n, string_agg('Answer ' || label || ':' || chr(10) || 'Text of ' || model_id, chr(10) || chr(10) ORDER BY label) AS block FROM l GROUP BY contest_id)
-SELECT contest_id, md5({' || '.join(f'{text(p)} || {v}' for p, v in zip(pt.CONTEST_PARTS, CONTEST_VALUES))} || {text(pt.CONTEST_PARTS[-1])}) AS prompt_md5 FROM b"""))
+, l AS (SELECT contest_id, model_id, row_number() OVER (PARTITION BY contest_id ORDER BY md5(contest_id || '|' || model_id || '|0'), model_id) AS k,
+  count(*) OVER (PARTITION BY contest_id) AS n FROM contest_entries),
+p AS (SELECT contest_id, 0 AS part, {in_places(CONTEST_HEAD, ["n", "'Question ' || contest_id", text(pt.NO_CONTEST_REFERENCE)])} AS t FROM l WHERE k = 1
+  UNION ALL
+  SELECT contest_id, k, CASE WHEN k > 1 THEN chr(10) || chr(10) ELSE '' END || 'Answer ' || chr((65 + (k - 1) % 26)::INT)
+    || CASE WHEN k > 26 THEN ((k - 1) // 26)::VARCHAR ELSE '' END || ':' || chr(10) || 'Text of ' || model_id FROM l
+  UNION ALL SELECT contest_id, n + 1, {in_places(CONTEST_TAIL, ["n", "n"])} FROM l WHERE k = 1)
+SELECT contest_id, part, md5(t) AS text_md5, {SYSTEM_MD5} FROM p"""))
 def _(m):
     labelled = ratings.anonymise_contest(m.contest_entries()).withColumn(
         "answer", F.concat(F.lit("Text of "), F.col("model_id").cast("string")))
-    prompts = planning.contest_prompts(
+    parts = planning.contest_prompts(
         labelled, F.concat(F.lit("Question "), F.col("contest_id").cast("string")), F.lit(None).cast("string"))
-    return prompts.select("contest_id", F.md5("contest_prompt").alias("prompt_md5"))
+    return parts.select("contest_id", "part", F.md5("text").alias("text_md5"), F.md5("system_prompt").alias("system_md5"))

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import answer_text as at
 from scoreloom.functions import fixed_values as fv
-from scoreloom.functions import tags
+from scoreloom.functions import pillars, tags
+from scoreloom.functions.numbers import report_round
 from scoreloom.functions.strict_json import json_valid_score
-from scoreloom.operators import answer_scan
+from scoreloom.operators import answer_scan, scoring
 from scoreloom.plans.mart_sql import rounded, text, with_marts
 from scoreloom.plans.marts import Marts
 
@@ -38,11 +39,10 @@ def words_sql(column):
 
 # --- format -------------------------------------------------------------------
 
-STARTS = "|".join(fv.SQL_LINE_STARTS)
 SQL_BLOCK = r"""(SELECT CASE WHEN block <> '' THEN greatest(0.5::DOUBLE, 1.0::DOUBLE - least(0.5::DOUBLE, 0.15::DOUBLE * len(list_filter(
     lines[2:len(lines) - 1], lambda l: NOT regexp_matches(l, '(?i)^\s*(?:%s)') AND regexp_matches(l, '(?s)\S.{19,}\S')))))
   WHEN regexp_matches(answer, '(?i)\b(SELECT|INSERT|UPDATE|DELETE|CREATE TABLE|CREATE INDEX)\b') THEN 0.3::DOUBLE ELSE 0 END
-  FROM (SELECT block, string_split(block, chr(10)) AS lines FROM (SELECT regexp_extract(answer, '(?s)```(?:sql|SQL)\s*\n.*?```') AS block)))""" % STARTS
+  FROM (SELECT block, string_split(block, chr(10)) AS lines FROM (SELECT regexp_extract(answer, '(?s)```(?:sql|SQL)\s*\n.*?```') AS block)))""" % fv.SQL_LINE_START
 STEPS = r"len(list_filter(string_split(answer, chr(10)), lambda l: regexp_matches(l, '(?i)^\s*(\d+\.|step\s+\d+:|\d+\)|\(\d+\))')))"
 NUMBERED = f"CASE WHEN {STEPS} >= 3 THEN 1.0 WHEN {STEPS} >= 1 THEN 0.5 ELSE 0 END"
 SCHEMA = r"""CASE WHEN regexp_matches(answer, '(?i)\bCREATE\s+TABLE\b') THEN least(1.0::DOUBLE, 0.7::DOUBLE
@@ -254,11 +254,14 @@ def _(m):
 PARSED = f"""cleaned AS (SELECT answer_id, {STRIPPED.format('reply')} AS c FROM judge_replies),
 bodies AS (SELECT answer_id, CASE WHEN json_valid(c) THEN c WHEN json_valid(inner_c) THEN inner_c END AS body
   FROM (SELECT *, regexp_extract(c, '(?s)\\{{.*\\}}') AS inner_c FROM cleaned)),
-parsed AS (SELECT answer_id, body IS NULL AS parse_error, coalesce((body->>'score')::DOUBLE, 5) AS judge_score_0_10, body FROM bodies)"""
+parsed AS (SELECT answer_id, parse_error, body,
+  CASE WHEN parse_error THEN 5 ELSE coalesce(TRY_CAST(body->>'score' AS DOUBLE), 5) END AS judge_score_0_10
+  FROM (SELECT *, body IS NULL OR {" OR ".join(f"(body->>'{n}' IS NOT NULL AND TRY_CAST(body->>'{n}' AS DOUBLE) IS NULL)" for n in ("score", *fv.CONCEPTUAL_WEIGHTS))} AS parse_error
+        FROM bodies))"""
 
 
 def judge_field(name):
-    return f"CASE WHEN parse_error THEN 0.5::DOUBLE ELSE coalesce((body->>'{name}')::DOUBLE, judge_score_0_10 / 10) END AS {name}"
+    return f"CASE WHEN parse_error THEN 0.5::DOUBLE ELSE coalesce(TRY_CAST(body->>'{name}' AS DOUBLE), judge_score_0_10 / 10) END AS {name}"
 
 
 JUDGE_FIELDS = ", ".join(judge_field(n) for n in fv.CONCEPTUAL_WEIGHTS)
@@ -279,13 +282,9 @@ s AS (SELECT answer_id, greatest(3.0, 5.0 - least(2.0, 2 * coalesce(severity, 0)
 SELECT answer_id, {rounded('score', 6)} AS judge_score_0_10, {rounded('score / 10', 6)} AS factual_correctness,
   {rounded('greatest(0, (score - 0.5) / 10)', 6)} AS absence_of_contradiction FROM s"""))
 def _(m):
-    from scoreloom.functions import pillars
-    from scoreloom.functions.numbers import report_round
-    from scoreloom.operators.scoring import _severity
-
     unjudged = m.answers().join(m.judge_replies(), "answer_id", "left_anti")
     unjudged, text = at.searchable(unjudged, "answer")
-    score = pillars.fallback_judge_score(_severity(at.automated_findings(text)))
+    score = pillars.fallback_judge_score(scoring.severity(at.automated_findings(text)))
     rows = unjudged.select("answer_id", score.alias("score"))
     fields = answer_scan.fallback_fields(F.col("score"))
     return rows.select(

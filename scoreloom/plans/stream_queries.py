@@ -48,10 +48,17 @@ def _(m):
     return live.stream_leaderboard(scored, new_folder(m.spark, "stream-leaderboard"))
 
 
-@query("stream_run_dedupe", with_marts("runs", "SELECT DISTINCT question_id, model_id, prompt_strategy, hyperparams FROM runs"))
+@query("stream_run_dedupe", with_marts("runs", """
+SELECT run_id, question_id, model_id, prompt_strategy, '{}' AS hyperparams, total_latency_ms, run_timestamp FROM runs
+QUALIFY row_number() OVER (PARTITION BY question_id, model_id, prompt_strategy ORDER BY run_timestamp, run_id) = 1"""))
 def _(m):
-    runs = live.stream_run_dedupe(m.streaming("lineitem").runs(), new_folder(m.spark, "stream-dedupe"))
-    return runs.select("question_id", "model_id", "prompt_strategy", "hyperparams")
+    # one configuration only, so that keys repeat, and files that are not in order of time
+    runs = m.runs().withColumn("hyperparams", F.lit("{}")).select(
+        "run_id", "question_id", "model_id", "prompt_strategy", "hyperparams", "total_latency_ms", "run_timestamp")
+    arrived = new_folder(m.spark, "runs")
+    runs.repartition(6, "run_id").write.parquet(arrived)
+    stream = live.file_stream(m.spark, runs.schema, arrived, per_batch=1)
+    return live.stream_run_dedupe(stream, new_folder(m.spark, "stream-dedupe"))
 
 
 def telemetry(m):
@@ -95,7 +102,8 @@ def _(m):
 def _(m):
     log = m.contest_log()
     arrived = new_folder(m.spark, "contest-log")
-    # whole contests per file
-    log.repartition("contest_id").write.parquet(arrived)
-    stream = live.file_stream(m.spark, log.schema, arrived)
+    # whole contests per file, files in order of time
+    for years in ((1900, 1993), (1994, 1994), (1995, 1996), (1997, 2200)):
+        log.filter(F.year("contest_ts").between(*years)).coalesce(1).write.mode("append").parquet(arrived)
+    stream = live.file_stream(m.spark, log.schema, arrived, per_batch=1)
     return live.stream_elo(stream, new_folder(m.spark, "stream-elo")).drop("contest_ts")

@@ -7,13 +7,12 @@ overwrites what it wrote before.
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from scoreloom.functions.numbers import report_round
-from scoreloom.operators import ratings
+from scoreloom.operators import ingest, ratings
 
 
 def file_stream(spark: SparkSession, schema: StructType, folder: str, files: str = "*", per_batch: int | None = None) -> DataFrame:
@@ -70,11 +69,38 @@ def stream_leaderboard(scored: DataFrame, folder: str) -> DataFrame:
 RUN_KEY = ["question_id", "model_id", "prompt_strategy", "hyperparams"]
 
 
-def stream_run_dedupe(runs: DataFrame, folder: str, delay: str = "7 days") -> DataFrame:
-    """First run of every configuration; a repeat within the delay is dropped."""
-    first = event_time(runs, "run_timestamp").withWatermark("run_timestamp", delay).dropDuplicatesWithinWatermark(RUN_KEY)
-    run_batches(first, _table_writer(f"{folder}/rows"), f"{folder}/checkpoint")
-    return runs.sparkSession.read.parquet(f"{folder}/rows").drop("batch")
+def stream_run_dedupe(runs: DataFrame, folder: str, buckets: int = 64) -> DataFrame:
+    """First run of every configuration, by time and run id, whatever order the runs arrive in.
+
+    A batch stores its first run per key unless an earlier batch stored one that comes before it. Rows are
+    stored under a bucket of the key's hash, and only the buckets of a batch are read
+    again. A late run that comes first is stored beside the later one; the result takes the first of both.
+    No run is dropped for its age, so the store holds a row per key and change.
+    """
+    spark, stored, columns = runs.sparkSession, f"{folder}/rows", runs.columns
+    schema = StructType([*runs.schema.fields, StructField("batch", LongType()), StructField("bucket", LongType())])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first = ingest.dedupe_runs(batch, key=RUN_KEY).withColumn("bucket", F.pmod(F.xxhash64(*RUN_KEY), F.lit(buckets)))
+        if batch_id and exists(spark, stored):
+            known = spark.read.schema(schema).parquet(stored)
+            before = known.filter(F.col("batch") < batch_id).groupBy("bucket", *RUN_KEY).agg(
+                F.min(F.struct("run_timestamp", "run_id")).alias("__kept")
+            )
+            joined = first.join(before, ["bucket", *RUN_KEY], "left")
+            first = joined.filter(
+                F.col("__kept").isNull() | (F.struct("run_timestamp", "run_id") < F.col("__kept"))
+            ).drop("__kept")
+        first.select(*columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{stored}/batch={batch_id}")
+
+    run_batches(runs, write, f"{folder}/checkpoint")
+    rows = spark.read.schema(schema).parquet(stored)
+    return ingest.dedupe_runs(rows.select(*columns), key=RUN_KEY)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def _windowed(stream: DataFrame, window, keys: list[str]) -> DataFrame:
@@ -130,9 +156,8 @@ def stream_elo(log: DataFrame, folder: str, segment_size: int = 50_000) -> DataF
 
 def _ratings_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
     """Ratings of the last batch before this one; a batch starts only after those before it are complete."""
-    try:
-        table = spark.read.parquet(folder)
-    except AnalysisException:  # nothing written yet
+    if not exists(spark, folder):  # nothing written yet
         return None
+    table = spark.read.parquet(folder)
     last = table.filter(F.col("batch") < batch_id).agg(F.max("batch")).first()[0]
     return None if last is None else table.filter(F.col("batch") == last).drop("batch")

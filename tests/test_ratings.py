@@ -69,9 +69,19 @@ def test_very_large_contests_keep_their_rows(spark):
     assert moves == sequential(contests)
 
 
-def test_fold_limit_is_the_point_where_steps_vanish():
-    steps = ratings.FOLD_LIMIT  # opponents in the smallest contest left out of the fold
-    assert 32 / steps < 0.5
+def test_contests_that_cannot_move_a_rating_have_vanishing_steps(spark):
+    rows = spark.range(2, 100).select("id", ratings.can_move(F.col("id")).alias("moves")).collect()
+    assert all(r.moves == (32 / (r.id - 1) >= 0.5) for r in rows)
+
+
+@pytest.mark.parametrize("models", [10, 400])
+def test_every_segment_is_replayed_once(spark, models, monkeypatch):
+    contests = [(0, i, i, [(1, i % models), (2, (i * 7 + 1) % models)]) for i in range(240) if i % models != (i * 7 + 1) % models]
+    parts = []
+    replay = ratings._replayed
+    monkeypatch.setattr(ratings, "_replayed", lambda log, starts: parts.append(log.select("segment").distinct().count()) or replay(log, starts))
+    moves = moves_of(ratings.elo_history(log_of(spark, contests), segment_size=40))
+    assert sum(parts) == -(-len(contests) // 40) and moves == sequential(contests)
 
 
 def test_one_round_equals_the_replay(spark):
