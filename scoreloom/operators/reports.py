@@ -50,8 +50,8 @@ def results_summary(
 
 def page(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
     """One page of a report in a fixed order."""
-    if not (1 <= limit <= 1000 and offset >= 0):
-        raise ValueError("limit must be 1..1000 and offset at least 0")
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be at least 1 and offset at least 0")
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
@@ -60,8 +60,7 @@ def list_questions(
 ) -> DataFrame:
     """One page of the question bank by id, with the total number of matches.
 
-    The total is a separate one-row count joined to the page, so no window runs
-    over all matches.
+    The total is a scalar subquery, so no window runs over all matches and nothing is joined.
     """
     kept = bank
     if topic:
@@ -72,9 +71,7 @@ def list_questions(
         kept = kept.filter(F.col("question_type") == question_type)
     if difficulty:
         kept = kept.filter(F.col("difficulty") == difficulty)
-    one = F.lit(1).alias("__one")
-    total = kept.agg(F.count("*").alias("total")).withColumn("__one", one)
-    return page(kept, ["question_id"], limit, offset).withColumn("__one", one).join(total, "__one").drop("__one")
+    return page(kept, ["question_id"], limit, offset).withColumn("total", kept.agg(F.count("*")).scalar())
 
 
 def model_in_contests(entries: DataFrame, model_id) -> DataFrame:
@@ -131,7 +128,7 @@ def sweep_curve(scored: DataFrame, param: str) -> DataFrame:
             F.count("run_id").alias("run_count"),
         )
     )
-    best = F.max("mean").over(Window.partitionBy("param_name"))
+    best = groups.agg(F.max("mean")).scalar()
     return groups.withColumn("param_name", F.lit(param)).select(
         "param_name", "param_value",
         report_round(F.col("mean"), 2).alias("avg_mcs"),
@@ -198,17 +195,13 @@ def best_worst_topic(scored_topics: DataFrame) -> DataFrame:
 
 def win_rate(entries: DataFrame) -> DataFrame:
     """Contests, wins and win rate per model; only the first listed entry of a contest wins."""
-    winners = (
-        entries.groupBy("contest_id")
-        .agg(F.min_by("model_id", F.struct("placement", "model_id")).alias("model_id"))
-        .groupBy("model_id").agg(F.count("*").alias("contest_wins"))
-    )
-    totals = entries.groupBy("model_id").agg(F.count("*").alias("contest_total"))
-    wins = F.coalesce(F.col("contest_wins"), F.lit(0))
-    return totals.join(winners, "model_id", "left").select(
-        "model_id", "contest_total", wins.alias("contest_wins"),
-        report_round(wins / F.col("contest_total"), 6).alias("win_rate"),
-    )
+    # a contest adds one row without a total for its winner, so both counts come from one grouping
+    winners = entries.groupBy("contest_id").agg(F.min_by("model_id", F.struct("placement", "model_id")).alias("model_id"))
+    counts = entries.select("model_id", F.lit(0).alias("won")).unionByName(winners.select("model_id", F.lit(1).alias("won")))
+    wins, total = F.col("contest_wins"), F.col("contest_total")
+    return counts.groupBy("model_id").agg(
+        F.count_if(F.col("won") == 0).alias("contest_total"), F.count_if(F.col("won") == 1).alias("contest_wins")
+    ).withColumn("win_rate", report_round(wins / total, 6))
 
 
 METRICS = {
@@ -269,11 +262,17 @@ def leaderboard_refresh(scored_topics: DataFrame, entries: DataFrame) -> DataFra
 SORT_AXES = ["mcs_score", "elo_rating", "win_rate", "db_correctness", "llm_quality"]
 
 
-def leaderboard(board: DataFrame, models: DataFrame, sort_by: str = "mcs_score") -> DataFrame:
-    """Leaderboard rows ranked by one axis, nulls last, ties by model."""
-    axis = sort_by if sort_by in SORT_AXES and sort_by in board.columns else "mcs_score"
+def leaderboard(board: DataFrame, models: DataFrame, ratings: DataFrame | None = None, sort_by: str = "mcs_score") -> DataFrame:
+    """Leaderboard rows ranked by one axis, nulls last, ties by model.
+
+    ``ratings`` has model_id and rating; a model without contests has a null elo_rating.
+    """
     rows = board.join(models.select("model_id", "display_name", "provider"), "model_id")
-    return with_row_number(rows, [F.col(axis).desc_nulls_last(), F.col("model_id")], "rank")
+    if ratings is not None:
+        rows = rows.join(ratings.select("model_id", F.col("rating").alias("elo_rating")), "model_id", "left")
+    if sort_by not in SORT_AXES or sort_by not in rows.columns:
+        raise ValueError(f"cannot sort by {sort_by}: the axes are {', '.join(a for a in SORT_AXES if a in rows.columns)}")
+    return with_row_number(rows, [F.col(sort_by).desc_nulls_last(), F.col("model_id")], "rank")
 
 
 def leaderboard_totals(board: DataFrame, entries: DataFrame, runs: DataFrame) -> DataFrame:

@@ -125,9 +125,9 @@ FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title
 NEEDS = {"contest_log": ["contest_entries"]}
 
 
-def with_marts(names: str, body: str) -> str:
+def with_marts(names: str, body: str, recursive: bool = False) -> str:
     """Prefix a query with the marts it reads, given as a space-separated list."""
     ordered = []
     for name in names.split():
         ordered += [n for n in NEEDS.get(name, []) + [name] if n not in ordered]
-    return "WITH " + ",\n".join(f"{n} AS ({MARTS[n]})" for n in ordered) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({MARTS[n]})" for n in ordered) + "\n" + body

@@ -5,10 +5,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from scoreloom.functions.numbers import report_round
-from scoreloom.operators import joins, reports
+from scoreloom.operators import joins, ratings, reports
 from scoreloom.plans.mart_sql import rounded, with_marts
 from scoreloom.plans.marts import Marts
-from scoreloom.session import checkpointed, new_folder
+from scoreloom.plans.rating_queries import REPLAY_CTES, REPLAY_RATINGS
+from scoreloom.session import new_folder
 from scoreloom.sources import files
 
 DEFAULT_HP = '{"temperature": 0.03, "top_p": 0.05}'
@@ -233,7 +234,22 @@ def _(m):
 SELECT b.*, display_name, provider, row_number() OVER (ORDER BY win_rate DESC NULLS LAST, model_id) AS rank
 FROM board b JOIN models USING (model_id)"""))
 def _(m):
-    return reports.leaderboard(board(m), m.models(), "win_rate")
+    return reports.leaderboard(board(m), m.models(), sort_by="win_rate")
+
+
+# the best rating that a model reached in any league
+ELO = f"elo AS (SELECT model_id, max(rating) AS elo_rating FROM ({REPLAY_RATINGS}) GROUP BY model_id)"
+
+
+def best_ratings(m):
+    return ratings.final_ratings(ratings.elo_history(m.contest_log())).groupBy("model_id").agg(F.max("rating").alias("rating"))
+
+
+@query("leaderboard_by_elo", with_marts(BOARD_MARTS + " contest_log", f"""{REPLAY_CTES}{BOARD}, {ELO}
+SELECT b.*, elo_rating, display_name, provider, row_number() OVER (ORDER BY elo_rating DESC NULLS LAST, model_id) AS rank
+FROM board b JOIN models USING (model_id) LEFT JOIN elo USING (model_id)""", recursive=True))
+def _(m):
+    return reports.leaderboard(board(m), m.models(), best_ratings(m), "elo_rating")
 
 
 @query("leaderboard_totals", with_marts(BOARD_MARTS, BOARD + """
@@ -332,31 +348,53 @@ def _(m):
     return reports.audit_counts(m.runs(), m.judge_scores(), DEFAULT_HP)
 
 
-BUNDLE_SQL = with_marts(BOARD_MARTS + " topics", BOARD + f""",
-summary AS (SELECT model_id FROM {STAR} WHERE {DONE} GROUP BY model_id, display_name, subtopic, prompt_strategy),
-per_model AS (SELECT DISTINCT model_id, prompt_strategy FROM runs JOIN judge_scores USING (run_id) WHERE {DONE})
-SELECT 'leaderboard' AS report, count(*) AS rows FROM board UNION ALL SELECT 'results_summary', count(*) FROM summary
-UNION ALL SELECT 'prompts_compare', count(*) FROM per_model UNION ALL SELECT 'full_export', count(*) FROM runs LEFT JOIN judge_scores USING (run_id) WHERE {DONE}
-UNION ALL SELECT 'audit', 7""")
+PARAMS = ["temperature", "top_p"]
+BUNDLE_SQL = with_marts(BOARD_MARTS + " topics contest_log", f"""{REPLAY_CTES}{BOARD}, {ELO},
+summary AS (SELECT {rounded(f'avg({MCS})', 2)} AS v FROM {STAR} WHERE {DONE} GROUP BY model_id, display_name, subtopic, prompt_strategy),
+per_model AS (SELECT {rounded(f'avg({MCS})', 2)} AS v FROM runs JOIN judge_scores USING (run_id) WHERE {DONE} GROUP BY model_id, prompt_strategy),
+params AS (SELECT 'hyperparams_temperature' AS report, {rounded(f'avg({MCS})', 2)} AS v FROM runs JOIN judge_scores USING (run_id) WHERE {DONE} GROUP BY model_id, temperature
+  UNION ALL SELECT 'hyperparams_top_p', {rounded(f'avg({MCS})', 2)} FROM runs JOIN judge_scores USING (run_id) WHERE {DONE} GROUP BY model_id, top_p),
+parts AS (
+  SELECT 'leaderboard' AS report, mcs_score + coalesce(elo_rating, 0) AS v FROM board JOIN models USING (model_id) LEFT JOIN elo USING (model_id)
+  UNION ALL SELECT 'totals', (SELECT count(*) FROM board) + (SELECT count(DISTINCT contest_id) FROM contest_entries) + (SELECT count(*) FROM runs)
+  UNION ALL SELECT 'results_summary', v FROM summary UNION ALL SELECT 'prompts_compare', v FROM per_model UNION ALL SELECT report, v FROM params
+  UNION ALL SELECT 'full_export', total_latency_ms FROM runs LEFT JOIN judge_scores USING (run_id) WHERE {DONE}
+  UNION ALL SELECT 'audit', total FROM (
+    SELECT count(*) AS total FROM (SELECT *, CASE WHEN prompt_strategy <> 'zero-shot' THEN 2 WHEN hyperparams = '{DEFAULT_HP}' THEN 1 ELSE 3 END AS phase FROM runs) GROUP BY phase
+    UNION ALL SELECT count(*) FILTER ({DONE}) FROM (SELECT *, CASE WHEN prompt_strategy <> 'zero-shot' THEN 2 WHEN hyperparams = '{DEFAULT_HP}' THEN 1 ELSE 3 END AS phase FROM runs) GROUP BY phase
+    UNION ALL SELECT count(DISTINCT question_id) FROM runs WHERE prompt_strategy = 'zero-shot'))
+SELECT report, count(*) AS rows, {rounded('sum(v)', 1)} AS total FROM parts GROUP BY report""", recursive=True)
+# The figure of each report that is added up to compare its content.
+BUNDLE_FIGURES = {
+    "leaderboard": "mcs_score + coalesce(elo_rating, 0)", "totals": "total_models + total_contests + total_runs",
+    "results_summary": "avg_mcs", "prompts_compare": "avg_mcs", "hyperparams_temperature": "avg_mcs", "hyperparams_top_p": "avg_mcs",
+    "full_export": "total_latency_ms", "audit": "total",
+}
 
 
 @query("report_bundle", BUNDLE_SQL)
 def _(m):
-    """The report files of a finished benchmark, written and counted again."""
+    """The report files of a finished benchmark, written and read again."""
     models, runs, scores = m.models(), m.runs(), m.judge_scores()
-    # three reports read the joined rows, which are therefore written once
-    shared = checkpointed(star(m).select(
-        "run_id", "model_id", "display_name", "subtopic", "prompt_strategy", "input_tokens", "output_tokens",
-        "format_compliance_score", *reports.METRICS.values()))
-    paths = files.write_report_bundle({
-        "leaderboard": reports.leaderboard(reports.leaderboard_refresh(shared, m.contest_entries()), models),
+    # the reports read the joined rows, which are therefore written once
+    shared = m.spark.read.parquet(files.staged(star(m).select(
+        "run_id", "model_id", "display_name", "subtopic", "prompt_strategy", "hyperparams", "input_tokens", "output_tokens",
+        "format_compliance_score", *reports.METRICS.values()), new_folder(m.spark, "star")))
+    refreshed = reports.leaderboard_refresh(shared, m.contest_entries())
+    bundle = {
+        "leaderboard": reports.leaderboard(refreshed, models, best_ratings(m)),
+        "totals": reports.leaderboard_totals(refreshed, m.contest_entries(), runs),
         "results_summary": reports.results_summary(shared),
         "prompts_compare": reports.prompts_compare(shared),
+        **{f"hyperparams_{p}": reports.hyperparam_compare(shared, p) for p in PARAMS},
         "full_export": joins.export_rows(runs, scores, models, m.questions()),
         "audit": reports.audit_counts(runs, scores, DEFAULT_HP),
-    }, new_folder(m.spark, "reports"))
-    counts = [
-        m.spark.read.text(path).agg(F.count("*").alias("rows")).select(F.lit(name).alias("report"), "rows")
+    }
+    per_model = ["prompts_compare", *(f"hyperparams_{p}" for p in PARAMS)]
+    paths = files.write_report_bundle(bundle, new_folder(m.spark, "reports"), per_model)
+    figures = [
+        m.spark.read.schema(bundle[name].schema).json(path).select(F.lit(name).alias("report"), F.expr(BUNDLE_FIGURES[name]).cast("double").alias("v"))
         for name, path in paths.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), counts)
+    return reduce(lambda a, b: a.unionByName(b), figures).groupBy("report").agg(
+        F.count("*").alias("rows"), report_round(F.sum("v"), 1).alias("total"))

@@ -97,7 +97,7 @@ def _(m):
     return without_zone(live.stream_sessions(telemetry(m), new_folder(m.spark, "stream-sessions"), "2 hours"))
 
 
-@query("stream_elo", REPLAY + """SELECT league, contest_id, v.model_id AS model_id, v.placement::INT AS placement,
+@query("stream_elo", REPLAY + """ SELECT league, contest_id, v.model_id AS model_id, v.placement::INT AS placement,
   v.old_rating AS old_rating, v.new_rating AS new_rating, v.new_rating - v.old_rating AS delta FROM moves""")
 def _(m):
     log = m.contest_log()
