@@ -82,17 +82,20 @@ def _slots(samples: DataFrame, k: int) -> DataFrame:
     """One row per model and question with its k samples side by side.
 
     A sample's index comes from the plan's seeds, so k columns hold all of a
-    group; an index outside the plan is an error, not a dropped row. The grouped
-    maxima are merged before the shuffle, so repeated samples do not pile up.
+    group; an index outside the plan, or one that repeats, is an error, not a dropped row.
     """
     index = F.when(
         (F.col("sample_idx") >= 0) & (F.col("sample_idx") < k), F.col("sample_idx")
     ).otherwise(F.raise_error(F.lit("sample_idx lies outside the plan")))
     rows = samples.withColumn("sample_idx", index).filter(F.coalesce("answer", F.lit("")) != "")
-    return rows.groupBy("model_id", "question_id").agg(*[
-        F.max_by("answer", F.when(F.col("sample_idx") == i, F.col("run_id"))).alias(f"answer_{i}")
-        for i in range(k)
-    ])
+
+    def slot(i):
+        here = F.col("sample_idx") == i
+        return F.when(F.count_if(here) > 1, F.raise_error(F.lit("a sample_idx repeats"))).otherwise(
+            F.max_by("answer", F.when(here, F.lit(1)))
+        )
+
+    return rows.groupBy("model_id", "question_id").agg(*[slot(i).alias(f"answer_{i}") for i in range(k)])
 
 
 def _mean_similarities(slots: DataFrame, k: int) -> DataFrame:

@@ -22,24 +22,28 @@ def sweep_configs(params: list[str]) -> list[dict[str, str]]:
     return [{p: v} for p in params for v in fv.HYPERPARAM_GRID[p] if v != fv.DEFAULT_HYPERPARAMS[p]]
 
 
-def grid(questions: DataFrame, models: list, strategies: list[str], configs: list[dict], phase: str) -> DataFrame:
+CELLS_LIMIT = 100_000
+
+
+def grid(questions: DataFrame, models: DataFrame, strategies: list[str], configs: list[dict], phase: str) -> DataFrame:
     """Questions x models x strategies x configurations.
 
-    Models, strategies and configurations are the lists of the request, so the
-    product is one generator over the question scan, with no join and no shuffle.
+    ``models`` has model_id. Strategies and configurations are the lists of the request. The cells of one
+    question are counted first; a generator over the question scan then makes the product, with no join and no shuffle.
     """
-    rows = [
-        {"model_id": m, "prompt_strategy": s, "hyperparams": config_text(c), "hyperparam_hash": config_digest(c)}
-        for m in models for s in strategies for c in configs
-    ]
-    cells = _literal_rows(rows).cast(
-        f"array<struct<model_id:{'string' if isinstance(models[0], str) else 'bigint'},"
-        "prompt_strategy:string,hyperparams:string,hyperparam_hash:string>>"
+    rows = [{"prompt_strategy": s, "hyperparams": config_text(c), "hyperparam_hash": config_digest(c)} for s in strategies for c in configs]
+    size = models.count() * len(rows)
+    if size > CELLS_LIMIT:
+        raise ValueError(f"{size} cells per question are more than one row should make; plan fewer models at a time")
+    cells = models.select("model_id", F.inline(_literal_rows(rows)))
+    kind = models.schema["model_id"].dataType.simpleString()
+    every = cells.agg(F.sort_array(F.collect_list(F.struct(*cells.columns)))).scalar().cast(
+        f"array<struct<model_id:{kind},prompt_strategy:string,hyperparams:string,hyperparam_hash:string>>"
     )
-    return questions.select(F.lit(phase).alias("phase"), "question_id", F.inline(cells))
+    return questions.select(F.lit(phase).alias("phase"), "question_id", F.inline(every))
 
 
-def experiment_grid(questions: DataFrame, sample: DataFrame, models: list, params: list[str]) -> DataFrame:
+def experiment_grid(questions: DataFrame, sample: DataFrame, models: DataFrame, params: list[str]) -> DataFrame:
     """The three phases: baseline on all, other strategies on a sample, sweeps on all."""
     others = [s for s in fv.STRATEGIES if s != fv.BASELINE_STRATEGY]
     baseline = [fv.BASELINE_STRATEGY]
@@ -118,17 +122,20 @@ def seed_few_shot(questions: DataFrame, stored: DataFrame) -> DataFrame:
 def _first_examples(store: DataFrame, keys: list[str], count: int, name: str) -> DataFrame:
     """The first examples of every key as one short array.
 
-    Spark keeps ``count`` rows per key in each map task (window group limit).
+    Spark keeps ``count`` rows per key in each map task (window group limit). A question stored
+    twice for one strategy would crowd others out, so it is an error.
     """
     example = F.struct(
         "question_id", "prompt_strategy",
         F.col("example_question").alias("question"), F.col("example_answer").alias("answer"),
     )
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("question_id", "prompt_strategy"))
-    return (
-        store.withColumn("__rank", rank).filter(F.col("__rank") <= count)
-        .groupBy(*keys).agg(F.sort_array(F.collect_list(example)).alias(name))
+    found = F.sort_array(F.collect_list(example))
+    stored = F.transform(found, lambda e: F.struct(e["question_id"], e["prompt_strategy"]))
+    once = F.when(F.size(F.array_distinct(stored)) == F.size(stored), found).otherwise(
+        F.raise_error(F.lit("a question is stored twice for one strategy"))
     )
+    return store.withColumn("__rank", rank).filter(F.col("__rank") <= count).groupBy(*keys).agg(once.alias(name))
 
 
 def few_shot_lookup(questions: DataFrame, store: DataFrame, strategy: str = "few-shot", n: int = 3) -> DataFrame:

@@ -51,7 +51,13 @@ def _(m):
 
 # --- grids ------------------------------------------------------------------------------
 
-MODELS = ["first-model", "second-model"]
+# the registry of contestants
+MODELS = "(SELECT r_regionkey::BIGINT AS model_id FROM region)"
+
+
+def contestants(m):
+    return m.raw("region").select(F.col("r_regionkey").cast("long").alias("model_id"))
+
 
 
 def config_sql(overrides):
@@ -62,7 +68,7 @@ def config_sql(overrides):
 def grid_sql(source, strategies, overrides, phase):
     configs = " UNION ALL ".join(f"SELECT {config_sql(o)} AS hyperparams" for o in overrides)
     return f"""SELECT '{phase}' AS phase, question_id, model_id, prompt_strategy, hyperparams, substr(sha256(hyperparams), 1, 16) AS hyperparam_hash
-FROM {source}, (SELECT unnest({MODELS}) AS model_id), (SELECT unnest({strategies}) AS prompt_strategy), ({configs})"""
+FROM {source}, {MODELS}, (SELECT unnest({strategies}) AS prompt_strategy), ({configs})"""
 
 
 OTHERS = [s for s in fv.STRATEGIES if s != "zero-shot"]
@@ -76,7 +82,7 @@ GRID = " UNION ALL ".join([
 @query("experiment_grid", with_marts("questions", GRID))
 def _(m):
     sample = sampling.stratified_sample(m.questions())
-    return planning.experiment_grid(m.questions(), sample, MODELS, ["temperature"])
+    return planning.experiment_grid(m.questions(), sample, contestants(m), ["temperature"])
 
 
 @query("sweep_metadata", with_marts("models", " UNION ALL ".join(
@@ -93,10 +99,10 @@ def _(m):
 
 
 @query("pending_runs", with_marts("questions runs", f"""
-, planned AS (SELECT question_id, m AS model_id, s AS prompt_strategy FROM questions, (SELECT unnest([0, 1, 2]) AS m), (SELECT unnest({fv.STRATEGIES}) AS s))
+, planned AS (SELECT question_id, m AS model_id, s AS prompt_strategy FROM questions, (SELECT model_id AS m FROM {MODELS}), (SELECT unnest({fv.STRATEGIES}) AS s))
 SELECT question_id, model_id::BIGINT AS model_id, prompt_strategy FROM planned ANTI JOIN runs USING (question_id, model_id, prompt_strategy)"""))
 def _(m):
-    planned = planning.grid(m.questions(), [0, 1, 2], fv.STRATEGIES, [{}], "any")
+    planned = planning.grid(m.questions(), contestants(m), fv.STRATEGIES, [{}], "any")
     runs = m.runs().withColumn("hyperparam_hash", hyperparam_hash({}))
     return planning.pending_runs(planned, runs).select("question_id", "model_id", "prompt_strategy")
 
