@@ -18,6 +18,7 @@ def local_session(cores: str = "*", app: str = "scoreloom", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -42,7 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
+    """A fresh path below the shared folder.
+
+    Results are lazy and may read it until the session ends, so the job that owns the shared
+    folder empties it, not the operator.
+    """
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
