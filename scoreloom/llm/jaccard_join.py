@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from scoreloom.llm import text as T
+from scoreloom.llm.bitfilter import likely_among
 from scoreloom.llm.components import component_labels
 from scoreloom.session import new_folder
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100  # a link: DENOMINATOR * shared >= NUMERATOR * union
 SKETCH_BITS = 22
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 STRAGGLERS, MEMBERS = 1000, 2000  # rows of one verification task
 RANGES = 16
 _WEIGHTS = T.mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -145,49 +146,49 @@ def _rare_first(rows: np.ndarray, values: np.ndarray, levels: np.ndarray) -> np.
 
 # --- which sets have enough repeated shingles in their prefix -------------------------------------
 
-BLOCKS = "bucket int, hashes binary, refs binary, h1 binary, h2 binary, sizes binary, counts binary"
-_NONE = np.uint32(0xFFFFFFFF)
+PACKED = "kind int, bucket int, keys binary, values binary"
+PAIRS, COUNTS = 0, 1
 
 
-def _packed(bucket, hashes, refs, h1, h2, sizes, counts):
-    return [bucket, hashes.tobytes(), refs.tobytes(), h1.tobytes(), h2.tobytes(), sizes.tobytes(), counts.tobytes()]
+def _blocks(kind: int, hashed: np.ndarray, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Pairs of numbers as one packed row per bucket of ``hashed``."""
+    bucket = ((hashed.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    keys, values, used = keys[order], values[order], np.flatnonzero(np.diff(edges))
+    parts = [[x[edges[b]: edges[b + 1]].tobytes() for b in used] for x in (keys, values)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * len(used), pa.int32()), pa.array(used, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)],
+        ["kind", "bucket", "keys", "values"],
+    )
+
+
+def _unpacked(table: pa.Table, key_kind, value_kind) -> list[np.ndarray]:
+    return [
+        np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
+        for c, kind in (("keys", key_kind), ("values", value_kind))
+    ]
 
 
 def _prefix_blocks(batches, levels, buckets: int):
-    """Prefix shingles of the task's distinct sets, one block per bucket of hashes and chunk.
+    """(shingle, set) of the prefixes of the task's distinct sets, packed by bucket of shingles.
 
-    A shingle that several sets of a chunk hold is sent once, without a set, and counted for
-    those sets at once: a frequent shingle costs one entry per chunk.
+    Shingles go with 32 bits of their hash beside the bucket and sets with 64 bits of their key, 0 for
+    "several": chance meetings only let a set pass that could go. A shingle that several sets of a
+    chunk hold is sent once and counted for them here, so a frequent one costs one pair per chunk.
     """
     levels, seen, held, tokens = levels.value, set(), [], 0
 
     def flush():
-        h1, h2, sizes = (np.concatenate([x[k] for x in held]) for k in (0, 1, 2))
-        shift = np.cumsum([0] + [len(x[0]) for x in held[:-1]])
-        ref = np.concatenate([x[3] + s for x, s in zip(held, shift)]).astype(np.uint32)
-        values = np.concatenate([x[4] for x in held])
+        sets, values = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(values, kind="stable")
-        values, ref = values[order], ref[order]
+        sets, values = sets[order], values[order]
         first = np.flatnonzero(np.diff(values, prepend=~values[:1]) != 0)
         times = np.diff(np.append(first, len(values)))
-        often = np.repeat(times > 1, times)
-        known = np.bincount(ref[often], minlength=len(h1))
-        out, used, empty = [], np.flatnonzero(known), np.zeros(0, np.uint32)
-        if len(used):
-            out.append(_packed(int(used[0]) % buckets, empty, empty, h1[used], h2[used], sizes[used], known[used]))
-        values, ref = values[first], np.where(times > 1, _NONE, ref[first])
-        bucket = ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            part = ref[edges[b]: edges[b + 1]]
-            single = part != _NONE
-            local, inverse = np.unique(part[single], return_inverse=True)
-            refs = np.full(len(part), _NONE)
-            refs[single] = inverse
-            out.append(_packed(int(b), values[edges[b]: edges[b + 1]], refs, h1[local], h2[local], sizes[local], empty))
-        kinds = [pa.int32()] + [pa.binary()] * 6
-        names = [x.split()[0] for x in BLOCKS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        known, count = np.unique(sets[np.repeat(times > 1, times)], return_counts=True)
+        values, sets = values[first], np.where(times > 1, 0, sets[first])
+        return [_blocks(PAIRS, values, values.astype(np.uint32), sets, buckets),
+                _blocks(COUNTS, known, known, count.astype(np.int32), buckets)]
 
     for batch in batches:
         for n, rows, values in shingles(batch.column(0)):
@@ -203,43 +204,43 @@ def _prefix_blocks(batches, levels, buckets: int):
             place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
             reach = size - least_overlap(size) + _extra(size)
             chosen = fresh[rows] & (place < reach[rows])
-            number = np.cumsum(fresh) - 1
-            held.append((h1[fresh], h2[fresh], size[fresh], number[rows[chosen]], values[chosen]))
+            held.append((h1[rows[chosen]], values[chosen]))
             tokens += int(chosen.sum())
             if tokens >= CHUNK_TOKENS:
-                yield flush()
+                yield from flush()
                 held, tokens = [], 0
     if tokens:
-        yield flush()
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of one bucket: how many of its shingles each set shares with other sets."""
-    column = {c: table[c].to_pylist() for c in table.column_names if c != "bucket"}
-    read = lambda c, kind: [np.frombuffer(x, kind) for x in column[c]]
-    h1s, h2s, sizes, counts = read("h1", np.int64), read("h2", np.int64), read("sizes", np.int64), read("counts", np.int64)
-    hashes, refs = read("hashes", np.uint64), read("refs", np.uint32)
-    out = [(a, b, s, c) for a, b, s, c in zip(h1s, h2s, sizes, counts) if len(c)]
-    shift = np.cumsum([0] + [len(x) for x in h1s[:-1]])
-    h1, h2, size = np.concatenate(h1s), np.concatenate(h2s), np.concatenate(sizes)
-    values = np.concatenate(hashes)
-    ref = np.concatenate([np.where(r == _NONE, -1, r.astype(np.int64) + s) for r, s in zip(refs, shift)])
-    if len(values):
-        # a row without a set stands for two other sets
-        a, b = np.where(ref >= 0, h1[ref], 0), np.where(ref >= 0, h2[ref], 0)
-        order = np.lexsort((b, a, ref >= 0, values))
-        values, ref, a, b = values[order], ref[order], a[order], b[order]
-        opens = np.flatnonzero(np.diff(values, prepend=~values[:1]) != 0)
-        length = np.diff(np.append(opens, len(values)))
-        change = np.zeros(len(values), bool)
-        change[1:] = (values[1:] == values[:-1]) & ((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | ((ref[1:] >= 0) != (ref[:-1] >= 0)))
-        shared = np.repeat(np.add.reduceat(change.astype(np.int64), opens) > 0, length)
-        once = np.ones(len(values), bool)  # copies of a set in several tasks count once
-        once[1:] = change[1:] | (values[1:] != values[:-1])
-        used, count = np.unique(ref[shared & once & (ref >= 0)], return_counts=True)
-        out.append((h1[used], h2[used], size[used], count))
-    columns = [np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(4)]
-    return pa.table(dict(zip(["h1", "h2", "n", "shared"], [pa.array(c.astype(np.int64)) for c in columns])))
+        yield from flush()
+
+
+def _shared_in(buckets: int):
+    """Of one bucket of shingles: how many of them each set shares with other sets; counts pass through."""
+
+    def shared_counts(table: pa.Table) -> pa.Table:
+        pairs = table.filter(pa.compute.equal(table["kind"], PAIRS))
+        known, count = _unpacked(table.filter(pa.compute.equal(table["kind"], COUNTS)), np.int64, np.int32) if len(pairs) < len(table) else [
+            np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        if len(pairs):
+            shingle, sets = _unpacked(pairs, np.uint32, np.int64)
+            order = np.lexsort((sets, shingle))
+            shingle, sets = shingle[order], sets[order]
+            opens = np.diff(shingle, prepend=~shingle[:1]) != 0
+            other = np.zeros(len(sets), bool)  # copies of a set in several tasks are one set
+            other[1:] = ~opens[1:] & (sets[1:] != sets[:-1])
+            first = np.flatnonzero(opens)
+            several = np.add.reduceat((other | (opens & (sets == 0))).astype(np.int64), first) > 0
+            shared = np.repeat(several, np.diff(np.append(first, len(sets))))
+            used, times = np.unique(sets[shared & (opens | other) & (sets != 0)], return_counts=True)
+            known, count = np.concatenate([known, used]), np.concatenate([count, times.astype(np.int32)])
+        return pa.Table.from_batches([_blocks(COUNTS, known, known, count, buckets)])
+
+    return shared_counts
+
+
+def _summed_counts(table: pa.Table) -> pa.Table:
+    sets, count = _unpacked(table, np.int64, np.int32)
+    sets, at = np.unique(sets, return_inverse=True)
+    return pa.table({"h1": pa.array(sets), "shared": pa.array(np.bincount(at, count, len(sets)).astype(np.int64))})
 
 
 # --- sets and verification -----------------------------------------------------------------------
@@ -376,20 +377,20 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """
     spark = docs.sparkSession
     context = spark.sparkContext
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = rows.where(F.col("text").isNotNull())
     sets = _staged(rows.select("id", set_key("text").alias("k")).select("id", "k.n", "k.h1", "k.h2"), "sets")
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     levels = context.broadcast(sketch(texts.select("text"), _text_hashes))
 
-    blocks = texts.select("text").mapInArrow(lambda it: _prefix_blocks(it, levels, buckets), BLOCKS)
-    counted = blocks.groupBy("bucket").applyInArrow(_repeated, "h1 bigint, h2 bigint, n bigint, shared bigint")
-    able = counted.groupBy("h1", "h2").agg(F.sum("shared").alias("shared"), F.first("n").alias("n")).where(
-        F.col("shared") >= F.greatest(F.floor(F.col("n") / 10), F.lit(1))
+    blocks = texts.select("text").mapInArrow(lambda it: _prefix_blocks(it, levels, buckets), PACKED)
+    shared = blocks.groupBy("bucket").applyInArrow(_shared_in(buckets), PACKED).groupBy("bucket").applyInArrow(
+        _summed_counts, "h1 bigint, shared bigint"
     )
+    able = classes.join(shared, "h1").where(F.col("shared") >= F.greatest(F.floor(F.col("n") / 10), F.lit(1)))
     survivors = _staged(
-        able.join(classes.drop("n"), ["h1", "h2"]).select(
+        able.select(
             "id", F.xxhash64("id").alias("draw"),
             # first the sets of which the largest part is shared: they link to most others
             (F.floor(F.least(F.col("shared") / F.col("n"), F.lit(1.0)) * 0x7FFF) * (1 << 47)
@@ -483,5 +484,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows without shingles and rows with a null id stay; of rows that repeat an id, all stay or all go.
     """
     found = near_duplicates(docs, id_col, text_col)
-    goes = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(goes, docs[id_col] == goes["__gone"], "left_anti")
+    goes = _staged(
+        found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct(), "gone"
+    )
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    marked = likely_among(row, F.when(F.col("id").isNotNull(), F.xxhash64("id")), goes.select(F.xxhash64("gone").alias("key")))
+    # only rows that may go are shuffled
+    checked = marked.where("likely").join(goes, F.col("id") == F.col("gone"), "left_anti")
+    return marked.where("NOT likely").unionByName(checked).select(*[F.col("row")[c].alias(c) for c in docs.columns])
