@@ -1,11 +1,14 @@
 """Accuracy goldens, skewed groups, sources, sinks and streams."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import accuracy, ingest, joins, ordering, planning, sampling, scoring
+from scoreloom.operators import (
+    accuracy, answer_scan, ingest, joins, ordering, planning, ratings, reports, sampling, scoring, verdicts,
+)
 from scoreloom.plans import report_queries
 from scoreloom.plans.marts import Marts
 from scoreloom.session import new_folder
@@ -216,3 +219,63 @@ def test_default_configuration_wins_as_baseline(spark):
     df = spark.createDataFrame(rows, "run_id string, hyperparams string, master_composite_score double").withColumns({
         "question_id": F.lit(1), "model_id": F.lit(1), "prompt_strategy": F.lit("zero-shot")})
     assert joins.baseline(df, report_queries.DEFAULT_HP).first().baseline_mcs == 2.0
+
+
+def test_values_compare_by_their_form(spark):
+    same = [("5", "5.0"), ("-0", "0"), ("1.50", "1.5"), ("1.0E7", "10000000"), (None, None), ("a", "a")]
+    differ = [("0123", "123"), ("1d", "1"), ("9007199254740993", "9007199254740992"), ("", None), ("1", "1f"), ("01", "1")]
+    for pairs, f1 in ((same, 1.0), (differ, 0.0)):
+        returned = spark.createDataFrame([(k, {"v": a}) for k, (a, _) in enumerate(pairs)], "case_id int, row map<string,string>")
+        expected = spark.createDataFrame([(k, {"v": b}) for k, (_, b) in enumerate(pairs)], "case_id int, row map<string,string>")
+        for by_values in (False, True):
+            assert {r.f1 for r in accuracy.result_set_f1(returned, expected, by_values).collect()} == {f1}
+
+
+@pytest.mark.parametrize("entrants", [1, 70, 500])
+def test_contest_prompt_of_any_size(spark, entrants):
+    entries = spark.createDataFrame([(1, m, entrants, f"answer {m}") for m in range(entrants)], "contest_id int, model_id int, entrants int, answer string")
+    parts = planning.contest_prompts(ratings.anonymise_contest(entries), F.lit("What?"), F.lit(None).cast("string")).orderBy("part").collect()
+    prompt = "".join(r.text for r in parts)
+    assert [r.part for r in parts] == list(range(entrants + 2)) and "%s" not in prompt
+    assert all(f"answer {m}\n" in prompt + "\n" for m in range(entrants)) and f"Rank all {entrants} answers" in prompt
+
+
+def test_bad_fields_are_unreadable_replies(spark):
+    replies = ['{"score": "8/10"}', '{"score": 7, "completeness": "high"}', '{"score": 7}', "x", None]
+    rows = answer_scan.parse_judge_replies(spark.createDataFrame([(k, r) for k, r in enumerate(replies)], "answer_id int, reply string"))
+    assert [(r.parse_error, r.judge_score_0_10) for r in rows.orderBy("answer_id").collect()] == [
+        (True, 5.0), (True, 5.0), (False, 7.0), (True, 5.0), (True, 5.0)]
+
+
+def test_verdicts_are_decoded(spark):
+    reply = ('```json\n{"reasoning": "r", "rankings": [{"label": "B", "placement": 2}, {"label": "A", "placement": "1", "justification": "j"},'
+             ' {"label": "C"}, {"label": "Z", "placement": 1}], "ties": [["A", "B"], "no list"]}\n```')
+    labels = spark.createDataFrame([(1, "A", 10), (1, "B", 20), (1, "C", 30), (2, "A", 10)], "contest_id int, label string, model_id int")
+    parsed = verdicts.parse_contest_replies(spark.createDataFrame([(1, reply.replace(', "no list"', "")), (2, "sorry")], "contest_id int, reply string"))
+    found = {r.contest_id: r for r in verdicts.contest_results(parsed, labels).collect()}
+    assert found[1].ranked_model_ids == ["10", "Z", "20", "30"] and found[1].tie_model_ids == ["10", "20"]
+    assert found[1].anonymized_map == {"A": "10", "B": "20", "C": "30"} and found[1].tie_exists and found[1].judge_reasoning == "r"
+    assert found[2].parse_error and found[2].ranked_model_ids == [] and found[2].tie_model_ids is None
+    entries = verdicts.contest_entries(verdicts.contest_placements(parsed, labels), spark.createDataFrame([(1, 5), (2, 6)], "contest_id int, contest_ts int"))
+    assert {(r.model_id, r.placement, r.entrants) for r in entries.collect()} == {(10, 1, 3), (20, 2, 3), (30, 99, 3)}
+
+
+def test_run_stream_keeps_the_first_of_each_key_in_any_order(spark):
+    rows = [(f"r{k}", k % 5, 1, "cot", "{}", datetime(2024, 1, 1) + timedelta(days=(k * 37) % 100)) for k in range(60)]
+    runs = spark.createDataFrame(rows, "run_id string, question_id int, model_id int, prompt_strategy string, hyperparams string, run_timestamp timestamp")
+    want = {r.run_id for r in ingest.dedupe_runs(runs, key=live.RUN_KEY).collect()}
+    for seed in (1, 2):
+        arrived = new_folder(spark, "runs")
+        for part in range(5):
+            runs.filter(F.pmod(F.xxhash64("run_id", F.lit(seed)), F.lit(5)) == part).coalesce(1).write.mode("append").parquet(arrived)
+        stream = live.file_stream(spark, runs.schema, arrived, per_batch=1)
+        assert {r.run_id for r in live.stream_run_dedupe(stream, new_folder(spark, "first")).collect()} == want
+
+
+def test_unknown_axis_is_an_error(spark):
+    board = spark.createDataFrame([(1, 2.0)], "model_id int, mcs_score double")
+    models = spark.createDataFrame([(1, "m", "p")], "model_id int, display_name string, provider string")
+    with pytest.raises(ValueError):
+        reports.leaderboard(board, models, sort_by="elo_rating")
+    given = spark.createDataFrame([(1, 1300)], "model_id int, rating int")
+    assert reports.leaderboard(board, models, given, "elo_rating").first().elo_rating == 1300
