@@ -61,19 +61,27 @@ def template_bigrams(templates=None) -> list[tuple[str, list[str]]]:
     return out
 
 
-def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "))
+def _units(text: Column) -> Column:
+    """Lines, and blocks of several lines between lines without words, as words one space apart."""
+    clean = F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9\n]+", " ")
+
+    def both(t):
+        blocks = F.filter(F.split(t, r"\n[ \n]*\n"), lambda b: b.contains("\n"))
+        return F.concat(F.split(t, "\n"), F.transform(blocks, lambda b: F.regexp_replace(b, r"[ \n]+", " ")))
+
+    # through one-element arrays, the text and then each unit are cleaned once
+    return F.transform(F.flatten(F.transform(F.array(clean), both)), lambda u: F.trim(u))
 
 
 def _bigrams(words: Column) -> Column:
     n = F.size(words) - 1
-    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def license_matches(docs: DataFrame, templates=None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, unit, license, dice): pieces of text that match a template.
 
-    A piece is a line, or a block of several lines between blank ones. With a and b distinct word bigrams, Dice
+    A piece is a line, or a block of several lines between lines without words. With a and b distinct word bigrams, Dice
     is 2 * shared / (a + b), so only templates with a / b between least / (2 - least) and its inverse are
     candidates; pieces whose bigrams hold too few of any template's are left out before that.
     """
@@ -82,16 +90,16 @@ def license_matches(docs: DataFrame, templates=None, least: float = LEAST, id_co
     sizes = [len(p) for _, p in known] or [0]
     fewest, lowest, highest = min(sizes), ratio * min(sizes), max(sizes) / ratio
     every = sorted({p for _, pairs in known for p in pairs})
-    text = F.col(text_col)
-    blocks = F.filter(F.split(text, r"\n[\x20\x09-\x0D]*\n"), lambda b: b.contains("\n"))
-    pieces = docs.select(F.col(id_col).alias("id"), F.explode(F.concat(F.split(text, "\n"), blocks)).alias("piece")).select(
-        "id", normalised(F.col("piece")).alias("words")
-    )
+    units = docs.select(F.col(id_col).alias("id"), F.explode(_units(F.col(text_col))).alias("words"))
     # n words have at most n - 1 distinct bigrams
-    long_enough = pieces.where(F.length("words") - F.length(F.replace("words", F.lit(" "))) >= lowest)
-    sized = long_enough.select("id", "words", _bigrams(F.split("words", " ")).alias("pairs")).select(
-        "id", "words", F.size("pairs").alias("n"), F.filter("pairs", lambda p: p.isin(every)).alias("shared")
-    ).where(F.col("n").between(lowest, highest) & (F.size("shared") >= least * (F.col("n") + fewest) / 2))
+    spaces = F.length("words") - F.length(F.replace("words", F.lit(" ")))
+    paired = units.where(spaces >= lowest).select("id", "words", F.explode(F.array(_bigrams(F.split("words", " ")))).alias("pairs"))
+    hit = paired.select("id", "words", "pairs", F.explode(F.array(F.filter("pairs", lambda p: p.isin(every)))).alias("hits")).where(
+        F.size("hits") >= least * fewest / 2
+    )
+    sized = hit.select("id", "words", F.size(F.array_distinct("pairs")).alias("n"), F.array_distinct("hits").alias("shared")).where(
+        F.col("n").between(lowest, highest) & (F.size("shared") >= least * (F.col("n") + fewest) / 2)
+    )
     table = F.array(*[
         F.struct(F.lit(name).alias("license"), F.lit(len(pairs)).alias("size"), F.array(*[F.lit(p) for p in pairs]).alias("pairs"))
         for name, pairs in known

@@ -263,13 +263,13 @@ _TEMPLATE_ROWS = ", ".join(
 )
 SQL["op8_license_scan"] = rf"""
 WITH templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) t(license, pairs)),
+clean AS (
+  SELECT doc_id, regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\n]+', ' ', 'g') AS t FROM documents),
 pieces AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS piece FROM documents
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS piece FROM clean
   UNION ALL
-  SELECT doc_id, piece FROM (SELECT doc_id, unnest(string_split_regex(text, '\n[\x20\x09-\x0D]*\n')) AS piece FROM documents)
-  WHERE contains(piece, chr(10))),
-words AS (
-  SELECT doc_id, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM pieces),
+  SELECT doc_id, piece FROM (SELECT doc_id, unnest(string_split_regex(t, '\n[ \n]*\n')) AS piece FROM clean) WHERE contains(piece, chr(10))),
+words AS (SELECT doc_id, regexp_extract_all(piece, '[a-z0-9]+') AS w FROM pieces),
 pairs AS (
   SELECT doc_id, array_to_string(w, ' ') AS unit, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS mine
   FROM words WHERE len(w) >= 2),
