@@ -3,10 +3,10 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm.bitfilter import likely_among
 from scoreloom.session import new_folder
 
 VARIABLE = "<*>"
-FILTER_BITS = 24
 
 
 def _staged(df: DataFrame, name: str) -> DataFrame:
@@ -15,31 +15,15 @@ def _staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def masked(line: Column) -> Column:
-    """Tokens split by one space, tokens with a digit replaced by the variable mark."""
-    clean = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(clean.rlike("[0-9]"), F.regexp_replace(clean, r"[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(clean)
+def masked(text: Column) -> Column:
+    """Text with blanks inside lines as one space and tokens that hold a digit as the variable mark."""
+    clean = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")
+    # a token starts after a blank or line break; the possessive run keeps the search linear
+    return F.regexp_replace(clean, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", VARIABLE)
 
 
-def _cell(leaf: Column) -> Column:
-    return F.pmod(F.xxhash64(leaf), F.lit(1 << FILTER_BITS))
-
-
-def _in_busy_leaves(lines: DataFrame, busy: DataFrame) -> DataFrame:
-    """Lines of the busy leaves. A bit filter of fixed size, 2 ** FILTER_BITS bits as rows of 4 KiB, keeps
-    most other lines from the shuffle of the exact join; it is broadcast and its size is bound by its shape."""
-    cell = busy.select(_cell(F.col("leaf")).alias("cell"))
-    bits = cell.groupBy(F.shiftright("cell", 15).alias("row")).agg(
-        F.expr("bitmap_construct_agg(cell & 32767)").alias("bits")
-    )
-    at = F.col("cell").bitwiseAND(F.lit(32767))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast((cell & 32767) >> 3 AS int) + 1, 1)")), 16, 10).cast("int")
-    likely = (
-        lines.withColumn("cell", _cell(F.col("leaf"))).withColumn("row", F.shiftright("cell", 15))
-        .join(F.broadcast(bits), "row").where(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1)
-        .drop("row", "cell", "bits")
-    )
-    return likely.join(busy, "leaf", "left_semi")
+def _tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
 
 
 def recurring_lines(
@@ -53,41 +37,48 @@ def recurring_lines(
     place, and variable otherwise; a line's template is its tokens with the variable ones masked, if at least
     ``least_constant`` of them are constant, and the line itself if not. A template of ``min_docs`` or more documents
     recurs; every line of it goes but the first by id and place. Lines of fewer than ``min_tokens`` tokens stay.
+
+    Leaves and tokens go by 64-bit hashes, lines and templates by 128 bits; texts are sent only for the distinct
+    lines of leaves that ``min_docs`` documents reach.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")
-    ).select("id", "pos", masked(F.col("line")).alias("line"))
-    lead = F.substring_index("line", " ", depth)
-    counted = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
-    lines = counted.where((F.col("n") >= min_tokens) & (F.col("line") != "")).select(
-        "id", "pos", "line", F.concat_ws(" ", F.col("n").cast("string"), lead).alias("leaf")
+    # the generator makes each line's fields once; later steps read them as they are
+    fields = F.transform(F.split(masked(F.col(text_col)), "\n"), lambda x: F.struct(F.trim(x).alias("line"), _tokens(F.trim(x)).alias("n")))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(fields).alias("pos", "x"))
+    lines = rows.where((F.col("x.n") >= min_tokens) & (F.col("x.line") != "")).select(
+        "id", "pos", "x.line", F.xxhash64("x.n", F.substring_index("x.line", " ", depth)).alias("leaf")
     )
     busy = _staged(
-        lines.select(F.xxhash64("leaf").alias("key"), "leaf", "id").dropDuplicates(["key", "id"])
-        .groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "leaves",
+        lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
+        .where(F.col("docs") >= min_docs).select("leaf"), "leaves",
+    )
+    inside = _staged(
+        # the filter keeps most other lines from the shuffle of the exact join
+        likely_among(lines, F.col("leaf"), busy.select(F.col("leaf").alias("key"))).where("likely").drop("likely")
+        .join(busy, "leaf", "left_semi").withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(1), "line")), "lines"
     )
-    inside = _staged(_in_busy_leaves(lines, busy), "lines")
-    distinct = inside.select("leaf", "line", "id").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"))
-    tokens = distinct.select("leaf", "line", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).where(
-        (F.col("support") >= min_docs) & (F.col("token") != VARIABLE)
-    ).select("leaf", "at", "token", F.lit(True).alias("constant"))
-    placed = tokens.join(constant, ["leaf", "at", "token"], "left").select(
-        "leaf", "line", F.struct("at", F.when(F.col("constant"), F.col("token")).otherwise(VARIABLE).alias("token")).alias("part"),
-        F.coalesce(F.col("constant"), F.lit(False)).alias("constant"),
+    line = ["leaf", "a", "b"]
+    in_docs = inside.select(*line, "id").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("docs"))
+    texts = inside.groupBy(*line).agg(F.first("line").alias("line"))
+    tokens = texts.join(in_docs, line).select(*line, "docs", F.posexplode(F.split("line", " ")).alias("at", "token")).select(
+        *line, "docs", "at", F.when(F.col("token") != VARIABLE, F.xxhash64("token")).alias("token")
     )
-    # as many parts as a line has tokens
-    shapes = placed.groupBy("leaf", "line").agg(
-        F.array_sort(F.collect_list("part")).alias("parts"), F.avg(F.col("constant").cast("int")).alias("share")
-    ).select(
-        "leaf", "line", F.when(F.col("share") >= least_constant, F.array_join("parts.token", " ")).otherwise(F.col("line")).alias("template"),
+    constant = tokens.where("token IS NOT NULL").groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).where(
+        F.col("support") >= min_docs
+    ).select("leaf", "at", "token", F.lit(1).alias("constant"))
+    placed = tokens.drop("docs").join(constant, ["leaf", "at", "token"], "left")
+    # a template is the set of its constant (place, token) pairs; the leaf has its length
+    shapes = placed.groupBy(*line).agg(
+        F.avg(F.coalesce("constant", F.lit(0))).alias("share"),
+        *[F.bit_xor(F.when(F.col("constant") == 1, F.xxhash64(F.lit(k), "at", "token"))).alias(f"x{k}") for k in (0, 1)],
+    ).select(*line, (F.col("share") >= least_constant).alias("general"), "x0", "x1").select(
+        *line, "general", *[F.when(F.col("general"), F.col(x)).otherwise(F.col(c)).alias(c2) for x, c, c2 in (("x0", "a", "p"), ("x1", "b", "q"))]
     )
-    shaped = inside.join(shapes, ["leaf", "line"]).select("id", "pos", "leaf", "template")
-    key = ["leaf", "template"]
-    in_docs = shaped.select(*key, "id").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("docs"))
-    first = shaped.groupBy(*key).agg(F.min(F.struct("id", "pos")).alias("first"))
-    gone = in_docs.where(F.col("docs") >= min_docs).join(first, key).select(*key, "first")
-    return shaped.join(gone, key).where(F.struct("id", "pos") != F.col("first")).select("id", "pos")
+    shaped = inside.select("id", "pos", *line).join(shapes, line).select("id", "pos", "leaf", "general", "p", "q")
+    key = ["leaf", "general", "p", "q"]
+    per_doc = shaped.groupBy(*key, "id").agg(F.min("pos").alias("pos"))
+    many = per_doc.groupBy(*key).agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first_id")).where(F.col("docs") >= min_docs)
+    gone = many.join(per_doc.withColumnsRenamed({"id": "first_id", "pos": "first_pos"}), [*key, "first_id"]).select(*key, "first_id", "first_pos")
+    return shaped.join(gone, key).where((F.col("id") != F.col("first_id")) | (F.col("pos") != F.col("first_pos"))).select("id", "pos")
 
 
 def drop_recurring_lines(
@@ -97,26 +88,26 @@ def drop_recurring_lines(
     """All rows, with the lines of recurring templates dropped from the text (see ``recurring_lines``).
 
     Other columns stay; ``n_lines`` and ``n_dropped`` are added and replace input columns of these names.
-    Whole texts cross one shuffle, by id.
+    Texts of documents that may have lines to drop cross one shuffle, by id; the others stay where they are.
 
     Defined results: null text has no lines and stays null; empty text is one empty line; rows with a null id
     stay as they are and count for no template; rows that repeat an id count as one document, and lines
     dropped from one at a place are dropped from all at that place.
     """
     dropped = recurring_lines(docs, min_docs, depth, min_tokens, least_constant, id_col, text_col)
-    per_doc = dropped.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))
+    per_doc = _staged(dropped.groupBy("id").agg(F.collect_set("pos").alias("gone")), "dropped")
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    split = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("__key"), F.split(F.col(text_col), "\n").alias("lines"))
-    joined = split.join(per_doc, split["__key"] == per_doc["__id"], "left")
+    split = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("key"), F.split(F.col(text_col), "\n").alias("lines"))
+    marked = likely_among(split, F.when(F.col("key").isNotNull(), F.xxhash64("key")), per_doc.select(F.xxhash64("id").alias("key")))
+    untouched = marked.where("NOT likely").withColumn("gone", F.lit(None).cast("array<int>"))
+    checked = marked.where("likely").join(per_doc, F.col("key") == F.col("id"), "left").drop("id")
+    joined = untouched.unionByName(checked)
     every = F.sequence(F.lit(0), F.size("lines") - 1)
-    inside = F.array_except(every, F.array_intersect(every, "__gone"))
-    kept = F.when(F.col("__gone").isNull(), F.col("lines")).otherwise(
-        F.transform(inside, lambda i: F.get(F.col("lines"), i))
-    )
+    inside = F.array_except(every, "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(inside, lambda i: F.get(F.col("lines"), i)))
     text = F.when(F.col("lines").isNotNull(), F.array_join(kept, "\n")).alias(text_col)
     return joined.select(
         *[text if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c in others or c == text_col],
         F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
-        F.when(F.col("__gone").isNull() | F.col("lines").isNull(), F.lit(0)).otherwise(
-            F.size("lines") - F.size(inside)).alias("n_dropped"),
+        F.when(F.col("gone").isNull() | F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size(inside)).alias("n_dropped"),
     )
