@@ -62,18 +62,21 @@ def fit(rows, landmarks: int, ridge: float) -> Model | None:
         return None
     lang = np.array(rows["lang"].to_pylist())
     langs = sorted(set(lang.tolist()))
-    x = np.concatenate(list(presence(rows["text"].combine_chunks())))
+    texts = rows["text"].combine_chunks()
     # landmarks: rows of all languages in turn, the table being in order of (turn, lang)
-    points = x[:landmarks].astype(np.float64)
-    values, vectors = np.linalg.eigh(points @ points.T)
-    good = values > values[-1] * 1e-7
-    to_map = points.T @ (vectors[:, good] / np.sqrt(values[good]))  # slots -> Nyström features
-    z = np.hstack([x @ to_map, np.ones((len(x), 1))])
+    points = np.concatenate(list(presence(texts[:landmarks], 64)))
+    values, vectors = np.linalg.eigh((points @ points.T).astype(np.float64))
+    good = values > values[-1] * 1e-5
+    to_map = points.T @ (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)  # slots -> Nyström features
+    del points
+    # the gram rows of the sample are made and mapped a few at a time
+    z = np.concatenate([x @ to_map for x in presence(texts, 64)]).astype(np.float64)
+    z = np.hstack([z, np.ones((len(z), 1))])
     share = np.array([1.0 / (lang == s).sum() for s in lang])[:, None]
     target = np.where(lang[:, None] == np.array(langs)[None, :], 1.0, -1.0)
     inner = z.T @ (z * share) + ridge * np.diag([1.0] * (z.shape[1] - 1) + [0.0])
     beta = np.linalg.solve(inner + 1e-9 * np.eye(len(inner)), z.T @ (target * share))
-    weights = np.vstack([to_map @ beta[:-1], beta[-1:]]).astype(np.float32)
+    weights = np.vstack([to_map @ beta[:-1].astype(np.float32), beta[-1:].astype(np.float32)])
     margin = z @ beta
     # sharpness: the softmax that fits the training rows best, on a fixed grid
     best = min((1.0, 2.0, 3.0, 4.0, 6.0, 8.0), key=lambda s: _loss(margin * s, target, share))
