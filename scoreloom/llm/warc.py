@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from scoreloom.session import new_folder
+
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -216,6 +218,10 @@ def assemble(records: DataFrame) -> DataFrame:
     request or metadata has nulls there.
     Returns record_id, response, request, metadata (structs), requests, metadata_records.
     """
+    # every step below reads the records again, so archives are parsed once into a table
+    staged = new_folder(records.sparkSession, "records")
+    records.write.parquet(staged)
+    records = records.sparkSession.read.schema(records.schema).parquet(staged)
     first = records.where("record_id IS NOT NULL").withColumn("at", F.struct("file", "place"))
     once = first.groupBy("record_id", "kind").agg(F.min("at").alias("at"))
     unique = first.join(once, ["record_id", "kind", "at"])
