@@ -61,12 +61,17 @@ def mix_counts(
     table gives no rows. The same rows and seed give the same copies.
     Returns doc_id (named ``id_col``), size, source_size, target, copies, taken.
     """
+    return _counted(docs, [], weights, most, seed, id_col, text_col, source_col).withColumnRenamed("id", id_col)
+
+
+def _counted(docs: DataFrame, carried: list[Column], weights, most: int, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The counts of ``mix_counts`` (with the id as ``id``) and, beside them, the carried columns of the same row."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     bits = F.bin("size")
     sized = (
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("draw"),
+            F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("draw"), F.xxhash64(text_col).alias("body"), *carried,
         )
         .withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
         .withColumn("class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 5)))
@@ -86,7 +91,7 @@ def mix_counts(
         .join(targets, "key").select(*cell, "ahead", "source_size", "target")
     )
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), 1, 6), 16, 10).cast("double") / (1 << 24)
-    in_cell = Window.partitionBy(*cell).orderBy("draw", F.col("id").asc_nulls_last(), "size")
+    in_cell = Window.partitionBy(*cell).orderBy("draw", F.col("id").asc_nulls_last(), "size", "body")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
         sized.join(placed, cell)
@@ -98,8 +103,8 @@ def mix_counts(
             - F.floor(F.col("rate") * (F.col("step") - 1) + F.col("offset")),
         )
         .select(
-            F.col("id").alias(id_col), "size", "source_size", "target", "copies",
-            (F.col("copies") * F.col("size")).alias("taken"),
+            "id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+            *[c for c in sized.columns if c == "row"],
         )
     )
 
@@ -110,12 +115,11 @@ def emit_mix(
 ) -> DataFrame:
     """The mix itself: each document once per copy, with ``copy`` from 1.
 
-    Ids must be unique here, since copies are looked up by id; rows with a null id are left out.
-    An input column called ``copy`` is replaced.
+    Every row brings its own copies, so rows with a null id and rows that repeat an id are taken as
+    ``mix_counts`` counts them. An input column called ``copy`` is replaced.
     """
-    taken = mix_counts(docs, weights, most, seed, id_col, text_col, source_col).where("copies > 0").select(
-        F.col(id_col).alias("__mix_id"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__mix_copy")
-    )
-    return docs.join(taken, docs[id_col] == taken["__mix_id"]).withColumn("copy", F.col("__mix_copy")).drop(
-        "__mix_id", "__mix_copy"
-    )
+    row = F.struct(*docs.columns).alias("row")
+    counted = _counted(docs, [row], weights, most, seed, id_col, text_col, source_col).where("copies > 0")
+    taken = counted.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return taken.select(*[F.col("row")[c].alias(c) if c != "copy" else F.col(c) for c in docs.columns],
+                        *[c for c in ["copy"] if c not in docs.columns])

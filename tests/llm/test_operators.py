@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,17 @@ def test_mix_odd_rows(odd, empty):
     assert mix_counts(odd.withColumn("text", F.lit(None).cast("string"))).where("taken <> 0").isEmpty()
 
 
+def test_mix_emits_every_row_with_its_own_copies(spark):
+    # the source takes three copies of each row: null and repeated ids get no more and no less
+    texts, ids = ["a b", "c d", "e f", "e f", "g h", "i j"], [None, None, 4, 4, 4, 6]
+    docs = docs_of(spark, texts, ids).unionByName(docs_of(spark, ["w " * 5000], [9], source="t"))
+    got = Counter((r.doc_id, r.text, r.copy) for r in emit_mix(docs).where("source = 's'").collect())
+    assert got == Counter((i, t, c) for i, t in zip(ids, texts) for c in (1, 2, 3))
+    counts = Counter({(r.doc_id, r.size): r.n for r in mix_counts(docs).groupBy("doc_id", "size").agg(F.sum("copies").alias("n")).collect()})
+    rows = emit_mix(docs).withColumn("size", F.size(F.split(F.trim("text"), " "))).collect()
+    assert Counter((r.doc_id, r["size"]) for r in rows) == +counts
+
+
 # --- decontamination ---------------------------------------------------------------------------
 
 
