@@ -73,7 +73,7 @@ def op3_mix_sources(spark, folder):
 
 def op4_warc_captures(spark, folder):
     archives = new_folder(spark, "warc")
-    write_archives(table(spark, folder, "pages"), archives)
+    write_archives(table(spark, folder, "pages"), archives, every_row=True)
     found = page_ids(assemble(read_archives(spark, archives, keep_payload=False)))
     return found.select(
         "page_id", "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"),

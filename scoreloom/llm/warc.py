@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from scoreloom.llm.bitfilter import likely_among
 from scoreloom.session import new_folder
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 3000
+AGAIN = "__again"
 DIGESTED = ST.StructType([ST.StructField("payload_bytes", ST.LongType()), ST.StructField("payload_digest", ST.StringType())])
 RECORD = (
     "file string, place bigint, kind string, record_id string, concurrent_to array<string>, target_uri string, date string,"
@@ -36,9 +38,10 @@ def digested(payloads: pa.Array) -> pa.Array:
     )
 
 
-def record_id(kind: str, page_id: Column) -> Column:
-    """A urn that follows from the page, so that repeated tasks write the same bytes."""
-    h = F.md5(F.concat(F.lit(f"{kind}:"), F.coalesce(page_id.cast("string"), F.lit("null"))))
+def record_id(kind: str, page_id: Column, payload_digest: Column, again: Column) -> Column:
+    """A urn that follows from the page, its payload and ``again``, so that repeated tasks write the same bytes."""
+    named = F.coalesce(page_id.cast("string"), F.lit("null"))
+    h = F.md5(F.concat_ws(":", F.lit(kind), named, payload_digest, again))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -49,8 +52,9 @@ def captures(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", ur
     Of records with equal payloads of at least ``least_bytes`` the smallest id is the
     response. Only the minimum per digest crosses a shuffle besides the pages themselves.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    known = rows.withColumn("d", digested("html")).select("page_id", "url", "html", "d.*")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
+                        *[c for c in pages.columns if c == AGAIN])
+    known = rows.withColumn("d", digested("html")).select(*rows.columns, "d.*")
     firsts = known.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     repeats = firsts.where((F.col("n") > 1) & (F.col("payload_bytes") >= least_bytes)).select("payload_digest", "first")
     return known.join(repeats, "payload_digest", "left").withColumn(
@@ -58,6 +62,28 @@ def captures(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", ur
     ).drop("first")
 
 
+def _numbered(pages: DataFrame, every_row: bool) -> DataFrame:
+    """Rows page_id, url, html with the column AGAIN: null, but for rows that repeat a page id and payload.
+
+    Only rows of repeated page ids are written to a table, which fixes the numbers of equal rows.
+    """
+    twice = pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("page_id").alias("key"))
+    marked = likely_among(pages, F.xxhash64("page_id"), twice)
+    name = F.monotonically_increasing_id().cast("string") if every_row else F.md5(F.coalesce(F.concat(F.lit("u"), "url"), F.lit("n")))
+    body = F.coalesce("html", F.lit(""))
+    some = marked.where("likely").drop("likely").withColumns(
+        {"name": name, "a": F.xxhash64("page_id", body), "b": F.xxhash64(F.lit(1), "page_id", body)}
+    )
+    staged = new_folder(pages.sparkSession, "repeats")
+    some.write.parquet(staged)
+    some = pages.sparkSession.read.schema(some.schema).parquet(staged)
+    firsts = some.groupBy("a", "b").agg(F.min("name").alias("least"))
+    numbered = some.join(firsts, ["a", "b"]).withColumn(AGAIN, F.when(F.col("name") != F.col("least"), F.col("name")))
+    return marked.where("NOT likely").drop("likely").withColumn(AGAIN, F.lit(None).cast("string")).unionByName(
+        numbered.select(*pages.columns, AGAIN)
+    )
+
+
 def _header(name: str, value: str) -> str:
     return f"{name}: {value}\r\n"
 
@@ -110,18 +136,22 @@ def _page_records(batches):
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url",
-                   html_col: str = "html", records_per_file: int = RECORDS_PER_FILE) -> None:
+                   html_col: str = "html", records_per_file: int = RECORDS_PER_FILE, every_row: bool = False) -> None:
     """Write three records per page as record-compressed archives below ``folder``.
 
     Spark's text writer stores the members and commits the files, so lost tasks are
     repeated whole. Null html is an empty payload; line breaks in a url become blanks; a null id
-    gets metadata without an id; rows that repeat an id repeat its record ids.
+    gets metadata without an id. Rows with a null or repeated id have record ids of their own; rows that repeat
+    id, url and html repeat the record ids too, unless ``every_row`` numbers them.
     """
-    rows = captures(pages, least_bytes, id_col, url_col, html_col).select(
+    named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    known = captures(_numbered(named, every_row), least_bytes)
+    ids = {f"{k}_id": record_id(k, F.col("page_id"), F.col("payload_digest"), F.col(AGAIN)) for k in ("request", "response", "metadata")}
+    rows = known.select(
         "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "payload_bytes", "payload_digest",
-        record_id("request", F.col("page_id")).alias("request_id"), record_id("response", F.col("page_id")).alias("response_id"),
-        record_id("metadata", F.col("page_id")).alias("metadata_id"),
-        F.when(F.col("refers_to").isNotNull(), record_id("response", F.col("refers_to"))).alias("refers_id"),
+        *[x.alias(name) for name, x in ids.items()],
+        # the response of that page and payload that is not a repeat
+        F.when(F.col("refers_to").isNotNull(), record_id("response", F.col("refers_to"), F.col("payload_digest"), F.lit(None))).alias("refers_id"),
     )
     members = rows.mapInArrow(_page_records, "member binary")
     members.select(F.col("member").cast("string")).write.option("lineSep", "\x00").option(

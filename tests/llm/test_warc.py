@@ -63,6 +63,23 @@ def test_empty_table_and_repeated_rows(spark):
         assert [r.page_id for r in found] == [r[0] for r in rows[:1]]
 
 
+def test_every_row_comes_back(spark):
+    rows = [
+        (None, "u", "a", 0, ""), (None, "v", "b", 0, ""), (None, None, None, 0, ""),
+        (1, "u", "a", 0, ""), (1, "v", "a", 0, ""), (1, "u", "b", 0, ""), (2, "u", "b", 0, ""), (3, "x", "c", 0, ""), (3, "x", "c", 0, ""),
+    ]
+    for every_row, wanted in ((True, rows), (False, rows[:-1])):
+        folder = new_folder(spark, "warc")
+        warc.write_archives(pages(spark, rows), folder, every_row=every_row)
+        found = warc.page_ids(warc.assemble(warc.read_archives(spark, folder))).collect()
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted((key((r.page_id, r.request.target_uri, r.response.payload_digest)) for r in found)) == sorted(
+            key((i, u or "", warc.digest((h or "").encode()))) for i, u, h, *_ in wanted
+        )
+        assert all((r.requests, r.metadata_records) == (1, 1) for r in found)
+        assert [(r.page_id, r.refers_page) for r in found if r.response.kind == "revisit"] == [(2, 1)]
+
+
 def test_ties_in_either_direction_and_orphans(spark):
     def record(kind, name, *to):
         return ("f", ord(name), kind, name, list(to), None, None, None, None, None, None, None, None)
