@@ -4,8 +4,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from scoreloom.llm import text as T
+from scoreloom.llm.bitfilter import likely_among
+from scoreloom.session import new_folder
 
 WINDOW = 10
 WORD_BYTES = np.ones(256, bool)
@@ -152,6 +155,33 @@ def words_of(texts: pa.Array):
         yield data, borders, starts, ends, row, T.hashes(data, starts, ends)
 
 
+def _without(text: str, positions: np.ndarray, starts: np.ndarray, ends: np.ndarray, border: int) -> str:
+    """The text without the words at the sorted positions; words are spans of the slice, the text starts at ``border``."""
+    raw = text.encode()
+    breaks = np.flatnonzero(np.diff(positions) > 1)
+    opens = starts[positions[np.concatenate([[0], breaks + 1])]] - border
+    closes = ends[positions[np.concatenate([breaks, [len(positions) - 1]])]] - border
+    return b"".join(raw[x:y] for x, y in zip([0, *closes], [*opens, len(raw)])).decode()
+
+
+def cut_texts(texts: pa.Array, positions: pa.Array) -> pa.Array:
+    """The texts without the words at the positions, sorted word numbers from 0; null or none leave a text as it is."""
+    out, at = [], 0
+    for _, borders, starts, ends, row, _ in words_of(texts):
+        n = len(borders) - 1
+        first_word = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+        for doc in range(n):
+            text, gone = texts[at + doc].as_py(), positions[at + doc].as_py()
+            out.append(_without(text, first_word[doc] + np.array(gone), starts, ends, borders[doc]) if gone else text)
+        at += n
+    return pa.array(out, pa.string())
+
+
+@F.arrow_udf(ST.StringType())
+def _cut(texts: pa.Array, positions: pa.Array) -> pa.Array:
+    return cut_texts(texts, positions)
+
+
 def scan_texts(texts: pa.Array, automaton: Automaton, cut: bool) -> pa.Array:
     """SCAN rows for the texts; ``clean`` is the text without hit words, null where nothing was hit."""
     out, at = [], 0
@@ -173,12 +203,7 @@ def scan_texts(texts: pa.Array, automaton: Automaton, cut: bool) -> pa.Array:
             positions = np.array(sorted(hits[doc][0]))
             clean = None
             if cut:
-                raw = texts[at + doc].as_py().encode()
-                breaks = np.flatnonzero(np.diff(positions) > 1)
-                opens = starts[positions[np.concatenate([[0], breaks + 1])]] - borders[doc]
-                closes = ends[positions[np.concatenate([breaks, [len(positions) - 1]])]] - borders[doc]
-                parts = [raw[x:y] for x, y in zip([0, *closes], [*opens, len(raw)])]
-                clean = b"".join(parts).decode()
+                clean = _without(texts[at + doc].as_py(), positions, starts, ends, borders[doc])
             names = sorted(x for x in hits[doc][1] if x is not None)
             out.append((int(n_words[doc]), len(positions), names, (positions - first_word[doc]).tolist(), clean))
         at += len(borders) - 1
@@ -218,6 +243,34 @@ def _scan(automaton, cut: bool):
     return scan
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows in a table with a key each, so that all shards see the same rows under the same keys."""
+    return _staged(docs.withColumn("key", F.monotonically_increasing_id()), "rows")
+
+
+def _joined(keyed: DataFrame, scans: list, hits_only: bool) -> DataFrame:
+    """(key, n_words, items, positions) over all shards, which scan the original texts (column text)."""
+    found = []
+    for k, f in enumerate(scans):
+        seen = keyed.select("key", f("text").alias("s")).select("key", "s.n_words", "s.n_hit", "s.items", "s.positions")
+        # rows without a hit come from the first shard
+        found.append(seen.where("n_hit > 0") if hits_only or k else seen)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("key").agg(
+        F.first("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"),
+    )
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", shard_words: int = 2_000_000,
@@ -231,8 +284,7 @@ def contamination(
 
     Defined results: null and empty texts have no words; an item without words has no window;
     an item with a null id marks words but is not listed; repeated items are listed once;
-    repeated documents are judged one by one (with several shards, rows with one id and
-    text are one row); no items, no hits.
+    repeated documents are judged one by one; no items, no hits. The number of shards does not change the result.
     Returns doc_id (named ``id_col``), n_words, n_hit, n_items, items, positions (word numbers from 0), contaminated.
     """
     scans = scanner(items, window, item_col, item_text_col, shard_words, cut=False)
@@ -240,16 +292,10 @@ def contamination(
     if len(scans) == 1:
         seen = rows.select("id", scans[0]("text").alias("s")).select("id", "s.n_words", "s.n_hit", "s.items", "s.positions")
     else:
-        found = [rows.select("id", F.xxhash64("text").alias("body"), f("text").alias("s")).select(
-            "id", "body", "s.n_words", "s.items", "s.positions") for f in scans]
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        seen = every.groupBy("id", "body").agg(  # one row per shard
-            F.first("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"),
-        ).withColumn("n_hit", F.size("positions").cast("long"))
+        keyed = _keyed(rows)
+        seen = keyed.select("key", "id").join(_joined(keyed, scans, hits_only=False), "key").withColumn(
+            "n_hit", F.size("positions").cast("long")
+        )
     return seen.select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         "items", "positions", (F.col("n_hit") > 0).alias("contaminated"),
@@ -268,15 +314,22 @@ def decontaminate(
 
     Spans of hit words (see ``contamination``) are cut out of the text; a document of which
     more than ``most_covered`` of the words is hit goes whole. Other rows stay as they
-    are, null and empty texts included. With several shards the cuts follow one another.
+    are, null and empty texts included. With several shards every shard scans the original texts; their hits are
+    joined per row before the limit and one cut. The rows are then written once, and only those with hits are shuffled.
     """
-    kept = docs
-    for scan in scanner(items, window, item_col, item_text_col, shard_words, cut=True):
-        row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-        seen = kept.select(row, scan(F.col(text_col)).alias("scan"))
+    scans = scanner(items, window, item_col, item_text_col, shard_words, cut=True)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    if len(scans) == 1:
+        seen = docs.select(row, scans[0](F.col(text_col)).alias("scan"))
         seen = seen.where(F.col("scan.n_hit") <= F.col("scan.n_words") * most_covered)
-        kept = seen.select(*[
-            F.coalesce("scan.clean", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c)
-            for c in docs.columns
-        ])
-    return kept
+        clean = F.coalesce("scan.clean", F.col("row")[text_col])
+    else:
+        keyed = _keyed(docs.select(row))
+        hits = _staged(_joined(keyed.select("key", F.col("row")[text_col].alias("text")), scans, hits_only=True).drop("items"), "hits")
+        marked = likely_among(keyed, F.xxhash64("key"), hits.select(F.xxhash64("key").alias("key")))
+        checked = marked.where("likely").join(hits, "key", "left")
+        checked = checked.where(F.col("positions").isNull() | (F.size("positions") <= F.col("n_words") * most_covered))
+        untouched = marked.where("NOT likely").select("row", F.col("row")[text_col].alias("clean"))
+        seen = untouched.unionByName(checked.select("row", _cut(F.col("row")[text_col], F.col("positions")).alias("clean")))
+        clean = F.col("clean")
+    return seen.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

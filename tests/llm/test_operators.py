@@ -175,6 +175,18 @@ def test_contamination_odd_rows(spark, odd, empty):
     assert contamination(empty, items).collect() == [] and decontaminate(odd, items_of(spark, [])).count() == len(ODD)
 
 
+def test_shards_give_what_one_automaton_gives(spark):
+    # two overlapping windows, a document with 40 % of each of two items, joined rests, repeated and null ids
+    items = items_of(spark, ["a b c d", "d e f g", "h i j k", "x a b y", "p q r s"])
+    texts = ["0 a b c d e f g 1 2 3 4 5 6 7 8 9", "a b c d h i j k 1 2", "x a h i j k b y 1 2 3 4 5 6 7 8", "p q r s 1 2 3 4 5 6",
+             "p q r s 1 2 3 4 5 6", "p q r s 1 2 3 4 5 6", None, "", "clean", "Ä! P q-R  s, Ä 1 2 3 4 5"]
+    docs = docs_of(spark, texts, [0, 1, 2, 3, 3, None, None, 7, 8, 9])
+    one, many = (sorted(map(repr, decontaminate(docs, items, window=4, shard_words=n).collect())) for n in (2_000_000, 3))
+    assert one == many and len(many) == len(texts) - 1
+    one, many = (sorted(map(repr, contamination(docs, items, window=4, shard_words=n).collect())) for n in (2_000_000, 3))
+    assert one == many and len(many) == len(texts)
+
+
 # --- Jaccard join ----------------------------------------------------------------------------------
 
 
