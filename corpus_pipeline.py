@@ -23,7 +23,7 @@ def line_dedup(spark, docs, sf_dir):
     Documents that had no word before stay as they are.
     """
     columns = docs.columns
-    kept = drop_recurring_lines(docs)
+    kept = drop_recurring_lines(docs, exact_fallback=True)
     left = kept.where((F.col("n_dropped") == 0) | (word_count(F.col("text")) > 0))
     return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in columns])
 

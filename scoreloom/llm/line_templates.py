@@ -15,11 +15,15 @@ def _staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def cleaned(text: Column) -> Column:
+    """Text with blanks inside lines as one space."""
+    return F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")
+
+
 def masked(text: Column) -> Column:
     """Text with blanks inside lines as one space and tokens that hold a digit as the variable mark."""
-    clean = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")
     # a token starts after a blank or line break; the possessive run keeps the search linear
-    return F.regexp_replace(clean, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", VARIABLE)
+    return F.regexp_replace(cleaned(text), r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", VARIABLE)
 
 
 def _tokens(line: Column) -> Column:
@@ -28,14 +32,15 @@ def _tokens(line: Column) -> Column:
 
 def recurring_lines(
     docs: DataFrame, min_docs: int = 5, depth: int = 2, min_tokens: int = 4, least_constant: float = 0.6,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", exact_fallback: bool = False,
 ) -> DataFrame:
     """(id, pos): the lines to drop.
 
     The tree has two levels, token count and the first ``depth`` tokens (tokens with digits are
     variables). In a leaf, a token is constant where ``min_docs`` or more documents' lines have it at its
     place, and variable otherwise; a line's template is its tokens with the variable ones masked, if at least
-    ``least_constant`` of them are constant, and the line itself if not. A template of ``min_docs`` or more documents
+    ``least_constant`` of them are constant, and the line itself if not: with its numbers masked, or as it stands with
+    ``exact_fallback``, so that rows of numbers are templates of their copies only. A template of ``min_docs`` or more documents
     recurs; every line of it goes but the first by id and place. Lines of fewer than ``min_tokens`` tokens stay.
 
     Leaves and tokens go by 64-bit hashes, lines and templates by 128 bits; texts are sent only for the distinct
@@ -43,9 +48,13 @@ def recurring_lines(
     """
     # the generator makes each line's fields once; later steps read them as they are
     fields = F.transform(F.split(masked(F.col(text_col)), "\n"), lambda x: F.struct(F.trim(x).alias("line"), _tokens(F.trim(x)).alias("n")))
+    if exact_fallback:  # masking keeps line breaks, so both have the same lines
+        own = F.transform(F.split(cleaned(F.col(text_col)), "\n"), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("u"), F.xxhash64(F.lit(1), F.trim(x)).alias("v")))
+        fields = F.zip_with(fields, own, lambda x, y: F.struct(x["line"].alias("line"), x["n"].alias("n"), y["u"].alias("u"), y["v"].alias("v")))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(fields).alias("pos", "x"))
     lines = rows.where((F.col("x.n") >= min_tokens) & (F.col("x.line") != "")).select(
-        "id", "pos", "x.line", F.xxhash64("x.n", F.substring_index("x.line", " ", depth)).alias("leaf")
+        "id", "pos", "x.line", F.xxhash64("x.n", F.substring_index("x.line", " ", depth)).alias("leaf"),
+        *[f"x.{c}" for c in ("u", "v") if exact_fallback],
     )
     busy = _staged(
         lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
@@ -73,7 +82,12 @@ def recurring_lines(
     ).select(*line, (F.col("share") >= least_constant).alias("general"), "x0", "x1").select(
         *line, "general", *[F.when(F.col("general"), F.col(x)).otherwise(F.col(c)).alias(c2) for x, c, c2 in (("x0", "a", "p"), ("x1", "b", "q"))]
     )
-    shaped = inside.select("id", "pos", *line).join(shapes, line).select("id", "pos", "leaf", "general", "p", "q")
+    if exact_fallback:
+        shaped = inside.select("id", "pos", *line, "u", "v").join(shapes, line).select(
+            "id", "pos", "leaf", "general", *[F.when(F.col("general"), F.col(c)).otherwise(F.col(o)).alias(c) for c, o in (("p", "u"), ("q", "v"))]
+        )
+    else:
+        shaped = inside.select("id", "pos", *line).join(shapes, line).select("id", "pos", "leaf", "general", "p", "q")
     key = ["leaf", "general", "p", "q"]
     per_doc = shaped.groupBy(*key, "id").agg(F.min("pos").alias("pos"))
     many = per_doc.groupBy(*key).agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first_id")).where(F.col("docs") >= min_docs)
@@ -83,7 +97,7 @@ def recurring_lines(
 
 def drop_recurring_lines(
     docs: DataFrame, min_docs: int = 5, depth: int = 2, min_tokens: int = 4, least_constant: float = 0.6,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", exact_fallback: bool = False,
 ) -> DataFrame:
     """All rows, with the lines of recurring templates dropped from the text (see ``recurring_lines``).
 
@@ -94,7 +108,7 @@ def drop_recurring_lines(
     stay as they are and count for no template; rows that repeat an id count as one document, and lines
     dropped from one at a place are dropped from all at that place.
     """
-    dropped = recurring_lines(docs, min_docs, depth, min_tokens, least_constant, id_col, text_col)
+    dropped = recurring_lines(docs, min_docs, depth, min_tokens, least_constant, id_col, text_col, exact_fallback)
     per_doc = _staged(dropped.groupBy("id").agg(F.collect_set("pos").alias("gone")), "dropped")
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     split = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("key"), F.split(F.col(text_col), "\n").alias("lines"))

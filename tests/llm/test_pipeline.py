@@ -141,5 +141,14 @@ def test_stages_take_odd_tables(spark, tables, kind):
             assert found.columns == odd.columns and (kind == "empty") == (not got)
 
 
+def test_tables_of_numbers_stay(spark, tables):
+    rows = [(i, f"page {i} own words stand here\n{i} {i + 1} 34.5 78\nTotal {i} 20{i} 7\n1 2 3 4", "en", "s", 0) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    texts = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.line_dedup(spark, docs, tables).collect()}
+    for i in range(8):
+        assert {f"{i} {i + 1} 34.5 78", f"Total {i} 20{i} 7"} <= set(texts[i])
+        assert ("1 2 3 4" in texts[i]) == (i == 0)  # equal rows are copies
+
+
 def test_words_match_the_contract():
     assert words_of("Añb-9 C_d") == ["añb", "9", "c", "d"]
