@@ -7,6 +7,7 @@ from scoreloom.llm.jaccard_join import keep_one_of_each
 from scoreloom.llm.langid import keep_identified
 from scoreloom.llm.line_templates import drop_recurring_lines
 from scoreloom.llm.mixing import emit_mix, word_count
+from scoreloom.session import new_folder
 
 
 def language_id(spark, docs, sf_dir):
@@ -56,6 +57,10 @@ ORACLE_SQL = None  # a language model and connected components are beyond SQL; s
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):  # the next stage reads its input more than once
+            folder = new_folder(spark, name)
+            docs.write.parquet(folder)
+            docs = spark.read.schema(docs.schema).parquet(folder)
     return docs

@@ -150,5 +150,19 @@ def test_tables_of_numbers_stay(spark, tables):
         assert ("1 2 3 4" in texts[i]) == (i == 0)  # equal rows are copies
 
 
+def test_stages_read_what_the_one_before_wrote(spark, tables, monkeypatch):
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append((docs.count(), docs.inputFiles()))
+        return docs.limit(docs.count() - 1)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    n = corpus_pipeline.run(spark, tables).count()
+    assert [x for x, _ in read] == [n + 3, n + 2, n + 1]
+    for name, (_, files) in zip(("one", "two"), read[1:]):
+        assert files and all(f"/{name}-" in f for f in files)
+
+
 def test_words_match_the_contract():
     assert words_of("Añb-9 C_d") == ["añb", "9", "c", "d"]
