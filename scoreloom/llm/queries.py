@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scoreloom.llm import manifest_query, spelling_query
 from scoreloom.llm.decontaminate import contamination, items_digest
 from scoreloom.llm.exact_dedup import exact_dedup
 from scoreloom.llm.jaccard_join import near_duplicates
@@ -119,6 +120,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op12_merkle_manifest": manifest_query.op12_merkle_manifest,
+    "op13_spelling_variants": spelling_query.op13_spelling_variants,
 }
 
 SQL = {
@@ -284,6 +287,10 @@ SELECT doc_id, license, dice, coalesce(n_matches, 0) AS n_matches FROM documents
 """
 
 
+SQL["op12_merkle_manifest"] = manifest_query.SQL
+SQL["op13_spelling_variants"] = spelling_query.SQL
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
