@@ -61,8 +61,9 @@ def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
         sibling = F.col("idx").bitwiseXOR(F.lit(1)) if arity == 2 else start + (slot + k) % arity
         right = nodes.select("g", F.col("idx").alias(f"at{k}"), F.col("digest").alias(f"sibling{k}"))
         found = found.withColumn(f"at{k}", sibling).join(right, ["g", f"at{k}"], "left")
-    other = F.sort_array(F.array(*[F.struct(f"at{k}", f"sibling{k}") for k in range(1, arity)]))
-    parts = F.transform(other, lambda o: F.coalesce(o["sibling1"], F.lit("")))
+    other = F.sort_array(F.array(*[
+        F.struct(F.col(f"at{k}").alias("at"), F.coalesce(f"sibling{k}", F.lit("")).alias("digest")) for k in range(1, arity)]))
+    parts = F.transform(other, lambda o: o["digest"])
     return found.withColumn("others", F.unhex(F.array_join(parts, ""))).select(*nodes.columns, "others")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import manifest_query, spelling_query
+from scoreloom.llm import chat_query, manifest_query, spelling_query
 from scoreloom.llm.decontaminate import contamination, items_digest
 from scoreloom.llm.exact_dedup import exact_dedup
 from scoreloom.llm.jaccard_join import near_duplicates
@@ -120,6 +120,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op11_chat_formatting": chat_query.op11_chat_formatting,
     "op12_merkle_manifest": manifest_query.op12_merkle_manifest,
     "op13_spelling_variants": spelling_query.op13_spelling_variants,
 }
@@ -287,6 +288,7 @@ SELECT doc_id, license, dice, coalesce(n_matches, 0) AS n_matches FROM documents
 """
 
 
+SQL["op11_chat_formatting"] = chat_query.SQL
 SQL["op12_merkle_manifest"] = manifest_query.SQL
 SQL["op13_spelling_variants"] = spelling_query.SQL
 

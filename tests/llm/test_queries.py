@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import queries
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,7 @@ def test_same_rows_as_sql(spark, db, tables, name):
     assert ours == sorted(tuple(plain(row[i]) for i in places) for row in relation.fetchall())
 
 
-NATIVE = ["op3_mix_sources", "op6_line_dedup", "op7_exact_dedup", "op8_license_scan"]
+NATIVE = ["op3_mix_sources", "op6_line_dedup", "op7_exact_dedup", "op8_license_scan", "op11_chat_formatting"]
 
 
 @pytest.mark.parametrize("name", NATIVE)
