@@ -1,8 +1,10 @@
 """Contest placements and Elo ratings."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.functions import fixed_values as fv
 from scoreloom.functions.numbers import report_round
@@ -148,25 +150,90 @@ def _play(entries: list, ratings: dict) -> list:
     return results
 
 
+def _levels(bounds: list, models: list, count: int) -> np.ndarray:
+    """Dependency level of every contest: one more than the highest level of its entrants' earlier contests."""
+    last, levels = [0] * count, np.empty(len(bounds) - 1, np.int64)
+    for k in range(len(levels)):
+        entrants = models[bounds[k]: bounds[k + 1]]
+        level = 1 + max(last[m] for m in entrants)
+        for m in entrants:
+            last[m] = level
+        levels[k] = level
+    return levels
+
+
+def _play_level(places: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """``_play`` for many contests of one size at once; a row per contest, its entries in listed order."""
+    size = places.shape[1]
+    after = before.astype(float)
+    for i in range(size):
+        for j in range(size):
+            if i == j:
+                continue
+            gap, at = np.unique(before[:, j] - before[:, i], return_inverse=True)
+            expected = np.array([1.0 / (1.0 + 10 ** (g / 400.0)) for g in gap.tolist()])[at]
+            actual = np.where(places[:, i] < places[:, j], 1.0, np.where(places[:, i] > places[:, j], 0.0, 0.5))
+            after[:, i] = np.rint(after[:, i] + fv.ELO_K * (actual - expected) / (size - 1))
+    return after.astype(np.int64)
+
+
+NARROW = 8  # contests per level below which one contest after the other is the quicker way
+
+
 def _replay_segment(key, log: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-    """Replay one stretch of a league's log from the given ratings."""
-    ratings = dict(zip(starts["model_id"], starts["rating"].astype(int)))
+    """Replay one stretch of a league's log from the given ratings, level by level.
+
+    Contests of one level share no entrant, so those of one size are played together.
+    """
     log = log.sort_values(["contest_ts", "contest_id", "placement", "model_id"], ignore_index=True)
-    contests, entries = log["contest_id"].tolist(), list(zip(log["placement"].tolist(), log["model_id"].tolist()))
-    olds, news, start = [], [], 0
-    for end in range(1, len(entries) + 1):
-        if end < len(entries) and contests[end] == contests[start]:
-            continue
-        contest = entries[start:end]
-        before = [ratings[model] for _, model in contest]
-        after = _play(contest, ratings) if len(contest) > 1 else before
-        ratings.update(zip((model for _, model in contest), after))
-        olds += before
-        news += after
-        start = end
+    codes, names = pd.factorize(log["model_id"], use_na_sentinel=False)
+    given = dict(zip(starts["model_id"], starts["rating"].astype(int)))
+    ratings = np.array([given[m] for m in names], np.int64)
+    contest = log["contest_id"].to_numpy()
+    bounds = np.r_[0, np.flatnonzero(contest[1:] != contest[:-1]) + 1, len(log)] if len(log) else np.zeros(1, np.int64)
+    places = log["placement"].to_numpy()
+    olds, news = np.empty(len(log), np.int64), np.empty(len(log), np.int64)
+    sizes, levels = np.diff(bounds), _levels(bounds.tolist(), codes.tolist(), len(names))
+    if len(levels) < NARROW * (levels.max() if len(levels) else 0):
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            entries = list(zip(places[start:end].tolist(), codes[start:end].tolist()))
+            olds[start:end] = before = [int(ratings[m]) for _, m in entries]
+            after = _play(entries, {m: r for (_, m), r in zip(entries, before)}) if len(entries) > 1 else before
+            news[start:end] = ratings[codes[start:end]] = after
+    else:
+        order = np.lexsort((sizes, levels))
+        cuts = np.flatnonzero((np.diff(levels[order]) != 0) | (np.diff(sizes[order]) != 0)) + 1
+        for group in np.split(order, cuts):
+            at = bounds[group][:, None] + np.arange(sizes[group[0]])
+            before = ratings[codes[at]]
+            after = _play_level(places[at], before) if at.shape[1] > 1 else before
+            olds[at], news[at], ratings[codes[at]] = before, after, after
     return log.assign(old_rating=olds, new_rating=news)
 
 
+LANES = 16
+
+
+def _dealt(key, log: pd.DataFrame) -> pd.DataFrame:
+    """A lane for every entry of a stretch: contests that are linked by entrants, directly or not, share one."""
+    models, names = pd.factorize(log["model_id"], use_na_sentinel=False)
+    contests, _ = pd.factorize(log["contest_id"])
+    above = list(range(len(names)))
+
+    def top(x):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    first = {}
+    for contest, model in zip(contests.tolist(), models.tolist()):
+        one, other = top(first.setdefault(contest, model)), top(model)
+        if one != other:
+            above[max(one, other)] = min(one, other)
+    group = np.unique([top(x) for x in range(len(names))], return_inverse=True)[1]
+    return log.assign(lane=group[models] % LANES)
+
+
 def _segments(log: DataFrame, size: int) -> tuple[DataFrame, int]:
     """Number the stretches of each league's log, ``size`` contests to a stretch, and count those of the longest."""
     contests = log.select("league", "contest_ts", "contest_id").distinct()
@@ -182,67 +249,79 @@ SEGMENT = ["league", "segment"]
 LOG_COLUMNS = ["league", "contest_id", "contest_ts", "model_id", "placement"]
 
 
-def _replayed(log: DataFrame, starts: DataFrame) -> DataFrame:
+def _replayed(log: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
     kinds = dict(log.dtypes)
-    output = ", ".join(f"{c} {kinds[c]}" for c in LOG_COLUMNS) + ", segment long, old_rating int, new_rating int"
+    output = ", ".join(f"{c} {kinds[c]}" for c in log.columns) + ", old_rating int, new_rating int"
     # fresh column ids: the ratings may stem from the log itself
-    given = starts.select(*[F.col(c).alias(c) for c in (*SEGMENT, "model_id", "rating")]).groupBy(*SEGMENT)
-    return log.groupBy(*SEGMENT).cogroup(given).applyInPandas(_replay_segment, output)
+    given = starts.select(*[F.col(c).alias(c) for c in (*keys, "model_id", "rating")]).groupBy(*keys)
+    return log.groupBy(*keys).cogroup(given).applyInPandas(_replay_segment, output)
 
 
 def _ends(history: DataFrame) -> DataFrame:
     """The rating each model left a segment with."""
-    return history.groupBy(*SEGMENT, "model_id").agg(
-        F.max_by("new_rating", F.struct("contest_ts", "contest_id")).alias("end")
+    return history.groupBy("league", "model_id").agg(
+        F.max_by("new_rating", F.struct("contest_ts", "contest_id")).alias("rating")
     )
 
 
+def _stored_by_segment(log: DataFrame, folder: str) -> str:
+    """Deal each stretch of the log over lanes that share no model, and write it to a folder of its own."""
+    kinds = dict(log.dtypes)
+    dealt = log.groupBy(*SEGMENT).applyInPandas(_dealt, ", ".join(f"{c} {kinds[c]}" for c in log.columns) + ", lane long")
+    dealt.write.partitionBy("segment").parquet(f"{folder}/log")
+    return f"{folder}/log"
+
+
 def _walk(log: DataFrame, segments: int, initial: DataFrame | None) -> DataFrame:
-    """Replay segment after segment, each once; leagues run side by side in every step.
+    """Replay segment after segment, each once; leagues and lanes run side by side in every step.
 
-    Between segments only the ratings of the models seen so far are handed on, as a table.
+    A step reads its own folder of the log and the ratings of the models seen so far, which are all that is handed on.
     """
     spark, folder, known = log.sparkSession, new_folder(log.sparkSession, "elo"), initial
+    stored, keys = _stored_by_segment(log, folder), ["league", "lane"]
+    schema = T.StructType([*[f for f in log.schema.fields if f.name != "segment"], T.StructField("lane", T.LongType())])
     for number in range(segments):
-        part = log.filter(F.col("segment") == number)
+        part = spark.read.schema(schema).parquet(f"{stored}/segment={number}")
         history = f"{folder}/history/part={number}"
-        _replayed(part, _openings(part, known)).write.parquet(history)
-        latest = _ends(spark.read.parquet(history)).select("league", "model_id", F.col("end").alias("rating"))
+        _replayed(part, _openings(part, known, keys), keys).drop("lane").write.parquet(history)
+        latest = _ends(spark.read.parquet(history))
         if known is not None:
             latest = known.join(latest, ["league", "model_id"], "left_anti").unionByName(latest)
-        ratings = f"{folder}/ratings/{number}"
-        latest.write.parquet(ratings)
-        known = spark.read.parquet(ratings)
+        if number + 1 < segments:
+            ratings = f"{folder}/ratings/{number}"
+            latest.write.parquet(ratings)
+            known = spark.read.parquet(ratings)
     return spark.read.parquet(f"{folder}/history").drop("part")
 
 
-def _openings(part: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Rating with which every model enters a segment."""
-    models = part.select(*SEGMENT, "model_id").distinct()
+def _openings(part: DataFrame, known: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Rating with which every model enters a stretch."""
+    models = part.select(*keys, "model_id").distinct()
     if known is None:
         return models.withColumn("rating", F.lit(fv.ELO_START))
     given = known.select("league", "model_id", "rating")
     return models.join(given, ["league", "model_id"], "left").withColumn("rating", F.coalesce("rating", F.lit(fv.ELO_START)))
 
 
-def elo_replay(log: DataFrame, initial: DataFrame | None = None, segment_size: int = 50_000) -> DataFrame:
+def elo_replay(log: DataFrame, initial: DataFrame | None = None, segment_size: int = 200_000) -> DataFrame:
     """Elo history of a contest log, each league replayed in time order.
 
     ``log`` has league, contest_id, contest_ts, model_id, placement and entrants;
     ``initial`` optionally holds league, model_id and rating to start from.
     Contests depend on each other within a league, yet no task takes a whole
-    league: its log is cut into segments that are replayed in turn (see ``_walk``). Contests that
-    cannot move a rating (see ``can_move``) stay out of them.
+    league: its log is cut into stretches of ``segment_size`` contests that are replayed in turn (see ``_walk``), each read once
+    from a folder of its own. Contests of a stretch that no entrant links run in different tasks, and
+    within a task those of one dependency level are played together. Contests that cannot move a rating (see ``can_move``) stay out.
     """
     small = log.filter(can_move(F.col("entrants"))).select(*LOG_COLUMNS)
     small, segments = _segments(small, segment_size)
     if initial is not None:
         initial = initial.select("league", "model_id", "rating")
     if segments == 1:
-        history = _replayed(small, _openings(small, initial))
+        history = _replayed(small, _openings(small, initial, SEGMENT), SEGMENT).drop("segment")
     else:
-        history = _walk(checkpointed(small), segments, initial)
-    return history.drop("segment").withColumn("delta", F.col("new_rating") - F.col("old_rating"))
+        history = _walk(small, segments, initial)
+    return history.withColumn("delta", F.col("new_rating") - F.col("old_rating"))
 
 
 def unmoved(log: DataFrame, history: DataFrame, initial: DataFrame | None = None) -> DataFrame:
@@ -265,7 +344,7 @@ def unmoved(log: DataFrame, history: DataFrame, initial: DataFrame | None = None
     )
 
 
-def elo_history(log: DataFrame, initial: DataFrame | None = None, segment_size: int = 50_000) -> DataFrame:
+def elo_history(log: DataFrame, initial: DataFrame | None = None, segment_size: int = 200_000) -> DataFrame:
     """Old and new rating of every entry of a contest log.
 
     The log is read several times, so its few columns are checkpointed first.

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,13 +78,67 @@ def test_contests_that_cannot_move_a_rating_have_vanishing_steps(spark):
 
 
 @pytest.mark.parametrize("models", [10, 400])
-def test_every_segment_is_replayed_once(spark, models, monkeypatch):
+def test_every_stretch_is_replayed_once_from_its_own_files(spark, models, monkeypatch):
     contests = [(0, i, i, [(1, i % models), (2, (i * 7 + 1) % models)]) for i in range(240) if i % models != (i * 7 + 1) % models]
-    parts = []
+    read = []
     replay = ratings._replayed
-    monkeypatch.setattr(ratings, "_replayed", lambda log, starts: parts.append(log.select("segment").distinct().count()) or replay(log, starts))
+    monkeypatch.setattr(ratings, "_replayed", lambda log, *more: read.append(set(log.inputFiles())) or replay(log, *more))
     moves = moves_of(ratings.elo_history(log_of(spark, contests), segment_size=40))
-    assert sum(parts) == -(-len(contests) // 40) and moves == sequential(contests)
+    assert len(read) == -(-len(contests) // 40) and sum(map(len, read)) == len(set().union(*read))
+    assert moves == sequential(contests)
+
+
+def test_lanes_share_no_model(spark):
+    contests = [(0, i, i, [(1, i % 30 * 3 + i // 30 % 2), (2, i % 30 * 3 + i // 30 % 2 + 1)]) for i in range(80)]
+    log = log_of(spark, contests).withColumn("segment", F.lit(0))
+    rows = ratings._dealt(None, log.toPandas())
+    assert rows.groupby("model_id").lane.nunique().max() == rows.groupby("contest_id").lane.nunique().max() == 1
+    assert rows.lane.nunique() > 8
+    assert moves_of(ratings.elo_history(log_of(spark, contests), segment_size=30)) == sequential(contests)
+
+
+def big_league(folder, count, models):
+    """A league of two-entrant contests as Parquet, with the pairs and placements that it holds."""
+    draw = np.random.default_rng(7)
+    first = draw.integers(0, models, count)
+    pairs = np.stack([first, (first + draw.integers(1, models, count)) % models], axis=1)
+    places = draw.integers(1, 3, (count, 2))
+    pq.write_table(pa.table({
+        "league": pa.array(np.zeros(2 * count, np.int32)), "contest_id": np.repeat(np.arange(count), 2), "contest_ts": np.repeat(np.arange(count) // 3, 2),
+        "model_id": pairs.ravel(), "placement": pa.array(places.ravel().astype(np.int32)), "entrants": np.full(2 * count, 2),
+    }), folder / "log.parquet", row_group_size=1 << 18)
+    return pairs, places
+
+
+def test_a_league_of_a_million_contests(spark, tmp_path):
+    pairs, places = big_league(tmp_path, 1_000_000, 20_000)
+    known, expected = [1200] * 20_000, np.empty(pairs.shape, np.int64)
+    for k, ((a, b), (x, y)) in enumerate(zip(pairs.tolist(), places.tolist())):
+        win = 1.0 if x < y else 0.0 if x > y else 0.5
+        ra, rb = known[a], known[b]
+        known[a] = round(ra + 32 * (win - 1 / (1 + 10 ** ((rb - ra) / 400))))
+        known[b] = round(rb + 32 * (1 - win - 1 / (1 + 10 ** ((ra - rb) / 400))))
+        expected[k] = known[a], known[b]
+    history = ratings.elo_replay(spark.read.parquet(str(tmp_path))).select("contest_id", "model_id", "new_rating").toPandas()
+    history = history.sort_values(["contest_id", "model_id"])
+    assert (history.new_rating.to_numpy().reshape(-1, 2) == np.take_along_axis(expected, np.argsort(pairs, axis=1), 1)).all()
+
+
+def records_read(spark):
+    """Rows of files read by all stages of the session so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).inputRecords() for k in range(stages.size()))
+
+
+def test_more_stretches_do_not_read_the_log_more_often(spark, tmp_path):
+    big_league(tmp_path, 40_000, 500)
+    read = []
+    for size in (20_000, 4_000):
+        before = records_read(spark)
+        ratings.elo_replay(spark.read.parquet(str(tmp_path)), segment_size=size).agg(F.sum("delta")).collect()
+        read.append(records_read(spark) - before)
+    assert read[1] < 1.15 * read[0] and read[0] < 10 * 80_000, read
 
 
 def test_one_round_equals_the_replay(spark):
