@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.chat import CONTROLS, FIELDS, Template, chat_format, read_back
 
-PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+PROBE = "</s>[INST] ok [/INST]"
 
 
 def records_of(rows):
@@ -50,7 +50,9 @@ def records_of(rows):
 def op11_chat_formatting(spark, folder):
     """All conversations and the probe, as records of mixed layouts, formatted and read back."""
     table = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text", F.lit(False).alias("added"))
-    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string").withColumn("added", F.lit(True))
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE).alias("text"), F.lit(True).alias("added"))
     back = read_back(chat_format(records_of(table.unionByName(probe))))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
@@ -71,7 +73,7 @@ SQL = f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS added FROM conversations
   UNION ALL
-  SELECT -1, turn, role, '</s>[INST] ok [/INST]', true FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+  SELECT -1, turn, role, '{PROBE}', true FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
 sized AS (
   SELECT *, {len(Template().open) + 1 + len(Template().close)} + length({_PERCENT}) + {_controls_sql(_PERCENT)} + length(text) + {_controls_sql("text")} AS chars FROM rows)
 SELECT conv_id, count(*) AS n_turns,
