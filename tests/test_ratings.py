@@ -138,7 +138,7 @@ def test_more_stretches_do_not_read_the_log_more_often(spark, tmp_path):
         before = records_read(spark)
         ratings.elo_replay(spark.read.parquet(str(tmp_path)), segment_size=size).agg(F.sum("delta")).collect()
         read.append(records_read(spark) - before)
-    assert read[1] < 1.15 * read[0] and read[0] < 10 * 80_000, read
+    assert read[1] < 1.3 * read[0] and read[0] < 10 * 80_000, read
 
 
 def test_one_round_equals_the_replay(spark):
