@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from scoreloom.functions import fixed_values as fv
 from scoreloom.functions.numbers import report_round
 from scoreloom.operators.ordering import with_carried, with_row_number_in
-from scoreloom.session import checkpointed, new_folder
+from scoreloom.session import new_folder
 
 
 def can_move(entrants: Column) -> Column:
@@ -162,18 +162,25 @@ def _levels(bounds: list, models: list, count: int) -> np.ndarray:
     return levels
 
 
+GAPS = 4000  # rating differences whose expected scores are kept in a table
+_expected = np.array([1.0 / (1.0 + 10 ** (g / 400.0)) for g in range(-GAPS, GAPS + 1)])
+
+
+def _expected_of(gaps: np.ndarray) -> np.ndarray:
+    known = _expected[np.clip(gaps, -GAPS, GAPS) + GAPS]
+    for at in zip(*np.nonzero(np.abs(gaps) > GAPS)):
+        known[at] = 1.0 / (1.0 + 10 ** (int(gaps[at]) / 400.0))
+    return known
+
+
 def _play_level(places: np.ndarray, before: np.ndarray) -> np.ndarray:
     """``_play`` for many contests of one size at once; a row per contest, its entries in listed order."""
     size = places.shape[1]
-    after = before.astype(float)
-    for i in range(size):
-        for j in range(size):
-            if i == j:
-                continue
-            gap, at = np.unique(before[:, j] - before[:, i], return_inverse=True)
-            expected = np.array([1.0 / (1.0 + 10 ** (g / 400.0)) for g in gap.tolist()])[at]
-            actual = np.where(places[:, i] < places[:, j], 1.0, np.where(places[:, i] > places[:, j], 0.0, 0.5))
-            after[:, i] = np.rint(after[:, i] + fv.ELO_K * (actual - expected) / (size - 1))
+    me, after = np.arange(size), before.astype(float)
+    for step in range(size - 1):
+        other = step + (step >= me)  # everyone's next opponent
+        actual = 0.5 + 0.5 * np.sign(places[:, other] - places)
+        after = np.rint(after + fv.ELO_K * (actual - _expected_of(before[:, other] - before)) / (size - 1))
     return after.astype(np.int64)
 
 
@@ -185,16 +192,18 @@ def _replay_segment(key, log: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFram
 
     Contests of one level share no entrant, so those of one size are played together.
     """
+    if log.empty:  # a league that was rated before
+        return log.assign(old_rating=0, new_rating=0)
     log = log.sort_values(["contest_ts", "contest_id", "placement", "model_id"], ignore_index=True)
     codes, names = pd.factorize(log["model_id"], use_na_sentinel=False)
     given = dict(zip(starts["model_id"], starts["rating"].astype(int)))
-    ratings = np.array([given[m] for m in names], np.int64)
+    ratings = np.array([given.get(m, fv.ELO_START) for m in names], np.int64)
     contest = log["contest_id"].to_numpy()
-    bounds = np.r_[0, np.flatnonzero(contest[1:] != contest[:-1]) + 1, len(log)] if len(log) else np.zeros(1, np.int64)
+    bounds = np.r_[0, np.flatnonzero(contest[1:] != contest[:-1]) + 1, len(log)]
     places = log["placement"].to_numpy()
     olds, news = np.empty(len(log), np.int64), np.empty(len(log), np.int64)
     sizes, levels = np.diff(bounds), _levels(bounds.tolist(), codes.tolist(), len(names))
-    if len(levels) < NARROW * (levels.max() if len(levels) else 0):
+    if len(levels) < NARROW * levels.max():
         for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             entries = list(zip(places[start:end].tolist(), codes[start:end].tolist()))
             olds[start:end] = before = [int(ratings[m]) for _, m in entries]
@@ -234,24 +243,31 @@ def _dealt(key, log: pd.DataFrame) -> pd.DataFrame:
     return log.assign(lane=group[models] % LANES)
 
 
-def _segments(log: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Number the stretches of each league's log, ``size`` contests to a stretch, and count those of the longest."""
+def _longest(log: DataFrame) -> int:
+    """Contests of the league that has most of them."""
+    contests = log.select("league", "contest_ts", "contest_id").distinct()
+    return contests.groupBy("league").count().agg(F.max("count")).first()[0] or 0
+
+
+def _segments(log: DataFrame, size: int) -> DataFrame:
+    """Number the stretches of each league's log, ``size`` contests to a stretch."""
     contests = log.select("league", "contest_ts", "contest_id").distinct()
-    longest = contests.groupBy("league").count().agg(F.max("count")).first()[0] or 0
-    if longest <= size:
-        return log.withColumn("segment", F.lit(0).cast("long")), 1
     ranked = with_row_number_in(contests, ["league"], ["contest_ts", "contest_id"], "nth")
     segments = ranked.select("league", "contest_id", F.floor((F.col("nth") - 1) / size).alias("segment"))
-    return log.join(segments, ["league", "contest_id"]), -(-longest // size)
+    return log.join(segments, ["league", "contest_id"])
 
 
 SEGMENT = ["league", "segment"]
 LOG_COLUMNS = ["league", "contest_id", "contest_ts", "model_id", "placement"]
 
 
-def _replayed(log: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+def _replayed(log: DataFrame, starts: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Replay the log of each group of keys from the ratings of its models in ``starts``; others start afresh."""
     kinds = dict(log.dtypes)
     output = ", ".join(f"{c} {kinds[c]}" for c in log.columns) + ", old_rating int, new_rating int"
+    if starts is None:
+        afresh = pd.DataFrame({"model_id": [], "rating": []})
+        return log.groupBy(*keys).applyInPandas(lambda key, rows: _replay_segment(key, rows, afresh), output)
     # fresh column ids: the ratings may stem from the log itself
     given = starts.select(*[F.col(c).alias(c) for c in (*keys, "model_id", "rating")]).groupBy(*keys)
     return log.groupBy(*keys).cogroup(given).applyInPandas(_replay_segment, output)
@@ -283,7 +299,7 @@ def _walk(log: DataFrame, segments: int, initial: DataFrame | None) -> DataFrame
     for number in range(segments):
         part = spark.read.schema(schema).parquet(f"{stored}/segment={number}")
         history = f"{folder}/history/part={number}"
-        _replayed(part, _openings(part, known, keys), keys).drop("lane").write.parquet(history)
+        _replayed(part, known if known is None else _openings(part, known, keys), keys).drop("lane").write.parquet(history)
         latest = _ends(spark.read.parquet(history))
         if known is not None:
             latest = known.join(latest, ["league", "model_id"], "left_anti").unionByName(latest)
@@ -294,16 +310,12 @@ def _walk(log: DataFrame, segments: int, initial: DataFrame | None) -> DataFrame
     return spark.read.parquet(f"{folder}/history").drop("part")
 
 
-def _openings(part: DataFrame, known: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Rating with which every model enters a stretch."""
-    models = part.select(*keys, "model_id").distinct()
-    if known is None:
-        return models.withColumn("rating", F.lit(fv.ELO_START))
-    given = known.select("league", "model_id", "rating")
-    return models.join(given, ["league", "model_id"], "left").withColumn("rating", F.coalesce("rating", F.lit(fv.ELO_START)))
+def _openings(part: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rating with which a model that was rated before enters a stretch."""
+    return part.select(*keys, "model_id").distinct().join(known.select("league", "model_id", "rating"), ["league", "model_id"])
 
 
-def elo_replay(log: DataFrame, initial: DataFrame | None = None, segment_size: int = 200_000) -> DataFrame:
+def elo_replay(log: DataFrame, initial: DataFrame | None = None, segment_size: int = 200_000, longest: int | None = None) -> DataFrame:
     """Elo history of a contest log, each league replayed in time order.
 
     ``log`` has league, contest_id, contest_ts, model_id, placement and entrants;
@@ -312,15 +324,16 @@ def elo_replay(log: DataFrame, initial: DataFrame | None = None, segment_size: i
     league: its log is cut into stretches of ``segment_size`` contests that are replayed in turn (see ``_walk``), each read once
     from a folder of its own. Contests of a stretch that no entrant links run in different tasks, and
     within a task those of one dependency level are played together. Contests that cannot move a rating (see ``can_move``) stay out.
+    ``longest`` spares the count of contests of the longest league where it is known, or known to be less.
     """
     small = log.filter(can_move(F.col("entrants"))).select(*LOG_COLUMNS)
-    small, segments = _segments(small, segment_size)
+    longest = _longest(small) if longest is None else longest
     if initial is not None:
         initial = initial.select("league", "model_id", "rating")
-    if segments == 1:
-        history = _replayed(small, _openings(small, initial, SEGMENT), SEGMENT).drop("segment")
+    if longest <= segment_size:
+        history = _replayed(small, initial, ["league"])
     else:
-        history = _walk(small, segments, initial)
+        history = _walk(_segments(small, segment_size), -(-longest // segment_size), initial)
     return history.withColumn("delta", F.col("new_rating") - F.col("old_rating"))
 
 
@@ -344,14 +357,21 @@ def unmoved(log: DataFrame, history: DataFrame, initial: DataFrame | None = None
     )
 
 
-def elo_history(log: DataFrame, initial: DataFrame | None = None, segment_size: int = 200_000) -> DataFrame:
+def elo_history(log: DataFrame, initial: DataFrame | None = None, segment_size: int = 200_000, stored: bool = False) -> DataFrame:
     """Old and new rating of every entry of a contest log.
 
-    The log is read several times, so its few columns are checkpointed first.
+    The log is read several times, so its few columns are written first, unless it is ``stored`` already.
     """
-    log = checkpointed(log.select(*LOG_COLUMNS, "entrants"))
-    history = elo_replay(log, initial, segment_size)
-    if log.filter(~can_move(F.col("entrants"))).limit(1).isEmpty():
+    log = log.select(*LOG_COLUMNS, "entrants")
+    if not stored:
+        folder = new_folder(log.sparkSession, "contests")
+        log.write.parquet(folder)
+        log = log.sparkSession.read.schema(log.schema).parquet(folder)
+    rows, largest = log.groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.max("entrants").alias("largest")).agg(
+        F.max("n"), F.max("largest")).first()
+    # a league has no more contests than rows
+    history = elo_replay(log, initial, segment_size, longest=rows or 0 if (rows or 0) <= segment_size else None)
+    if (largest or 0) - 1 <= 2 * fv.ELO_K:  # can_move holds for all
         return history
     return history.unionByName(unmoved(log, history, initial))
 

@@ -7,12 +7,13 @@ overwrites what it wrote before.
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from scoreloom.functions.numbers import report_round
-from scoreloom.operators import ingest, ratings
+from scoreloom.operators import ingest
+from scoreloom.streaming import contests
 
 
 def file_stream(spark: SparkSession, schema: StructType, folder: str, files: str = "*", per_batch: int | None = None) -> DataFrame:
@@ -128,36 +129,23 @@ def stream_sessions(telemetry: DataFrame, folder: str, gap: str, delay: str = "1
     return telemetry.sparkSession.read.parquet(f"{folder}/rows").drop("batch")
 
 
-def stream_elo(log: DataFrame, folder: str, segment_size: int = 50_000) -> DataFrame:
-    """Ratings kept up to date as contests arrive.
+def stream_elo(
+    log: DataFrame, folder: str, segment_size: int = 200_000, delay: Column | None = None, close: bool = True,
+) -> DataFrame:
+    """Elo history of contests whose entries arrive in any files and batches.
 
-    Within a batch contests apply in time order, across batches in order of
-    arrival. Each batch reads the ratings the batch before it left, replays its
-    contests with the batch operator and writes the history and the ratings
-    under its number; a repeated batch reads the same ratings again. ``log`` must
-    bring all entries of a contest in the same file.
+    ``log`` is as for ``elo_replay``. A contest waits until ``entrants`` different models are there and until no earlier one is
+    awaited: until its league has seen a contest ``delay`` later (an interval, or a number where times are numbers; none: the
+    batch itself). Contests that are due are rated in time order, so without late ones the history is
+    that of ``elo_replay``. A contest that is complete only after later ones of its league were rated is late: it moves no rating
+    and is listed by ``late_contests``. With ``close`` the run ends by rating all that is complete; what then still waits is listed by
+    ``open_contests``. A later run goes on from there. A batch writes the ratings it changed; a full table every few batches bounds
+    what a batch reads.
     """
     spark = log.sparkSession
-
-    def play(batch: DataFrame, batch_id: int) -> None:
-        known = _ratings_before(spark, f"{folder}/ratings", batch_id)
-        history = ratings.elo_history(batch, known, segment_size)
-        history.write.mode("overwrite").parquet(f"{folder}/history/batch={batch_id}")
-        history = spark.read.parquet(f"{folder}/history/batch={batch_id}")
-        latest = ratings.final_ratings(history).select("league", "model_id", "rating")
-        if known is not None:
-            untouched = known.join(latest, ["league", "model_id"], "left_anti")
-            latest = untouched.unionByName(latest)
-        latest.write.mode("overwrite").parquet(f"{folder}/ratings/batch={batch_id}")
-
-    run_batches(log, play, f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/history").drop("batch")
-
-
-def _ratings_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    """Ratings of the last batch before this one; a batch starts only after those before it are complete."""
-    if not exists(spark, folder):  # nothing written yet
-        return None
-    table = spark.read.parquet(folder)
-    last = table.filter(F.col("batch") < batch_id).agg(F.max("batch")).first()[0]
-    return None if last is None else table.filter(F.col("batch") == last).drop("batch")
+    tables = contests.ContestTables(spark, folder, log.schema)
+    run_batches(log, lambda batch, n: contests.play_step(tables, batch, 2 * n, delay, segment_size), f"{folder}/checkpoint")
+    last = tables.before(1 << 62)
+    if close and last is not None and last % 2 == 0:
+        contests.play_step(tables, None, last + 1, delay, segment_size)
+    return tables.all_of("history", tables.moves)

@@ -13,6 +13,7 @@ from scoreloom.plans import report_queries
 from scoreloom.plans.marts import Marts
 from scoreloom.session import new_folder
 from scoreloom.sources import files
+from scoreloom.streaming import contests as contests_mod
 from scoreloom.streaming import live
 from tests.test_ratings import log_of, made_up, moves_of, sequential
 
@@ -204,6 +205,38 @@ def test_elo_in_batches_equals_the_replay(spark):
     assert moves_of(history) == sequential(contests)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_entries_of_contests_may_arrive_apart_in_any_order(spark, seed):
+    contests = made_up(seed, 60)
+    log = log_of(spark, contests)
+    arrived, state = new_folder(spark, "log"), new_folder(spark, "state")
+    for part in range(6):  # every entry in a file of its own choice, and some twice
+        own = F.pmod(F.xxhash64("contest_id", "model_id", F.lit(seed)), F.lit(6))
+        log.filter((own == part) | (F.lit(part == 3) & (own == 1))).coalesce(1).write.mode("append").parquet(arrived)
+    stream = live.file_stream(spark, log.schema, arrived, per_batch=1)
+    history = live.stream_elo(stream, state, delay=F.lit(100))
+    assert moves_of(history) == sequential(contests) and history.count() == log.count()
+    assert contests_mod.late_contests(spark, state, log.schema).isEmpty() and contests_mod.open_contests(spark, state, log.schema).isEmpty()
+
+
+def test_late_and_open_contests_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(contests_mod, "SNAPSHOT_EVERY", 2)
+    contests = [(k % 2, k, 10 * k, [(1, k % 5), (2, 5 + k % 4)]) for k in range(24)]
+    log = log_of(spark, contests)
+    arrived, state = new_folder(spark, "log"), new_folder(spark, "state")
+    late, never = F.col("contest_id").isin(2, 5), (F.col("contest_id") == 7) & (F.col("placement") == 2)
+    for k in range(8):
+        log.filter(~late & ~never & F.col("contest_id").between(3 * k, 3 * k + 2) | late & F.lit(k == 6)).coalesce(1).write.mode("append").parquet(arrived)
+    stream = live.file_stream(spark, log.schema, arrived, per_batch=1)
+    live.stream_elo(stream, state, delay=F.lit(20), close=False)
+    history = live.stream_elo(stream, state, delay=F.lit(20))  # nothing new: the run only closes
+    rated = [c for c in contests if c[1] not in (2, 5, 7)]
+    assert moves_of(history) == sequential(rated)
+    assert {(r.contest_id, r.model_id) for r in contests_mod.late_contests(spark, state, log.schema).collect()} == {(2, 2), (2, 7), (5, 0), (5, 6)}
+    assert [(r.contest_id, r.model_id) for r in contests_mod.open_contests(spark, state, log.schema).collect()] == [(7, 2)]
+    assert len(contests_mod.ContestTables(spark, state, log.schema).steps("snapshot")) >= 3
+
+
 def test_leaderboard_stream_over_several_batches(spark):
     rows = [(i % 3, float(i), 1.0, 2.0, 3.0) for i in range(30)]
     df = spark.createDataFrame(rows, "model_id int, master_composite_score double, db_correctness_score double, llm_quality_score double, total_latency_ms double")
