@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from scoreloom.operators import joins
 from scoreloom.plans.mart_sql import rounded, with_marts
 from scoreloom.plans.marts import Marts
 from scoreloom.plans.rating_queries import REPLAY
@@ -15,28 +14,25 @@ QUERIES, SQL = {}, {}
 
 def query(name, sql=None):
     def add(fn):
-        QUERIES[name] = lambda spark, folder: fn(StreamedMarts(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Marts(spark, folder))
         if sql:
             SQL[name] = sql
         return fn
     return add
 
 
-class StreamedMarts(Marts):
-    """The marts with one driver table read as a stream."""
+def arriving(m, df, name, files, file):
+    """The rows as a stream of ``files`` files, one per batch; ``file`` is the number of a row's file."""
+    folder = new_folder(m.spark, name)
+    stored = df.withColumn("file", file).checkpoint()
+    for k in range(files):
+        stored.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(folder)
+    return live.file_stream(m.spark, df.schema, folder, per_batch=1)
 
-    def __init__(self, spark, folder, streamed=()):
-        super().__init__(spark, folder)
-        self.streamed = streamed
 
-    def streaming(self, *tables):
-        return StreamedMarts(self.spark, self.folder, tables)
-
-    def raw(self, name):
-        if name not in self.streamed:
-            return super().raw(name)
-        schema = super().raw(name).schema
-        return live.file_stream(self.spark, schema, self.folder, f"{name}.parquet")
+def slices(column):
+    """Three slices of time: to 1996, to 1998, later."""
+    return F.when(F.year(column) <= 1996, 0).when(F.year(column) <= 1998, 1).otherwise(2)
 
 
 @query("stream_leaderboard", with_marts("runs judge_scores", f"""
@@ -44,8 +40,16 @@ SELECT model_id, count(*) AS run_count, {rounded(f'avg({MCS})', 2)} AS mcs_score
   {rounded('avg(llm_quality_score)', 2)} AS llm_quality, {rounded('avg(total_latency_ms)', 1)} AS avg_latency_ms
 FROM runs JOIN judge_scores USING (run_id) WHERE {DONE} GROUP BY model_id"""))
 def _(m):
-    scored = joins.scored(m.streaming("lineitem").runs(), m.judge_scores())
-    return live.stream_leaderboard(scored, new_folder(m.spark, "stream-leaderboard"))
+    # a score comes up to 20 days before or after its run; odd ones arrive a file later, and runs of even models too
+    runs = m.runs().filter(F.col("status") == "completed").select("run_id", "model_id", "total_latency_ms", "run_timestamp")
+    days = F.make_dt_interval((F.crc32("run_id") % 41 - 20).cast("int"))
+    scores = m.judge_scores().select("run_id", "master_composite_score", "db_correctness_score", "llm_quality_score").join(
+        runs.select("run_id", (F.col("run_timestamp") + days).alias("scored_at")), "run_id")
+    on_time = slices("run_timestamp")
+    return live.stream_leaderboard(
+        arriving(m, runs, "runs", 4, on_time + (F.col("model_id") % 2 == 0).cast("int")),
+        arriving(m, scores, "scores", 4, slices("scored_at") + (F.crc32("run_id") % 2).cast("int")),
+        new_folder(m.spark, "stream-leaderboard"), before="20 DAYS", after="20 DAYS", delay="1096 days")
 
 
 @query("stream_run_dedupe", with_marts("runs", """
@@ -55,16 +59,16 @@ def _(m):
     # one configuration only, so that keys repeat, and files that are not in order of time
     runs = m.runs().withColumn("hyperparams", F.lit("{}")).select(
         "run_id", "question_id", "model_id", "prompt_strategy", "hyperparams", "total_latency_ms", "run_timestamp")
-    arrived = new_folder(m.spark, "runs")
-    runs.repartition(6, "run_id").write.parquet(arrived)
-    stream = live.file_stream(m.spark, runs.schema, arrived, per_batch=1)
+    stream = arriving(m, runs, "runs", 4, (F.crc32("run_id") % 4).cast("int"))
     return live.stream_run_dedupe(stream, new_folder(m.spark, "stream-dedupe"))
 
 
 def telemetry(m):
-    return m.streaming("events").raw("events").select(
+    """Events in four files by their user, so every file covers the whole time and all but the first bring late rows."""
+    events = m.raw("events").select(
         "ts", F.col("user_id").alias("model_id"), F.col("event_type").alias("prompt_strategy"),
         (F.col("value") * 10).alias("total_latency_ms"), (F.col("value") / 1000).alias("cost_usd"))
+    return arriving(m, events, "events", 4, (F.crc32(F.concat_ws("|", "model_id", "ts")) % 4).cast("int"))
 
 
 WINDOW_COLUMNS = f"""count(*) AS runs, {rounded('avg(value * 10)', 4)} AS avg_latency_ms, {rounded('sum(value / 1000)', 4)} AS cost_usd"""
@@ -92,7 +96,7 @@ def _(m):
 WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS is_first FROM events),
 s AS (SELECT *, sum(is_first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session_no FROM g)
 SELECT min(ts) AS window_start, max(ts) + INTERVAL 2 HOURS AS window_end, user_id AS model_id, {WINDOW_COLUMNS}
-FROM s GROUP BY user_id, session_no HAVING window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+FROM s GROUP BY user_id, session_no""")
 def _(m):
     return without_zone(live.stream_sessions(telemetry(m), new_folder(m.spark, "stream-sessions"), "2 hours"))
 
@@ -102,12 +106,6 @@ def _(m):
 def _(m):
     # one entry in three comes a file later than the others of its contest, so contests wait for up to three years
     log = m.contest_log()
-    arrived = new_folder(m.spark, "contest-log")
-    year = F.year("contest_ts")
-    file = F.when(year <= 1996, 0).when(year <= 1998, 1).otherwise(2) + F.when(F.col("model_id") % 3 == 0, 1).otherwise(0)
-    stored = log.withColumn("file", file).checkpoint()
-    for k in range(4):
-        stored.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(arrived)
-    stream = live.file_stream(m.spark, log.schema, arrived, per_batch=1)
+    stream = arriving(m, log, "contest-log", 4, slices("contest_ts") + (F.col("model_id") % 3 == 0).cast("int"))
     state = new_folder(m.spark, "stream-elo")
     return live.stream_elo(stream, state, delay=F.expr("INTERVAL 1096 DAYS")).drop("contest_ts")

@@ -7,9 +7,9 @@ overwrites what it wrote before.
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from scoreloom.functions.numbers import report_round
 from scoreloom.operators import ingest
@@ -45,58 +45,72 @@ def _table_writer(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def _latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """The row of the latest batch for every key."""
-    rows = spark.read.parquet(folder)
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__row")).select(
-        *keys, "__row.*"
-    ).drop("batch")
+def _written(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The rows that all batches wrote."""
+    return spark.read.schema(schema).parquet(folder)
 
 
-def stream_leaderboard(scored: DataFrame, folder: str) -> DataFrame:
-    """Running averages per model; each batch writes the models it changed."""
-    averages = scored.groupBy("model_id").agg(
-        F.count("*").alias("run_count"),
-        report_round(F.avg("master_composite_score"), 2).alias("mcs_score"),
-        report_round(F.avg("db_correctness_score"), 2).alias("db_correctness"),
-        report_round(F.avg("llm_quality_score"), 2).alias("llm_quality"),
-        report_round(F.avg("total_latency_ms"), 1).alias("avg_latency_ms"),
-    )
-    run_batches(averages, _table_writer(f"{folder}/rows"), f"{folder}/checkpoint", "update")
-    return _latest(scored.sparkSession, f"{folder}/rows", ["model_id"])
+# --- averages per model ---------------------------------------------------------------------------
+
+AVERAGED = {  # column: what is averaged, decimals
+    "mcs_score": ("master_composite_score", 2), "db_correctness": ("db_correctness_score", 2),
+    "llm_quality": ("llm_quality_score", 2), "avg_latency_ms": ("total_latency_ms", 1),
+}
+
 
+def runs_with_scores(runs: DataFrame, scores: DataFrame, before: str, after: str, delay: str) -> DataFrame:
+    """Stream of runs joined with the stream of their scores, whichever arrives first.
+
+    ``runs`` has run_timestamp, ``scores`` scored_at, which lies between ``before`` and ``after`` the run. Watermarks of ``delay``
+    with that range bound the rows that wait: a run or score is kept until no partner can come.
+    """
+    left = event_time(runs, "run_timestamp").withWatermark("run_timestamp", delay)
+    right = event_time(scores, "scored_at").withWatermark("scored_at", delay).withColumnRenamed("run_id", "scored_run")
+    near = f"scored_at >= run_timestamp - INTERVAL {before} AND scored_at <= run_timestamp + INTERVAL {after}"
+    return left.join(right, F.expr(f"run_id = scored_run AND {near}"))
+
+
+def stream_leaderboard(
+    runs: DataFrame, scores: DataFrame, folder: str, before: str = "1 DAY", after: str = "30 DAYS", delay: str = "30 days",
+) -> DataFrame:
+    """Averages per model over runs and scores that arrive in streams of their own (see ``runs_with_scores``).
+
+    A batch writes counts and sums of the pairs it completed, a row per model; the board adds them up.
+    """
+    def sums(batch: DataFrame, batch_id: int) -> None:
+        parts = [f(c).alias(f"{kind}_{name}") for name, (c, _) in AVERAGED.items() for kind, f in (("n", F.count), ("sum", F.sum))]
+        batch.groupBy("model_id").agg(F.count("*").alias("run_count"), *parts).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    run_batches(runs_with_scores(runs, scores, before, after, delay), sums, f"{folder}/checkpoint")
+    rows = runs.sparkSession.read.parquet(f"{folder}/rows")
+    averages = [report_round(F.sum(f"sum_{name}") / F.sum(f"n_{name}"), places).alias(name) for name, (_, places) in AVERAGED.items()]
+    return rows.groupBy("model_id").agg(F.sum("run_count").alias("run_count"), *averages)
+
+
+# --- runs -----------------------------------------------------------------------------------------
 
 RUN_KEY = ["question_id", "model_id", "prompt_strategy", "hyperparams"]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_run_dedupe(runs: DataFrame, folder: str, buckets: int = 64) -> DataFrame:
+def stream_run_dedupe(runs: DataFrame, folder: str) -> DataFrame:
     """First run of every configuration, by time and run id, whatever order the runs arrive in.
 
-    A batch stores its first run per key unless an earlier batch stored one that comes before it. Rows are
-    stored under a bucket of the key's hash, and only the buckets of a batch are read
-    again. A late run that comes first is stored beside the later one; the result takes the first of both.
-    No run is dropped for its age, so the store holds a row per key and change.
+    The first run of each key is the state of a streaming aggregation, kept in RocksDB, so a batch reads its own rows and the keys
+    it touches, however many batches went before. A batch writes the keys it touched; the result takes the first of each. No
+    run is dropped for its age, so the state holds a row per key.
     """
-    spark, stored, columns = runs.sparkSession, f"{folder}/rows", runs.columns
-    schema = StructType([*runs.schema.fields, StructField("batch", LongType()), StructField("bucket", LongType())])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        first = ingest.dedupe_runs(batch, key=RUN_KEY).withColumn("bucket", F.pmod(F.xxhash64(*RUN_KEY), F.lit(buckets)))
-        if batch_id and exists(spark, stored):
-            known = spark.read.schema(schema).parquet(stored)
-            before = known.filter(F.col("batch") < batch_id).groupBy("bucket", *RUN_KEY).agg(
-                F.min(F.struct("run_timestamp", "run_id")).alias("__kept")
-            )
-            joined = first.join(before, ["bucket", *RUN_KEY], "left")
-            first = joined.filter(
-                F.col("__kept").isNull() | (F.struct("run_timestamp", "run_id") < F.col("__kept"))
-            ).drop("__kept")
-        first.select(*columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{stored}/batch={batch_id}")
-
-    run_batches(runs, write, f"{folder}/checkpoint")
-    rows = spark.read.schema(schema).parquet(stored)
-    return ingest.dedupe_runs(rows.select(*columns), key=RUN_KEY)
+    spark, columns = runs.sparkSession, runs.columns
+    rest = [c for c in columns if c not in RUN_KEY]
+    first = runs.groupBy(*RUN_KEY).agg(F.min_by(F.struct(*rest), F.struct("run_timestamp", "run_id")).alias("row"))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        run_batches(first.select(*RUN_KEY, "row.*"), _table_writer(f"{folder}/rows"), f"{folder}/checkpoint", "update")
+    finally:
+        spark.conf.set(setting, before)
+    return ingest.dedupe_runs(_written(spark, f"{folder}/rows", runs.schema).select(*columns), key=RUN_KEY)
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
@@ -104,29 +118,76 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def _windowed(stream: DataFrame, window, keys: list[str]) -> DataFrame:
-    return stream.groupBy(window.alias("w"), *keys).agg(
-        F.count("*").alias("runs"),
-        report_round(F.avg("total_latency_ms"), 4).alias("avg_latency_ms"),
-        report_round(F.sum("cost_usd"), 4).alias("cost_usd"),
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys,
-             "runs", "avg_latency_ms", "cost_usd")
+# --- telemetry ------------------------------------------------------------------------------------
+
+SUMS = "runs long, n_latency long, sum_latency double, sum_cost double"
+
 
+def _sums() -> list[Column]:
+    return [F.count("*").alias("runs"), F.count("total_latency_ms").alias("n_latency"),
+            F.sum("total_latency_ms").alias("sum_latency"), F.sum("cost_usd").alias("sum_cost")]
 
-def stream_windows(telemetry: DataFrame, folder: str, size: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Latency and cost per strategy in tumbling, or with a slide overlapping, windows."""
-    stream = event_time(telemetry, "ts").withWatermark("ts", delay)
-    rows = _windowed(stream, F.window("ts", size, slide), ["prompt_strategy"])
-    run_batches(rows, _table_writer(f"{folder}/rows"), f"{folder}/checkpoint", "update")
-    return _latest(telemetry.sparkSession, f"{folder}/rows", ["window_start", "window_end", "prompt_strategy"])
 
+def _added() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("runs", "n_latency", "sum_latency", "sum_cost")]
 
-def stream_sessions(telemetry: DataFrame, folder: str, gap: str, delay: str = "1 hour") -> DataFrame:
-    """Latency and cost per model session; a session appears once the watermark has passed its end."""
-    stream = event_time(telemetry, "ts").withWatermark("ts", delay)
-    rows = _windowed(stream, F.session_window("ts", gap), ["model_id"])
-    run_batches(rows, _table_writer(f"{folder}/rows"), f"{folder}/checkpoint")
-    return telemetry.sparkSession.read.parquet(f"{folder}/rows").drop("batch")
+
+def _shown(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select("window_start", "window_end", *keys, "runs",
+                     report_round(F.col("sum_latency") / F.col("n_latency"), 4).alias("avg_latency_ms"), report_round(F.col("sum_cost"), 4).alias("cost_usd"))
+
+
+def _window_sums(telemetry: DataFrame, folder: str, window: Column, key: str, delay: str) -> DataFrame:
+    """Counts and sums per window, a row per batch, window and key; ``late`` says that the window had ended ``delay`` before the batch.
+
+    Sums of a window add up whatever batch they come from, so no row is dropped: those of a late batch correct what was shown.
+    How far the stream had come before a batch is read from the table of the batches before.
+    """
+    spark = telemetry.sparkSession
+    kind = telemetry.schema[key].dataType.simpleString()
+    schema = f"window_start timestamp, window_end timestamp, {key} {kind}, {SUMS}, late boolean, batch long"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = None
+        if batch_id and exists(spark, f"{folder}/seen"):
+            times = spark.read.schema("seen timestamp, batch long").parquet(f"{folder}/seen")
+            seen = times.where(F.col("batch") < batch_id).agg(F.max("seen")).first()[0]
+        passed = F.lit(False) if seen is None else F.col("window_end") <= F.lit(seen) - F.expr(f"INTERVAL {delay}")
+        parts = event_time(batch, "ts").groupBy(window.alias("w"), key).agg(*_sums())
+        parts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "runs", "n_latency", "sum_latency", "sum_cost").withColumn(
+            "late", passed).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        event_time(batch, "ts").agg(F.max("ts").alias("seen")).write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
+
+    run_batches(telemetry, write, f"{folder}/checkpoint")
+    return _written(spark, f"{folder}/rows", schema)
+
+
+def stream_windows(telemetry: DataFrame, folder: str, size: str, slide: str | None = None, delay: str = "1 HOUR") -> DataFrame:
+    """Latency and cost per strategy in tumbling, or with a slide overlapping, windows; late rows are added to their window."""
+    key = "prompt_strategy"
+    rows = _window_sums(telemetry, folder, F.window("ts", size, slide), key, delay)
+    return _shown(rows.groupBy("window_start", "window_end", key).agg(*_added()), [key])
+
+
+def late_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """What late rows added to windows that had ended: the corrections of a stream of windows, per batch."""
+    return spark.read.parquet(f"{folder}/rows").where("late").drop("late")
+
+
+def stream_sessions(telemetry: DataFrame, folder: str, gap: str, delay: str = "1 HOUR") -> DataFrame:
+    """Latency and cost per model session, in whatever batches its rows arrive; the last sessions are closed by the end of the run.
+
+    A batch writes its own sessions. Sessions of one model that overlap are one: the rows merged here are a few per
+    model and batch, not its telemetry.
+    """
+    key = "model_id"
+    rows = _window_sums(telemetry, folder, F.session_window("ts", gap), key, delay)
+    in_order = Window.partitionBy(key).orderBy("window_start", "window_end")
+    reach = F.max("window_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = rows.withColumn("fresh", (reach.isNull() | (F.col("window_start") >= reach)).cast("int"))
+    numbered = begins.withColumn("session", F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy(key, "session").agg(F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), *_added())
+    return _shown(merged, [key])
 
 
 def stream_elo(

@@ -15,7 +15,7 @@ from scoreloom.session import new_folder
 from scoreloom.sources import files
 from scoreloom.streaming import contests as contests_mod
 from scoreloom.streaming import live
-from tests.test_ratings import log_of, made_up, moves_of, sequential
+from tests.test_ratings import records_read, log_of, made_up, moves_of, sequential
 
 ROWS = "case_id string, row map<string,string>"
 
@@ -237,14 +237,44 @@ def test_late_and_open_contests_are_listed(spark, monkeypatch):
     assert len(contests_mod.ContestTables(spark, state, log.schema).steps("snapshot")) >= 3
 
 
-def test_leaderboard_stream_over_several_batches(spark):
-    rows = [(i % 3, float(i), 1.0, 2.0, 3.0) for i in range(30)]
-    df = spark.createDataFrame(rows, "model_id int, master_composite_score double, db_correctness_score double, llm_quality_score double, total_latency_ms double")
-    arrived = new_folder(spark, "scored")
-    df.repartition(5).write.parquet(arrived)
-    stream = live.file_stream(spark, df.schema, arrived, per_batch=2)
-    board = {r.model_id: (r.run_count, r.mcs_score) for r in live.stream_leaderboard(stream, new_folder(spark, "board")).collect()}
-    assert board == {k: (10, round(sum(r[1] for r in rows if r[0] == k) / 10, 2)) for k in range(3)}
+def stored_in_files(spark, df, name, files, file):
+    arrived = new_folder(spark, name)
+    for k in range(files):
+        df.filter(file == k).coalesce(1).write.mode("append").parquet(arrived)
+    return live.file_stream(spark, df.schema, arrived, per_batch=1)
+
+
+def test_runs_and_scores_may_arrive_in_any_order(spark):
+    start = datetime(2024, 1, 1)
+    runs = spark.createDataFrame([(f"r{k}", k % 3, float(k), start + timedelta(hours=k)) for k in range(40)],
+                                 "run_id string, model_id int, total_latency_ms double, run_timestamp timestamp_ntz")
+    rows = [(f"r{k}", start + timedelta(hours=k + k % 7 - 3), float(k), 2.0, None if k % 2 else 3.0) for k in range(40) if k % 5]
+    scores = spark.createDataFrame(rows, "run_id string, scored_at timestamp_ntz, master_composite_score double, db_correctness_score double, llm_quality_score double")
+    board = live.stream_leaderboard(
+        stored_in_files(spark, runs, "runs", 4, F.crc32("run_id") % 4), stored_in_files(spark, scores, "scores", 4, F.crc32("run_id") % 7 % 4),
+        new_folder(spark, "board"), "3 HOURS", "3 HOURS", "2 days")
+    want = {m: [k for k in range(40) if k % 5 and k % 3 == m] for m in range(3)}
+    got = {r.model_id: (r.run_count, r.mcs_score, r.avg_latency_ms, r.llm_quality) for r in board.collect()}
+    assert got == {m: (len(ks), round(sum(ks) / len(ks), 2), round(sum(ks) / len(ks), 1), 3.0) for m, ks in want.items()}
+
+
+def test_telemetry_in_any_order_loses_no_row(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(minutes=(k * 53) % 3000), k % 4, "cot", float(k % 10), 0.5) for k in range(400)]
+    events = spark.createDataFrame(rows, "ts timestamp_ntz, model_id int, prompt_strategy string, total_latency_ms double, cost_usd double")
+    for order in ((3, 1, 0, 2), (0, 1, 2, 3)):
+        part = F.element_at(F.array(*[F.lit(k) for k in order]), (F.crc32(F.col("ts").cast("string")) % 4 + 1).cast("int"))
+        folder = new_folder(spark, "windows")
+        windows = live.stream_windows(stored_in_files(spark, events, "events", 4, part), folder, "6 hours").collect()
+        assert sum(r.runs for r in windows) == 400 and len(windows) == 9
+        assert live.late_windows(spark, folder).agg(F.sum("runs")).first()[0] > 100
+        sessions = live.stream_sessions(stored_in_files(spark, events, "events", 4, part), new_folder(spark, "sessions"), "40 minutes").collect()
+        want = []
+        for m in range(4):
+            times = sorted(r[0] for r in rows if r[1] == m)
+            cuts = [0, *[i for i in range(1, len(times)) if times[i] - times[i - 1] >= timedelta(minutes=40)], len(times)]
+            want += [(m, times[a], times[b - 1] + timedelta(minutes=40), b - a) for a, b in zip(cuts, cuts[1:])]
+        assert sorted((r.model_id, r.window_start, r.window_end, r.runs) for r in sessions) == sorted(want)
 
 
 def test_default_configuration_wins_as_baseline(spark):
@@ -305,6 +335,20 @@ def test_run_stream_keeps_the_first_of_each_key_in_any_order(spark):
         assert {r.run_id for r in live.stream_run_dedupe(stream, new_folder(spark, "first")).collect()} == want
 
 
+def test_a_batch_of_runs_reads_no_earlier_batch(spark):
+    rows = [(f"r{k}", k % 50, 1, "cot", "{}", datetime(2024, 1, 1) + timedelta(days=(k * 37) % 400)) for k in range(1200)]
+    runs = spark.createDataFrame(rows, "run_id string, question_id int, model_id int, prompt_strategy string, hyperparams string, run_timestamp timestamp")
+    folder, stream = new_folder(spark, "first"), stored_in_files(spark, runs, "runs", 12, F.crc32("run_id") % 12)
+    read, write = [], live._table_writer(f"{folder}/rows")
+    live_writer = lambda batch, n: (write(batch, n), read.append(records_read(spark)))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(live, "_table_writer", lambda where: live_writer)
+        found = {r.run_id for r in live.stream_run_dedupe(stream, folder).collect()}
+    assert found == {r.run_id for r in ingest.dedupe_runs(runs, key=live.RUN_KEY).collect()} and len(read) == 12
+    steps = [b - a for a, b in zip(read, read[1:])]
+    assert max(steps) <= 200  # the rows of its own file, about a hundred
+
+
 def test_unknown_axis_is_an_error(spark):
     board = spark.createDataFrame([(1, 2.0)], "model_id int, mcs_score double")
     models = spark.createDataFrame([(1, "m", "p")], "model_id int, display_name string, provider string")
