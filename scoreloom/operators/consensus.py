@@ -78,6 +78,11 @@ def self_consistency_plan(questions: DataFrame, k: int = fv.SELF_CONSISTENCY_K)
     )
 
 
+def word_hashes(text: Column) -> Column:
+    """The distinct words of a text as 64-bit hashes; two different words of one pair of texts hardly ever share one."""
+    return F.array_distinct(F.transform(at.words(text), lambda w: F.xxhash64(w)))
+
+
 def _slots(samples: DataFrame, k: int) -> DataFrame:
     """One row per model and question with its k samples side by side.
 
@@ -87,22 +92,21 @@ def _slots(samples: DataFrame, k: int) -> DataFrame:
     index = F.when(
         (F.col("sample_idx") >= 0) & (F.col("sample_idx") < k), F.col("sample_idx")
     ).otherwise(F.raise_error(F.lit("sample_idx lies outside the plan")))
-    rows = samples.withColumn("sample_idx", index).filter(F.coalesce("answer", F.lit("")) != "")
+    # texts stay behind: only hashes of their words are grouped
+    rows = samples.filter(F.coalesce("answer", F.lit("")) != "").select(
+        "model_id", "question_id", index.alias("sample_idx"), word_hashes(F.col("answer")).alias("words"))
 
     def slot(i):
         here = F.col("sample_idx") == i
         return F.when(F.count_if(here) > 1, F.raise_error(F.lit("a sample_idx repeats"))).otherwise(
-            F.max_by("answer", F.when(here, F.lit(1)))
+            F.max_by("words", F.when(here, F.lit(1)))
         )
 
-    return rows.groupBy("model_id", "question_id").agg(*[slot(i).alias(f"answer_{i}") for i in range(k)])
+    return rows.groupBy("model_id", "question_id").agg(*[slot(i).alias(f"words_{i}") for i in range(k)])
 
 
 def _mean_similarities(slots: DataFrame, k: int) -> DataFrame:
     rows = slots.withColumns({
-        f"words_{i}": F.when(F.col(f"answer_{i}").isNotNull(), at.words(F.col(f"answer_{i}"))) for i in range(k)
-    })
-    rows = rows.withColumns({
         f"sim_{i}_{j}": F.when(
             F.col(f"words_{i}").isNotNull() & F.col(f"words_{j}").isNotNull(),
             at.jaccard(F.col(f"words_{i}"), F.col(f"words_{j}")),
@@ -113,7 +117,7 @@ def _mean_similarities(slots: DataFrame, k: int) -> DataFrame:
         sims = [F.col(f"sim_{min(i, j)}_{max(i, j)}") for j in range(k) if j != i]
         total = sum((F.coalesce(s, F.lit(0.0)) for s in sims), F.lit(0.0))
         others = sum((s.isNotNull().cast("int") for s in sims), F.lit(0))
-        return F.when(F.col(f"answer_{i}").isNotNull(), F.when(others > 0, F.round(total / others, 9)).otherwise(F.lit(1.0)))
+        return F.when(F.col(f"words_{i}").isNotNull(), F.when(others > 0, F.round(total / others, 9)).otherwise(F.lit(1.0)))
 
     return rows.withColumns({f"mean_{i}": mean(i) for i in range(k)})
 
@@ -134,23 +138,28 @@ def plurality_vote(samples: DataFrame, k: int = fv.SELF_CONSISTENCY_K) -> DataFr
     rows = _mean_similarities(_slots(samples, k), k)
     best = F.array_max(F.array(*[
         F.when(F.col(f"mean_{i}").isNotNull(), F.struct(
-            F.col(f"mean_{i}").alias("mean"), F.lit(-i).alias("order"), F.col(f"answer_{i}").alias("answer"),
+            F.col(f"mean_{i}").alias("mean"), F.lit(-i).alias("order"),
         )) for i in range(k)
     ]))
-    count = sum((F.col(f"answer_{i}").isNotNull().cast("int") for i in range(k)), F.lit(0))
-    return rows.select("model_id", "question_id", best.alias("best"), count.alias("samples")).select(
-        "model_id", "question_id", "samples", (-F.col("best.order")).alias("best_idx"),
-        F.col("best.mean").alias("mean_similarity"), F.col("best.answer").alias("best_answer"),
-    )
+    count = sum((F.col(f"words_{i}").isNotNull().cast("int") for i in range(k)), F.lit(0))
+    voted = rows.select("model_id", "question_id", best.alias("best"), count.alias("samples")).select(
+        "model_id", "question_id", "samples", (-F.col("best.order")).alias("best_idx"), F.col("best.mean").alias("mean_similarity"))
+    # the text of the winner is fetched by its key
+    texts = samples.filter(F.coalesce("answer", F.lit("")) != "").select(
+        "model_id", "question_id", F.col("sample_idx").cast("int").alias("best_idx"), F.col("answer").alias("best_answer"))
+    return voted.join(texts, ["model_id", "question_id", "best_idx"]).select(*voted.columns, "best_answer")
 
 
 def token_set_ops(pairs: DataFrame) -> DataFrame:
-    """Sizes of the common and joint word sets of two texts per row."""
-    rows = pairs.withColumns({
-        "left_words": at.words(F.col("left_text")), "right_words": at.words(F.col("right_text"))
-    })
-    return rows.select(
-        "pair_id",
-        F.size(F.array_intersect("left_words", "right_words")).alias("common_words"),
-        F.size(F.array_union("left_words", "right_words")).alias("all_words"),
-    )
+    """Sizes of the common and joint word sets of two texts per row.
+
+    ``pairs`` has pair_id and left_text and right_text, or left_words and right_words (see ``word_hashes``) where the texts were
+    reduced before they were joined. No words on a side count as none.
+    """
+    none = F.array().cast("array<bigint>")
+    sides = {
+        side: F.coalesce(F.col(f"{side}_words") if f"{side}_words" in pairs.columns else word_hashes(F.col(f"{side}_text")), none)
+        for side in ("left", "right")
+    }
+    return pairs.select("pair_id", *[c.alias(side) for side, c in sides.items()]).select(
+        "pair_id", F.size(F.array_intersect("left", "right")).alias("common_words"), F.size(F.array_union("left", "right")).alias("all_words"))

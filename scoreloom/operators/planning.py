@@ -8,6 +8,7 @@ from scoreloom.functions import prompt_texts as pt
 from scoreloom.functions import tags as tg
 from scoreloom.functions.keys import config_digest, config_text
 from scoreloom.operators.answer_scan import cut
+from scoreloom.operators.ordering import with_row_number
 
 
 # --- grids --------------------------------------------------------------------------
@@ -22,25 +23,32 @@ def sweep_configs(params: list[str]) -> list[dict[str, str]]:
     return [{p: v} for p in params for v in fv.HYPERPARAM_GRID[p] if v != fv.DEFAULT_HYPERPARAMS[p]]
 
 
-CELLS_LIMIT = 100_000
+MODEL_BLOCK = 1000
+FEW_MODELS = 100_000  # so many ids are broadcast; more are joined by their block
+
+
+def model_blocks(models: DataFrame) -> DataFrame:
+    """(block, model_ids): the models in order, a thousand to a row."""
+    numbered = with_row_number(models.select("model_id"), ["model_id"], "nth")
+    block = F.floor((F.col("nth") - 1) / MODEL_BLOCK).alias("block")
+    return numbered.groupBy(block).agg(F.sort_array(F.collect_list("model_id")).alias("model_ids"))
 
 
 def grid(questions: DataFrame, models: DataFrame, strategies: list[str], configs: list[dict], phase: str) -> DataFrame:
-    """Questions x models x strategies x configurations.
+    """Questions x models x strategies x configurations, of any number of models.
 
-    ``models`` has model_id. Strategies and configurations are the lists of the request. The cells of one
-    question are counted first; a generator over the question scan then makes the product, with no join and no shuffle.
+    ``models`` has model_id. Strategies and configurations are the lists of the request. A cell is a number in mixed radix: block of
+    models, model in the block, row of the request. Every question generates the numbers of the blocks and joins their
+    models; generators over one block at a time then make the cells, so no row or task holds those of a question.
     """
     rows = [{"prompt_strategy": s, "hyperparams": config_text(c), "hyperparam_hash": config_digest(c)} for s in strategies for c in configs]
-    size = models.count() * len(rows)
-    if size > CELLS_LIMIT:
-        raise ValueError(f"{size} cells per question are more than one row should make; plan fewer models at a time")
-    cells = models.select("model_id", F.inline(_literal_rows(rows)))
-    kind = models.schema["model_id"].dataType.simpleString()
-    every = cells.agg(F.sort_array(F.collect_list(F.struct(*cells.columns)))).scalar().cast(
-        f"array<struct<model_id:{kind},prompt_strategy:string,hyperparams:string,hyperparam_hash:string>>"
-    )
-    return questions.select(F.lit(phase).alias("phase"), "question_id", F.inline(every))
+    count = models.count()
+    blocks = model_blocks(models)
+    last = F.lit(max(0, -(-count // MODEL_BLOCK) - 1)).cast("long")  # without models the one block finds no partner
+    numbered = questions.select("question_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    joined = numbered.join(F.broadcast(blocks) if count <= FEW_MODELS else blocks, "block")
+    cells = joined.select("question_id", F.explode("model_ids").alias("model_id"))
+    return cells.select(F.lit(phase).alias("phase"), "question_id", "model_id", F.inline(_literal_rows(rows)))
 
 
 def experiment_grid(questions: DataFrame, sample: DataFrame, models: DataFrame, params: list[str]) -> DataFrame:
@@ -105,18 +113,16 @@ STORED_STRATEGIES = ["few-shot", "few-shot-cot"]
 def seed_few_shot(questions: DataFrame, stored: DataFrame) -> DataFrame:
     """Two examples per answered question, without those that are stored already."""
     answer = F.col("expected_answer")
-    rows = F.array(
-        F.struct(F.lit("few-shot").alias("prompt_strategy"), answer.alias("example_answer")),
-        F.struct(
-            F.lit("few-shot-cot").alias("prompt_strategy"),
-            F.format_string(pt.COT_EXAMPLE_ANSWER, answer).alias("example_answer"),
-        ),
-    )
-    # the keys decide what is new before the texts are built
-    keys = questions.filter(answer.isNotNull()).select(
-        "question_id", "subtopic_id", "difficulty", F.col("question_text").alias("example_question"), F.inline(rows)
-    )
-    return keys.join(stored.select("question_id", "prompt_strategy"), ["question_id", "prompt_strategy"], "left_anti")
+    names = F.array(*[F.lit(s) for s in STORED_STRATEGIES])
+    # the keys decide what is new; a question that has something new is then read with its texts, which are built last
+    new = questions.filter(answer.isNotNull()).select("question_id", F.explode(names).alias("prompt_strategy")).join(
+        stored.select("question_id", "prompt_strategy"), ["question_id", "prompt_strategy"], "left_anti")
+    wanted = new.groupBy("question_id").agg(F.sort_array(F.collect_set("prompt_strategy")).alias("wanted"))
+    rows = questions.filter(answer.isNotNull()).join(wanted, "question_id").select(
+        F.explode("wanted").alias("prompt_strategy"), "question_id", "subtopic_id", "difficulty",
+        F.col("question_text").alias("example_question"), answer.alias("answer"))
+    built = F.when(F.col("prompt_strategy") == "few-shot-cot", F.format_string(pt.COT_EXAMPLE_ANSWER, "answer")).otherwise(F.col("answer"))
+    return rows.select("question_id", "prompt_strategy", "subtopic_id", "difficulty", "example_question", built.alias("example_answer"))
 
 
 def _first_examples(store: DataFrame, keys: list[str], count: int, name: str) -> DataFrame:

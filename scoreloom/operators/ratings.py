@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from scoreloom.functions import fixed_values as fv
 from scoreloom.functions.numbers import report_round
-from scoreloom.operators.ordering import with_carried, with_row_number_in
+from scoreloom.operators.ordering import with_carried, with_rank_in, with_row_number_in
 from scoreloom.session import new_folder
 
 
@@ -69,7 +69,8 @@ UNPLACED = 99
 def rank_placements(judged: DataFrame) -> DataFrame:
     """Position of every entry in its contest's ranked list; a missing placement goes last."""
     rows = judged.withColumn("placement", F.coalesce("placement", F.lit(UNPLACED)))
-    return with_row_number_in(rows, ["contest_id"], ["placement", "label"], "position")
+    lane = F.struct("placement", F.substring("label", 1, 2))
+    return with_rank_in(rows, ["contest_id"], lane, ["placement", "label"], "position")
 
 
 def label_of(rank: Column) -> Column:
@@ -86,7 +87,7 @@ def anonymise_contest(entries: DataFrame, seed: int = 0) -> DataFrame:
     """
     shuffled = F.md5(F.concat_ws("|", "contest_id", "model_id", F.lit(seed)))
     rows = entries.withColumn("shuffle_key", shuffled)
-    ranked = with_row_number_in(rows, ["contest_id"], ["shuffle_key", "model_id"], "rank")
+    ranked = with_rank_in(rows, ["contest_id"], F.substring("shuffle_key", 1, 2), ["shuffle_key", "model_id"], "rank")
     return ranked.select(*entries.columns, label_of(F.col("rank")).alias("label"), F.col("rank").alias("label_no"))
 
 

@@ -196,9 +196,9 @@ SELECT answer_id AS pair_id, len(list_intersect(a, b))::INT AS common_words, len
 FROM (SELECT answer_id, coalesce({words_sql('expected_answer')}, []) AS a, {words_sql('answer')} AS b
   FROM answers LEFT JOIN refs USING (question_id))"""))
 def _(m):
-    rows = m.answers().join(m.references(), "question_id", "left")
-    return consensus.token_set_ops(rows.select(
-        F.col("answer_id").alias("pair_id"), F.col("expected_answer").alias("left_text"), F.col("answer").alias("right_text")))
+    answers = m.answers().select(F.col("answer_id").alias("pair_id"), "question_id", consensus.word_hashes(F.col("answer")).alias("right_words"))
+    references = m.references().select("question_id", consensus.word_hashes(F.col("expected_answer")).alias("left_words"))
+    return consensus.token_set_ops(answers.join(references, "question_id", "left"))
 
 
 @query("self_consistency_plan", with_marts("questions", """
