@@ -128,20 +128,16 @@ def seed_few_shot(questions: DataFrame, stored: DataFrame) -> DataFrame:
 def _first_examples(store: DataFrame, keys: list[str], count: int, name: str) -> DataFrame:
     """The first examples of every key as one short array.
 
-    Spark keeps ``count`` rows per key in each map task (window group limit). A question stored
-    twice for one strategy would crowd others out, so it is an error.
+    Spark keeps ``count`` rows per key in each map task (window group limit).
     """
+    reasoning = F.col("example_reasoning") if "example_reasoning" in store.columns else F.lit(None)
     example = F.struct(
-        "question_id", "prompt_strategy",
-        F.col("example_question").alias("question"), F.col("example_answer").alias("answer"),
+        "question_id", "prompt_strategy", F.col("example_question").alias("question"),
+        F.col("example_answer").alias("answer"), reasoning.cast("string").alias("reasoning"),
     )
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("question_id", "prompt_strategy"))
-    found = F.sort_array(F.collect_list(example))
-    stored = F.transform(found, lambda e: F.struct(e["question_id"], e["prompt_strategy"]))
-    once = F.when(F.size(F.array_distinct(stored)) == F.size(stored), found).otherwise(
-        F.raise_error(F.lit("a question is stored twice for one strategy"))
-    )
-    return store.withColumn("__rank", rank).filter(F.col("__rank") <= count).groupBy(*keys).agg(once.alias(name))
+    return store.withColumn("__rank", rank).filter(F.col("__rank") <= count).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(example)).alias(name))
 
 
 def few_shot_lookup(questions: DataFrame, store: DataFrame, strategy: str = "few-shot", n: int = 3) -> DataFrame:
@@ -149,8 +145,12 @@ def few_shot_lookup(questions: DataFrame, store: DataFrame, strategy: str = "few
 
     Same subtopic and difficulty first; if those are fewer than n, the first n
     of the subtopic replace them. A question is stored once per strategy, so the
-    first n plus that many examples of a key always leave n others.
+    first n plus that many examples of a key always leave n others; a store that repeats one is an error. Ids
+    are of any type; an optional example_reasoning goes with its example.
     """
+    again = store.groupBy("question_id", "prompt_strategy").count().filter("count > 1")
+    if not again.isEmpty():
+        raise ValueError("a question is stored twice for one strategy")
     wanted = [strategy] if "cot" in strategy else [strategy, "few-shot-cot"]
     strict = _first_examples(
         store.filter(F.col("prompt_strategy").isin(wanted)), ["subtopic_id", "difficulty"],
@@ -160,9 +160,7 @@ def few_shot_lookup(questions: DataFrame, store: DataFrame, strategy: str = "few
 
     def others(name):
         kept = F.filter(name, lambda e: e["question_id"] != F.col("question_id"))
-        return F.coalesce(F.slice(kept, 1, n), F.array().cast(
-            "array<struct<question_id:bigint,prompt_strategy:string,question:string,answer:string>>"
-        ))
+        return F.coalesce(F.slice(kept, 1, n), F.array().cast(relaxed.schema["relaxed"].dataType))
 
     return (
         questions.join(strict, ["subtopic_id", "difficulty"], "left").join(relaxed, "subtopic_id", "left")
@@ -206,23 +204,30 @@ def _any_word(line: Column) -> Column:
     return hit
 
 
-def _example(e: Column) -> Column:
-    return F.concat(F.lit("Question: "), e["question"], F.lit("\nAnswer: "), e["answer"])
+def _example(e: Column, reasoned: bool = False) -> Column:
+    why = e["reasoning"]
+    block = F.when(F.coalesce(why, F.lit("")) != "", F.concat(F.lit("\nReasoning:\n"), why)).otherwise(F.lit(""))
+    return F.concat(F.lit("Question: "), e["question"], block if reasoned else F.lit(""), F.lit("\nAnswer: "), e["answer"])
+
+
+def _numbered(examples: Column, reasoned: bool) -> Column:
+    return F.array_join(F.transform(examples, lambda e, i: F.concat(
+        F.lit("Example "), (i + 1).cast("string"), F.lit(":\n"), _example(e, reasoned))), "\n\n")
 
 
-def user_prompt(strategy: Column, question: Column, examples: Column) -> Column:
-    """The prompt of a strategy; without examples the example strategies fall back."""
-    numbered = F.array_join(F.transform(examples, lambda e, i: F.concat(
-        F.lit("Example "), (i + 1).cast("string"), F.lit(":\n"), _example(e)
-    )), "\n\n")
+def user_prompt(strategy: Column, question: Column, examples: Column, variant: Column) -> Column:
+    """The prompt of a strategy; without examples the example strategies fall back.
+
+    The step-by-step strategy has an implicit ``variant``; its fallbacks are always explicit. Examples with steps show their reasoning.
+    """
     count = F.size(examples).cast("string")
     has = F.size(examples) > 0
-    step_by_step = F.concat(question, F.lit(pt.COT_SUFFIX))
+    steps = F.when((strategy == "cot") & (variant == "implicit"), pt.COT_IMPLICIT_SUFFIX).otherwise(pt.COT_SUFFIX)
     return (
         F.when((strategy == "one-shot") & has, fill(pt.ONE_SHOT, _example(F.get(examples, F.lit(0))), question))
-        .when((strategy == "few-shot") & has, fill(pt.FEW_SHOT, count, numbered, question))
-        .when((strategy == "few-shot-cot") & has, fill(pt.FEW_SHOT_COT, count, numbered, question))
-        .when(strategy.isin("cot", "few-shot-cot", "self-consistency"), step_by_step)
+        .when((strategy == "few-shot") & has, fill(pt.FEW_SHOT, count, _numbered(examples, False), question))
+        .when((strategy == "few-shot-cot") & has, fill(pt.FEW_SHOT_COT, count, _numbered(examples, True), question))
+        .when(strategy.isin("cot", "few-shot-cot", "self-consistency"), F.concat(question, steps))
         .when(strategy == "least-to-most", fill(pt.LEAST_TO_MOST, question))
         .when(strategy == "react", fill(pt.REACT, question))
         .otherwise(question)
@@ -242,21 +247,31 @@ def prompt_label(strategy: Column, has_examples: Column) -> Column:
 def render_prompts(planned: DataFrame, style: str = pt.DEFAULT_STYLE) -> DataFrame:
     """System and user prompt of planned rows.
 
-    ``planned`` has prompt_strategy, question_text, schema_fixture and examples.
+    ``planned`` has prompt_strategy, question_text, schema_fixture and examples (see ``few_shot_lookup``), and optionally cot_variant.
     """
     strategy = F.col("prompt_strategy")
+    variant = F.col("cot_variant") if "cot_variant" in planned.columns else F.lit("explicit")
     question = with_schema(F.col("question_text"), F.col("schema_fixture"))
     return planned.withColumns({
         "system_prompt": system_prompt(strategy, F.lit(style)),
-        "user_prompt": user_prompt(strategy, question, F.col("examples")),
+        "user_prompt": user_prompt(strategy, question, F.col("examples"), F.coalesce(variant, F.lit("explicit"))),
         "label": prompt_label(strategy, F.size("examples") > 0),
-    }).drop("question_text", "schema_fixture", "examples")
+    }).drop("question_text", "schema_fixture", "examples", "cot_variant")
+
+
+def reference_for_judge(text: Column) -> Column:
+    """A reference as the judge sees it; cut before texts are joined."""
+    return cut(text, pt.REFERENCE_CHAR_LIMIT, pt.REFERENCE_NOTE)
+
+
+def answer_for_judge(text: Column) -> Column:
+    return cut(text, pt.ANSWER_CHAR_LIMIT, pt.ANSWER_NOTE)
 
 
 def judge_prompts(rows: DataFrame) -> DataFrame:
     """The judge's prompt of every answer.
 
-    ``rows`` has question_text, expected_answer, answer, question_type, tags and
+    ``rows`` has question_text, tags, the reference and the answer as ``reference_for_judge`` and ``answer_for_judge`` give them, and
     the optional context columns judge_hint and execution_context.
     """
     c = F.col
@@ -271,8 +286,8 @@ def judge_prompts(rows: DataFrame) -> DataFrame:
     def given(text, default):
         return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
 
-    reference = given(cut(c("expected_answer"), pt.REFERENCE_CHAR_LIMIT, pt.REFERENCE_NOTE), pt.NO_REFERENCE)
-    answer = given(cut(c("answer"), pt.ANSWER_CHAR_LIMIT, pt.ANSWER_NOTE), pt.NO_ANSWER)
+    reference = given(c("reference"), pt.NO_REFERENCE)
+    answer = given(c("answer"), pt.NO_ANSWER)
     prompt = fill(pt.JUDGE_PROMPT, c("question_text"), reference, answer, full_rubric)
     return rows.select("answer_id", F.lit(pt.JUDGE_SYSTEM_PROMPT).alias("system_prompt"), prompt.alias("judge_prompt"))
 

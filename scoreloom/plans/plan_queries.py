@@ -151,11 +151,21 @@ def _(m):
                            F.md5("example_question").alias("question_md5"), "example_answer")
 
 
+# some stored examples with steps have a reasoning
+WHY = "CASE WHEN s.prompt_strategy = 'few-shot-cot' AND s.question_id % 2 = 0 THEN 'Because of ' || s.question_id END"
+
+
+def reasoned_store(m):
+    why = F.when((F.col("prompt_strategy") == "few-shot-cot") & (F.col("question_id") % 2 == 0),
+                 F.concat(F.lit("Because of "), F.col("question_id").cast("string")))
+    return store(m).withColumn("example_reasoning", why)
+
+
 def lookup_sql(wanted):
-    return f"""strict AS (SELECT e.question_id, list({{id: s.question_id, strategy: s.prompt_strategy, q: s.q, a: s.a}} ORDER BY s.question_id, s.prompt_strategy)[1:3] AS ex
+    return f"""strict AS (SELECT e.question_id, list({{id: s.question_id, strategy: s.prompt_strategy, q: s.q, a: s.a, why: {WHY}}} ORDER BY s.question_id, s.prompt_strategy)[1:3] AS ex
   FROM example_questions e JOIN store s ON s.subtopic_id = e.subtopic_id AND s.difficulty = e.difficulty AND s.question_id <> e.question_id
     AND s.prompt_strategy IN ({wanted}) GROUP BY e.question_id),
-relaxed AS (SELECT e.question_id, list({{id: s.question_id, strategy: s.prompt_strategy, q: s.q, a: s.a}} ORDER BY s.question_id, s.prompt_strategy)[1:3] AS ex
+relaxed AS (SELECT e.question_id, list({{id: s.question_id, strategy: s.prompt_strategy, q: s.q, a: s.a, why: {WHY}}} ORDER BY s.question_id, s.prompt_strategy)[1:3] AS ex
   FROM example_questions e JOIN store s ON s.subtopic_id = e.subtopic_id AND s.question_id <> e.question_id GROUP BY e.question_id),
 looked AS (SELECT e.*, coalesce(len(s.ex), 0) < 3 AS is_relaxed, CASE WHEN coalesce(len(s.ex), 0) < 3 THEN coalesce(r.ex, []) ELSE s.ex END AS ex
   FROM example_questions e LEFT JOIN strict s USING (question_id) LEFT JOIN relaxed r USING (question_id))"""
@@ -180,13 +190,20 @@ def _(m):
 
 
 EXAMPLE = "'Question: ' || e.q || chr(10) || 'Answer: ' || e.a"
-NUMBERED = f"array_to_string(list_transform(ex, lambda e, i: 'Example ' || i || ':' || chr(10) || {EXAMPLE}), chr(10) || chr(10))"
+REASONED = "'Question: ' || e.q || coalesce(chr(10) || 'Reasoning:' || chr(10) || e.why, '') || chr(10) || 'Answer: ' || e.a"
+
+
+def numbered_sql(example):
+    return f"array_to_string(list_transform(ex, lambda e, i: 'Example ' || i || ':' || chr(10) || {example}), chr(10) || chr(10))"
+
+
 DDL = ", ".join(text(w) for w in pt.DDL_LINE_WORDS)
 SUMMARY = f"""trim(array_to_string(list_filter(string_split(schema_fixture, chr(10)),
   lambda l: len(list_filter([{DDL}], lambda w: contains(upper(l), w))) > 0), chr(10)))"""
 PROMPT = f"""CASE WHEN s = 'one-shot' AND n > 0 THEN {filled(pt.ONE_SHOT, EXAMPLE.replace('e.', 'ex[1].'), 'q')}
-  WHEN s = 'few-shot' AND n > 0 THEN {filled(pt.FEW_SHOT, 'n', NUMBERED, 'q')}
-  WHEN s = 'few-shot-cot' AND n > 0 THEN {filled(pt.FEW_SHOT_COT, 'n', NUMBERED, 'q')}
+  WHEN s = 'few-shot' AND n > 0 THEN {filled(pt.FEW_SHOT, 'n', numbered_sql(EXAMPLE), 'q')}
+  WHEN s = 'few-shot-cot' AND n > 0 THEN {filled(pt.FEW_SHOT_COT, 'n', numbered_sql(REASONED), 'q')}
+  WHEN s = 'cot' AND question_id % 3 = 0 THEN q || {text(pt.COT_IMPLICIT_SUFFIX)}
   WHEN s IN ('cot', 'few-shot-cot', 'self-consistency') THEN q || {text(pt.COT_SUFFIX)}
   WHEN s = 'least-to-most' THEN {filled(pt.LEAST_TO_MOST, 'q')} WHEN s = 'react' THEN {filled(pt.REACT, 'q')} ELSE q END"""
 
@@ -199,9 +216,10 @@ SELECT question_id, s AS prompt_strategy, CASE WHEN s IN ('one-shot', 'few-shot'
   md5(CASE WHEN s = 'role-prompting' THEN {text(pt.ROLE_SYSTEM_PROMPT)} ELSE {text(pt.SYSTEM_PROMPTS['expert-persona'])} END) AS system_md5,
   md5({PROMPT}) AS user_md5 FROM p"""))
 def _(m):
-    looked = planning.few_shot_lookup(m.example_questions(), store(m))
+    looked = planning.few_shot_lookup(m.example_questions(), reasoned_store(m))
     strategies = F.explode(F.array(*[F.lit(s) for s in fv.STRATEGIES])).alias("prompt_strategy")
-    planned = looked.select("question_id", "question_text", "schema_fixture", "examples", strategies)
+    variant = F.when(F.col("question_id") % 3 == 0, "implicit").otherwise("explicit").alias("cot_variant")
+    planned = looked.select("question_id", "question_text", "schema_fixture", "examples", variant, strategies)
     return planning.render_prompts(planned).select(
         "question_id", "prompt_strategy", "label", F.md5("system_prompt").alias("system_md5"), F.md5("user_prompt").alias("user_md5"))
 
@@ -227,7 +245,9 @@ SYSTEM_MD5 = f"md5({text(pt.JUDGE_SYSTEM_PROMPT)}) AS system_md5"
 SELECT answer_id, md5({in_places(pt.JUDGE_PROMPT, ["'Question ' || question_id", JUDGE_REF, JUDGE_ANS, RUBRIC])}) AS prompt_md5, {SYSTEM_MD5}
 FROM answers LEFT JOIN refs USING (question_id)"""))
 def _(m):
-    rows = m.answers().join(m.references(), "question_id", "left").withColumns({
+    answers = m.answers().withColumn("answer", planning.answer_for_judge(F.col("answer")))
+    references = m.references().select("question_id", planning.reference_for_judge(F.col("expected_answer")).alias("reference"))
+    rows = answers.join(references, "question_id", "left").withColumns({
         "question_text": F.concat(F.lit("Question "), F.col("question_id").cast("string")),
         "judge_hint": F.when(F.col("answer_id") % 7 == 0, F.concat(F.lit("schema of "), "source")),
         "execution_context": F.lit(None).cast("string"),
