@@ -106,15 +106,15 @@ def _slots(samples: DataFrame, k: int) -> DataFrame:
 
 
 def _mean_similarities(slots: DataFrame, k: int) -> DataFrame:
-    rows = slots.withColumns({
-        f"sim_{i}_{j}": F.when(
-            F.col(f"words_{i}").isNotNull() & F.col(f"words_{j}").isNotNull(),
-            at.jaccard(F.col(f"words_{i}"), F.col(f"words_{j}")),
-        ) for i in range(k) for j in range(i + 1, k)
-    })
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    # one lambda for all pairs: ten copies of it would be too much code for one method
+    sides = F.array(*[F.struct(F.col(f"words_{i}").alias("left"), F.col(f"words_{j}").alias("right")) for i, j in pairs])
+    similarity = F.transform(sides, lambda p: F.when(
+        p["left"].isNotNull() & p["right"].isNotNull(), at.jaccard(p["left"], p["right"])))
+    rows = slots.withColumn("similarity", similarity)
 
     def mean(i: int) -> Column:
-        sims = [F.col(f"sim_{min(i, j)}_{max(i, j)}") for j in range(k) if j != i]
+        sims = [F.get("similarity", F.lit(place)) for place, pair in enumerate(pairs) if i in pair]
         total = sum((F.coalesce(s, F.lit(0.0)) for s in sims), F.lit(0.0))
         others = sum((s.isNotNull().cast("int") for s in sims), F.lit(0))
         return F.when(F.col(f"words_{i}").isNotNull(), F.when(others > 0, F.round(total / others, 9)).otherwise(F.lit(1.0)))
