@@ -289,10 +289,14 @@ def leaderboard_totals(board: DataFrame, entries: DataFrame, runs: DataFrame) ->
     return counts.agg(*[F.sum(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in parts])
 
 
-def topic_breakdown(star: DataFrame) -> DataFrame:
-    return star.groupBy("topic").agg(
-        F.count("run_id").alias("run_count"), report_round(F.avg(MCS), 2).alias("avg_mcs")
-    )
+LEAST_TOPICS = 5
+
+
+def topic_breakdown(star: DataFrame, least_topics: int = LEAST_TOPICS) -> DataFrame:
+    """Runs and average per topic, how many topics have a score at all, and whether those are at least ``least_topics``."""
+    topics = star.groupBy("topic").agg(F.count("run_id").alias("run_count"), report_round(F.avg(MCS), 2).alias("avg_mcs"))
+    scored = F.count("avg_mcs").over(Window.partitionBy())  # a row per topic
+    return topics.withColumn("scored_topics", scored).withColumn("enough_topics", F.col("scored_topics") >= least_topics)
 
 
 def subtopic_counts(questions: DataFrame, subtopics: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from scoreloom.functions import fixed_values as fv
 from scoreloom.functions import pillars, tags
 from scoreloom.operators import answer_scan
 from scoreloom.operators.joins import baseline
-from scoreloom.session import checkpointed
+from scoreloom.session import new_folder
 
 
 def sub_scores(scored_questions: DataFrame) -> DataFrame:
@@ -123,9 +123,11 @@ def with_prompting(rows: DataFrame, default_hyperparams: str, unbiased: bool = F
     """Add the prompting pillar and the composite to rows that have the other three pillars.
 
     The rows hold numbers only by now, yet come from a scan of the answer texts;
-    they are checkpointed so that the baseline side does not scan the texts again.
+    they are written once, so that the baseline side reads a few of their columns and does not scan the texts again.
     """
-    rows = checkpointed(rows)
+    folder = new_folder(rows.sparkSession, "scores")
+    rows.write.parquet(folder)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(folder)
     c = F.col
     pillar_columns = (c("db_correctness_score"), c("llm_quality_score"), c("efficiency_score"))
     neutral = pillars.composite(pillar_columns[0], pillar_columns[1], F.lit(50.0), pillar_columns[2])

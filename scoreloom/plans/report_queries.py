@@ -260,7 +260,8 @@ def _(m):
 
 
 @query("topic_breakdown", with_marts(STAR_MARTS, f"""
-SELECT topic, count(*) AS run_count, {rounded(f'avg({MCS})', 2)} AS avg_mcs FROM {STAR} WHERE {DONE} GROUP BY topic"""))
+SELECT topic, count(*) AS run_count, {rounded(f'avg({MCS})', 2)} AS avg_mcs, count(avg({MCS})) OVER () AS scored_topics, count(avg({MCS})) OVER () >= 5 AS enough_topics
+FROM {STAR} WHERE {DONE} GROUP BY topic"""))
 def _(m):
     return reports.topic_breakdown(star(m))
 

@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import consensus, ordering, planning
+from scoreloom.operators import consensus, joins, ordering, planning
+from scoreloom.plans.marts import Marts
 from scoreloom.session import new_folder
+from scoreloom.sources import files
 from scoreloom.sources.json_arrays import read_json_objects
 
 PIECES = ["}", "{", '"', "\\", "]", "[", ",", "a", "é", "\n", "\\}", '"}', "[{", " "]
@@ -105,3 +107,26 @@ def test_new_examples_are_found_by_key(spark):
     rows = planning.seed_few_shot(questions, stored).collect()
     assert {(r.question_id, r.prompt_strategy) for r in rows} == {(1, "few-shot-cot"), (3, "few-shot"), (3, "few-shot-cot")}
     assert {r.example_answer for r in rows if r.prompt_strategy == "few-shot"} == {"a3"}
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tables):
+    marts = Marts(spark, tables)
+    names = [f"runs_{new_folder(spark, '')[-8:]}", f"scores_{new_folder(spark, '')[-8:]}"]
+    runs = files.write_bucketed(marts.runs(), names[0], new_folder(spark, "runs"), 4)
+    scores = files.write_bucketed(marts.judge_scores(), names[1], new_folder(spark, "scores"), 4)
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for join in (joins.scored, joins.with_scores):
+            joined = join(runs, scores)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+            assert "Exchange" in join(marts.runs(), marts.judge_scores())._jdf.queryExecution().executedPlan().toString()
+        # the joins of the star come above the one on run_id, which still has none
+        star = joins.star(runs, scores, marts.models(), marts.questions(), marts.subtopics(), marts.topics())
+        assert star.count() == joins.star(marts.runs(), marts.judge_scores(), marts.models(), marts.questions(), marts.subtopics(), marts.topics()).count()
+        assert joins.scored(runs, scores).count() == joins.scored(marts.runs(), marts.judge_scores()).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+        for name in names:
+            spark.sql(f"DROP TABLE {name}")
