@@ -481,14 +481,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents without near duplicates: of each component the row with the smallest id, all columns kept.
 
-    Rows without shingles and rows with a null id stay; of rows that repeat an id, all stay or all go.
+    Rows without shingles stay, and so do rows with a null id, which is no name for a component; but of rows that agree in id
+    (null included) and text, one stays, the one whose columns have the smallest hash. Other rows that repeat an id all stay or all go.
     """
     found = near_duplicates(docs, id_col, text_col)
     goes = _staged(
         found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct(), "gone"
     )
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    same = F.xxhash64("id", "body")
+    again = _staged(
+        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body")).groupBy("id", "body").count()
+        .where("count > 1").select(same.alias("key")), "again"
+    )
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"))
     marked = likely_among(row, F.when(F.col("id").isNotNull(), F.xxhash64("id")), goes.select(F.xxhash64("gone").alias("key")))
     # only rows that may go are shuffled
     checked = marked.where("likely").join(goes, F.col("id") == F.col("gone"), "left_anti")
-    return marked.where("NOT likely").unionByName(checked).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    kept = marked.where("NOT likely").unionByName(checked).select("row", "id", "body")
+    repeats = likely_among(kept, same, again)
+    once = repeats.where("likely").groupBy("id", F.col("row")[text_col].alias("text")).agg(
+        F.min_by("row", F.xxhash64("row")).alias("row"))
+    return repeats.where("NOT likely").select("row").unionByName(once.select("row")).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns])
