@@ -11,7 +11,8 @@ from pyspark.sql.types import ArrayType, StringType
 from scoreloom.functions import fixed_values as fv
 from scoreloom.functions.answer_text import contains_any, strip
 from scoreloom.functions.keys import stable_question_id
-from scoreloom.operators.ordering import with_carried, with_row_number
+from scoreloom.operators.ordering import with_carried, with_sum_before
+from scoreloom.session import new_folder
 
 
 # --- classification -------------------------------------------------------------
@@ -107,22 +108,29 @@ def explode_question_sheet(sheet: DataFrame) -> DataFrame:
     ``sheet`` has row_no, topic (only on the first row of a block), subtopic,
     questions and answers.
     """
-    filled = with_carried(sheet, ["row_no"], "topic", "topic_filled")
-    rows = filled.select(
-        "row_no",
-        F.upper(strip(F.coalesce("topic_filled", F.lit("")))).alias("topic"),
-        F.upper(strip(F.coalesce("subtopic", F.lit("")))).alias("subtopic"),
-        list_items("questions").alias("questions"),
-        list_items("answers").alias("answers"),
-    ).filter(F.col("subtopic") != "")
-    items = rows.select(
-        "row_no", "topic", "subtopic", "answers", F.posexplode("questions").alias("item", "question_text")
-    ).withColumn("expected_answer", F.nullif(strip(F.coalesce(F.get("answers", F.col("item")), F.lit(""))), F.lit("")))
-    numbered = with_row_number(items.drop("answers"), ["row_no", "item"], "position")
-    indexed = classify_questions(numbered).withColumn("global_index", F.col("position") - 1)
+    def upper(name):
+        return F.upper(strip(F.coalesce(name, F.lit("")))).alias(name)
+
+    folder = new_folder(sheet.sparkSession, "sheet")
+    parsed = sheet.select(
+        "row_no", "topic", upper("subtopic"), list_items("questions").alias("questions"), list_items("answers").alias("answers"),
+    ).withColumn("row", F.monotonically_increasing_id())
+    # cells are parsed and written once; only row numbers, topics and counts are put in order
+    parsed.write.parquet(folder)
+    cells = sheet.sparkSession.read.schema(parsed.schema).parquet(folder)
+    count = F.when(F.col("subtopic") != "", F.greatest(F.size("questions"), F.lit(0))).otherwise(F.lit(0))
+    order = ["row_no", "row"]
+    rows = with_sum_before(with_carried(
+        cells.select("row_no", "row", "topic", count.alias("items")), order, "topic", "topic_filled"), order, "items", "before")
+    filled = cells.filter(F.col("subtopic") != "").drop("topic", "row_no").join(
+        rows.select("row", upper("topic_filled").alias("topic"), "before"), "row")
+    items = filled.select("topic", "subtopic", "answers", "before", F.posexplode("questions").alias("item", "question_text"))
+    answer = F.nullif(strip(F.coalesce(F.get("answers", F.col("item")), F.lit(""))), F.lit(""))
+    placed = items.withColumn("expected_answer", answer).withColumn("global_index", F.col("before") + F.col("item"))
+    indexed = classify_questions(placed.drop("answers", "before", "item"))
     return indexed.withColumn(
         "question_id", stable_question_id(F.col("topic"), F.col("subtopic"), F.col("exercise_number"), F.col("global_index"))
-    ).drop("position", "row_no", "item")
+    )
 
 
 def dedupe_questions(questions: DataFrame, excluded_tag: str | None = "er_diagram") -> DataFrame:
