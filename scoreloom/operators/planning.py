@@ -205,9 +205,11 @@ def _any_word(line: Column) -> Column:
 
 
 def _example(e: Column, reasoned: bool = False) -> Column:
-    why = e["reasoning"]
-    block = F.when(F.coalesce(why, F.lit("")) != "", F.concat(F.lit("\nReasoning:\n"), why)).otherwise(F.lit(""))
-    return F.concat(F.lit("Question: "), e["question"], block if reasoned else F.lit(""), F.lit("\nAnswer: "), e["answer"])
+    block = F.lit("")
+    if reasoned:
+        why = F.nullif(e["reasoning"], F.lit(""))
+        block = F.coalesce(F.concat(F.lit("\nReasoning:\n"), why), block)
+    return F.concat(F.lit("Question: "), e["question"], block, F.lit("\nAnswer: "), e["answer"])
 
 
 def _numbered(examples: Column, reasoned: bool) -> Column:
@@ -215,10 +217,11 @@ def _numbered(examples: Column, reasoned: bool) -> Column:
         F.lit("Example "), (i + 1).cast("string"), F.lit(":\n"), _example(e, reasoned))), "\n\n")
 
 
-def user_prompt(strategy: Column, question: Column, examples: Column, variant: Column) -> Column:
+def user_prompt(strategy: Column, question: Column, examples: Column, variant: Column, reasoned: bool) -> Column:
     """The prompt of a strategy; without examples the example strategies fall back.
 
-    The step-by-step strategy has an implicit ``variant``; its fallbacks are always explicit. Examples with steps show their reasoning.
+    The step-by-step strategy has an implicit ``variant``; its fallbacks are always explicit. Examples with steps show their
+    reasoning if they are ``reasoned``, which is that they have the field.
     """
     count = F.size(examples).cast("string")
     has = F.size(examples) > 0
@@ -226,7 +229,7 @@ def user_prompt(strategy: Column, question: Column, examples: Column, variant: C
     return (
         F.when((strategy == "one-shot") & has, fill(pt.ONE_SHOT, _example(F.get(examples, F.lit(0))), question))
         .when((strategy == "few-shot") & has, fill(pt.FEW_SHOT, count, _numbered(examples, False), question))
-        .when((strategy == "few-shot-cot") & has, fill(pt.FEW_SHOT_COT, count, _numbered(examples, True), question))
+        .when((strategy == "few-shot-cot") & has, fill(pt.FEW_SHOT_COT, count, _numbered(examples, reasoned), question))
         .when(strategy.isin("cot", "few-shot-cot", "self-consistency"), F.concat(question, steps))
         .when(strategy == "least-to-most", fill(pt.LEAST_TO_MOST, question))
         .when(strategy == "react", fill(pt.REACT, question))
@@ -252,9 +255,10 @@ def render_prompts(planned: DataFrame, style: str = pt.DEFAULT_STYLE) -> DataFra
     strategy = F.col("prompt_strategy")
     variant = F.col("cot_variant") if "cot_variant" in planned.columns else F.lit("explicit")
     question = with_schema(F.col("question_text"), F.col("schema_fixture"))
+    reasoned = "reasoning" in planned.schema["examples"].dataType.elementType.fieldNames()
     return planned.withColumns({
         "system_prompt": system_prompt(strategy, F.lit(style)),
-        "user_prompt": user_prompt(strategy, question, F.col("examples"), F.coalesce(variant, F.lit("explicit"))),
+        "user_prompt": user_prompt(strategy, question, F.col("examples"), F.coalesce(variant, F.lit("explicit")), reasoned),
         "label": prompt_label(strategy, F.size("examples") > 0),
     }).drop("question_text", "schema_fixture", "examples", "cot_variant")
 

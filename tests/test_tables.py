@@ -149,6 +149,17 @@ def test_prompt_fallbacks_and_schema(spark):
     assert "```sql\nCREATE TABLE t (\n);\n```\n\nQ\n\nApproach" in got["cot"].user_prompt
 
 
+def test_reasoning_and_implicit_steps(spark):
+    rows = [(s, v, "Q?", None, [("q", "a", "because"), ("p", "b", "")]) for s in ("cot", "self-consistency", "few-shot", "few-shot-cot") for v in ("implicit", None)]
+    df = spark.createDataFrame(rows, "prompt_strategy string, cot_variant string, question_text string, schema_fixture string, "
+                               "examples array<struct<question: string, answer: string, reasoning: string>>")
+    got = {(r.prompt_strategy, v): r.user_prompt for r, (_, v, *_) in zip(planning.render_prompts(df).collect(), rows)}
+    assert got["cot", "implicit"] == "Q?\n\nLet us think step by step."
+    assert got["cot", None] == got["self-consistency", "implicit"] == got["self-consistency", None] != got["cot", "implicit"]
+    assert "Question: q\nReasoning:\nbecause\nAnswer: a" in got["few-shot-cot", None] and "Question: p\nAnswer: b" in got["few-shot-cot", None]
+    assert "because" not in got["few-shot", None]
+
+
 def test_upsert_twice_changes_nothing(spark):
     stored = spark.createDataFrame([(1, "a")], "id int, name string").withColumn("id", F.col("id").cast("string"))
     incoming = spark.createDataFrame([("a",), ("b",), ("b",)], "name string")
