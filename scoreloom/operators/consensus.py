@@ -7,6 +7,7 @@ from scoreloom.functions import answer_text as at
 from scoreloom.functions import fixed_values as fv
 from scoreloom.functions.numbers import report_round
 from scoreloom.functions.perturb import PERTURBATIONS
+from scoreloom.session import new_folder
 
 
 def perturb_questions(questions: DataFrame) -> DataFrame:
@@ -144,6 +145,10 @@ def plurality_vote(samples: DataFrame, k: int = fv.SELF_CONSISTENCY_K) -> DataFr
     count = sum((F.col(f"words_{i}").isNotNull().cast("int") for i in range(k)), F.lit(0))
     voted = rows.select("model_id", "question_id", best.alias("best"), count.alias("samples")).select(
         "model_id", "question_id", "samples", (-F.col("best.order")).alias("best_idx"), F.col("best.mean").alias("mean_similarity"))
+    # the narrow votes are written, or the join would repeat the whole comparison in a null check of its key
+    folder = new_folder(samples.sparkSession, "votes")
+    voted.write.parquet(folder)
+    voted = samples.sparkSession.read.schema(voted.schema).parquet(folder)
     # the text of the winner is fetched by its key
     texts = samples.filter(F.coalesce("answer", F.lit("")) != "").select(
         "model_id", "question_id", F.col("sample_idx").cast("int").alias("best_idx"), F.col("answer").alias("best_answer"))
