@@ -75,7 +75,9 @@ def op3_mix_sources(spark, folder):
 def op4_warc_captures(spark, folder):
     archives = new_folder(spark, "warc")
     write_archives(table(spark, folder, "pages"), archives, every_row=True)
-    found = page_ids(assemble(read_archives(spark, archives, keep_payload=False)))
+    captures = new_folder(spark, "captures")  # page ids are looked up among the captures themselves
+    assemble(read_archives(spark, archives, keep_payload=False)).write.parquet(captures)
+    found = page_ids(spark.read.parquet(captures))
     return found.select(
         "page_id", "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"),
         F.col("refers_page").alias("refers_to"),
@@ -222,6 +224,23 @@ steps AS (
 SELECT doc_id, size, source_size, target,
   CAST(floor(rate * step + start) - floor(rate * (step - 1) + start) AS BIGINT) * size AS taken
 FROM steps
+""",
+    "op4_warc_captures": r"""
+WITH hashed AS (
+  SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (
+  SELECT page_id, url, body, [CAST('0x' || substr(h, CAST(i AS INT) * 5 + 1, 5) AS BIGINT) FOR i IN range(8)] AS parts FROM hashed),
+known AS (
+  SELECT page_id, url, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((parts[k // 4 + 1] // CAST(power(32, 3 - k % 4) AS BIGINT)) % 32 + 1 AS INT), 1)
+      FOR k IN range(32)], '') AS payload_digest
+  FROM coded),
+ranked AS (
+  SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first FROM known
+  WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first END AS refers_to
+FROM ranked
 """,
     "op6_line_dedup": r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),

@@ -5,7 +5,7 @@ import hashlib
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -16,7 +16,7 @@ VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 3000
-AGAIN = "__again"
+HOT = 1000
 DIGESTED = ST.StructType([ST.StructField("payload_bytes", ST.LongType()), ST.StructField("payload_digest", ST.StringType())])
 RECORD = (
     "file string, place bigint, kind string, record_id string, concurrent_to array<string>, target_uri string, date string,"
@@ -38,50 +38,70 @@ def digested(payloads: pa.Array) -> pa.Array:
     )
 
 
-def record_id(kind: str, page_id: Column, payload_digest: Column, again: Column) -> Column:
-    """A urn that follows from the page, its payload and ``again``, so that repeated tasks write the same bytes."""
-    named = F.coalesce(page_id.cast("string"), F.lit("null"))
-    h = F.md5(F.concat_ws(":", F.lit(kind), named, payload_digest, again))
+def record_id(kind: str, page_id: Column, payload_digest: Column, name: Column) -> Column:
+    """A urn that follows from the page, its payload and ``name``, so that repeated tasks write the same bytes."""
+    known = F.coalesce(page_id.cast("string"), F.lit("null"))
+    h = F.md5(F.concat_ws(":", F.lit(kind), known, payload_digest, name))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def captures(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages with payload digest and, for repeats of an equal payload, the page they refer to.
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
 
-    Of records with equal payloads of at least ``least_bytes`` the smallest id is the
-    response. Only the minimum per digest crosses a shuffle besides the pages themselves.
+def looked_up(rows: DataFrame, found: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` joined with ``found``, which has one row per ``key``, in the way ``how`` (inner or left).
+
+    Keys of at least a HOT-th of the rows, at most HOT of them, are broadcast, so that rows of a
+    frequent key stay where they are; only the others are shuffled.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
-                        *[c for c in pages.columns if c == AGAIN])
-    known = rows.withColumn("d", digested("html")).select(*rows.columns, "d.*")
-    firsts = known.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeats = firsts.where((F.col("n") > 1) & (F.col("payload_bytes") >= least_bytes)).select("payload_digest", "first")
-    return known.join(repeats, "payload_digest", "left").withColumn(
-        "refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    ).drop("first")
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.where(F.col("n") * HOT >= counts.agg(F.sum("n")).scalar()).select(key)
+    near = F.broadcast(found.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(near, key).unionByName(rows.join(near.select(key), key, "left_anti").join(found, key, how))
 
 
-def _numbered(pages: DataFrame, every_row: bool) -> DataFrame:
-    """Rows page_id, url, html with the column AGAIN: null, but for rows that repeat a page id and payload.
+def captures(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+             every_row: bool = True) -> DataFrame:
+    """Pages with payload digest and, for repeats of an equal payload, the page they refer to.
 
-    Only rows of repeated page ids are written to a table, which fixes the numbers of equal rows.
+    Of rows with equal payloads of at least ``least_bytes`` the one with the smallest id is the response (null ids
+    last; ties by url, then by row), the others refer to it. Rows that repeat id, url and payload are one page unless ``every_row``.
+    Pages are read and hashed once, into a table that fixes their numbers; html is shuffled only for
+    rows that may refer to another.
+    Returns row, page_id, url, html (null where it refers), payload_bytes, payload_digest, name, refers_to, refers_name, revisit.
     """
-    twice = pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("page_id").alias("key"))
-    marked = likely_among(pages, F.xxhash64("page_id"), twice)
-    name = F.monotonically_increasing_id().cast("string") if every_row else F.md5(F.coalesce(F.concat(F.lit("u"), "url"), F.lit("n")))
-    body = F.coalesce("html", F.lit(""))
-    some = marked.where("likely").drop("likely").withColumns(
-        {"name": name, "a": F.xxhash64("page_id", body), "b": F.xxhash64(F.lit(1), "page_id", body)}
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    known = _staged(rows.withColumn("d", digested("html")).select(*rows.columns, "d.*", F.monotonically_increasing_id().alias("row")), "pages")
+    own = F.col("row").cast("string") if every_row else F.md5(F.coalesce(F.concat(F.lit("u"), "url"), F.lit("n")))
+    known = known.withColumn("name", own)
+    narrow = known.drop("html").where(F.col("payload_bytes") >= least_bytes)
+    order = F.struct(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url", "name")
+    firsts = narrow.groupBy("payload_digest").agg(
+        F.min_by(F.struct("page_id", "name"), order).alias("first"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1").select("payload_digest", "first")
+    firsts = _staged(firsts, "firsts")
+    again = likely_among(narrow, F.xxhash64("payload_digest"), firsts.select(F.xxhash64("payload_digest").alias("key"))).where("likely")
+    revisits = _staged(
+        looked_up(again.select("row", "page_id", "name", "payload_digest"), firsts, "payload_digest", "inner")
+        .where(~(F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("name") == F.col("first.name"))))
+        .select("row", F.col("first.page_id").alias("refers_to"), F.col("first.name").alias("refers_name"), F.lit(True).alias("revisit")),
+        "revisits",
     )
-    staged = new_folder(pages.sparkSession, "repeats")
-    some.write.parquet(staged)
-    some = pages.sparkSession.read.schema(some.schema).parquet(staged)
-    firsts = some.groupBy("a", "b").agg(F.min("name").alias("least"))
-    numbered = some.join(firsts, ["a", "b"]).withColumn(AGAIN, F.when(F.col("name") != F.col("least"), F.col("name")))
-    return marked.where("NOT likely").drop("likely").withColumn(AGAIN, F.lit(None).cast("string")).unionByName(
-        numbered.select(*pages.columns, AGAIN)
+    marked = likely_among(known, F.xxhash64("row"), revisits.select(F.xxhash64("row").alias("key")))
+    columns = [c for c in known.columns if c != "html"]
+    some = marked.where("likely").drop("likely").join(revisits, "row", "left").select(
+        *columns, F.when(F.col("revisit").isNull(), F.col("html")).alias("html"),
+        "refers_to", "refers_name", F.coalesce("revisit", F.lit(False)).alias("revisit"),
     )
+    others = marked.where("NOT likely").select(
+        *columns, "html", F.lit(None).cast(rows.schema["page_id"].dataType).alias("refers_to"),
+        F.lit(None).cast("string").alias("refers_name"), F.lit(False).alias("revisit"),
+    )
+    return others.unionByName(some)
 
 
 def _header(name: str, value: str) -> str:
@@ -144,14 +164,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     gets metadata without an id. Rows with a null or repeated id have record ids of their own; rows that repeat
     id, url and html repeat the record ids too, unless ``every_row`` numbers them.
     """
-    named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    known = captures(_numbered(named, every_row), least_bytes)
-    ids = {f"{k}_id": record_id(k, F.col("page_id"), F.col("payload_digest"), F.col(AGAIN)) for k in ("request", "response", "metadata")}
+    known = captures(pages, least_bytes, id_col, url_col, html_col, every_row)
+    ids = {f"{k}_id": record_id(k, F.col("page_id"), F.col("payload_digest"), F.col("name")) for k in ("request", "response", "metadata")}
     rows = known.select(
-        "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "payload_bytes", "payload_digest",
-        *[x.alias(name) for name, x in ids.items()],
-        # the response of that page and payload that is not a repeat
-        F.when(F.col("refers_to").isNotNull(), record_id("response", F.col("refers_to"), F.col("payload_digest"), F.lit(None))).alias("refers_id"),
+        "page_id", "url", "html", "payload_bytes", "payload_digest", *[x.alias(name) for name, x in ids.items()],
+        F.when(F.col("revisit"), record_id("response", F.col("refers_to"), F.col("payload_digest"), F.col("refers_name"))).alias("refers_id"),
     )
     members = rows.mapInArrow(_page_records, "member binary")
     members.select(F.col("member").cast("string")).write.option("lineSep", "\x00").option(
@@ -166,13 +183,18 @@ def _headers(raw: bytes) -> list[tuple[str, str]]:
 
 def _members(data: bytes):
     """Uncompressed bytes of each gzip member; a file without compression is one piece."""
-    while data:
-        if data[:2] != b"\x1f\x8b":
-            yield data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        if view[at: at + 2] != b"\x1f\x8b":
+            yield view[at:].tobytes()
             return
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = memoryview(z.unused_data).tobytes()
+        z, parts, step = zlib.decompressobj(31), [], 2048
+        while at < len(view) and not z.eof:  # in growing steps, as what follows the member is copied
+            parts.append(z.decompress(view[at: at + step]))
+            at = min(at + step, len(view))
+            step *= 2
+        at -= len(z.unused_data)
+        yield b"".join(parts) + z.flush()
 
 
 def parse_archive(data: bytes):
@@ -247,44 +269,46 @@ def assemble(records: DataFrame) -> DataFrame:
     a record id that repeats counts once, by its first copy. Records without a capture are left out; a capture without
     request or metadata has nulls there.
     Returns record_id, response, request, metadata (structs), requests, metadata_records.
+
+    Archives are parsed once, into a table of first copies; ties and anchors are pairs of ids, and blocks and payloads
+    join them once at the end.
     """
-    # every step below reads the records again, so archives are parsed once into a table
-    staged = new_folder(records.sparkSession, "records")
-    records.write.parquet(staged)
-    records = records.sparkSession.read.schema(records.schema).parquet(staged)
-    first = records.where("record_id IS NOT NULL").withColumn("at", F.struct("file", "place"))
-    once = first.groupBy("record_id", "kind").agg(F.min("at").alias("at"))
-    unique = first.join(once, ["record_id", "kind", "at"])
-    main = unique.where("kind IN ('response', 'revisit')")
-    other = unique.where("kind NOT IN ('response', 'revisit')")
-    ties = unique.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b")).where("a != b")
-    both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    anchors = main.select(F.col("record_id").alias("anchor"))
-    near = both.join(anchors, both["b"] == anchors["anchor"]).select("a", "anchor")
-    outside = both.join(anchors, both["a"] == anchors["anchor"], "left_anti")
-    far = outside.join(near.withColumnRenamed("a", "b"), "b").select("a", "anchor")
+    known = records.where("record_id IS NOT NULL").withColumn("at", F.struct("file", "place"))
+    copies = Window.partitionBy("record_id").orderBy("file", "place")
+    unique = _staged(known.withColumn("copy", F.row_number().over(copies)).where("copy = 1").drop("copy"), "records")
+    capture = F.col("kind").isin("response", "revisit")
+    main, other = unique.where(capture), unique.where(~capture)
+    anchors = main.select(F.col("record_id").alias("b"), F.lit(True).alias("main"))
+    named = unique.select(F.col("record_id").alias("a"), capture.alias("from_main"), F.explode("concurrent_to").alias("b")).where("a != b")
+    ties = named.join(anchors, "b", "left").select("a", "b", "from_main", F.coalesce("main", F.lit(False)).alias("to_main"))
+    # a pair ties both ends; it is an anchor for the end that is no capture
+    ends = ties.select(F.explode(F.array(
+        F.struct("a", "b", F.col("from_main").alias("placed"), F.col("to_main").alias("anchored")),
+        F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("to_main").alias("placed"), F.col("from_main").alias("anchored")),
+    )).alias("e")).select("e.*").where("NOT placed")
+    near = ends.where("anchored").groupBy("a").agg(F.min("b").alias("anchor"))
+    far = ends.where("NOT anchored").select("a", "b").join(near.withColumnRenamed("a", "b"), "b").select("a", "anchor")
     owner = (
         near.withColumn("steps", F.lit(1)).unionByName(far.withColumn("steps", F.lit(2)))
-        .groupBy("a").agg(F.min(F.struct("steps", "anchor"))["anchor"].alias("anchor"))
-    )
-    placed = other.join(owner, other["record_id"] == owner["a"]).select(
-        "anchor", "kind", F.struct("at", "record_id", "target_uri", "date", "block").alias("r")
+        .groupBy(F.col("a").alias("record_id")).agg(F.min(F.struct("steps", "anchor"))["anchor"].alias("anchor"))
     )
-    parts = placed.groupBy("anchor").agg(
+    placed = other.join(owner, "record_id").select("anchor", "kind", F.struct("at", "record_id", "target_uri", "date", "block").alias("r"))
+    parts = placed.groupBy(F.col("anchor").alias("record_id")).agg(
         *[F.min(F.when(F.col("kind") == k, F.col("r"))).alias(k) for k in ("request", "metadata")],
         F.count_if(F.col("kind") == "request").alias("requests"), F.count_if(F.col("kind") == "metadata").alias("metadata_records"),
     )
     nested = F.struct("kind", "target_uri", "date", "refers_to", "payload_digest", "payload_bytes", "digest_ok", "payload")
-    return main.join(parts, main["record_id"] == parts["anchor"], "left").select(
-        "record_id", nested.alias("response"), F.col("request").dropFields("at").alias("request"),
+    return main.select("record_id", nested.alias("response")).join(parts, "record_id", "left").select(
+        "record_id", "response", F.col("request").dropFields("at").alias("request"),
         F.col("metadata").dropFields("at").alias("metadata"), F.coalesce("requests", F.lit(0)).alias("requests"),
         F.coalesce("metadata_records", F.lit(0)).alias("metadata_records"),
     )
 
 
 def page_ids(assembled: DataFrame) -> DataFrame:
-    """Captures with the page_id that their metadata record notes, and that of the capture they refer to."""
+    """Captures with the page_id that their metadata record notes, and as refers_page that of the capture they refer to."""
     note = F.regexp_extract(F.col("metadata.block").cast("string"), r"page_id: (-?\d+)", 1)
-    known = assembled.withColumn("page_id", note.try_cast("bigint"))
-    origin = known.where("response.kind = 'response'").select(F.col("record_id").alias("origin"), F.col("page_id").alias("refers_page"))
-    return known.join(origin, known["response.refers_to"] == origin["origin"], "left").drop("origin")
+    known = assembled.withColumn("page_id", note.try_cast("bigint")).withColumn("origin", F.col("response.refers_to"))
+    pages = known.where("response.kind = 'response'").select(F.col("record_id").alias("origin"), F.col("page_id").alias("refers_page"))
+    single = known.where("origin IS NULL").withColumn("refers_page", F.lit(None).cast("bigint"))
+    return single.unionByName(looked_up(known.where("origin IS NOT NULL"), pages, "origin", "left")).drop("origin")
