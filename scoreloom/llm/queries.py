@@ -76,7 +76,8 @@ def op4_warc_captures(spark, folder):
     archives = new_folder(spark, "warc")
     write_archives(table(spark, folder, "pages"), archives, every_row=True)
     captures = new_folder(spark, "captures")  # page ids are looked up among the captures themselves
-    assemble(read_archives(spark, archives, keep_payload=False)).write.parquet(captures)
+    assembled = assemble(read_archives(spark, archives, keep_payload=False)).select("record_id", "response", "metadata")
+    assembled.write.option("compression", "zstd").parquet(captures)
     found = page_ids(spark.read.parquet(captures))
     return found.select(
         "page_id", "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"),

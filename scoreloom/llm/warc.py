@@ -48,7 +48,7 @@ def record_id(kind: str, page_id: Column, payload_digest: Column, name: Column)
 
 def _staged(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
