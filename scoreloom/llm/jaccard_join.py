@@ -16,6 +16,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100  # a link: DENOMINATOR * shared >= NUMERATOR * union
 SKETCH_BITS = 22
 CHUNK_TOKENS = 1_000_000
+BUCKET_TOKENS = 12_000_000  # shingles of the corpus per bucket; about a third are in prefixes, at 12 bytes
+SEEN = 500_000
 STRAGGLERS, MEMBERS = 1000, 2000  # rows of one verification task
 RANGES = 16
 _WEIGHTS = T.mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -175,7 +177,8 @@ def _prefix_blocks(batches, levels, buckets: int):
 
     Shingles go with 32 bits of their hash beside the bucket and sets with 64 bits of their key, 0 for
     "several": chance meetings only let a set pass that could go. A shingle that several sets of a
-    chunk hold is sent once and counted for them here, so a frequent one costs one pair per chunk.
+    chunk hold is sent once and counted for them here, so a frequent one costs one pair per chunk. After
+    SEEN sets a task forgets them, and a copy of an earlier one is sent again, which has the same effect.
     """
     levels, seen, held, tokens = levels.value, set(), [], 0
 
@@ -209,6 +212,8 @@ def _prefix_blocks(batches, levels, buckets: int):
             if tokens >= CHUNK_TOKENS:
                 yield from flush()
                 held, tokens = [], 0
+                if len(seen) > SEEN:
+                    seen.clear()
     if tokens:
         yield from flush()
 
@@ -377,11 +382,13 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """
     spark = docs.sparkSession
     context = spark.sparkContext
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = rows.where(F.col("text").isNotNull())
     sets = _staged(rows.select("id", set_key("text").alias("k")).select("id", "k.n", "k.h1", "k.h2"), "sets")
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    # a task holds one bucket at a time as a table, so their number follows the input
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
     levels = context.broadcast(sketch(texts.select("text"), _text_hashes))
 
     blocks = texts.select("text").mapInArrow(lambda it: _prefix_blocks(it, levels, buckets), PACKED)

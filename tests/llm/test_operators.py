@@ -227,6 +227,18 @@ def test_components_equal_brute_force(spark, monkeypatch, block):
     assert found == {i: (sizes[i], labels[i]) for i in range(len(texts))}
 
 
+def test_jaccard_in_many_buckets(spark, monkeypatch):
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice("abcdefgh") * 3 + str(draw.randrange(40)) for _ in range(30)) for _ in range(40)]
+    texts += [t.rsplit(" ", 1)[0] + " other" for t in texts[:20]] + texts[:10]
+    wanted = sorted(near_duplicates(docs_of(spark, texts)).collect())
+    assert sum(r.doc_id != r.component_id for r in wanted) == 30
+    monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 20)
+    monkeypatch.setattr(jaccard_join, "CHUNK_TOKENS", 50)
+    monkeypatch.setattr(jaccard_join, "SEEN", 1)
+    assert sorted(near_duplicates(docs_of(spark, texts)).collect()) == wanted
+
+
 def test_jaccard_odd_rows(odd, empty):
     rows = near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
