@@ -32,16 +32,17 @@ def _tokens(line: Column) -> Column:
 
 def recurring_lines(
     docs: DataFrame, min_docs: int = 5, depth: int = 2, min_tokens: int = 4, least_constant: float = 0.6,
-    id_col: str = "doc_id", text_col: str = "text", exact_fallback: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", exact_fallback: bool = True,
 ) -> DataFrame:
     """(id, pos): the lines to drop.
 
     The tree has two levels, token count and the first ``depth`` tokens (tokens with digits are
     variables). In a leaf, a token is constant where ``min_docs`` or more documents' lines have it at its
     place, and variable otherwise; a line's template is its tokens with the variable ones masked, if at least
-    ``least_constant`` of them are constant, and the line itself if not: with its numbers masked, or as it stands with
-    ``exact_fallback``, so that rows of numbers are templates of their copies only. A template of ``min_docs`` or more documents
-    recurs; every line of it goes but the first by id and place. Lines of fewer than ``min_tokens`` tokens stay.
+    ``least_constant`` of them are constant, and the line itself if not: as it stands, so that rows of numbers are
+    templates of their copies only, or with its numbers masked without ``exact_fallback``. A line of fewer than ``min_tokens`` tokens
+    has too few to tell fields from words and is a template as it stands. A template of ``min_docs`` or more documents
+    recurs; every line of it goes but the first by id and place. Lines without a token stay.
 
     Leaves and tokens go by 64-bit hashes, lines and templates by 128 bits; texts are sent only for the distinct
     lines of leaves that ``min_docs`` documents reach.
@@ -52,8 +53,8 @@ def recurring_lines(
         own = F.transform(F.split(cleaned(F.col(text_col)), "\n"), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("u"), F.xxhash64(F.lit(1), F.trim(x)).alias("v")))
         fields = F.zip_with(fields, own, lambda x, y: F.struct(x["line"].alias("line"), x["n"].alias("n"), y["u"].alias("u"), y["v"].alias("v")))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(fields).alias("pos", "x"))
-    lines = rows.where((F.col("x.n") >= min_tokens) & (F.col("x.line") != "")).select(
-        "id", "pos", "x.line", F.xxhash64("x.n", F.substring_index("x.line", " ", depth)).alias("leaf"),
+    lines = rows.where(F.col("x.line") != "").select(
+        "id", "pos", "x.line", (F.col("x.n") >= min_tokens).alias("long"), F.xxhash64("x.n", F.substring_index("x.line", " ", depth)).alias("leaf"),
         *[f"x.{c}" for c in ("u", "v") if exact_fallback],
     )
     busy = _staged(
@@ -66,8 +67,9 @@ def recurring_lines(
         .join(busy, "leaf", "left_semi").withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(1), "line")), "lines"
     )
     line = ["leaf", "a", "b"]
-    in_docs = inside.select(*line, "id").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("docs"))
-    texts = inside.groupBy(*line).agg(F.first("line").alias("line"))
+    long, short = inside.where("long"), inside.where("NOT long")
+    in_docs = long.select(*line, "id").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("docs"))
+    texts = long.groupBy(*line).agg(F.first("line").alias("line"))
     tokens = texts.join(in_docs, line).select(*line, "docs", F.posexplode(F.split("line", " ")).alias("at", "token")).select(
         *line, "docs", "at", F.when(F.col("token") != VARIABLE, F.xxhash64("token")).alias("token")
     )
@@ -82,12 +84,12 @@ def recurring_lines(
     ).select(*line, (F.col("share") >= least_constant).alias("general"), "x0", "x1").select(
         *line, "general", *[F.when(F.col("general"), F.col(x)).otherwise(F.col(c)).alias(c2) for x, c, c2 in (("x0", "a", "p"), ("x1", "b", "q"))]
     )
-    if exact_fallback:
-        shaped = inside.select("id", "pos", *line, "u", "v").join(shapes, line).select(
-            "id", "pos", "leaf", "general", *[F.when(F.col("general"), F.col(c)).otherwise(F.col(o)).alias(c) for c, o in (("p", "u"), ("q", "v"))]
-        )
-    else:
-        shaped = inside.select("id", "pos", *line).join(shapes, line).select("id", "pos", "leaf", "general", "p", "q")
+    own = ("u", "v") if exact_fallback else ("a", "b")
+    fallback = [F.when(F.col("general"), F.col(c)).otherwise(F.col(o)).alias(c) for c, o in zip(("p", "q"), own)]
+    shaped = long.select("id", "pos", *dict.fromkeys((*line, *own))).join(shapes, line).select("id", "pos", "leaf", "general", *fallback)
+    shaped = shaped.unionByName(short.select(
+        "id", "pos", "leaf", F.lit(False).alias("general"), *[F.col(o).alias(c) for c, o in zip(("p", "q"), own)]
+    ))
     key = ["leaf", "general", "p", "q"]
     per_doc = shaped.groupBy(*key, "id").agg(F.min("pos").alias("pos"))
     many = per_doc.groupBy(*key).agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first_id")).where(F.col("docs") >= min_docs)
@@ -97,7 +99,7 @@ def recurring_lines(
 
 def drop_recurring_lines(
     docs: DataFrame, min_docs: int = 5, depth: int = 2, min_tokens: int = 4, least_constant: float = 0.6,
-    id_col: str = "doc_id", text_col: str = "text", exact_fallback: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", exact_fallback: bool = True,
 ) -> DataFrame:
     """All rows, with the lines of recurring templates dropped from the text (see ``recurring_lines``).
 

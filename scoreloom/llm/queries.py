@@ -266,25 +266,26 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN labels USING (doc_id)
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 exploded AS (SELECT doc_id, unnest(lines) AS raw, unnest(range(len(lines))) AS pos FROM split),
 cleaned AS (SELECT doc_id, pos, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean FROM exploded),
-masked AS (SELECT doc_id, pos, regexp_replace(clean, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM cleaned),
-tokens AS (SELECT doc_id, pos, line, string_split(line, ' ') AS w FROM masked WHERE line <> ''),
-lines AS (SELECT doc_id, pos, line, w, (len(w) || ' ' || array_to_string(w[1:2], ' ')) AS leaf FROM tokens WHERE len(w) >= 4),
+masked AS (SELECT doc_id, pos, clean, regexp_replace(clean, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM cleaned),
+tokens AS (SELECT doc_id, pos, clean, line, string_split(line, ' ') AS w FROM masked WHERE line <> ''),
+lines AS (SELECT doc_id, pos, clean, line, w, (len(w) || ' ' || array_to_string(w[1:2], ' ')) AS leaf FROM tokens),
 busy AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
 inside AS (SELECT * FROM lines WHERE leaf IN (SELECT leaf FROM busy)),
-distinct_lines AS (SELECT leaf, line, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM inside GROUP BY leaf, line),
+distinct_lines AS (SELECT leaf, line, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM inside WHERE len(w) >= 4 GROUP BY leaf, line),
 parts AS (SELECT leaf, line, docs, unnest(w) AS token, unnest(range(len(w))) AS place FROM distinct_lines),
 constant AS (
   SELECT leaf, place, token, token <> '<*>' AND sum(docs) >= 5 AS keep FROM parts GROUP BY leaf, place, token),
 shapes AS (
   SELECT leaf, line, CASE WHEN avg(CAST(keep AS INT)) >= 0.6
-    THEN string_agg(CASE WHEN keep THEN token ELSE '<*>' END, ' ' ORDER BY place) ELSE line END AS template
+    THEN string_agg(CASE WHEN keep THEN token ELSE '<*>' END, ' ' ORDER BY place) END AS template
   FROM parts JOIN constant USING (leaf, place, token) GROUP BY leaf, line),
-shaped AS (SELECT doc_id, pos, leaf, template FROM inside JOIN shapes USING (leaf, line)),
-many AS (SELECT leaf, template FROM shaped GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 5),
+shaped AS (
+  SELECT doc_id, pos, leaf, template IS NOT NULL AS general, coalesce(template, clean) AS template FROM inside LEFT JOIN shapes USING (leaf, line)),
+many AS (SELECT leaf, general, template FROM shaped GROUP BY leaf, general, template HAVING count(DISTINCT doc_id) >= 5),
 gone AS (
   SELECT doc_id, list(pos) AS pos FROM (
-    SELECT doc_id, pos, row_number() OVER (PARTITION BY leaf, template ORDER BY doc_id, pos) AS place
-    FROM shaped JOIN many USING (leaf, template)) WHERE place > 1 GROUP BY doc_id)
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY leaf, general, template ORDER BY doc_id, pos) AS place
+    FROM shaped JOIN many USING (leaf, general, template)) WHERE place > 1 GROUP BY doc_id)
 SELECT doc_id, coalesce(len(lines), 0)::INT AS n_lines, coalesce(len(pos), 0)::INT AS n_dropped,
   sha256(array_to_string([lines[i + 1] FOR i IN range(len(lines)) IF NOT list_contains(coalesce(pos, []), i)], chr(10))) AS text_sha256
 FROM split LEFT JOIN gone USING (doc_id)

@@ -277,6 +277,13 @@ def test_templates_with_variable_fields_go_but_for_the_first(spark):
         assert "Dear user" not in rows[k].text and rows[k].n_lines == 3 and "End" in rows[k].text
 
 
+def test_short_lines_and_rows_of_numbers_go_as_they_stand(spark):
+    texts = [f"All rights reserved.\nYear {k}\n{k} {k + 1} 34.5 78\nMenu" for k in range(8)]
+    rows = {r.doc_id: r for r in drop_recurring_lines(docs_of(spark, texts)).collect()}
+    assert rows[0].text == texts[0]
+    assert all(rows[k].text == f"Year {k}\n{k} {k + 1} 34.5 78" and rows[k].n_dropped == 2 for k in range(1, 8))
+
+
 def test_lines_below_the_threshold_stay(spark):
     texts = ["this line is in four documents\nx" for _ in range(4)] + ["other words stand in this one here"]
     assert drop_recurring_lines(docs_of(spark, texts)).where("n_dropped > 0").isEmpty()

@@ -20,27 +20,27 @@ def line_dedup(docs, min_docs=5, depth=2, min_tokens=4, least=0.6):
         for pos, raw in enumerate(text.split("\n")):
             line = re.sub(r"[\x20\x09-\x0D]+", " ", raw).strip(" ")
             tokens = ["<*>" if re.search("[0-9]", t) else t for t in line.split(" ")]
-            if line and len(tokens) >= min_tokens:
-                lines.append((i, pos, (len(tokens), *tokens[:depth]), tuple(tokens)))
+            if line:
+                lines.append((i, pos, (len(tokens), *tokens[:depth]), tuple(tokens), line))
     in_leaf, in_line = defaultdict(set), defaultdict(set)
-    for i, _, leaf, tokens in lines:
+    for i, _, leaf, tokens, _ in lines:
         in_leaf[leaf].add(i)
         in_line[tokens].add(i)
     busy = [x for x in lines if len(in_leaf[x[2]]) >= min_docs]
     support = Counter()
-    for leaf, tokens in {(leaf, tokens) for _, _, leaf, tokens in busy}:
+    for leaf, tokens in {(leaf, tokens) for _, _, leaf, tokens, _ in busy}:
         for at, token in enumerate(tokens):
             support[leaf, at, token] += len(in_line[tokens])
 
-    def template(leaf, tokens):
+    def template(leaf, tokens, line):
         constant = [t != "<*>" and support[leaf, at, t] >= min_docs for at, t in enumerate(tokens)]
-        if sum(constant) >= least * len(tokens):
+        if len(tokens) >= min_tokens and sum(constant) >= least * len(tokens):
             return leaf, True, tuple(t if c else "<*>" for t, c in zip(tokens, constant))
-        return leaf, False, tokens
+        return leaf, False, line
 
     places = defaultdict(list)
-    for i, pos, leaf, tokens in busy:
-        places[template(leaf, tokens)].append((i, pos))
+    for i, pos, leaf, tokens, line in busy:
+        places[template(leaf, tokens, line)].append((i, pos))
     gone = {p for found in places.values() if len({i for i, _ in found}) >= min_docs for p in sorted(found)[1:]}
     out = {}
     for i, text in docs.items():
