@@ -228,6 +228,21 @@ def test_bundle_writes_every_model_in_one_of_many_tasks(spark):
     assert spark.read.schema("avg_mcs long, model_id long").json(paths["whole"]).count() == 3000
 
 
+def test_few_shot_lookup_gathers_no_questions_by_key(spark):
+    questions = spark.range(200).selectExpr(
+        "id AS question_id", "'one' AS subtopic_id", "'easy' AS difficulty", "'q' || id AS question_text", "'a' || id AS expected_answer")
+    store = planning.seed_few_shot(questions, spark.createDataFrame([], "question_id long, prompt_strategy string"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        looked = planning.few_shot_lookup(questions.withColumn("question_text", F.repeat("question_text", 50)), store)
+        plan = looked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+    assert looked.where("size(examples) = 3").count() == 200
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 
