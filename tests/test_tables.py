@@ -219,7 +219,7 @@ def test_exports_are_compressed_and_read_back(spark):
 
 
 def test_bundle_writes_every_model_in_one_of_many_tasks(spark):
-    report = spark.range(3000).selectExpr("id % 40 AS model_id", "id AS avg_mcs")
+    report = spark.range(3000).selectExpr("id % 40 AS model_id", "id AS avg_mcs", "count(*) OVER (PARTITION BY id % 40) AS n")
     paths = files.write_report_bundle({"per": report, "whole": report}, new_folder(spark, "bundle"), ["per"])
     written = spark.read.schema("avg_mcs long, model_id long").json(paths["per"])
     names = [f.rsplit("/", 1)[1] for f in written.inputFiles()]
