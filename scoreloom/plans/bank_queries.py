@@ -233,6 +233,9 @@ def _(m):
     return reports.model_in_contests(m.contest_entries(), 7)
 
 
+RECORDS_PER_ARRAY = 100_000
+
+
 @query("read_question_bank", with_marts("questions subtopics topics", """
 SELECT substr(md5(question_id::VARCHAR), 1, 12) AS id, topic, subtopic, CASE WHEN question_id % 2 = 0 THEN 'Exercise ' || question_id END AS exercise_number,
   'Question ' || question_id || ' "é" ' || chr(10) || 'line' AS question_text, NULL::VARCHAR AS expected_answer, question_type, difficulty, array_to_string(tags, ',') AS tags
@@ -245,14 +248,15 @@ def _(m):
         F.when(F.col("question_id") % 2 == 0, F.concat(F.lit("Exercise "), number)).alias("exercise_number"),
         F.concat(F.lit("Question "), number, F.lit(' "é" \nline')).alias("question_text"),
         F.lit(None).cast("string").alias("expected_answer"), "question_type", "difficulty", "tags")
-    # array files: as many as the bank has partitions, each of one array over several lines
+    # array files, each of arrays over several lines; their number follows the bank, so that a task sorts and writes a bounded part
+    arrays = max(4, -(-bank.count() // RECORDS_PER_ARRAY))
     record = F.concat(F.when(F.col("first"), "[\n").otherwise(",\n"), F.to_json(F.struct(*bank.columns), {"ignoreNullFields": "false"}))
     part = F.spark_partition_id()
-    placed = bank.repartition(4, "id").withColumn("part", part).sortWithinPartitions("id")
+    placed = bank.repartition(arrays, "id").withColumn("part", part).sortWithinPartitions("id")
     first = placed.groupBy("part").agg(F.min("id").alias("head"))
     rows = placed.join(F.broadcast(first), "part").withColumn("first", F.col("id") == F.col("head"))
     path = new_folder(m.spark, "bank")
     ends = first.select(F.col("part"), F.lit("~").alias("id"), F.lit("\n]").alias("value"))
-    rows.select("part", "id", record.alias("value")).unionByName(ends).repartition(4, "part").sortWithinPartitions("part", "id").select("value").write.text(path)
+    rows.select("part", "id", record.alias("value")).unionByName(ends).repartition(arrays, "part").sortWithinPartitions("part", "id").select("value").write.text(path)
     read = files.read_question_bank(m.spark, path)
     return read.withColumn("tags", F.array_join("tags", ","))

@@ -243,6 +243,15 @@ def test_few_shot_lookup_gathers_no_questions_by_key(spark):
     assert looked.where("size(examples) = 3").count() == 200
 
 
+def test_arrays_of_the_question_bank_follow_its_records(spark, tables, monkeypatch):
+    seen = []
+    whole = files.read_question_bank
+    monkeypatch.setattr(files, "read_question_bank", lambda s, path: seen.append(s.read.text(path).inputFiles()) or whole(s, path))
+    monkeypatch.setattr(bank_queries, "RECORDS_PER_ARRAY", 100)
+    rows = bank_queries.QUERIES["read_question_bank"](spark, tables)
+    assert rows.count() == Marts(spark, tables).questions().count() and len(seen[0]) > 6
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 
