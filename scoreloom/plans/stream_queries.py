@@ -1,6 +1,7 @@
 """Registered streaming queries with the SQL of their final state."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from scoreloom.plans.mart_sql import rounded, with_marts
 from scoreloom.plans.marts import Marts
@@ -21,13 +22,25 @@ def query(name, sql=None):
     return add
 
 
+ROWS_PER_FILE = 500_000
+
+
 def arriving(m, df, name, files, file):
-    """The rows as a stream of ``files`` files, one per batch; ``file`` is the number of a row's file."""
-    folder = new_folder(m.spark, name)
-    stored = df.withColumn("file", file).checkpoint()
+    """The rows as a stream of ``files`` deliveries, one per batch; ``file`` is the number of a row's delivery.
+
+    Every delivery is of the same number of files, which follows its rows, so that many tasks write it.
+    """
+    folder, source = new_folder(m.spark, name), new_folder(m.spark, f"{name}-dealt")
+    df.withColumn("file", file).write.partitionBy("file").parquet(source)
+    stored = m.spark.read.schema(StructType([*df.schema.fields, StructField("file", IntegerType())])).parquet(source)
+    most = stored.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+    width = max(1, -(-most // ROWS_PER_FILE))
     for k in range(files):
-        stored.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(folder)
-    return live.file_stream(m.spark, df.schema, folder, per_batch=1)
+        rows = stored.where(F.col("file") == k).drop("file")
+        (rows.coalesce(1) if width == 1 else rows.repartition(width)).write.mode("append").parquet(folder)
+        for _ in range(width * (k + 1) - live.file_count(m.spark, folder)):  # tasks without rows write no file
+            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    return live.file_stream(m.spark, df.schema, folder, per_batch=width)
 
 
 def slices(column):

@@ -252,6 +252,31 @@ def test_arrays_of_the_question_bank_follow_its_records(spark, tables, monkeypat
     assert rows.count() == Marts(spark, tables).questions().count() and len(seen[0]) > 6
 
 
+def test_every_delivery_of_a_stream_is_a_fixed_number_of_files(spark, monkeypatch):
+    monkeypatch.setattr(stream_queries, "ROWS_PER_FILE", 25)
+    delivery = F.when(F.col("id") < 90, 0).when(F.col("id") < 92, 1).otherwise(3)
+    folders = []
+    monkeypatch.setattr(stream_queries, "new_folder", lambda s, name: folders.append(new_folder(s, name)) or folders[-1])
+    stream = stream_queries.arriving(Marts(spark, "none"), spark.range(100).toDF("id"), "numbers", 4, delivery)
+    seen = {}
+    live.run_batches(stream, lambda batch, n: seen.update({n: batch.count()}), new_folder(spark, "numbers-state"))
+    assert seen == {0: 90, 1: 2, 2: 0, 3: 8} and live.file_count(spark, folders[0]) == 16
+
+
+def test_runs_and_scores_wait_on_disk(spark, monkeypatch):
+    seen = []
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    whole = live.run_batches
+    monkeypatch.setattr(live, "run_batches", lambda *a, **k: seen.append(spark.conf.get(setting)) or whole(*a, **k))
+    runs, scores, folder = new_folder(spark, "r"), new_folder(spark, "s"), new_folder(spark, "waiting")
+    spark.sql("SELECT 'a' AS run_id, 1L AS model_id, 2.0D AS total_latency_ms, timestamp_ntz '2024-01-01' AS run_timestamp").write.parquet(runs)
+    spark.sql("SELECT 'a' AS run_id, 1.0D AS master_composite_score, 1.0D AS db_correctness_score, 1.0D AS llm_quality_score, timestamp_ntz '2024-01-02' AS scored_at").write.parquet(scores)
+    streams = [live.file_stream(spark, spark.read.parquet(p).schema, p) for p in (runs, scores)]
+    assert [r.run_count for r in live.stream_leaderboard(*streams, folder).collect()] == [1]
+    assert "RocksDB" in seen[0] and spark.conf.get(setting) == before
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 
