@@ -443,3 +443,40 @@ def test_unknown_axis_is_an_error(spark):
         reports.leaderboard(board, models, sort_by="elo_rating")
     given = spark.createDataFrame([(1, 1300)], "model_id int, rating int")
     assert reports.leaderboard(board, models, given, "elo_rating").first().elo_rating == 1300
+
+
+def test_names_alone_need_no_value_digests(spark, monkeypatch):
+    monkeypatch.setitem(accuracy.KEYS, "values", None)
+    assert f1(spark, [{"a": "5.0"}], [{"a": "5"}]) == (1, 1, 1)
+
+
+@pytest.mark.parametrize("value, plain, rounded", [
+    ("5.0", "5", "5"), ("-0.00", "0", "0"), ("100", "100", "100"), ("100.50", "100.5", "100.5"), ("1e3", "1000", "1000"),
+    ("0.00004", "0.00004", "0"), ("2.00005", "2.00005", "2.0001"), ("0123.0", "0123.0", "0123.0"), ("9" * 40 + ".0", "9" * 40, "9" * 40 + ".0"),
+])
+def test_forms_of_numbers(spark, value, plain, rounded):
+    row = spark.createDataFrame([(value,)], "v string").select(accuracy._plain(F.col("v")), accuracy._rounded(F.col("v"))).first()
+    assert tuple(row) == (plain, rounded)
+
+
+def python_plan_nodes(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_a_contest_reply_is_parsed_once(spark):
+    """Three uses of the parsed replies, ties in ranked and unranked labels, and an unknown contest."""
+    reply = '{"rankings": [{"label": "A", "placement": 1}, {"label": "B", "placement": 1}], "ties": [["B", "A", "X"], []]}'
+    parsed = verdicts.parse_contest_replies(spark.createDataFrame([(1, reply), (None, reply), (3, '{"ties": []}')], "contest_id int, reply string"))
+    labels = spark.createDataFrame([(1, "A", 10), (1, "B", 20)], "contest_id int, label string, model_id int")
+    results = verdicts.contest_results(parsed, labels)
+    assert python_plan_nodes(results, "ArrowEvalPython") == 0  # read from the written replies
+    found = {r.contest_id: (r.ranked_model_ids, r.tie_model_ids, r.anonymized_map, r.tie_exists) for r in results.collect()}
+    assert found == {1: (["10", "20"], ["20", "10", "X"], {"A": "10", "B": "20"}, True), None: ([], None, {}, True), 3: ([], None, {}, False)}
+
+
+def test_contest_entries_meet_once_by_contest(spark, tables):
+    entries = Marts(spark, tables).contest_entries()
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    lost = entries.filter("contest_id IS NULL OR entrants < 2").count()
+    assert lost == 0
