@@ -30,6 +30,20 @@ def _tokens(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
 
 
+def _lines(docs: DataFrame, depth: int, min_tokens: int, id_col: str, text_col: str, exact: bool) -> DataFrame:
+    """Lines with tokens (id, pos, masked line, long, leaf), with ``exact`` also 128 bits of the line as it stands (u, v)."""
+    # the generator makes each line's fields once; later steps read them as they are
+    fields = F.transform(F.split(masked(F.col(text_col)), "\n"), lambda x: F.struct(F.trim(x).alias("line"), _tokens(F.trim(x)).alias("n")))
+    if exact:  # masking keeps line breaks, so both have the same lines
+        own = F.transform(F.split(cleaned(F.col(text_col)), "\n"), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("u"), F.xxhash64(F.lit(1), F.trim(x)).alias("v")))
+        fields = F.zip_with(fields, own, lambda x, y: F.struct(x["line"].alias("line"), x["n"].alias("n"), y["u"].alias("u"), y["v"].alias("v")))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(fields).alias("pos", "x"))
+    return rows.where(F.col("x.line") != "").select(
+        "id", "pos", "x.line", (F.col("x.n") >= min_tokens).alias("long"), F.xxhash64("x.n", F.substring_index("x.line", " ", depth)).alias("leaf"),
+        *[f"x.{c}" for c in ("u", "v") if exact],
+    )
+
+
 def recurring_lines(
     docs: DataFrame, min_docs: int = 5, depth: int = 2, min_tokens: int = 4, least_constant: float = 0.6,
     id_col: str = "doc_id", text_col: str = "text", exact_fallback: bool = True,
@@ -47,18 +61,9 @@ def recurring_lines(
     Leaves and tokens go by 64-bit hashes, lines and templates by 128 bits; texts are sent only for the distinct
     lines of leaves that ``min_docs`` documents reach.
     """
-    # the generator makes each line's fields once; later steps read them as they are
-    fields = F.transform(F.split(masked(F.col(text_col)), "\n"), lambda x: F.struct(F.trim(x).alias("line"), _tokens(F.trim(x)).alias("n")))
-    if exact_fallback:  # masking keeps line breaks, so both have the same lines
-        own = F.transform(F.split(cleaned(F.col(text_col)), "\n"), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("u"), F.xxhash64(F.lit(1), F.trim(x)).alias("v")))
-        fields = F.zip_with(fields, own, lambda x, y: F.struct(x["line"].alias("line"), x["n"].alias("n"), y["u"].alias("u"), y["v"].alias("v")))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(fields).alias("pos", "x"))
-    lines = rows.where(F.col("x.line") != "").select(
-        "id", "pos", "x.line", (F.col("x.n") >= min_tokens).alias("long"), F.xxhash64("x.n", F.substring_index("x.line", " ", depth)).alias("leaf"),
-        *[f"x.{c}" for c in ("u", "v") if exact_fallback],
-    )
-    busy = _staged(
-        lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
+    lines = _lines(docs, depth, min_tokens, id_col, text_col, exact_fallback)
+    busy = _staged(  # the first pass needs no digests of the lines as they stand
+        _lines(docs, depth, min_tokens, id_col, text_col, False).select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
         .where(F.col("docs") >= min_docs).select("leaf"), "leaves",
     )
     inside = _staged(
