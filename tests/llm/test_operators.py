@@ -1,5 +1,7 @@
 """Edge cases of the pipeline operators and comparisons with brute force."""
 
+import contextlib
+import io
 import random
 import re
 from collections import Counter
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from scoreloom.llm.components import component_labels
 from scoreloom.llm.decontaminate import contamination, decontaminate
 from scoreloom.llm.exact_dedup import exact_dedup
-from scoreloom.llm import jaccard_join
+from scoreloom.llm import jaccard_join, line_templates
 from scoreloom.llm.jaccard_join import keep_one_of_each, near_duplicates
 from scoreloom.llm.langid import identify, keep_identified
 from scoreloom.llm.licenses import TEMPLATES, license_scan
@@ -300,6 +302,35 @@ def test_line_dedup_odd_rows(odd, empty, spark):
     assert [(r.doc_id, r.n_dropped) for r in dropped] == [(None, 0), (1, 2), (1, 2), (2, 3), (3, 3), (4, 3)]
 
 
+def test_tokens_of_lines_cross_no_shuffle(spark, monkeypatch):
+    plans = []
+
+    def staged(df, name, write=line_templates._staged):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain()
+        plans.append(out.getvalue())
+        return write(df, name)
+
+    monkeypatch.setattr(line_templates, "_staged", staged)
+    names = ["anna", "bert", "carl", "dora", "emil", "fritz"]
+    drop_recurring_lines(docs_of(spark, [f"Dear user {n} your order {k} is ready now" for k, n in enumerate(names)])).collect()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", "".join(plans))
+    assert dealt and not [x for x in dealt if "token#" in x or "at#" in x]
+
+
+def test_leaves_of_very_many_lines_drop_the_same(spark, monkeypatch):
+    draw = random.Random(6)
+    texts = ["\n".join(f"Posted by {draw.choice('abcdefgh')} in {draw.choice('uvwxyz')} on day {k} {draw.choice('pqr')} x {draw.choice('stuvwxyz')}{j}" for j in range(3))
+             + f"\nAll other words stay {draw.choice('ab')} here {k % 7}\nMenu" for k in range(60)]
+    docs = docs_of(spark, texts)
+    found = [sorted(r[:] for r in drop_recurring_lines(docs).select("doc_id", "text", "n_dropped").collect())]
+    for most in (0, 1, 50):  # all, some and few leaves are worked on by all tasks
+        monkeypatch.setattr(line_templates, "LEAF_LINES", most)
+        found.append(sorted(r[:] for r in drop_recurring_lines(docs).select("doc_id", "text", "n_dropped").collect()))
+    assert sum(r[2] for r in found[0]) > 60 and all(x == found[0] for x in found)
+
+
 # --- licenses ----------------------------------------------------------------------------------------
 
 
