@@ -15,7 +15,8 @@ from scoreloom.session import new_folder
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100  # a link: DENOMINATOR * shared >= NUMERATOR * union
 SKETCH_BITS = 22
-CHUNK_TOKENS = 1_000_000
+SLICE_BYTES = 1 << 18  # texts worked on at once; the arrays of a slice take 30 to 55 times as much
+CHUNK_TOKENS = 400_000  # prefix shingles that a task holds before it sends them, at some 100 bytes while they are sorted
 BUCKET_TOKENS = 12_000_000  # shingles of the corpus per bucket; about a third are in prefixes, at 12 bytes
 SEEN = 500_000
 STRAGGLERS, MEMBERS = 1000, 2000  # rows of one verification task
@@ -27,7 +28,7 @@ NOT_BLANK = (~T.BLANKS).astype(np.uint8)
 
 def shingles(texts: pa.Array):
     """For each slice of rows: number of rows, row and hash of the distinct shingles, sorted by both."""
-    for data, borders in T.slices(texts):
+    for data, borders in T.slices(texts, SLICE_BYTES):
         data = T.LOWER[data]
         starts, ends, row = T.spans(data, borders, NOT_BLANK)
         word = T.hashes(data, starts, ends)

@@ -38,7 +38,8 @@ def presence(texts: pa.Array, rows_at_once: int = 256):
                 block[row[: len(gram)][same], slot[same].astype(np.int64)] = 1
                 norm = np.sqrt(block.sum(1, keepdims=True))
                 block /= np.where(norm > 0, norm, 1)
-            yield out / np.float32(np.sqrt(len(ORDERS)))
+            out /= np.float32(np.sqrt(len(ORDERS)))
+            yield out
 
 
 class Model:

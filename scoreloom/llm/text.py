@@ -25,7 +25,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, 2 * len(_powers[0]), (1 << 18) + 1)
         inverse = pow(_BASE, -1, 1 << 64)
         for k, base in enumerate((_BASE, inverse)):
             steps = np.full(size, base, np.uint64)
@@ -34,8 +34,8 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bytes and row borders of runs of rows of about SLICE_BYTES; null rows are empty.
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and row borders of runs of rows of about ``size`` bytes; null rows are empty.
 
     A longer text is a slice of its own, so texts are never cut.
     """
@@ -52,7 +52,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(borders, borders[first] + SLICE_BYTES, "right")) - 1
+        last = int(np.searchsorted(borders, borders[first] + size, "right")) - 1
         last = min(max(last, first + 1), n)
         yield raw[borders[first]: borders[last]], borders[first: last + 1] - borders[first]
         first = last

@@ -4,8 +4,12 @@ import contextlib
 import io
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +271,21 @@ def test_long_chain_of_links(spark):
     assert component_labels(edges.limit(0)).collect() == []
 
 
+def test_prefixes_of_a_task_take_little_memory():
+    # numpy reports its arrays to tracemalloc; fixed parts (sketch, powers) are of the order of 10 MB
+    draw = np.random.default_rng(5)
+    texts = [" ".join(map(str, draw.integers(0, 10**6, 300))) for _ in range(6000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k: k + 3000])], ["text"]) for k in (0, 3000)]
+    levels = SimpleNamespace(value=np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8))
+    tracemalloc.start()
+    try:
+        sent = sum(b.num_rows for b in jaccard_join._prefix_blocks(iter(batches), levels, 4))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert sent > 0 and peak < 60, peak
+
+
 # --- lines -----------------------------------------------------------------------------------------
 
 
