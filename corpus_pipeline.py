@@ -9,11 +9,11 @@ from scoreloom.llm.line_templates import drop_recurring_lines
 from scoreloom.llm.mixing import emit_mix, word_count
 from scoreloom.session import new_folder
 
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def _small_batches(spark):
-    """Whole texts go to Python in batches of 8 MiB instead of 64: an executor holds several of them at a time."""
+    """Whole texts go to Python in batches of 2 MiB instead of 64: an executor holds several of them at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 

@@ -11,6 +11,7 @@ from scoreloom.llm.bitfilter import likely_among
 from scoreloom.session import new_folder
 
 WINDOW = 10
+SLICE_BYTES = 1 << 18  # texts worked on at once; the arrays of a slice take some 50 times as much
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[0x00:0x30] = False
 WORD_BYTES[0x3A:0x61] = False
@@ -149,7 +150,7 @@ class Automaton:
 
 def words_of(texts: pa.Array):
     """For each slice of rows: its bytes, borders, word starts, ends, rows and hashes."""
-    for data, borders in T.slices(texts):
+    for data, borders in T.slices(texts, SLICE_BYTES):
         data = T.LOWER[data]
         starts, ends, row = T.spans(data, borders, WORD_BYTES)
         yield data, borders, starts, ends, row, T.hashes(data, starts, ends)
@@ -240,7 +241,8 @@ def _scan(automaton, cut: bool):
     def scan(column: pa.Array) -> pa.Array:
         return scan_texts(column, automaton.value, cut)
 
-    return scan
+    # else Spark moves filters on its result below it and scans every text twice, in two workers per task
+    return scan.asNondeterministic()
 
 
 def _staged(df: DataFrame, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.llm.components import component_labels
-from scoreloom.llm.decontaminate import contamination, decontaminate
+from scoreloom.llm.decontaminate import _joined, contamination, decontaminate, scanner
 from scoreloom.llm.exact_dedup import exact_dedup
 from scoreloom.llm import jaccard_join, line_templates
 from scoreloom.llm.jaccard_join import keep_one_of_each, near_duplicates
@@ -193,6 +193,22 @@ def test_shards_give_what_one_automaton_gives(spark):
     assert one == many and len(many) == len(texts)
 
 
+def test_each_shard_scans_a_text_once(spark):
+    # filters on what a scan found must not be moved below it: the scan would run again, in a worker of its own
+    def scans_in(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return sum("ArrowEvalPython [scan(" in line for line in plan.split("\n"))
+
+    docs, items = docs_of(spark, ["a b c d e", "clean"]), items_of(spark, ["a b c d", "d e f g", "h i j k"])
+    assert scans_in(contamination(docs, items, window=4)) == 1
+    assert scans_in(decontaminate(docs, items, window=4)) == 1
+    assert scans_in(decontaminate(docs, items, window=4).withColumn("n_chars", F.length("text")).where("n_chars > 0")) == 1
+    shards = scanner(items, 4, "item_id", "text", 3, cut=True)
+    assert len(shards) > 1
+    for hits_only in (False, True):
+        assert scans_in(_joined(docs.withColumn("key", F.col("doc_id")), shards, hits_only)) == len(shards)
+
+
 # --- Jaccard join ----------------------------------------------------------------------------------
 
 
