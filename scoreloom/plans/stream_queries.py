@@ -1,13 +1,12 @@
 """Registered streaming queries with the SQL of their final state."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from scoreloom.plans.mart_sql import rounded, with_marts
 from scoreloom.plans.marts import Marts
 from scoreloom.plans.rating_queries import REPLAY
 from scoreloom.plans.report_queries import DONE, MCS
-from scoreloom.session import new_folder
+from scoreloom.session import new_folder, settings, shuffles_removed
 from scoreloom.streaming import live
 
 QUERIES, SQL = {}, {}
@@ -28,18 +27,15 @@ ROWS_PER_FILE = 500_000
 def arriving(m, df, name, files, file):
     """The rows as a stream of ``files`` deliveries, one per batch; ``file`` is the number of a row's delivery.
 
-    Every delivery is of the same number of files, which follows its rows, so that many tasks write it.
+    The rows are written once, by the tasks that have them, and the files dealt out as they are. Every delivery is of the same number of files.
     """
-    folder, source = new_folder(m.spark, name), new_folder(m.spark, f"{name}-dealt")
-    df.withColumn("file", file).write.partitionBy("file").parquet(source)
-    stored = m.spark.read.schema(StructType([*df.schema.fields, StructField("file", IntegerType())])).parquet(source)
-    most = stored.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    width = max(1, -(-most // ROWS_PER_FILE))
-    for k in range(files):
-        rows = stored.where(F.col("file") == k).drop("file")
-        (rows.coalesce(1) if width == 1 else rows.repartition(width)).write.mode("append").parquet(folder)
-        for _ in range(width * (k + 1) - live.file_count(m.spark, folder)):  # tasks without rows write no file
-            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    folder, dealt = new_folder(m.spark, name), new_folder(m.spark, f"{name}-dealt")
+    rows = df.withColumn("file", file).where(F.col("file").between(0, files - 1))
+    # a file is open for every delivery, so nothing is sorted; small row groups keep that in memory
+    with shuffles_removed(m.spark), settings(m.spark, {"spark.sql.maxConcurrentOutputFileWriters": str(files)}):
+        rows.write.partitionBy("file").options(maxRecordsPerFile=ROWS_PER_FILE, compression="zstd", **{"parquet.block.size": 16 << 20}).parquet(f"{dealt}/rows")
+    m.spark.createDataFrame([], df.schema).coalesce(1).write.parquet(f"{dealt}/empty")
+    width = live.deliver(m.spark, [f"{dealt}/rows/file={k}" for k in range(files)], f"{dealt}/empty", folder)
     return live.file_stream(m.spark, df.schema, folder, per_batch=width)
 
 

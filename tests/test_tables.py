@@ -266,6 +266,13 @@ def test_every_delivery_of_a_stream_is_a_fixed_number_of_files(spark, monkeypatc
     assert seen == {0: 90, 1: 2, 2: 0, 3: 8} and live.file_count(spark, folders[0]) == 16
 
 
+def test_rows_of_a_stream_are_stored_once(spark, monkeypatch):
+    folders = []
+    monkeypatch.setattr(stream_queries, "new_folder", lambda s, name: folders.append(new_folder(s, name)) or folders[-1])
+    stream_queries.arriving(Marts(spark, "none"), spark.range(100).toDF("id"), "numbers", 4, F.col("id") % 5)
+    assert sum(spark.read.schema("id long").option("recursiveFileLookup", True).parquet(f).count() for f in folders) == 80  # no delivery 4
+
+
 def test_runs_and_scores_wait_on_disk(spark, monkeypatch):
     seen = []
     setting = "spark.sql.streaming.stateStore.providerClass"
@@ -345,6 +352,56 @@ def test_runs_and_scores_may_arrive_in_any_order(spark):
     assert got == {m: (len(ks), round(sum(ks) / len(ks), 2), round(sum(ks) / len(ks), 1), 3.0) for m, ks in want.items()}
 
 
+def test_runs_and_scores_meet_as_in_a_join_of_streams(spark):
+    """Rows that repeat, lack an id or a time, are out of range or come too late are paired as Spark's own join does."""
+    draw, start = random.Random(5), datetime(2024, 1, 1)
+
+    def rows(count, columns):
+        made = []
+        for k in range(count):
+            at = None if draw.random() < 0.05 else start + timedelta(hours=draw.randrange(400))
+            early = 0 if at is None else (at - start).days // 4
+            made.append((draw.choice([None, *[f"r{n}" for n in range(60)]]), at, k % 4, float(k), min(3, early + draw.choice([0, 0, 1, 3]))))
+        return spark.createDataFrame(made, f"run_id string, {columns}, file int")
+
+    runs = rows(400, "run_timestamp timestamp_ntz, model_id int, total_latency_ms double")
+    scores = rows(500, "scored_at timestamp_ntz, x int, master_composite_score double").selectExpr(
+        "run_id", "scored_at", "master_composite_score", "1.0D AS db_correctness_score", "CAST(NULL AS DOUBLE) AS llm_quality_score", "file")
+
+    def streams():
+        return [stored_in_files(spark, df, "odd", 4, F.col("file")) for df in (runs, scores)]
+
+    left, right = streams()
+    joined, found = left.withColumn("run_timestamp", F.col("run_timestamp").cast("timestamp")).withWatermark("run_timestamp", "2 days").drop("file").join(
+        right.withColumn("scored_at", F.col("scored_at").cast("timestamp")).withWatermark("scored_at", "2 days").withColumnRenamed("run_id", "scored_run"), F.expr(
+            "run_id = scored_run AND scored_at >= run_timestamp - INTERVAL 9 HOURS AND scored_at <= run_timestamp + INTERVAL 30 HOURS")), []
+    live.run_batches(joined, lambda batch, n: found.extend(batch.select("model_id", "master_composite_score", "total_latency_ms").collect()), new_folder(spark, "own"))
+    board = live.stream_leaderboard(*streams(), new_folder(spark, "odd-board"), "9 HOURS", "30 HOURS", "2 days")
+    every = runs.join(scores, "run_id").where("scored_at BETWEEN run_timestamp - INTERVAL 9 HOURS AND run_timestamp + INTERVAL 30 HOURS").count()
+    assert 100 < len(found) < every  # some pairs are late
+    want = {m: [r for r in found if r.model_id == m] for m in range(4)}
+    got = {r.model_id: (r.run_count, r.mcs_score, r.avg_latency_ms) for r in board.collect()}
+    assert {m: n for m, (n, *_) in got.items()} == {m: len(rs) for m, rs in want.items()}
+    for m, rs in want.items():
+        assert got[m][1] == pytest.approx(sum(r.master_composite_score for r in rs) / len(rs), abs=0.006)
+        assert got[m][2] == pytest.approx(sum(r.total_latency_ms for r in rs) / len(rs), abs=0.06)
+
+
+def test_a_batch_of_the_board_goes_through_no_row_out_of_reach(spark):
+    start = datetime(2024, 1, 1)
+    runs = spark.createDataFrame([(f"r{k}", k % 3, 1.0, start + timedelta(hours=k)) for k in range(1200)],
+                                 "run_id string, model_id int, total_latency_ms double, run_timestamp timestamp_ntz")
+    scores = runs.selectExpr("run_id", "run_timestamp + INTERVAL 1 HOUR AS scored_at", "1.0D AS master_composite_score", "1.0D AS db_correctness_score", "1.0D AS llm_quality_score")
+    number, folder, read = F.substring("run_id", 2, 9).cast("int"), new_folder(spark, "reach"), []
+    streams = [stored_in_files(spark, df, "reach", 12, F.floor(number / 100)) for df in (runs, scores)]
+    pairs = live.WaitingTables._side
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(live.WaitingTables, "_side", lambda *a: read.append((rows := pairs(*a)).count()) or rows)
+        board = live.stream_leaderboard(*streams, folder, "3 HOURS", "3 HOURS", "400 days")
+    assert sum(r.run_count for r in board.collect()) == 1200
+    assert len(read) == 24 and max(read) <= 110 and not live.exists(spark, f"{folder}/checkpoint/state")
+
+
 def test_telemetry_in_any_order_loses_no_row(spark):
     start = datetime(2024, 1, 1)
     rows = [(start + timedelta(minutes=(k * 53) % 3000), k % 4, "cot", float(k % 10), 0.5) for k in range(400)]
