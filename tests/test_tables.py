@@ -1,6 +1,7 @@
 """Accuracy goldens, skewed groups, sources, sinks and streams."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -402,6 +403,24 @@ def test_a_batch_of_the_board_goes_through_no_row_out_of_reach(spark):
     assert len(read) == 24 and max(read) <= 110 and not live.exists(spark, f"{folder}/checkpoint/state")
 
 
+def shuffle_files(spark, most=1 << 30):
+    """Files of shuffles and spills on disk, as soon as they are no more than ``most``, or after ten seconds."""
+    for _ in range(100):
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+        if found <= most:
+            break
+        time.sleep(0.1)
+    return found
+
+
+def test_the_run_stream_leaves_no_shuffles_behind(spark):
+    rows = [(f"r{k}", k % 50, 1, "cot", "{}", datetime(2024, 1, 1) + timedelta(days=(k * 37) % 400)) for k in range(1200)]
+    runs = spark.createDataFrame(rows, "run_id string, question_id int, model_id int, prompt_strategy string, hyperparams string, run_timestamp timestamp")
+    stream, before = stored_in_files(spark, runs, "runs", 4, F.crc32("run_id") % 4), shuffle_files(spark)
+    first = live.stream_run_dedupe(stream, new_folder(spark, "first"))
+    assert shuffle_files(spark, before) <= before and first.count() == 50
+
+
 def test_telemetry_in_any_order_loses_no_row(spark):
     start = datetime(2024, 1, 1)
     rows = [(start + timedelta(minutes=(k * 53) % 3000), k % 4, "cot", float(k % 10), 0.5) for k in range(400)]
