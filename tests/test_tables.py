@@ -421,6 +421,21 @@ def test_the_run_stream_leaves_no_shuffles_behind(spark):
     assert shuffle_files(spark, before) <= before and first.count() == 50
 
 
+@pytest.mark.parametrize("name, steps", [("leaderboard_by_elo", 8)])
+def test_steps_of_the_reports_do_not_pile_up_shuffles(spark, tables, monkeypatch, name, steps):
+    # small steps that count or number rows may leave a few files; the joins of a step, of tens of files, are gone
+    most, left, whole = shuffle_files(spark) + 24, [], files.staged
+
+    def staged(df, path):
+        left.append(shuffle_files(spark, most))
+        return whole(df, path)
+
+    monkeypatch.setattr(files, "staged", staged)
+    rows = report_queries.QUERIES[name](spark, tables).collect()
+    assert len(left) >= steps and len(rows) in (8, 10)
+    assert max(left) <= most
+
+
 def test_telemetry_in_any_order_loses_no_row(spark):
     start = datetime(2024, 1, 1)
     rows = [(start + timedelta(minutes=(k * 53) % 3000), k % 4, "cot", float(k % 10), 0.5) for k in range(400)]
