@@ -421,7 +421,7 @@ def test_the_run_stream_leaves_no_shuffles_behind(spark):
     assert shuffle_files(spark, before) <= before and first.count() == 50
 
 
-@pytest.mark.parametrize("name, steps", [("leaderboard_by_elo", 8)])
+@pytest.mark.parametrize("name, steps", [("leaderboard_by_elo", 8), ("report_bundle", 9)])
 def test_steps_of_the_reports_do_not_pile_up_shuffles(spark, tables, monkeypatch, name, steps):
     # small steps that count or number rows may leave a few files; the joins of a step, of tens of files, are gone
     most, left, whole = shuffle_files(spark) + 24, [], files.staged
@@ -436,6 +436,12 @@ def test_steps_of_the_reports_do_not_pile_up_shuffles(spark, tables, monkeypatch
     assert max(left) <= most
 
 
+def test_parts_of_a_report_are_the_report(spark):
+    report = spark.range(100).selectExpr("id AS model_id", "id * 2 AS v")
+    paths = files.write_report_bundle({"parts": [report.where("v < 50"), report.where("v >= 50")]}, new_folder(spark, "bundle"))
+    assert sorted(map(tuple, spark.read.schema(report.schema).json(paths["parts"]).collect())) == sorted(map(tuple, report.collect()))
+
+
 def test_telemetry_in_any_order_loses_no_row(spark):
     start = datetime(2024, 1, 1)
     rows = [(start + timedelta(minutes=(k * 53) % 3000), k % 4, "cot", float(k % 10), 0.5) for k in range(400)]
